@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("neardup", "bpe", "langid")
+MODULES = ("decontaminate", "lines", "neardup", "bpe", "langid")
 
 
 def queries() -> dict:
