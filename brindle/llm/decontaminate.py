@@ -86,11 +86,11 @@ def _sql(masks: tuple[str, ...] = MASKS, margin: int = MARGIN, agree: float = AG
     span = len(masks[0])
 
     def seeded(table: str, key: str) -> str:
-        token = lambda i: f"CASE WHEN at + {i} >= 0 THEN w[at + {i + 1}] END"
+        token = lambda i: f"CASE WHEN pos + {i} >= 0 THEN w[pos + {i + 1}] END"
         window = ", ".join(token(i) for i in range(-margin, span + margin))
         each = [f"SELECT {key}, [{', '.join([repr(str(m)), *[token(i) for i, bit in enumerate(mask) if bit == '1']])}] AS seed, [{window}] AS win FROM {table}_at" for m, mask in enumerate(masks)]
         return f"""{table}_w AS (SELECT {key}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {table} WHERE text IS NOT NULL),
-{table}_at AS (SELECT {key}, w, unnest(range(0, len(w) - {span - 1})) AS at FROM {table}_w),
+{table}_at AS (SELECT {key}, w, unnest(range(0, len(w) - {span - 1})) AS pos FROM {table}_w),
 {table}_seeds AS ({' UNION ALL '.join(each)})"""
 
     return f"""
