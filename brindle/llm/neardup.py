@@ -10,10 +10,13 @@ Documents with equal shingle sets are one class, represented by the smallest id;
 only classes are banded, so copies cost one row each. BANDS bands of BAND_ROWS
 places lose a pair at the threshold of 0.8 with a chance of about 1e-5, and far
 less above it, while texts that share only a passage rarely meet. In a bucket,
-classes are first compared with the bucket's smallest class and joined into
-components; after that, only classes of different components are compared, so a
-bucket of near copies costs one comparison each and not one for each pair.
-Links are confirmed on the full sets.
+classes are first compared with the bucket's head and joined into components;
+after that, only classes of different components are compared, so a bucket of
+near copies costs one comparison each and not one for each pair. In a large
+bucket, the shingles that no other class has give an exact bound on what a class
+can share, which rules out most of what the head has not joined (copies with too
+many edits of their own), and what is left is compared in blocks. Links are
+confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ BLOCK = 1 << 18
 #: Comparisons with one class that share a task.
 SPREAD = 256
 CACHE = 1 << 20
+#: Classes from which a bucket is large, and shingles of a part when the private ones are counted.
+CROWD, PART = 32, 1 << 21
 
 
 class _Words(dict):
@@ -164,6 +169,48 @@ def _confirmed(percent: int):
     return run
 
 
+def _private_parts(parts: int):
+    """Sets to rows (part, owners, hashes): a batch's shingles by part; one that several have comes once, without an owner (-1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+            if not sets:
+                continue
+            owners = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            hashes, first, counts = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+            owners = np.where(counts > 1, -1, owners[first])
+            part = (hashes % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            bounds = np.searchsorted(part[order], np.arange(parts + 1))
+            for k in range(parts):
+                at = order[bounds[k] : bounds[k + 1]]
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([owners[at].tobytes()], pa.binary()), pa.array([hashes[at].tobytes()], pa.binary())], ["part", "owners", "hashes"])
+
+    return run
+
+
+def _private_of_part(rows: pa.Table) -> pa.Table:
+    owners = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("owners")])
+    hashes = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("hashes")])
+    _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+    alone = owners[first[counts == 1]]
+    ids, n = np.unique(alone[alone >= 0], return_counts=True)
+    return pa.table({"id": pa.array(ids, pa.int64()), "private": pa.array(n, pa.int64())})
+
+
+def private_shingles(sets: DataFrame, total: int) -> DataFrame:
+    """Rows (id, private): how many shingles of a set none of the others has; sets without one are left out.
+
+    The shingles (total of them) are dealt by hash into parts of a bounded size.
+    One that very many sets share is sent once for each batch of sets.
+    """
+    parts = max(1, -(-total // PART))
+    found = sets.mapInArrow(_private_parts(parts), "part bigint, owners binary, hashes binary").groupBy("part").applyInArrow(_private_of_part, "id bigint, private bigint")
+    return found.groupBy("id").agg(F.sum("private").alias("private"))
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough.
 
@@ -177,6 +224,52 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_confirmed(percent), "a bigint, b bigint")
 
 
+def _linked_in_block(percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        asks = rows.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        ids, parts = rows.column("id").to_numpy(), rows.column("component").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("set")]
+        sizes = np.array([len(x) for x in sets])
+        told = np.flatnonzero(~asks)
+        a, b = [], []
+        if len(told) and asks.any():
+            hashes = np.concatenate([sets[i] for i in told])
+            order = np.argsort(hashes, kind="stable")
+            owner, hashes = np.repeat(np.arange(len(told)), sizes[told])[order], hashes[order]
+            for i in np.flatnonzero(asks):
+                first, behind = np.searchsorted(hashes, sets[i], "left"), np.searchsorted(hashes, sets[i], "right")
+                counts = behind - first
+                at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                common = np.bincount(owner[at], minlength=len(told))
+                good = (100 * common >= percent * (sizes[i] + sizes[told] - common)) & (parts[told] != parts[i])
+                b.append(ids[told[good]])
+                a.append(np.full(good.sum(), ids[i]))
+        empty = np.empty(0, np.int64)
+        return pa.table({"a": pa.array(np.concatenate([empty, *a]), pa.int64()), "b": pa.array(np.concatenate([empty, *b]), pa.int64())})
+
+    return run
+
+
+def linked_in_crowds(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components in each band: members has band, id, n, component.
+
+    All that are not in a band's largest component are asked against all of the
+    band. Both sides are cut into blocks by their shingles, and two blocks meet in
+    one task, so no pair is written down but the links.
+    """
+    per = members.groupBy("band", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    per = per.groupBy("band").agg(F.max(F.struct("c", F.col("component").alias("main"), "s")).alias("top"), F.sum("s").alias("s"))
+    blocks = lambda c: F.ceil(F.greatest(c, F.lit(1)) / BLOCK)
+    per = per.select("band", "top.main", blocks(F.col("s")).alias("told_blocks"), blocks(F.col("s") - F.col("top.s")).alias("asking_blocks"))
+    rows = members.join(per, "band")
+    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), n)
+    asking = rows.where(F.col("component") != F.col("main")).select("band", "id", "component", F.lit(True).alias("asks"), own(F.col("asking_blocks")).alias("x"), copies(F.col("told_blocks")).alias("y"))
+    told = rows.select("band", "id", "component", F.lit(False).alias("asks"), copies(F.col("asking_blocks")).alias("x"), own(F.col("told_blocks")).alias("y"))
+    dealt = asking.unionByName(told).join(sets, "id")
+    return dealt.groupBy("band", "x", "y").applyInArrow(_linked_in_block(percent), "a bigint, b bigint").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (id, component) for every id in edges (a, b): union-find by large and small stars.
 
@@ -216,31 +309,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     # classes of equal sets; a bucket is worth a look only if two classes are in it
     classes = kept(sketch.where("n_shingles > 0").groupBy("print").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n")))
     banded = sketch.where("n_shingles > 0").join(classes.select("id", "n"), "id").select("id", "n", F.explode("keys").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("in_band"), F.min("id").alias("head")).where("in_band > 1")
-    buckets = written(banded.join(shared, "band").select("band", "id", "n", "head"), "buckets")
-
-    needed = buckets.select("id").distinct()
-    sets = written(rows.join(needed, "id", "left_semi").mapInArrow(_sets(words), "id bigint, set binary"), "sets")
-    sizes = buckets.select(F.col("head").alias("b")).distinct().join(classes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
-    near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-
-    stars = buckets.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"), "n").distinct()
-    stars = stars.join(sizes, "b").where(near(F.col("n"), F.col("n_b"))).select("a", "b")
+    shared = banded.groupBy("band").agg(F.count("*").alias("in_band")).where("in_band > 1")
+    buckets = written(banded.join(shared, "band").select("band", "id", "n", "in_band"), "buckets")
+    sets = written(rows.join(buckets.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(words), "id bigint, set binary"), "sets")
+
+    # in a large bucket, shingles that no other class of a large bucket has bound what a class can share with any of them
+    crowd = kept(buckets.where(F.col("in_band") >= CROWD).select("id", "n").distinct())
+    total = crowd.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    private = kept(private_shingles(sets.join(crowd, "id", "left_semi"), total))
+    bound = F.when(F.col("in_band") >= CROWD, F.coalesce("private", F.lit(0))).otherwise(0)
+    # a set that is at least as similar as asked has at most reach shingles
+    reach = F.floor(((100 + percent) * (F.col("n") - F.col("private")) - percent * F.col("n")) / percent)
+    members = buckets.join(private, "id", "left").withColumn("private", bound).withColumn("reach", reach).withColumn("crowd", F.col("in_band") >= CROWD).drop("in_band")
+    possible = lambda x, y: (F.col(f"{x}.n") <= F.col(f"{y}.reach")) & (F.col(f"{y}.n") <= F.col(f"{x}.reach")) & (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n"))
+
+    # the head of a bucket is its class with the least share of private shingles: edited copies differ least from it
+    heads = members.groupBy("band").agg(F.min(F.struct((F.col("private") / F.col("n")).alias("share"), "id", "n", "reach")).alias("head")).select("band", "head.*")
+    stars = members.alias("m").join(heads.alias("h"), "band").where((F.col("m.id") != F.col("h.id")) & possible("m", "h"))
+    stars = kept(stars.select(F.col("m.id").alias("a"), F.col("h.id").alias("b")).distinct())
     links = kept(confirm(stars, sets, percent))
     joined = components(links)
 
     # what a bucket's head has not joined: classes of different components that share a bucket
-    placed = buckets.join(joined, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    open_rows = placed.join(mixed, "band")
-    left, right = open_rows.alias("l"), open_rows.alias("r")
-    rest = (
-        left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.component") < F.col("r.component")) & near(F.col("l.n"), F.col("r.n")))
-        .select(F.greatest("l.id", "r.id").alias("a"), F.least("l.id", "r.id").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = kept(confirm(kept(rest), sets, percent))
+    placed = members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least")).where("x <> y").select("band", "least")
+    unjoined = kept(placed.join(mixed, "band").where(F.col("least") <= F.col("reach")).select("band", "id", "n", "reach", "crowd", "component"))
+    few = unjoined.where(~F.col("crowd"))
+    rest = few.alias("l").join(few.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.component") < F.col("r.component")) & possible("l", "r"))
+    rest = rest.select(F.greatest("l.id", "r.id").alias("a"), F.least("l.id", "r.id").alias("b")).distinct()
+    tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = confirm(kept(rest.join(tried, ["a", "b"], "left_anti")), sets, percent)
+    more = kept(more.union(linked_in_crowds(unjoined.where("crowd"), sets, percent)))
     if not more.isEmpty():
         joined = components(links.union(more))
 
