@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "lines", "neardup", "reputation", "bpe", "langid")
+MODULES = ("decontaminate", "lines", "neardup", "reputation", "pii", "fingerprint", "bpe", "langid")
 
 
 def queries() -> dict:
