@@ -20,6 +20,8 @@ from brindle.llm.common import hinted, kept, table
 MASKS = ("1101101011", "1110010111")
 #: Tokens on each side of the mask that are compared too, and the share of the compared tokens that must agree.
 MARGIN, AGREE = 3, 0.75
+#: Stands for a missing token of an item, so that it agrees with nothing.
+NO_TOKEN = -0x6E6F6E65
 #: Seeds that are broadcast at most (about 250 bytes each), and ids.
 SEEDS_AT_ONCE, IDS_AT_ONCE = 200_000, 1_000_000
 
@@ -59,13 +61,13 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     theirs = seeds(items.select(F.col(item).alias("item"), token_hashes(F.col(item_text)).alias("their")), "their", masks, margin)
     # a passage that many items share is kept once
     theirs = theirs.groupBy("seed", *window).agg(F.min("item").alias("item"))
-    theirs = theirs.select("seed", "item", *[F.col(w).alias(f"b{w}") for w in window])
+    # what can be told from the item alone is told here: the loop over all places is compiled only while its code is small
+    compared = sum((F.col(w).isNotNull().cast("int") for w in window), F.lit(0))
+    theirs = theirs.select("seed", "item", compared.cast("double").alias("compared"), *[F.coalesce(w, F.lit(NO_TOKEN)).alias(f"b{w}") for w in window])
     theirs = hinted(kept(theirs), SEEDS_AT_ONCE)
     ours = seeds(docs.select(F.col(key).alias("key"), token_hashes(F.col(text)).alias("our")), "our", masks, margin)
-    total = lambda columns: sum((c.cast("int") for c in columns), F.lit(0))
-    same = total(F.coalesce(F.col(w) == F.col(f"b{w}"), F.lit(False)) for w in window)
-    compared = total(F.col(f"b{w}").isNotNull() for w in window)
-    judged = ours.join(theirs, "seed").select("key", "item", (same / compared).alias("share")).where(F.col("share") >= agree)
+    same = sum((F.col(w).eqNullSafe(F.col(f"b{w}")).cast("int") for w in window), F.lit(0))
+    judged = ours.join(theirs, "seed").select("key", "item", (same / F.col("compared")).alias("share")).where(F.col("share") >= agree)
     return judged.groupBy(F.col("key").alias(key), F.col("item").alias(item)).agg(F.count("*").alias("n_hits"), F.max("share").alias("agreement"))
 
 
