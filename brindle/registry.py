@@ -13,7 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 #: Modules that register queries when they are imported.
-MODULES: tuple[str, ...] = ("brindle.plans.retrieval", "brindle.plans.evaluation", "brindle.plans.ingest")
+MODULES: tuple[str, ...] = ("brindle.plans.retrieval", "brindle.plans.evaluation", "brindle.plans.ingest", "brindle.plans.relational", "brindle.plans.events")
 
 
 def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
