@@ -21,6 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,18 +97,19 @@ def _encode_whole(path: str):
 
 
 def _chunk(size: int, overlap: int):
-    """Long texts to rows (key, chunk, text with both overlaps, whether it is the last)."""
+    """Long texts to rows (key, print of the text, chunk, text with both overlaps, whether it is the last)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "chunk", "window", "last"]
+        names = ["key", "print", "chunk", "window", "last"]
         for batch in batches:
             kind = batch.schema.field(0).type
             for key, value in zip(batch.column(0), batch.column(1), strict=True):
                 text = value.as_py()
+                mark = xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
                 count = -(-len(text) // size)
                 for k in range(count):
                     window = text[max(0, k * size - overlap) : (k + 1) * size + overlap]
-                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], kind), pa.array([k]), pa.array([window]), pa.array([k + 1 == count])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], kind), pa.array([mark]), pa.array([k]), pa.array([window]), pa.array([k + 1 == count])], names)
 
     return run
 
@@ -119,7 +121,7 @@ def _encode_pieces(path: str, size: int, overlap: int):
         encoder, _, pattern = _codec(path)
         for batch in batches:
             rows = []
-            for k, value, last in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for k, value, last in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 begin = overlap if k else 0
                 begin = min(begin, k * size)
                 head = resynchronised(pattern, value[: begin + overlap], begin) if k else 0
@@ -131,17 +133,17 @@ def _encode_pieces(path: str, size: int, overlap: int):
                 else:
                     rows.append((_ids(encoder, value[head:end]), None))
             ids = [np.empty(0, np.int32) if x is None else x for x, _ in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(ids), pa.array([t for _, t in rows], pa.string())], ["key", "chunk", "ids", "open"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _lists(ids), pa.array([t for _, t in rows], pa.string())], ["key", "print", "chunk", "ids", "open"])
 
     return run
 
 
 def _stitch(path: str):
-    """Pieces in order of key and chunk to one row of ids for each key."""
+    """Pieces in order of key, print and chunk to a row of ids for each text; repeated rows bring each piece as often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _codec(path)[0]
-        key, parts, text, kind = None, [], "", None
+        owner, parts, text, kind, at, copies = None, [], "", None, -1, 0
 
         def close():
             nonlocal text
@@ -149,24 +151,30 @@ def _stitch(path: str):
                 parts.append(_ids(encoder, text))
                 text = ""
 
-        def row():
+        def rows():
             close()
-            return pa.RecordBatch.from_arrays([pa.array([key], kind), _lists([np.concatenate(parts or [np.empty(0, np.int32)])])], ["key", "ids"])
+            ids = np.concatenate(parts or [np.empty(0, np.int32)])
+            for _ in range(copies):
+                yield pa.RecordBatch.from_arrays([pa.array([owner[0]], kind), _lists([ids])], ["key", "ids"])
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for this, ids, open_text in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                if this != key and kind is not None:
-                    if key is not None:
-                        yield row()
-                    key, parts, text = this, [], ""
+            for key, mark, chunk, ids, open_text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), batch.column(3), batch.column(4).to_pylist(), strict=True):
+                if (key, mark) != owner:
+                    if owner is not None:
+                        yield from rows()
+                    owner, parts, text, at, copies = (key, mark), [], "", -1, 0
+                copies += chunk == 0
+                if chunk == at:
+                    continue
+                at = chunk
                 if open_text is None:
                     close()
                     parts.append(ids.values.to_numpy(zero_copy_only=False))
                 else:
                     text += open_text
-        if key is not None:
-            yield row()
+        if owner is not None:
+            yield from rows()
 
     return run
 
@@ -174,9 +182,9 @@ def _stitch(path: str):
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Ids of every text: rows (key, ids array<int>), one for each row of docs.
 
-    A null or empty text has no ids. Keys should be unique and not null: of long
-    texts, rows with equal keys would be taken for chunks of one text. Other
-    columns are neither read nor passed on. Needs 2 * overlap < chunk.
+    A null or empty text has no ids. Keys may be null or repeated: chunks are told
+    apart by key and text. Other columns are neither read nor passed on. Needs
+    2 * overlap < chunk.
     """
     if 2 * overlap >= chunk:
         raise ValueError("chunks must be longer than both overlaps")
@@ -187,11 +195,11 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     whole = rows.where(size <= chunk).mapInArrow(_encode_whole(path), f"key {kind}, ids array<int>")
     pieces = (
         rows.where(size > chunk)
-        .mapInArrow(_chunk(chunk, overlap), f"key {kind}, chunk bigint, window string, last boolean")
-        .repartition("key", "chunk")
-        .mapInArrow(_encode_pieces(path, chunk, overlap), f"key {kind}, chunk bigint, ids array<int>, open string")
+        .mapInArrow(_chunk(chunk, overlap), f"key {kind}, print bigint, chunk bigint, window string, last boolean")
+        .repartition("key", "print", "chunk")
+        .mapInArrow(_encode_pieces(path, chunk, overlap), f"key {kind}, print bigint, chunk bigint, ids array<int>, open string")
     )
-    stitched = pieces.repartition("key").sortWithinPartitions("key", "chunk").mapInArrow(_stitch(path), f"key {kind}, ids array<int>")
+    stitched = pieces.repartition("key", "print").sortWithinPartitions("key", "print", "chunk").mapInArrow(_stitch(path), f"key {kind}, ids array<int>")
     return whole.unionByName(stitched).withColumnRenamed("key", key)
 
 

@@ -49,14 +49,13 @@ def _codes(text: str) -> np.ndarray:
     return codes
 
 
-def _mark(found: np.ndarray, base: np.ndarray | int, c: np.ndarray) -> None:
-    """Mark the n-grams of the classes c in the flat presence matrix; base: where the row of each character begins."""
+def _mark(found: np.ndarray, base: np.ndarray | int, c: np.ndarray, n: int) -> None:
+    """Mark the n-grams that begin at the first n classes of c (two more follow) in the flat presence matrix; base: where the row of each begins."""
     c = c.astype(np.int64)
-    pair, low = c[:-1] * 256 + c[1:], lambda x: (x * 0x9E3779B1 >> 17) & (BUCKETS - 1)
-    at = (lambda n: base[:n]) if isinstance(base, np.ndarray) else (lambda n: base)
-    found[at(len(c)) + c] = 1
-    found[at(len(pair)) + low(pair + 256)] = 1
-    found[at(len(pair) - 1) + low(pair[:-1] * 256 + c[2:] + (1 << 17))] = 1
+    pair, low = c[:n] * 256 + c[1 : n + 1], lambda x: (x * 0x9E3779B1 >> 17) & (BUCKETS - 1)
+    found[base + c[:n]] = 1
+    found[base + low(pair + 256)] = 1
+    found[base + low(pair * 256 + c[2 : n + 2] + (1 << 17))] = 1
 
 
 def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,10 +68,10 @@ def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     def drain():
         nonlocal held
         if queue:
-            # a separator behind each text is its own, the two before the next are the next one's
+            # two separators stand before each text and one behind it; beyond that, as before the next text, there are only separators
             pads = [np.concatenate(([0, 0], c, [0])).astype(np.uint8) for _, c in queue]
             base = np.repeat(np.array([i for i, _ in queue], np.int64) * BUCKETS, [len(p) for p in pads])
-            _mark(found, base, np.concatenate([*pads, [0, 0]]).astype(np.uint8)[: len(base)])
+            _mark(found, base, np.concatenate([*pads, [0, 0]]), len(base))
             queue.clear()
             held = 0
 
@@ -86,9 +85,10 @@ def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 drain()
         else:
             for start in range(0, len(text), BLOCK):
-                c = _codes(text[max(0, start - 2) : start + BLOCK])
+                c, ahead = _codes(text[start : start + BLOCK]), _codes(text[start + BLOCK : start + BLOCK + 2])[:2]
                 letters[i] |= c.any()
-                _mark(found, i * BUCKETS, np.concatenate(([] if start else [0, 0], c, [] if start + BLOCK < len(text) else [0])).astype(np.uint8))
+                before, behind = [0, 0] if start == 0 else [], [0] if start + BLOCK >= len(text) else []
+                _mark(found, i * BUCKETS, np.concatenate([before, c, behind, ahead, [0, 0]]), len(before) + len(c) + len(behind))
     drain()
     return found.reshape(len(texts), BUCKETS), letters
 
