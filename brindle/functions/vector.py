@@ -18,7 +18,8 @@ QUESTIONS_AT_ONCE, PAIRS_AT_ONCE = 1024, 1 << 22
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 less the cosine of two arrays, as double, never negative; null if a length is 0 or lengths differ."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    return F.round(F.greatest(1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0)), DECIMALS)
+    found = 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.round(F.when(found < 0, 0.0).otherwise(found), DECIMALS)
 
 
 def _unit(lists: pa.Array) -> np.ndarray:

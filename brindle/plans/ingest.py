@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.bindings import PAPERS_SQL, WORDS_SQL, papers, table, words
+from brindle.bindings import PAPERS_SQL, WORDS_SQL, papers, table
 from brindle.config import CONFIG as C
 from brindle.functions import text as X
 from brindle.operators import keyed, lexical
@@ -268,6 +268,3 @@ def embed_batches(spark: SparkSession, sf: str) -> DataFrame:
     shown = F.concat(F.lit("search_document: "), F.ltrim("text"))
     return table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / C.embed_batch).alias("batch")).agg(F.count("*").alias("n"), F.sum(F.char_length(shown).cast("long")).alias("chars"))
 
-
-def title_words(spark: SparkSession, sf: str) -> DataFrame:
-    return papers(spark, sf).select("paper_id", words(F.col("title")).alias("words"))

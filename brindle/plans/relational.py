@@ -296,8 +296,8 @@ def forwarded_client(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.coalesce(F.nullif(F.trim(F.split_part(header, F.lit(","), F.lit(1))), F.lit("")), F.lit("peer")).alias("client"))
 
 
-@register("year_tokens", "SELECT p_partkey, unnest(regexp_extract_all(concat(p_partkey + 1900, ' x', p_size, ' 19', p_size), '(?:19|20)[0-9]{2}')) AS year FROM part WHERE p_partkey < 200")
+@register("year_tokens", "SELECT p_partkey, unnest(regexp_extract_all(concat(1900 + p_size, ' x', p_size, ' of ', 2000 + p_size), '(?:19|20)[0-9]{2}')) AS year FROM part")
 def year_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Years in texts made of small keys."""
-    body = F.concat((F.col("p_partkey") + 1900).cast("string"), F.lit(" x"), F.col("p_size").cast("string"), F.lit(" 19"), F.col("p_size").cast("string"))
-    return table(spark, sf, "part").where("p_partkey < 200").select("p_partkey", F.explode(F.regexp_extract_all(body, F.lit("((?:19|20)[0-9]{2})"), F.lit(1))).alias("year"))
+    size = F.col("p_size")
+    body = F.concat((1900 + size).cast("string"), F.lit(" x"), size.cast("string"), F.lit(" of "), (2000 + size).cast("string"))
+    return table(spark, sf, "part").select("p_partkey", F.explode(F.regexp_extract_all(body, F.lit("((?:19|20)[0-9]{2})"), F.lit(1))).alias("year"))
