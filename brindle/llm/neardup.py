@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import kept, table, written
+from brindle.llm.common import hinted, kept, table, written
 
 BANDS, BAND_ROWS = 64, 8
 WORDS, PERCENT = 5, 80
@@ -38,6 +38,8 @@ BLOCK = 1 << 18
 #: Comparisons with one class that share a task.
 SPREAD = 256
 CACHE = 1 << 20
+#: Classes in more than SPREAD pairs that are broadcast at most.
+HOT_AT_ONCE = 200_000
 #: Classes from which a bucket is large, and shingles of a part when the private ones are counted.
 CROWD, PART = 32, 1 << 21
 
@@ -218,7 +220,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     shares = pairs.groupBy("b").agg(F.expr(f"bigint(ceil(count(*) / {SPREAD}))").alias("shares"))
     centres = sets.join(shares, sets.id == shares.b).select("b", F.col("set").alias("set_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), "shares")
-    dealt = pairs.join(shares, "b").withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares"))).drop("shares")
+    # few are in more than SPREAD pairs, so pairs find their share without being dealt by b
+    hot = hinted(kept(shares.where("shares > 1")), HOT_AT_ONCE)
+    dealt = pairs.join(hot, "b", "left").withColumn("share", F.pmod(F.xxhash64("a"), F.coalesce("shares", F.lit(1)))).drop("shares")
     members = dealt.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     both = members.join(centres.drop("shares"), ["b", "share"]).select("a", "b", "set_a", "set_b")
     return both.mapInArrow(_confirmed(percent), "a bigint, b bigint")
