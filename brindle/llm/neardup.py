@@ -37,7 +37,7 @@ WORDS, PERCENT = 5, 80
 BLOCK = 1 << 18
 #: Comparisons with one class that share a task.
 SPREAD = 256
-CACHE = 1 << 20
+CACHE = 1 << 18
 #: Classes in more than SPREAD pairs that are broadcast at most.
 HOT_AT_ONCE = 200_000
 #: Classes from which a bucket is large, and shingles of a part when the private ones are counted.
