@@ -29,6 +29,10 @@ PER_LANGUAGE, LANDMARKS, RIDGE = 400, 24, 1e-2
 #: Rows, and characters, that are turned into a presence matrix at once.
 ROWS, BLOCK = 128, 1 << 19
 UNDETERMINED = "und"
+#: The pipeline drops a document whose confidence is lower than this. It is where the cut stands on that scale:
+#: all but REJECTED of labelled rows, held out in FOLDS folds, are above it, and chance is by LIFT of what is left to 1 below it.
+FLOOR = 0.2
+REJECTED, FOLDS, LIFT = 0.002, 4, 0.1
 
 
 @cache
@@ -116,12 +120,60 @@ class Model:
     columns: np.ndarray
     landmarks: np.ndarray  # landmarks x columns, each row divided by the root of its size
     weights: np.ndarray  # landmarks + 1 x languages, whitening included
+    cut: float  # evidence that all but REJECTED of held-out rows have
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, whether each text has a letter, and the share of its n-grams that any landmark has."""
         found, letters = presence(texts)
-        sizes = np.sqrt(np.maximum(found.sum(1, dtype=np.int64), 1))
-        kernel = (found[:, self.columns].astype(np.float32) @ self.landmarks.T) / sizes[:, None]
-        return np.hstack([kernel, np.ones((len(texts), 1))]) @ self.weights, letters
+        sizes = np.maximum(found.sum(1, dtype=np.int64), 1)
+        known = found[:, self.columns].astype(np.float32)
+        kernel = (known @ self.landmarks.T) / np.sqrt(sizes)[:, None]
+        return np.hstack([kernel, np.ones((len(texts), 1))]) @ self.weights, letters, known.sum(1) / sizes
+
+    def confidence(self, values: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Evidence (best score times known share) on a scale where chance is 0, the cut is FLOOR and certainty is 1.
+
+        The scores of a text sum to 1, so the best alone is at least 1/languages
+        for any text, and always 1 where there is one language.
+        """
+        return np.interp(np.clip(values.max(1), 0, 1) * known, [min(1 / len(self.languages), self.cut / 2), self.cut, 1], [0, FLOOR, 1])
+
+
+def _ridge(kernel: np.ndarray, first: np.ndarray, y: np.ndarray, train: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Landmarks (indexes into first) and weights, learned from the rows in train; kernel is that of all rows with the landmarks, rows first."""
+    marks = np.flatnonzero(train[first])
+    values, vectors = np.linalg.eigh(kernel[np.ix_(first[marks], marks)])
+    good = values > 1e-6 * values.max()
+    whiten = vectors[:, good] / np.sqrt(values[good])
+    z, y = np.hstack([kernel[np.ix_(train, marks)] @ whiten, np.ones((train.sum(), 1))]), y[train]
+    # each language weighs the same, however many of its rows were drawn
+    share = y @ (1 / np.maximum(y.sum(0), 1)) * len(y) / y.shape[1]
+    held = ridge * len(y) * np.eye(z.shape[1]) / z.shape[1]
+    held[-1, -1] = 0
+    beta = np.linalg.solve(z.T @ (z * share[:, None]) + held + 1e-9 * np.eye(z.shape[1]), z.T @ (y * share[:, None]))
+    return marks, np.vstack([whiten @ beta[:-1], beta[-1:]])
+
+
+def _cut(x: np.ndarray, kernel: np.ndarray, first: np.ndarray, y: np.ndarray, ridge: float) -> float:
+    """The evidence that all but REJECTED of the sampled rows have where they are held out; each is, in one of FOLDS fits."""
+    fold, evidence = np.arange(len(x)) % FOLDS, []
+    for f in range(FOLDS):
+        train, test = fold != f, np.flatnonzero(fold == f)
+        if not train[first].any() or not len(test):
+            continue
+        marks, weights = _ridge(kernel, first, y, train, ridge)
+        columns = (x[first[marks]] > 0).any(0)
+        values = np.hstack([kernel[np.ix_(test, marks)], np.ones((len(test), 1))]) @ weights
+        known = np.array([(columns & (x[i] > 0)).sum() / max(1, (x[i] > 0).sum()) for i in test])
+        right = values.argmax(1) == y[test].argmax(1)
+        evidence.append((np.clip(values.max(1), 0, 1) * known)[right])
+    chance = 1 / y.shape[1]
+    least = chance + LIFT * (1 - chance) if y.shape[1] > 1 else LIFT
+    found = np.concatenate(evidence) if evidence else np.empty(0)
+    return float(min(max(np.quantile(found, REJECTED), least) if len(found) else least, 0.99))
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
@@ -144,45 +196,39 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     first = np.concatenate([np.flatnonzero(y[:, j])[:landmarks] for j in range(len(languages))])
     marks = x[first]
     columns = np.flatnonzero(marks.any(0))
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
-    good = values > 1e-6 * values.max()
-    whiten = vectors[:, good] / np.sqrt(values[good])
-    z = np.hstack([(x @ marks.T).astype(np.float64) @ whiten, np.ones((len(x), 1))])
-    # each language weighs the same, however many of its rows were drawn
-    share = y @ (1 / np.maximum(y.sum(0), 1)) * len(x) / len(languages)
-    held = ridge * len(x) * np.eye(z.shape[1]) / z.shape[1]
-    held[-1, -1] = 0
-    beta = np.linalg.solve(z.T @ (z * share[:, None]) + held + 1e-9 * np.eye(z.shape[1]), z.T @ (y * share[:, None]))
-    weights = np.vstack([whiten @ beta[:-1], beta[-1:]])
-    return Model(languages, columns, np.ascontiguousarray(marks[:, columns]), weights)
+    kernel = (x @ marks.T).astype(np.float64)
+    weights = _ridge(kernel, first, y, np.ones(len(x), bool), ridge)[1]
+    cut = _cut(x, kernel, first, y, ridge)
+    return Model(languages, columns, np.ascontiguousarray(marks[:, columns]), weights, cut)
 
 
-def _score(model: Model | None):
+def _score(model: Model | None, calibrated: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in _blocks(batch.column(0)):
                 best, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
                 if model is not None:
-                    values, letters = model.scores([t or "" for t in texts])
+                    values, letters, known = model.judged([t or "" for t in texts])
                     top = values.argmax(1)
                     best = [model.languages[j] if ok else UNDETERMINED for j, ok in zip(top, letters, strict=True)]
-                    score = np.where(letters, np.clip(values.max(1), 0, 1), 0.0)
+                    score = np.where(letters, model.confidence(values, known) if calibrated else np.clip(values.max(1), 0, 1), 0.0)
                 kept = [batch.column(i).slice(start, len(texts)) for i in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, calibrated: bool = True) -> DataFrame:
     """The columns in keep (all but the text, if None), with lang_pred and score (0 to 1).
 
     A text that is null, empty or without a letter gets 'und' and 0, and so does
-    every text if there is no model. Columns named lang_pred or score are replaced.
+    every text if there is no model. If calibrated, the score is the confidence
+    that compares with FLOOR; otherwise the best language's own. Columns named lang_pred or score are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score") and (keep is not None or c != text)]
     rows = docs.select(F.col(text).alias("__text"), *[F.col(c) for c in keep])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(_score(model), f"{fields}{', ' if fields else ''}lang_pred string, score double")
+    return rows.mapInArrow(_score(model, calibrated), f"{fields}{', ' if fields else ''}lang_pred string, score double")
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -192,11 +238,7 @@ def held_out(key: str = "doc_id") -> Column:
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()))
-    return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model, keep=["doc_id", "held_out"])
-
-
-#: The pipeline drops a document whose best language scores lower than this.
-FLOOR = 0.2
+    return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model, keep=["doc_id", "held_out"], calibrated=False)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
