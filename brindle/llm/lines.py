@@ -5,36 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.llm import neardup
 from brindle.llm.common import hinted, kept, table
 
 #: A line goes if it is on more than RATIO of its host's pages, and on PAGES of them at least.
 RATIO, PAGES = 0.05, 5
 #: Hosts whose lists of lines are broadcast at most; a host has fewer lines than its mean lines a page divided by RATIO.
 HOSTS_AT_ONCE = 100_000
+#: Near copies whose group is broadcast at most.
+COPIES_AT_ONCE = 1_000_000
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES, page: str | None = None) -> DataFrame:
     """Rows (host, line_hash) of the lines to drop.
 
+    Every row is a page; if page names a column, rows of a host with equal values
+    there are one page, which has the lines of them all.
+
     A line counts once for a page; blank lines never count. Rows with a null host
     belong to no site. Counts are summed before the shuffle, so a host or a line
     with a third of all rows costs no more than any other.
     """
-    rows = docs.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("text"))
+    own = [] if page is None else [F.col(page).alias("page")]
+    rows = docs.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("text"), *own)
     lines = F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x) != ""))
-    counted = rows.select("host", F.explode(lines).alias("line")).select("host", F.xxhash64("line").alias("line_hash")).groupBy("host", "line_hash").agg(F.count("*").alias("n"))
+    placed = rows.select("host", *[c for c in rows.columns if c == "page"], F.explode(lines).alias("line")).withColumn("line_hash", F.xxhash64("line")).drop("line")
+    if page is not None:
+        placed, rows = placed.distinct(), rows.select("host", "page").distinct()
+    counted = placed.groupBy("host", "line_hash").agg(F.count("*").alias("n"))
     totals = rows.groupBy("host").agg(F.count("*").alias("total"))
     return counted.where(F.col("n") >= pages).join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("total")).select("host", "line_hash")
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES, found: DataFrame | None = None) -> DataFrame:
     """docs with boilerplate lines taken out of the text, and with n_lines and n_dropped.
 
     Every row stays: a null text stays null (0 lines), an empty one empty, one
     that is all boilerplate becomes empty; rows with a null host stay as they are.
-    Columns named n_lines or n_dropped are replaced.
+    Columns named n_lines or n_dropped are replaced. The lines are those of
+    boilerplate(), or the rows of found.
     """
-    found = kept(boilerplate(docs, host, text, ratio, pages))
+    found = kept(boilerplate(docs, host, text, ratio, pages) if found is None else found)
     drops = found.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line_hash").alias("__drop"))
     rows = docs.join(hinted(drops, HOSTS_AT_ONCE), F.col(host) == F.col("__host"), "left")
     lines = F.split(text, "\n", -1)
@@ -55,8 +66,17 @@ def op2_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: every document, without its site's boilerplate lines; n_chars follows the text."""
-    return drop_boilerplate(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    """Pipeline: every document, without its site's boilerplate lines; n_chars follows the text.
+
+    Equal texts and near copies, as the next stage finds them, are one page, so
+    what only they share is no boilerplate and is left for that stage.
+    """
+    rows = neardup.numbered(docs)
+    parts = kept(neardup.near_duplicates(rows, "__row").select("__row", "component_id"))
+    many = parts.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    copies = hinted(kept(parts.join(many, "component_id")), COPIES_AT_ONCE)
+    pages = rows.join(copies, "__row", "left").withColumn("__page", F.when(F.col("component_id").isNotNull(), F.xxhash64(F.lit("copies"), "component_id")).otherwise(F.xxhash64("text")))
+    return drop_boilerplate(docs, found=boilerplate(pages, page="__page")).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 QUERIES = {"op2_site_lines": op2_site_lines}

@@ -352,6 +352,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return found.withColumn("kept", F.col(key) == F.col("component_id"))
 
 
+def numbered(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with a unique __row: the key, or where some key is null, repeated or no integer, a number written with the rows."""
+    integer = docs.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    if integer and docs.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNull() | (F.col("n") > 1)).isEmpty():
+        return docs.withColumn("__row", F.col(key).cast("long"))
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)
 

@@ -4,7 +4,8 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from brindle.llm import bpe, langid  # noqa: E402
+from brindle.llm import bpe, langid, lines, neardup  # noqa: E402
+from tests.llm.conftest import prose  # noqa: E402
 from tests.llm.test_llm import brute_components  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +62,15 @@ def test_language_stage_rejects_what_is_in_no_learned_language(spark):
         # one language has no other to be told from: texts of its own two commonest letters among symbols are on the edge
         assert not passed - (set(range(20, 30)) if languages == ["en"] else set()), languages
         assert len(lost) <= 0.02 * clean.count(), languages
+
+
+def test_copies_of_a_document_are_no_boilerplate(spark):
+    shared = [f"line {i} {prose(500 + i, 9)}" for i in range(30)]
+    copies = ["\n".join(["site header of it", *shared])] * 6
+    copies += ["\n".join(["site header of it", *shared[:i], f"edited {i}", *shared[i + 1 :]]) for i in range(6)]
+    own = [f"site header of it\nown {' '.join(f'w{i}x{j}' for j in range(40))}" for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(copies + own)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    cleaned = lines.stage(spark, docs, "").cache()
+    found = {r.doc_id: r.text for r in cleaned.collect()}
+    assert found == {i: t.removeprefix("site header of it\n") for i, t in enumerate(copies + own)}
+    assert {r.doc_id for r in neardup.stage(spark, cleaned, "").collect()} == {0, *range(12, 52)}
