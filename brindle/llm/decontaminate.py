@@ -5,12 +5,19 @@ ignored, so a hit survives substituted words there. Seeds of documents are
 joined with those of the benchmark, and around each hit the aligned tokens are
 compared one by one: the overlap counts if enough of them agree.
 
-Everything is column expressions: one pass over the documents, no Python and,
-while the benchmark's seeds are few (counted), no shuffle before the hits.
+Items with fewer tokens than the mask have no seed; they are looked up exactly,
+as runs of their own number of tokens.
+
+Everything is column expressions: one pass over the documents (two if there are
+such short items), no Python and, while the benchmark's seeds are few (counted),
+no shuffle before the hits.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,28 +54,66 @@ def seeds(rows: DataFrame, hashes: str, masks: tuple[str, ...], margin: int) ->
     return seeded.select(*[c for c in rows.columns if c != hashes], "seed", *[token(i).alias(f"w{i + margin}") for i in range(-margin, span + margin)])
 
 
+def short_overlaps(docs: DataFrame, items: DataFrame, below: int) -> DataFrame:
+    """Rows (key, item, n, agreement) for items of 1 to below - 1 tokens, from rows (key, our) and (item, their) of token hashes.
+
+    n counts the places where all tokens of the item stand in a row; there is one
+    pass over the places, with a run for each length that an item has.
+    """
+    few = kept(items.where((F.size("their") > 0) & (F.size("their") < below)).distinct())
+    lengths = sorted(r[0] for r in few.select(F.size("their")).distinct().collect())
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], f"key {docs.schema['key'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, n bigint, agreement double")
+    words = [f"w{i}" for i in range(lengths[-1])]
+    run = lambda n: F.xxhash64(F.lit(n), *words[:n])
+    told = few.select("item", F.size("their").alias("length"), *[F.get("their", F.lit(i)).alias(w) for i, w in enumerate(words)])
+    told = told.select("item", "length", F.coalesce(*[F.when(F.col("length") == n, run(n)) for n in lengths]).alias("run"), *[F.col(w).alias(f"b{w}") for w in words])
+    theirs = hinted(kept(told), SEEDS_AT_ONCE)
+    placed = docs.select("key", "our", F.explode(F.when(F.size("our") > 0, F.sequence(F.lit(0), F.size("our") - 1))).alias("at"))
+    placed = placed.select("key", *[F.get("our", F.col("at") + i).alias(w) for i, w in enumerate(words)])
+    # a run that the text's end cuts off has a missing token, which no item has
+    ours = placed.select("key", *words, F.explode(F.array(*[run(n) for n in lengths])).alias("run"))
+    agrees = [(F.col("length") <= i) | F.col(w).eqNullSafe(F.col(f"b{w}")) for i, w in enumerate(words)]
+    same = ours.join(theirs, "run").where(reduce(and_, agrees))
+    return same.groupBy("key", "item").agg(F.count("*").alias("n"), F.lit(1.0).alias("agreement"))
+
+
 def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, margin: int = MARGIN, agree: float = AGREE) -> DataFrame:
     """Rows (key, item, n_hits, agreement): documents that share a passage with an item.
 
     n_hits counts the confirmed seed hits and agreement is the best share of
-    agreeing tokens around one. Where items share the passage, the smallest item
-    stands for them. Texts with fewer tokens than a mask, empty or null ones have
-    no seeds, so they never match; rows with equal keys are taken together.
+    agreeing tokens around one; where items share the passage, each has them. Of
+    items with fewer tokens than a mask every exact place counts, a single word
+    as well. Texts without tokens never match; rows with equal keys are taken
+    together.
     """
     if len({len(m) for m in masks}) != 1:
         raise ValueError("masks must have one length")
     window = [f"w{i}" for i in range(len(masks[0]) + 2 * margin)]
-    theirs = seeds(items.select(F.col(item).alias("item"), token_hashes(F.col(item_text)).alias("their")), "their", masks, margin)
-    # a passage that many items share is kept once
-    theirs = theirs.groupBy("seed", *window).agg(F.min("item").alias("item"))
+    docs = docs.select(F.col(key).alias("key"), token_hashes(F.col(text)).alias("our"))
+    items = items.select(F.col(item).alias("item"), token_hashes(F.col(item_text)).alias("their"))
+    held = seeds(items, "their", masks, margin).distinct()
+    # a passage that many items share is compared once; passage is null for all others
+    theirs = held.groupBy("seed", *window).agg(F.min("item").alias("item"), F.when(F.count("*") > 1, F.xxhash64("seed", *window)).alias("passage"))
+    sharing = held.select("item", F.xxhash64("seed", *window).alias("passage"))
     # what can be told from the item alone is told here: the loop over all places is compiled only while its code is small
     compared = sum((F.col(w).isNotNull().cast("int") for w in window), F.lit(0))
-    theirs = theirs.select("seed", "item", compared.cast("double").alias("compared"), *[F.coalesce(w, F.lit(NO_TOKEN)).alias(f"b{w}") for w in window])
-    theirs = hinted(kept(theirs), SEEDS_AT_ONCE)
-    ours = seeds(docs.select(F.col(key).alias("key"), token_hashes(F.col(text)).alias("our")), "our", masks, margin)
+    theirs = theirs.select("seed", "item", "passage", compared.cast("double").alias("compared"), *[F.coalesce(w, F.lit(NO_TOKEN)).alias(f"b{w}") for w in window])
+    theirs = kept(theirs)
+    shared = theirs.where(F.col("passage").isNotNull()).select("passage").distinct()
+    sharing = kept(sharing.join(shared, "passage"))
+    theirs = hinted(theirs, SEEDS_AT_ONCE)
+    ours = seeds(docs, "our", masks, margin)
     same = sum((F.col(w).eqNullSafe(F.col(f"b{w}")).cast("int") for w in window), F.lit(0))
-    judged = ours.join(theirs, "seed").select("key", "item", (same / F.col("compared")).alias("share")).where(F.col("share") >= agree)
-    return judged.groupBy(F.col("key").alias(key), F.col("item").alias(item)).agg(F.count("*").alias("n_hits"), F.max("share").alias("agreement"))
+    judged = ours.join(theirs, "seed").select("key", "item", "passage", (same / F.col("compared")).alias("share")).where(F.col("share") >= agree)
+    found = judged.groupBy("key", "item", "passage").agg(F.count("*").alias("n"), F.max("share").alias("agreement"))
+    if not sharing.isEmpty():
+        # the passage's representative gives way to all items that hold it, itself among them
+        found = kept(found)
+        each = found.where(F.col("passage").isNotNull()).drop("item").join(hinted(sharing, SEEDS_AT_ONCE), "passage")
+        found = found.where(F.col("passage").isNull()).unionByName(each)
+    found = found.drop("passage").unionByName(short_overlaps(docs, items, len(masks[0])))
+    return found.groupBy(F.col("key").alias(key), F.col("item").alias(item)).agg(F.sum("n").alias("n_hits"), F.max("agreement").alias("agreement"))
 
 
 def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

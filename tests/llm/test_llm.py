@@ -300,6 +300,14 @@ def test_decontamination_tolerates_substitutions(spark, odd):
     assert [(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, items).collect()] == [(1, 0)]
 
 
+def test_decontamination_finds_short_items_and_all_that_share_a_passage(spark):
+    rows = ["Why so? Because THE  answer, is forty-two.", "he said 這是一個沒有空格的句子。 then left", "answer is", "x " + " ".join(f"t{i}" for i in range(16)) + " y", None, ""]
+    items = ["the answer is", "這是一個沒有空格的句子", "forty", "", None, " ".join(f"t{i}" for i in range(16)), " ".join(f"t{i}" for i in range(16)), "is the answer", " ".join(f"q{i}" for i in range(9))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    found = decontaminate.overlaps(docs, spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_hits, r.agreement) for r in found) == [(0, 0, 1, 1.0), (0, 2, 1, 1.0), (1, 1, 1, 1.0), (3, 5, 14, 1.0), (3, 6, 14, 1.0)]
+
+
 def test_boilerplate_lines(spark, odd):
     docs = spark.read.parquet(f"{odd.dir}/documents.parquet")
     found = {r.doc_id: r for r in lines.drop_boilerplate(docs).collect()}
