@@ -236,8 +236,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: each document with its ids; texts are whole, so nothing is dropped here."""
-    return encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
+    """Pipeline: each document with its ids and the digest of the bytes they decode to; texts are whole, so nothing is dropped here."""
+    found = decode(encode(docs))
+    return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op9_bpe": op9_bpe}

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -74,3 +75,9 @@ def test_copies_of_a_document_are_no_boilerplate(spark):
     found = {r.doc_id: r.text for r in cleaned.collect()}
     assert found == {i: t.removeprefix("site header of it\n") for i, t in enumerate(copies + own)}
     assert {r.doc_id for r in neardup.stage(spark, cleaned, "").collect()} == {0, *range(12, 52)}
+
+
+def test_tokens_stage_decodes(spark, odd):
+    docs = spark.read.parquet(f"{odd.dir}/documents.parquet")
+    found = sorted((r.doc_id, r.decoded_sha256) for r in bpe.stage(spark, docs, "").collect())
+    assert found == sorted((d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t in odd.docs.itertuples(index=False))
