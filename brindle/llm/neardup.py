@@ -365,9 +365,12 @@ def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: one document of each component stays, the one with the smallest id."""
-    keep = near_duplicates(docs).where("kept").select(F.col("doc_id"))
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    """Pipeline: one row of each component stays, the one with the smallest id; rows with a null id are documents too and come last."""
+    rows = numbered(docs)
+    found = near_duplicates(rows, "__row").select("__row", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
+    keep = rows.select("__row", "doc_id").join(found, "__row").groupBy("component_id").agg(first).select("first.__row")
+    return rows.join(keep, "__row", "left_semi").select(docs.columns)
 
 
 QUERIES = {"op5_superminhash": op5_superminhash}

@@ -81,3 +81,11 @@ def test_tokens_stage_decodes(spark, odd):
     docs = spark.read.parquet(f"{odd.dir}/documents.parquet")
     found = sorted((r.doc_id, r.decoded_sha256) for r in bpe.stage(spark, docs, "").collect())
     assert found == sorted((d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t in odd.docs.itertuples(index=False))
+
+
+def test_near_duplicates_stage_keeps_null_keys_and_one_of_repeated_rows(spark):
+    made = [(None, prose(1, 50)), (None, prose(2, 50)), (7, prose(3, 50)), (7, prose(3, 50)), (7, prose(4, 50)), (5, prose(2, 50)), (None, None)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string")
+    found = neardup.stage(spark, docs, "").collect()
+    by = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, found), key=by) == sorted([made[0], made[2], made[4], made[5], made[6]], key=by)
