@@ -21,7 +21,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import hinted, kept, table
+from brindle.llm.common import hinted, kept, small, table
 
 #: Masks of one length; a run with every fifth or sixth word replaced still has hits.
 MASKS = ("1101101011", "1110010111")
@@ -29,8 +29,8 @@ MASKS = ("1101101011", "1110010111")
 MARGIN, AGREE = 3, 0.75
 #: Stands for a missing token of an item, so that it agrees with nothing.
 NO_TOKEN = -0x6E6F6E65
-#: Seeds that are broadcast at most (about 250 bytes each), and ids.
-SEEDS_AT_ONCE, IDS_AT_ONCE = 200_000, 1_000_000
+#: Seeds that are broadcast at most with what stands around them (about 250 bytes each), seeds alone (8 bytes), and ids.
+SEEDS_AT_ONCE, BARE_AT_ONCE, IDS_AT_ONCE = 200_000, 4_000_000, 1_000_000
 
 
 def token_hashes(text: Column) -> Column:
@@ -78,14 +78,15 @@ def short_overlaps(docs: DataFrame, items: DataFrame, below: int) -> DataFrame:
     return same.groupBy("key", "item").agg(F.count("*").alias("n"), F.lit(1.0).alias("agreement"))
 
 
-def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, margin: int = MARGIN, agree: float = AGREE) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, margin: int = MARGIN, agree: float = AGREE, at_once: int = SEEDS_AT_ONCE) -> DataFrame:
     """Rows (key, item, n_hits, agreement): documents that share a passage with an item.
 
     n_hits counts the confirmed seed hits and agreement is the best share of
     agreeing tokens around one; where items share the passage, each has them. Of
     items with fewer tokens than a mask every exact place counts, a single word
     as well. Texts without tokens never match; rows with equal keys are taken
-    together.
+    together. Beyond at_once seeds of the benchmark, places are first held
+    against the seeds alone.
     """
     if len({len(m) for m in masks}) != 1:
         raise ValueError("masks must have one length")
@@ -102,8 +103,12 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     theirs = kept(theirs)
     shared = theirs.where(F.col("passage").isNotNull()).select("passage").distinct()
     sharing = kept(sharing.join(shared, "passage"))
-    theirs = hinted(theirs, SEEDS_AT_ONCE)
     ours = seeds(docs, "our", masks, margin)
+    if small(theirs, at_once):
+        theirs = F.broadcast(theirs)
+    else:
+        # only places whose seed some item has are shuffled
+        ours = ours.join(hinted(kept(theirs.select("seed").distinct()), BARE_AT_ONCE), "seed", "left_semi")
     same = sum((F.col(w).eqNullSafe(F.col(f"b{w}")).cast("int") for w in window), F.lit(0))
     judged = ours.join(theirs, "seed").select("key", "item", "passage", (same / F.col("compared")).alias("share")).where(F.col("share") >= agree)
     found = judged.groupBy("key", "item", "passage").agg(F.count("*").alias("n"), F.max("share").alias("agreement"))
@@ -143,13 +148,20 @@ def _sql(masks: tuple[str, ...] = MASKS, margin: int = MARGIN, agree: float = AG
     return f"""
 WITH {seeded('documents', 'doc_id')},
 {seeded('benchmark', 'item_id')},
-theirs AS (SELECT seed, win, min(item_id) AS item_id FROM benchmark_seeds GROUP BY seed, win),
+theirs AS (SELECT DISTINCT seed, win, item_id FROM benchmark_seeds),
 judged AS (
   SELECT o.doc_id, t.item_id,
     CAST(list_sum(list_transform(range(1, {span + 2 * margin + 1}), lambda i: CASE WHEN o.win[i] = t.win[i] THEN 1 ELSE 0 END)) AS DOUBLE)
     / CAST(len(list_filter(t.win, lambda x: x IS NOT NULL)) AS DOUBLE) AS share
-  FROM documents_seeds o JOIN theirs t ON t.seed = o.seed)
-SELECT doc_id, item_id, count(*) AS n_hits, max(share) AS agreement FROM judged WHERE share >= {agree} GROUP BY doc_id, item_id
+  FROM documents_seeds o JOIN theirs t ON t.seed = o.seed),
+short AS (SELECT DISTINCT item_id, w FROM benchmark_w WHERE len(w) BETWEEN 1 AND {span - 1}),
+runs AS (
+  SELECT d.doc_id, s.item_id, len(list_filter(range(0, greatest(len(d.w) - len(s.w), -1) + 1), lambda i: d.w[i + 1 : i + len(s.w)] = s.w)) AS n
+  FROM documents_w d JOIN short s ON list_has_all(d.w, s.w)),
+found AS (
+  SELECT doc_id, item_id, count(*) AS n, max(share) AS agreement FROM judged WHERE share >= {agree} GROUP BY doc_id, item_id
+  UNION ALL SELECT doc_id, item_id, sum(n), 1.0 FROM runs WHERE n > 0 GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, CAST(sum(n) AS BIGINT) AS n_hits, max(agreement) AS agreement FROM found GROUP BY doc_id, item_id
 """
 
 

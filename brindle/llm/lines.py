@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import neardup
-from brindle.llm.common import hinted, kept, table
+from brindle.llm.common import hinted, kept, salted, small, table, unused
 
 #: A line goes if it is on more than RATIO of its host's pages, and on PAGES of them at least.
 RATIO, PAGES = 0.05, 5
@@ -19,45 +19,48 @@ COPIES_AT_ONCE = 1_000_000
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES, page: str | None = None) -> DataFrame:
     """Rows (host, line_hash) of the lines to drop.
 
-    Every row is a page; if page names a column, rows of a host with equal values
-    there are one page, which has the lines of them all.
+    Rows of a host with equal texts are one page, so what only copies of a page
+    share is no boilerplate; if page names a column, rows of a host with equal
+    values there are one page, which has the lines of them all.
 
     A line counts once for a page; blank lines never count. Rows with a null host
     belong to no site. Counts are summed before the shuffle, so a host or a line
     with a third of all rows costs no more than any other.
     """
-    own = [] if page is None else [F.col(page).alias("page")]
-    rows = docs.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("text"), *own)
+    own = F.xxhash64(text) if page is None else F.col(page)
+    rows = docs.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("text"), own.alias("page"))
     lines = F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x) != ""))
-    placed = rows.select("host", *[c for c in rows.columns if c == "page"], F.explode(lines).alias("line")).withColumn("line_hash", F.xxhash64("line")).drop("line")
-    if page is not None:
-        placed, rows = placed.distinct(), rows.select("host", "page").distinct()
+    placed = rows.select("host", "page", F.explode(lines).alias("line")).select("host", "page", F.xxhash64("line").alias("line_hash")).distinct()
     counted = placed.groupBy("host", "line_hash").agg(F.count("*").alias("n"))
-    totals = rows.groupBy("host").agg(F.count("*").alias("total"))
-    return counted.where(F.col("n") >= pages).join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("total")).select("host", "line_hash")
+    totals = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    often = counted.where(F.col("n") >= pages)
+    return salted(often, totals, "host", "line_hash").where(F.col("n") > F.lit(ratio) * F.col("total")).select("host", "line_hash")
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES, found: DataFrame | None = None) -> DataFrame:
-    """docs with boilerplate lines taken out of the text, and with n_lines and n_dropped.
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES, found: DataFrame | None = None, counts: tuple[str, str] | None = ("n_lines", "n_dropped"), at_once: int = HOSTS_AT_ONCE) -> DataFrame:
+    """docs with boilerplate lines taken out of the text, and with the counts of lines and of dropped ones under the names in counts.
 
     Every row stays: a null text stays null (0 lines), an empty one empty, one
     that is all boilerplate becomes empty; rows with a null host stay as they are.
-    Columns named n_lines or n_dropped are replaced. The lines are those of
-    boilerplate(), or the rows of found.
+    Columns named as the counts are replaced; without counts none is added. The
+    lines are those of boilerplate(), or the rows of found. Beyond at_once hosts
+    with such lines, each host's rows are dealt over several tasks.
     """
     found = kept(boilerplate(docs, host, text, ratio, pages) if found is None else found)
-    drops = found.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line_hash").alias("__drop"))
-    rows = docs.join(hinted(drops, HOSTS_AT_ONCE), F.col(host) == F.col("__host"), "left")
-    lines = F.split(text, "\n", -1)
-    stay = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__drop"), F.xxhash64(x)))
-    rows = rows.withColumn("__lines", lines).withColumn("__stay", F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(stay))
-    count = lambda c: F.when(F.col(text).isNull(), 0).otherwise(F.size(c)).cast("long")
-    out = rows.select(
-        *[F.array_join("__stay", "\n").alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        count("__lines").alias("n_lines"),
-        (count("__lines") - count("__stay")).alias("n_dropped"),
-    )
-    return out
+    drops = found.groupBy("host").agg(F.collect_set("line_hash").alias("drop"))
+    # all columns of docs in one, so that none can have the name of one of ours
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(host).alias("host"), F.col(text).alias("text"))
+    if small(drops, at_once):
+        rows = rows.join(F.broadcast(drops), "host", "left")
+    else:
+        rows = salted(rows, drops, "host", "text", "left", salts=64)
+    lines = F.split("text", "\n", -1)
+    stay = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("drop"), F.xxhash64(x)))
+    rows = rows.select("doc", "text", lines.alias("lines"), F.when(F.col("drop").isNull(), lines).otherwise(stay).alias("stay"))
+    count = lambda c: F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).cast("long")
+    more = [] if counts is None else [count("lines").alias(counts[0]), (count("lines") - count("stay")).alias(counts[1])]
+    same = [c for c in docs.columns if counts is None or c not in counts]
+    return rows.select(*[F.array_join("stay", "\n").alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in same], *more)
 
 
 def op2_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,19 +74,23 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Equal texts and near copies, as the next stage finds them, are one page, so
     what only they share is no boilerplate and is left for that stage.
     """
-    rows = neardup.numbered(docs)
-    parts = kept(neardup.near_duplicates(rows, "__row").select("__row", "component_id"))
-    many = parts.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    copies = hinted(kept(parts.join(many, "component_id")), COPIES_AT_ONCE)
-    pages = rows.join(copies, "__row", "left").withColumn("__page", F.when(F.col("component_id").isNotNull(), F.xxhash64(F.lit("copies"), "component_id")).otherwise(F.xxhash64("text")))
-    return drop_boilerplate(docs, found=boilerplate(pages, page="__page")).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    row = unused("row", docs)
+    rows, _ = neardup.numbered(docs, "doc_id", row)
+    parts = kept(neardup.grouped(rows, row).select("id", "component"))
+    many = parts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    copies = hinted(kept(parts.join(many, "component")), COPIES_AT_ONCE)
+    own = rows.select(F.col(row).alias("id"), "source", "text").join(copies, "id", "left")
+    pages = own.withColumn("page", F.when(F.col("component").isNotNull(), F.xxhash64(F.lit("copies"), "component")).otherwise(F.xxhash64("text")))
+    cleaned = drop_boilerplate(docs, found=boilerplate(pages, page="page"), counts=None)
+    return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 QUERIES = {"op2_site_lines": op2_site_lines}
 ORACLE = {
     "op2_site_lines": f"""
-WITH pages AS (SELECT source, count(*) AS total FROM documents WHERE source IS NOT NULL GROUP BY source),
-lines AS (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents WHERE source IS NOT NULL),
+WITH texts AS (SELECT DISTINCT source, text FROM documents WHERE source IS NOT NULL),
+pages AS (SELECT source, count(*) AS total FROM texts GROUP BY source),
+lines AS (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM texts),
 bad AS (
   SELECT l.source, l.line FROM lines l JOIN pages p ON p.source = l.source
   WHERE trim(l.line) <> '' GROUP BY l.source, l.line, p.total

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import hinted, kept, table, written
+from brindle.llm.common import hinted, kept, salted, table, unused, written
 
 BANDS, BAND_ROWS = 64, 8
 WORDS, PERCENT = 5, 80
@@ -37,24 +37,12 @@ WORDS, PERCENT = 5, 80
 BLOCK = 1 << 18
 #: Comparisons with one class that share a task.
 SPREAD = 256
-CACHE = 1 << 18
 #: Classes in more than SPREAD pairs that are broadcast at most.
 HOT_AT_ONCE = 200_000
 #: Classes from which a bucket is large, and shingles of a part when the private ones are counted.
 CROWD, PART = 32, 1 << 21
 
 
-class _Words(dict):
-    """64-bit hashes of words seen by this worker."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORDS = _Words()
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -65,12 +53,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of so many words; of a shorter text, the one of all its words."""
-    found = (text or "").encode().lower().split()
-    if not found:
+def word_hashes(text: Column) -> Column:
+    """Hashes of the runs of anything but ASCII white space, with A to Z lower-cased, in order; none for null."""
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.transform(F.array_remove(F.split(lower, r"[\x20\x09-\x0D]+"), ""), lambda w: F.xxhash64(w))
+
+
+def shingles(h: np.ndarray, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of so many words, from the words' hashes; of a shorter text, the one of all its words."""
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
     width = min(words, len(h))
     n = len(h) - width + 1
     total = np.zeros(n, np.uint64)
@@ -80,6 +72,12 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(total)
 
 
+def _words(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The word hashes of each row of a batch, without copies."""
+    values, ends = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    return (values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+
+
 def superminhash(sets: list[np.ndarray], places: int) -> np.ndarray:
     """Signatures (texts x places, a power of two) of 64-bit floats; empty sets keep infinity in all places.
 
@@ -134,8 +132,8 @@ def _sketch(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             start, held, sets = 0, 0, []
-            for i, text in enumerate(batch.column(1)):
-                sets.append(shingles(text.as_py(), words))
+            for i, h in enumerate(_words(batch.column(1))):
+                sets.append(shingles(h, words))
                 held += len(sets[-1])
                 if held >= BLOCK or len(sets) >= 2048 or i + 1 == batch.num_rows:
                     keys = band_keys(superminhash(sets, bands * rows), bands, rows).view(np.int64)
@@ -152,8 +150,8 @@ def _sketch(words: int, bands: int, rows: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, text in enumerate(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([shingles(text.as_py(), words).tobytes()], pa.binary())], ["id", "set"])
+            for i, h in enumerate(_words(batch.column(1))):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([shingles(h, words).tobytes()], pa.binary())], ["id", "set"])
 
     return run
 
@@ -265,7 +263,8 @@ def linked_in_crowds(members: DataFrame, sets: DataFrame, percent: int) -> DataF
     per = per.groupBy("band").agg(F.max(F.struct("c", F.col("component").alias("main"), "s")).alias("top"), F.sum("s").alias("s"))
     blocks = lambda c: F.ceil(F.greatest(c, F.lit(1)) / BLOCK)
     per = per.select("band", "top.main", blocks(F.col("s")).alias("told_blocks"), blocks(F.col("s") - F.col("top.s")).alias("asking_blocks"))
-    rows = members.join(per, "band")
+    # a band may have a third of all rows, so its row here is dealt to several tasks
+    rows = salted(members, per, "band", "id")
     copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), n)
     asking = rows.where(F.col("component") != F.col("main")).select("band", "id", "component", F.lit(True).alias("asks"), own(F.col("asking_blocks")).alias("x"), copies(F.col("told_blocks")).alias("y"))
@@ -278,44 +277,46 @@ def components(edges: DataFrame) -> DataFrame:
     """Rows (id, component) for every id in edges (a, b): union-find by large and small stars.
 
     Every id is hung on the least id near it, in turn among its larger and its
-    smaller neighbours, until no edge changes; hot ids are only ever summed
-    (min) before a shuffle or joined, never gathered.
+    smaller neighbours, until no edge changes; a hot id's edges are only summed
+    (min) before a shuffle, or dealt over several tasks when they meet its least
+    neighbour, never gathered.
     """
     edges = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = salted(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.toDF("u", "v")).distinct()
+        small = salted(large, least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.toDF("u", "v")).distinct()
         edges = kept(small)
         # two runs of the loop that end in the same edges have reached the stars
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """Rows (key, n_shingles, component_id, kept) for every row of docs.
+def grouped(rows: DataFrame, key: str, text: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+    """Rows (id, n_shingles, component) for every row of rows, whose keys must be unique whole numbers; component is its smallest id.
 
     Words are runs of anything but ASCII white space, with A to Z lower-cased.
     A text of fewer words is one shingle; a null or empty one has an empty set
-    and is linked with nothing, so it is its own component. Keys must be unique;
-    rows with a null key are left out. Equal texts are always linked.
+    and is linked with nothing, so it is its own component. Equal texts are
+    always linked.
     """
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sketch = written(rows.mapInArrow(_sketch(words, bands, band_rows), "id bigint, n_shingles bigint, print binary, keys array<bigint>"), "sketch")
+    rows = rows.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    hashed = lambda r: r.select("id", word_hashes(F.col("text")).alias("words"))
+    sketch = written(hashed(rows).mapInArrow(_sketch(words, bands, band_rows), "id bigint, n_shingles bigint, print binary, keys array<bigint>"), "sketch")
 
     # classes of equal sets; a bucket is worth a look only if two classes are in it
     classes = kept(sketch.where("n_shingles > 0").groupBy("print").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n")))
     banded = sketch.where("n_shingles > 0").join(classes.select("id", "n"), "id").select("id", "n", F.explode("keys").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("in_band")).where("in_band > 1")
     buckets = written(banded.join(shared, "band").select("band", "id", "n", "in_band"), "buckets")
-    sets = written(rows.join(buckets.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(words), "id bigint, set binary"), "sets")
+    sets = written(hashed(rows.join(buckets.select("id").distinct(), "id", "left_semi")).mapInArrow(_sets(words), "id bigint, set binary"), "sets")
 
     # in a large bucket, shingles that no other class of a large bucket has bound what a class can share with any of them
     crowd = kept(buckets.where(F.col("in_band") >= CROWD).select("id", "n").distinct())
@@ -348,16 +349,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         joined = components(links.union(more))
 
     found = sketch.select("id", "n_shingles", "print").join(classes.select("print", F.col("id").alias("head")), "print", "left")
-    found = found.join(joined.withColumnRenamed("id", "head"), "head", "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("head")), "id").alias("component_id"))
-    return found.withColumn("kept", F.col(key) == F.col("component_id"))
+    found = found.join(joined.withColumnRenamed("id", "head"), "head", "left")
+    return found.select("id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("head")), "id").alias("component"))
 
 
-def numbered(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs with a unique __row: the key, or where some key is null, repeated or no integer, a number written with the rows."""
+def numbered(docs: DataFrame, key: str, row: str) -> tuple[DataFrame, bool]:
+    """docs with a unique column row: the key (true), or where some key is null, repeated or no integer, a number written with the rows (false)."""
     integer = docs.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
     if integer and docs.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNull() | (F.col("n") > 1)).isEmpty():
-        return docs.withColumn("__row", F.col(key).cast("long"))
-    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        return docs.withColumn(row, F.col(key).cast("long")), True
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), False
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+    """Rows (key, n_shingles, component_id, kept) for every row of docs; see grouped().
+
+    component_id is the smallest key that is linked with the row. Rows of equal
+    keys are told apart by their texts; those with a null key are documents too,
+    and a group of nothing but such rows has a null component_id and keeps its
+    first one. Rows with a key are kept if it is the component's.
+    """
+    row = unused("row", docs)
+    rows, same = numbered(docs.select(key, text), key, row)
+    found = grouped(rows, row, text, words, percent, bands, band_rows)
+    if same:
+        return found.select(F.col("id").alias(key), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    named = kept(found.join(rows.select(F.col(row).alias("id"), F.col(key).alias("own")), "id"))
+    parts = named.groupBy("component").agg(F.min("own").alias("component_id"), F.min("id").alias("first"))
+    named = salted(named, parts, "component", "id")
+    keep = F.coalesce(F.col("own") == F.col("component_id"), F.col("component_id").isNull() & (F.col("id") == F.col("first")))
+    return named.select(F.col("own").alias(key), "n_shingles", "component_id", keep.alias("kept"))
 
 
 def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,11 +387,12 @@ def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one row of each component stays, the one with the smallest id; rows with a null id are documents too and come last."""
-    rows = numbered(docs)
-    found = near_duplicates(rows, "__row").select("__row", "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
-    keep = rows.select("__row", "doc_id").join(found, "__row").groupBy("component_id").agg(first).select("first.__row")
-    return rows.join(keep, "__row", "left_semi").select(docs.columns)
+    row = unused("row", docs)
+    rows, _ = numbered(docs, "doc_id", row)
+    found = grouped(rows, row).select(F.col("id").alias(row), "component")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)).alias("first")
+    keep = rows.select(row, "doc_id").join(found, row).groupBy("component").agg(first).select(F.col(f"first.{row}").alias(row))
+    return rows.join(keep, row, "left_semi").select(docs.columns)
 
 
 QUERIES = {"op5_superminhash": op5_superminhash}
