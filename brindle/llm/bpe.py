@@ -8,9 +8,11 @@ talking to each other, and each piece is encoded on its own, on any executor.
 Where an overlap has no such place (one giant pre-token), the pieces beside it
 are joined again and encoded together, so results never depend on the chunks.
 
-A border is taken only between a character that is no white space and one that
-is: no match of the pattern spans such a place and none looks back across it,
-so the pieces' pre-tokens are those of the whole text.
+A border is taken only where no match of the pattern can go on: between a
+character that is no white space and one that is, or behind a letter or a digit
+whose neighbour is not of the same kind (punctuation, also in scripts without
+spaces). No match spans such a place and none looks back or ahead across it, so
+the pieces' pre-tokens are those of the whole text.
 """
 
 from __future__ import annotations
@@ -61,6 +63,14 @@ def _ids(encoder, text: str) -> np.ndarray:
     return encoder.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
 
 
+@cache
+def _safe():
+    """Places between two characters that no match of the tokenizer's pattern joins."""
+    import regex
+
+    return regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\S)(?=[ \t\n\r])")
+
+
 def resynchronised(pattern, window: str, border: int) -> int | None:
     """Where in window (which starts before the border) scans from its start and from the border first agree."""
     if not border or border >= len(window):
@@ -68,7 +78,7 @@ def resynchronised(pattern, window: str, border: int) -> int | None:
     early = {m.end() for m in pattern.finditer(window)}
     for match in pattern.finditer(window, border):
         at = match.end()
-        if at in early and at < len(window) and not window[at - 1].isspace() and window[at] in " \t\n\r":
+        if at in early and at < len(window) and _safe().match(window, at):
             return at
     return None
 
@@ -80,9 +90,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
 
 
-def _encode_whole(path: str):
+def _spell(spelled: list[bytes], ids: list[int]) -> bytes:
+    return b"".join(map(spelled.__getitem__, ids))
+
+
+def _encode_whole(path: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _codec(path)[0]
+        encoder, spelled, _ = _codec(path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             start, size, out = 0, 0, []
@@ -90,7 +104,8 @@ def _encode_whole(path: str):
                 out.append(_ids(encoder, text.as_py() or ""))
                 size += len(out[-1])
                 if size >= FLUSH or i + 1 == len(texts):
-                    yield pa.RecordBatch.from_arrays([keys.slice(start, len(out)), _lists(out)], ["key", "ids"])
+                    more = [pa.array([_spell(spelled, x.tolist()) for x in out], pa.binary())] if decoded else []
+                    yield pa.RecordBatch.from_arrays([keys.slice(start, len(out)), _lists(out), *more], ["key", "ids", "decoded"][: 2 + decoded])
                     start, size, out = i + 1, 0, []
 
     return run
@@ -138,11 +153,11 @@ def _encode_pieces(path: str, size: int, overlap: int):
     return run
 
 
-def _stitch(path: str):
+def _stitch(path: str, decoded: bool):
     """Pieces in order of key, print and chunk to a row of ids for each text; repeated rows bring each piece as often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _codec(path)[0]
+        encoder, spelled, _ = _codec(path)
         owner, parts, text, kind, at, copies = None, [], "", None, -1, 0
 
         def close():
@@ -154,8 +169,9 @@ def _stitch(path: str):
         def rows():
             close()
             ids = np.concatenate(parts or [np.empty(0, np.int32)])
+            more = [pa.array([_spell(spelled, ids.tolist())], pa.binary())] if decoded else []
             for _ in range(copies):
-                yield pa.RecordBatch.from_arrays([pa.array([owner[0]], kind), _lists([ids])], ["key", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([owner[0]], kind), _lists([ids]), *more], ["key", "ids", "decoded"][: 2 + decoded])
 
         for batch in batches:
             kind = batch.schema.field(0).type
@@ -179,8 +195,8 @@ def _stitch(path: str):
     return run
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Ids of every text: rows (key, ids array<int>), one for each row of docs.
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+    """Ids of every text: rows (key, ids array<int>), one for each row of docs; if decoded, with the bytes that decode() makes of the ids.
 
     A null or empty text has no ids. Keys may be null or repeated: chunks are told
     apart by key and text. Other columns are neither read nor passed on. Needs
@@ -192,14 +208,15 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     size = F.coalesce(F.char_length("text"), F.lit(0))
-    whole = rows.where(size <= chunk).mapInArrow(_encode_whole(path), f"key {kind}, ids array<int>")
+    out = f"key {kind}, ids array<int>{', decoded binary' if decoded else ''}"
+    whole = rows.where(size <= chunk).mapInArrow(_encode_whole(path, decoded), out)
     pieces = (
         rows.where(size > chunk)
         .mapInArrow(_chunk(chunk, overlap), f"key {kind}, print bigint, chunk bigint, window string, last boolean")
         .repartition("key", "print", "chunk")
         .mapInArrow(_encode_pieces(path, chunk, overlap), f"key {kind}, print bigint, chunk bigint, ids array<int>, open string")
     )
-    stitched = pieces.repartition("key", "print").sortWithinPartitions("key", "print", "chunk").mapInArrow(_stitch(path), f"key {kind}, ids array<int>")
+    stitched = pieces.repartition("key", "print").sortWithinPartitions("key", "print", "chunk").mapInArrow(_stitch(path, decoded), out)
     return whole.unionByName(stitched).withColumnRenamed("key", key)
 
 
@@ -209,7 +226,7 @@ def _decode(path: str):
         for batch in batches:
             start, size, out = 0, 0, []
             for i, ids in enumerate(batch.column(1)):
-                out.append(b"".join(map(spelled.__getitem__, ids.values.to_pylist())) if ids.is_valid else None)
+                out.append(_spell(spelled, ids.values.to_pylist()) if ids.is_valid else None)
                 size += len(out[-1] or b"")
                 if size >= 4 * FLUSH or i + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(out)), batch.column(1).slice(start, len(out)), pa.array(out, pa.binary())], ["key", "ids", "decoded"])
@@ -226,7 +243,8 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decode(encode(table(spark, sf_dir, "documents")))
+    # the ids are decoded by the worker that has made them
+    found = encode(table(spark, sf_dir, "documents"), decoded=True)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -237,7 +255,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: each document with its ids and the digest of the bytes they decode to; texts are whole, so nothing is dropped here."""
-    found = decode(encode(docs))
+    found = encode(docs, decoded=True)
     return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
