@@ -7,7 +7,8 @@ landmark texts of each language, whitened by the landmarks' own kernel matrix,
 and one ridge regression for each language says how likely it is.
 
 Fitting uses a bounded sample, PER_LANGUAGE rows of each language in expectation,
-drawn by a hash of the key from all labelled rows; scoring reads every text
+drawn by a hash of the key from all labelled rows and put in order by another,
+so that the landmarks, its first rows, are a draw as well; scoring reads every text
 whole, in blocks, as products of a presence matrix with the landmarks.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import table
+from brindle.llm.common import table, unused
 
 BUCKETS = 1 << 15
 PER_LANGUAGE, LANDMARKS, RIDGE = 400, 24, 1e-2
@@ -184,7 +185,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
         return None
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, per_language / n)])
-    sample = rows.where(F.col("text").isNotNull() & (draw < rate[F.col("label")])).orderBy("label", "key").select("label", "text")
+    sample = rows.where(F.col("text").isNotNull() & (draw < rate[F.col("label")])).orderBy("label", F.xxhash64(F.lit("order"), "key"), "key").select("label", "text")
     found = sample.mapInArrow(_sampled, "label string, bits binary").collect()
     if not found:
         return None
@@ -202,7 +203,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     return Model(languages, columns, np.ascontiguousarray(marks[:, columns]), weights, cut)
 
 
-def _score(model: Model | None, calibrated: bool):
+def _score(model: Model | None, calibrated: bool, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in _blocks(batch.column(0)):
@@ -213,22 +214,22 @@ def _score(model: Model | None, calibrated: bool):
                     best = [model.languages[j] if ok else UNDETERMINED for j, ok in zip(top, letters, strict=True)]
                     score = np.where(letters, model.confidence(values, known) if calibrated else np.clip(values.max(1), 0, 1), 0.0)
                 kept = [batch.column(i).slice(start, len(texts)) for i in range(1, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[1:], *names])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, calibrated: bool = True) -> DataFrame:
-    """The columns in keep (all but the text, if None), with lang_pred and score (0 to 1).
+def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, calibrated: bool = True, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns in keep (all but the text, if None), with the language and its score (0 to 1) under the names given.
 
     A text that is null, empty or without a letter gets 'und' and 0, and so does
     every text if there is no model. If calibrated, the score is the confidence
-    that compares with FLOOR; otherwise the best language's own. Columns named lang_pred or score are replaced.
+    that compares with FLOOR; otherwise the best language's own. Columns of those names are replaced.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score") and (keep is not None or c != text)]
-    rows = docs.select(F.col(text).alias("__text"), *[F.col(c) for c in keep])
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names and (keep is not None or c != text)]
+    rows = docs.select(F.col(text).alias(unused("text", docs.select(*keep))), *[F.col(c) for c in keep])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(_score(model, calibrated), f"{fields}{', ' if fields else ''}lang_pred string, score double")
+    return rows.mapInArrow(_score(model, calibrated, names), f"{fields}{', ' if fields else ''}`{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -244,7 +245,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents whose language is clear; learned from those labelled rows that are not held out."""
     model = fit(docs.where(~held_out()))
-    return predict(docs, model, keep=docs.columns).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= FLOOR)).select(docs.columns)
+    names = unused("lang_pred", docs), unused("score", docs)
+    return predict(docs, model, keep=docs.columns, names=names).where((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= FLOOR)).select(docs.columns)
 
 
 QUERIES = {"op10_langid": op10_langid}
