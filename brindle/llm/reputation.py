@@ -19,14 +19,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import hinted, kept, table
+from brindle.llm.common import kept, matched, table
 
 #: Standard deviations between posterior mean and bound, and the bad share that is too much.
 BOUND, LIMIT = 1.0, 0.3
 #: Least and largest weight of a prior, in pages.
 LIGHTEST, HEAVIEST = 2.0, 200.0
-#: Hosts whose verdicts are broadcast at most.
+#: Suffixes, domains or hosts that are broadcast at most.
 HOSTS_AT_ONCE = 200_000
+#: Suffixes of two labels under which names are registered; any other suffix is the last label. Others can be given.
+SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "blogspot.com", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.hk", "com.mx", "com.my", "com.pl",
+    "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "github.io", "go.jp", "gov.au", "gov.cn", "gov.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "net.uk", "or.jp", "or.kr",
+    "org.au", "org.br", "org.cn", "org.nz", "org.uk", "org.za", "wordpress.com",
+)
+ADDRESS = "address"
 
 
 @dataclass(frozen=True)
@@ -71,34 +78,52 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -
     return found
 
 
-def levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain (the last two labels; of one label, that) and suffix (the last label)."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
-
-
-def _shrunk(counts: DataFrame, level: str, parent: str | None, priors: DataFrame | None) -> DataFrame:
-    """Rows of one level (its columns, n, bad) with the posterior's a and b; priors: parent, mean."""
-    rows = counts.withColumn("mean", F.lit(0.5)) if priors is None else counts.join(hinted(priors, HOSTS_AT_ONCE), parent)
-    # moments: spread of the children's shares beyond what draws of n pages would give, for each parent
-    group = [parent] if parent else []
-    share = F.col("bad") / F.col("n")
-    spread = rows.where("n > 0").groupBy(*group).agg(
-        F.sum("n").cast("double").alias("pages"),
-        F.count("*").cast("double").alias("children"),
-        F.max("mean").alias("m"),
-        F.sum(F.col("n") * (share - F.col("mean")) * (share - F.col("mean"))).alias("ss"),
-    )
-    noise = F.col("m") * (1 - F.col("m"))
-    # rho: correlation within a child; weight = 1 / rho - 1
-    rho = (F.col("ss") / noise - F.col("children")) / F.greatest(F.col("pages") - F.col("children"), F.lit(1.0))
+def levels(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain (one label more than the suffix, or all there are) and suffix (the last label, or two that are in suffixes).
+
+    User, port and a closing dot are left aside; an IP address is a domain of its
+    own, under a suffix of its own.
+    """
+    name = F.regexp_replace(F.regexp_replace(F.substring_index(host, "@", -1), r":[0-9]*$", ""), r"\.$", "")
+    two = F.substring_index(name, ".", -2)
+    long = two.isin(list(suffixes))
+    number = name.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$|^\[.*\]$")
+    domain = F.when(number, name).when(long, F.substring_index(name, ".", -3)).otherwise(two)
+    return domain, F.when(number, ADDRESS).when(long, two).otherwise(F.substring_index(name, ".", -1))
+
+
+def _spread() -> list[Column]:
+    """What the children of one parent tell of how far their bad shares spread; sums of columns n and bad."""
+    has = F.col("n") > 0
+    return [
+        F.sum("n").alias("n"),
+        F.sum("bad").alias("bad"),
+        F.count_if(has).cast("double").alias("children"),
+        F.coalesce(F.sum(F.when(has, F.col("bad") * F.col("bad") / F.col("n"))), F.lit(0.0)).alias("squares"),
+    ]
+
+
+def _prior(mean: Column) -> tuple[Column, Column]:
+    """Beta prior (a, b) of the children of parents with this mean, from columns n, bad, children and squares.
+
+    By moments: what the squared distances of the children's shares from the mean
+    have beyond what draws of n pages would give is correlation within a child
+    (rho), and the weight is 1 / rho - 1.
+    """
+    noise = mean * (1 - mean)
+    apart = F.col("squares") - 2 * mean * F.col("bad") + mean * mean * F.col("n")
+    rho = (F.try_divide(apart, noise) - F.col("children")) / F.greatest(F.col("n") - F.col("children"), F.lit(1.0))
     weight = F.least(F.greatest(1 / F.greatest(rho, F.lit(1e-6)) - 1, F.lit(LIGHTEST)), F.lit(HEAVIEST))
-    spread = spread.select(*group, F.when(noise > 0, weight).otherwise(F.lit(HEAVIEST)).alias("weight"))
-    rows = rows.join(hinted(spread, HOSTS_AT_ONCE), parent, "left") if parent else rows.crossJoin(F.broadcast(spread.limit(1)))
-    rows = rows.withColumn("weight", F.coalesce("weight", F.lit(HEAVIEST)))
-    return rows.withColumn("a", F.col("mean") * F.col("weight") + F.col("bad")).withColumn("b", (1 - F.col("mean")) * F.col("weight") + F.col("n") - F.col("bad"))
+    weight = F.when((noise > 0) & (F.col("children") > 0), weight).otherwise(F.lit(HEAVIEST))
+    return mean * weight, (1 - mean) * weight
+
+
+def _posterior() -> Column:
+    """Posterior mean from columns a, b, n and bad."""
+    return (F.col("a") + F.col("bad")) / (F.col("a") + F.col("b") + F.col("n"))
 
 
-def reputations(pages: DataFrame, outcomes: DataFrame, url: str = "url", key: str = "page_id", outcome_key: str = "page_id", bad: str = "bad", bound: float = BOUND) -> DataFrame:
+def reputations(pages: DataFrame, outcomes: DataFrame, url: str = "url", key: str = "page_id", outcome_key: str = "page_id", bad: str = "bad", bound: float = BOUND, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """Rows (host, domain, suffix, n, bad, mean, low): every host of pages with its posterior bad share.
 
     outcomes has a boolean for some pages; null and unknown keys count for
@@ -110,19 +135,21 @@ def reputations(pages: DataFrame, outcomes: DataFrame, url: str = "url", key: st
     seen = outcomes.where(F.col(bad).isNotNull()).select(F.col(outcome_key).alias("page"), F.col(bad).cast("int").alias("bad"))
     seen = seen.groupBy("page").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     counts = pages.join(seen, "page", "left").groupBy("host").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
-    domain, suffix = levels(F.col("host"))
+    domain, suffix = levels(F.col("host"), suffixes)
+    # each level is summed from the one below, once
     hosts = kept(counts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = suffixes.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("top"))
-    mean = F.col("a") / (F.col("a") + F.col("b"))
-    top = suffixes.crossJoin(F.broadcast(total)).select(F.lit(0).alias("all"), "suffix", "n", "bad", "top")
-    by_suffix = _shrunk(top.drop("top"), "suffix", "all", top.groupBy("all").agg(F.max("top").alias("mean"))).select("suffix", mean.alias("mean"))
-    by_domain = _shrunk(domains, "domain", "suffix", by_suffix).select("domain", mean.alias("mean"))
-    by_host = _shrunk(hosts, "host", "domain", by_domain)
-    size = F.col("a") + F.col("b")
-    low = F.greatest(mean - F.lit(bound) * F.sqrt(mean * (1 - mean) / (size + 1)), F.lit(0.0))
-    return by_host.select("host", "domain", "suffix", "n", "bad", mean.alias("mean"), low.alias("low"))
+    domains = kept(hosts.groupBy("domain", "suffix").agg(*_spread()))
+    tops = kept(domains.groupBy("suffix").agg(*_spread()))
+    mean = (F.col("bad") + 1) / (F.col("n") + 2)
+    a, b = _prior(mean)
+    root = tops.agg(*_spread()).select(F.coalesce(a, F.lit(1.0)).alias("a"), F.coalesce(b, F.lit(1.0)).alias("b")).first()
+    a, b = _prior(F.col("mean"))
+    tops = tops.withColumns({"a": F.lit(root.a), "b": F.lit(root.b)}).withColumn("mean", _posterior()).select("suffix", a.alias("a"), b.alias("b"))
+    domains = matched(domains, tops, "suffix", "domain", HOSTS_AT_ONCE).withColumn("mean", _posterior()).select("domain", a.alias("a"), b.alias("b"))
+    found = matched(hosts, kept(domains), "domain", "host", HOSTS_AT_ONCE).withColumn("mean", _posterior())
+    size = F.col("a") + F.col("b") + F.col("n")
+    low = F.greatest(F.col("mean") - F.lit(bound) * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (size + 1)), F.lit(0.0))
+    return found.select("host", "domain", "suffix", "n", "bad", "mean", low.alias("low"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, url: str = "url", key: str = "page_id", rules: tuple[Rule, ...] = RULES, limit: float = LIMIT, bound: float = BOUND) -> DataFrame:
@@ -133,7 +160,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, url: str = "url", key: str = "p
     """
     known = kept(reputations(pages, outcomes, url, key, bound=bound).select("host", "low"))
     host, path = split_url(F.col(url))
-    rows = pages.select(F.col(key), host.alias("host"), path.alias("path")).join(hinted(known, HOSTS_AT_ONCE), "host", "left")
+    rows = matched(pages.select(F.col(key), host.alias("host"), path.alias("path")), known, "host", "path", HOSTS_AT_ONCE, "left")
     rows = rows.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules))
     method = F.when(F.coalesce("low", F.lit(0.0)) > limit, "block").otherwise("allow")
     return rows.select(key, "host", "path", F.col("found.rule").alias("rule"), F.coalesce(F.col("found.verdict"), method).alias("verdict"), F.round("low", 9).alias("low"))
