@@ -35,6 +35,8 @@ CANDIDATE = rf"(?:\([0-9]{{3}}\)\x20?|(?<![0-9.])[0-9]{{3}}[\x20.])[0-9]{{3}}[\x
 #: Gazetteer: words before a span that speak for and against it.
 FOR = ("token", "secret", "key", "apikey", "password", "passwd", "pwd", "pin", "ssn", "passport", "account", "iban", "tel", "phone", "fax", "mobile", "licence", "license", "customer", "patient", "member", "card", "user", "login")
 AGAINST = ("page", "pages", "version", "chapter", "figure", "table", "section", "volume", "vol", "issue", "year", "isbn", "doi", "release", "model", "part")
+#: Kinds of added spans: with letters and without.
+ADDED = ("secret", "id")
 #: Labelers in the order of their votes: for, against, abstain are 1, 2, 0.
 LABELERS = ("pattern", "gazetteer", "context", "mixture")
 ROUNDS, SMOOTH, BUCKETS, LEAST = 40, 1.0, 4096, 0.5
@@ -185,8 +187,9 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", least: floa
     good, bad = sum(n * post[p] for p, n in counts.items()), sum(n * (1 - post[p]) for p, n in counts.items())
     weigh = {r["feature"]: math.log((r["a"] + SMOOTH) / (good + 2 * SMOOTH)) - math.log((r["b"] + SMOOTH) / (bad + 2 * SMOOTH)) for r in sums}
     if weigh:
-        weights = F.create_map(*[F.lit(x) for k, v in sorted(weigh.items()) for x in (k, v)])
-        score = F.aggregate("features", F.lit(math.log((good + SMOOTH) / (bad + SMOOTH))), lambda s, f: s + F.coalesce(weights[f], F.lit(0.0)))
+        # one literal array, read by place
+        weights = F.array(*[F.lit(weigh.get(k, 0.0)) for k in range(BUCKETS)])
+        score = F.aggregate("features", F.lit(math.log((good + SMOOTH) / (bad + SMOOTH))), lambda s, f: s + F.get(weights, f.cast("int")))
         sure = 1 / (1 + F.exp(-score)) >= least
     else:
         sure = F.lit(False)
@@ -202,9 +205,16 @@ def spelled(found: Column) -> Column:
 
 def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect(table(spark, sf_dir, "documents"))
-    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    count = lambda spans, kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     # kinds in the order of BASE, then the added ones; within a kind by start
-    return found.select("doc_id", *[count(kind) for kind in BASE], F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.concat("base", F.array_sort("added"))).alias("spans"))
+    return found.select(
+        "doc_id",
+        *[count("base", kind) for kind in BASE],
+        F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
+        spelled(F.concat("base", F.array_sort("added"))).alias("spans"),
+        *[count("added", kind) for kind in ADDED],
+        (F.size("base") + F.size("added")).cast("long").alias("n_all"),
+    )
 
 
 QUERIES = {"op7_weak_supervision": op7_weak_supervision}
