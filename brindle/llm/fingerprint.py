@@ -20,15 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import table
+from brindle.llm.common import table, written
 
 WINDOW, LEAST, LENGTH = 7, 3, 64
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-#: Bytes that are hashed at once.
-BLOCK = 1 << 20
+#: Bytes that are hashed at once, and of texts in a range of keys.
+BLOCK, RANGE = 1 << 20, 32 << 20
 _LETTERS = np.frombuffer(ALPHABET.encode(), np.uint8)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,61 +153,79 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+_NAMES = ("key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def _row(key, text: str, mark: str, following: str, next_mark: str) -> tuple:
+    mixed = edited(text, following)
+    changed = fingerprint(mixed)
+    return key, len(text), hashlib.sha256(mixed.encode()).hexdigest(), mark, changed, likeness(mark, changed), likeness(mark, next_mark)
+
+
+def _columns(rows: list[tuple], kinds: list[pa.DataType]) -> list[pa.Array]:
+    return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+
+
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in descending order of the key, bucket by bucket; the last of a bucket is a guest that belongs to another."""
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    before: tuple | None = None
+    """A range's rows in order to its results, and at its end one row more with its first and its last text and their places in the order."""
+    first, before, names = None, None, [*_NAMES, "head", "head_order", "head_text", "tail_order", "tail_text"]
+    more = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
     for batch in batches:
-        out: list[list] = [[] for _ in names]
-        for bucket, guest, key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+        out = []
+        for key, order, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             text = value.as_py() or ""
             mark = fingerprint(text)
-            if before is not None and before[0] == bucket:
-                _, owner, theirs, own = before
-                mixed = edited(theirs, text)
-                changed = fingerprint(mixed)
-                row = (owner, len(theirs), hashlib.sha256(mixed.encode()).hexdigest(), own, changed, likeness(own, changed), likeness(own, mark))
-                for column, x in zip(out, row, strict=True):
-                    column.append(x)
-            before = None if guest else (bucket, key, text, mark)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
-
-
-def _placed(key: Column, cuts: list[int], low: int = 0, high: int | None = None) -> Column:
-    """How many of the sorted cuts are not above the key, by halving."""
-    high = len(cuts) if high is None else high
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    return F.when(key < cuts[middle], _placed(key, cuts, low, middle)).otherwise(_placed(key, cuts, middle + 1, high))
-
-
-def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+            if before is None:
+                first = (key, order, text)
+            else:
+                out.append(_row(before[0], before[2], before[3], text, mark))
+            before = (key, order, text, mark)
+        yield pa.RecordBatch.from_arrays([*_columns(out, _KINDS), *[pa.nulls(len(out), k) for k in more]], names)
+    if before is not None:
+        ends = (before[0], *[None] * (len(_NAMES) - 1), *first, before[1], before[2])
+        yield pa.RecordBatch.from_arrays(_columns([ends], [*_KINDS, *more]), names)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, text, following) to results."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            text, following = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+            row = _row(batch.column(0)[i].as_py(), text, fingerprint(text), following, fingerprint(following))
+            yield pa.RecordBatch.from_arrays(_columns([row], _KINDS), list(_NAMES))
+
+
+def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text", range_bytes: int = RANGE) -> DataFrame:
     """Each document's fingerprint held against its edited text's and the next document's, in descending order of key.
 
-    Keys must be unique and not null; rows with a null key are left out. Texts are
-    dealt by ranges of keys, one shuffle for all; the first document of the range
-    below comes along as a guest, so no text crosses the whole order and no window
-    covers it. The last document is followed by the first.
+    Rows with a null key come last; equal keys are in the order of a hash of their
+    texts, so repeated rows follow each other. The last document is followed by
+    the first. Texts are dealt by ranges of about range_bytes, one shuffle for
+    all; each range hands on its first and its last text, and those of
+    neighbouring ranges meet in a join, so no window covers the order.
     """
     spark = docs.sparkSession
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(rows.approxQuantile("key", [i / buckets for i in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
-    # bucket k holds the keys from cut k - 1 up to below cut k
-    bucket = _placed(F.col("key"), [int(c) for c in cuts])
-    largest = {r["bucket"]: r["top"] for r in rows.groupBy(bucket.alias("bucket")).agg(F.max("key").alias("top")).collect()}
-    order = sorted(largest)
-    # the largest key of each bucket is also the guest of the bucket above; the very largest is that of the lowest
-    hosts = {largest[k]: order[(i + 1) % len(order)] for i, k in enumerate(order)}
-    own = rows.select(bucket.alias("bucket"), F.lit(False).alias("guest"), "key", "text")
-    if hosts:
-        above = F.create_map(*[F.lit(x) for k, v in hosts.items() for x in (k, v)])
-        guests = rows.where(F.col("key").isin(list(hosts))).select(above[F.col("key")].alias("bucket"), F.lit(True).alias("guest"), "key", "text")
-        own = own.unionByName(guests)
-    dealt = own.repartition(buckets, "bucket").sortWithinPartitions("bucket", "guest", F.desc("key"))
-    return dealt.mapInArrow(_compare, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("doc_id", key)
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("order"), F.col(text).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
+    placed = [F.desc_nulls_last("key"), F.asc("order")]
+    plain = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    dealt = rows.repartitionByRange(ranges, *placed).sortWithinPartitions(*placed)
+    found = written(dealt.mapInArrow(_compare, f"key bigint, {plain}, head bigint, head_order bigint, head_text string, tail_order bigint, tail_text string"), "ranges")
+    ends = found.where("tail_text is not null")
+    # the ranges in order: a row of two keys for each, as many as there are ranges
+    order = sorted(ends.select("head", "head_order", "key", "tail_order").collect(), key=lambda r: (r["head"] is None, -(r["head"] or 0), r["head_order"]))
+    after = [(x["key"], x["tail_order"], y["head"], y["head_order"]) for x, y in zip(order, [*order[1:], *order[:1]], strict=True)]
+    result = found.where("tail_text is null").select(*_NAMES)
+    if after:
+        links = F.broadcast(spark.createDataFrame(after, "tail bigint, tail_at bigint, next bigint, next_at bigint"))
+        tails = ends.select("key", "tail_order", "tail_text").join(links, F.col("key").eqNullSafe(F.col("tail")) & (F.col("tail_order") == F.col("tail_at")))
+        pairs = tails.join(ends.select("head", "head_order", "head_text"), F.col("next").eqNullSafe(F.col("head")) & (F.col("next_at") == F.col("head_order"))).select("key", "tail_text", "head_text")
+        result = result.unionByName(pairs.mapInArrow(_joined, f"key bigint, {plain}"))
+    return result.withColumnRenamed("key", key)
 
 
 def op8_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
