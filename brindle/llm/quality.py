@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import hinted, kept, table
+from brindle.llm.common import hinted, kept, table, unused
 
 BUCKETS, SAMPLE = 1 << 18, 12_000
 #: Rows of the sample that must have a feature, and standard errors by which their mean grade must differ from all rows', for it to get a weight.
@@ -77,59 +77,71 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Ordinal:
-    """Weights of all features (absent ones 0) and ordered thresholds; grades are 0 to len(thresholds)."""
+    """Weights of all features (absent ones 0), ordered thresholds, and the grades in order, one more than thresholds."""
 
     weights: np.ndarray
     thresholds: np.ndarray
+    levels: np.ndarray
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """Chance of more than each grade but the top one."""
         return _sigmoid(scores[:, None] - self.thresholds[None, :])
 
+    def expected(self, tails: np.ndarray) -> np.ndarray:
+        """Mean grade: the lowest one and, for each further one, its step times the chance of it or more."""
+        return self.levels[0] + tails @ np.diff(self.levels)
+
+
+def loss_and_gradient(theta: np.ndarray, owner: np.ndarray, at: np.ndarray, ranks: np.ndarray, width: int, penalty: float) -> tuple[float, np.ndarray]:
+    """Mean negative log chance of the rows' ranks, with the penalty, and its gradient.
+
+    theta: width weights, the first threshold, and the logarithms of the gaps
+    between thresholds, so that they stay in order. Row owner[i] has feature at[i].
+    """
+    w, free = theta[:width], theta[width:]
+    n, top = len(ranks), len(free)
+    cuts = np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
+    score = np.bincount(owner, w[at], minlength=n)
+    edges = np.concatenate([[-np.inf], cuts, [np.inf]])
+    high, low = _sigmoid(edges[ranks + 1] - score), _sigmoid(edges[ranks] - score)
+    high[ranks == top], low[ranks == 0] = 1.0, 0.0
+    chance = np.maximum(high - low, 1e-12)
+    dh, dl = high * (1 - high) / chance, low * (1 - low) / chance
+    grad_w = np.bincount(at, ((dh - dl) / n)[owner], minlength=width) + penalty * w
+    grad_cut = np.array([(-dh[ranks == k].sum() + dl[ranks == k + 1].sum()) / n for k in range(top)])
+    behind = np.cumsum(grad_cut[::-1])[::-1]
+    return float(-np.log(chance).mean() + penalty * (w @ w) / 2), np.concatenate([grad_w, behind[:1], behind[1:] * np.exp(free[1:])])
+
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, seen: int = SEEN, stands_out: float = STANDS_OUT, steps: int = STEPS, pace: float = PACE, penalty: float = PENALTY) -> Ordinal:
-    """Fit by full-batch gradient steps with momentum and per-weight pace; rows are feature arrays, grades whole numbers from 0."""
-    top = int(grades.max())
+    """Fit by full-batch gradient steps with momentum and per-weight pace; rows are feature arrays, grades whole numbers of any range, gaps included."""
+    levels, ranks = np.unique(grades, return_inverse=True)
+    top = len(levels) - 1
     flat = np.concatenate(rows)
     width = BUCKETS + SHARES * (len(_EDGES) + 1)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     # words by the thousand are in a few rows each; a weight for each would learn the sample by heart
     count = np.bincount(flat, minlength=width)
-    mean = np.bincount(flat, grades[owner].astype(float), minlength=width) / np.maximum(count, 1)
-    error = max(grades.std(), 1e-9) / np.sqrt(np.maximum(count, 1))
-    used = np.flatnonzero((count >= seen) & ((np.abs(mean - grades.mean()) >= stands_out * error) | (np.arange(width) >= BUCKETS)))
+    mean = np.bincount(flat, ranks[owner].astype(float), minlength=width) / np.maximum(count, 1)
+    error = max(ranks.std(), 1e-9) / np.sqrt(np.maximum(count, 1))
+    used = np.flatnonzero((count >= seen) & ((np.abs(mean - ranks.mean()) >= stands_out * error) | (np.arange(width) >= BUCKETS)))
     column = np.full(width, -1)
     column[used] = np.arange(len(used))
     at = column[flat]
     owner, at = owner[at >= 0], at[at >= 0]
-    w = np.zeros(len(used))
-    # thresholds by first one and positive gaps, so that they stay in order
-    shares = np.clip([(grades > k).mean() for k in range(top)], 1e-3, 1 - 1e-3)
+    shares = np.clip([(ranks > k).mean() for k in range(top)], 1e-3, 1 - 1e-3)
     first = np.log((1 - shares) / shares)
     free = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 1e-2))]) if top else np.empty(0)
-    theta = np.concatenate([w, free])
+    theta = np.concatenate([np.zeros(len(used)), free])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    n = len(rows)
-    for step in range(1, steps + 1):
-        w, free = theta[: len(used)], theta[len(used) :]
-        cuts = np.cumsum(np.concatenate([free[:1], np.exp(free[1:])]))
-        score = np.bincount(owner, w[at], minlength=n)
-        edges = np.concatenate([[-np.inf], cuts, [np.inf]])
-        high, low = _sigmoid(edges[grades + 1] - score), _sigmoid(edges[grades] - score)
-        high[grades == top], low[grades == 0] = 1.0, 0.0
-        chance = np.maximum(high - low, 1e-12)
-        dh, dl = high * (1 - high) / chance, low * (1 - low) / chance
-        by_score = (dh - dl) / n
-        grad_w = np.bincount(at, by_score[owner], minlength=len(used)) + penalty * w
-        grad_cut = np.array([(-dh[grades == k].sum() + dl[grades == k + 1].sum()) / n for k in range(top)])
-        behind = np.cumsum(grad_cut[::-1])[::-1]
-        grad = np.concatenate([grad_w, behind[:1], behind[1:] * np.exp(free[1:])])
+    for step in range(1, steps + 1) if top else ():
+        grad = loss_and_gradient(theta, owner, at, ranks, len(used), penalty)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta = theta - pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     weights = np.zeros(width)
     weights[used] = theta[: len(used)]
     free = theta[len(used) :]
-    return Ordinal(weights, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])])))
+    return Ordinal(weights, np.cumsum(np.concatenate([free[:1], np.exp(free[1:])])), levels.astype(float))
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +151,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade", sample: int = SAMPLE) -> Ordinal | None:
-    """Fit on about so many rated documents; ratings: key, grade (from 0, without gaps). None if none is rated.
+    """Fit on about so many rated documents; ratings: key, grade (whole numbers, of which any may be missing). None if none is rated.
 
     Null keys and grades are left out; a key that is rated more than once has its
     least grade.
@@ -164,7 +176,7 @@ def _scored(model: Ordinal):
             scores = np.array([model.weights[features(t.as_py())].sum() for t in batch.column(0)])
             tails = model.tails(scores)
             kept = [batch.column(i) for i in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(tails.sum(1)), pa.array(tails[:, -1] if tails.shape[1] else np.ones(len(scores)))], [*batch.schema.names[1:], "expected_grade", "top_chance"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(model.expected(tails)), pa.array(tails[:, -1] if tails.shape[1] else np.ones(len(scores)))], [*batch.schema.names[1:], "expected_grade", "top_chance"])
 
     return run
 
@@ -176,9 +188,10 @@ def rate(docs: DataFrame, model: Ordinal | None, text: str = "text", keep: list[
     names are replaced.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("expected_grade", "top_chance") and (keep is not None or c != text)]
-    rows = docs.select(F.col(text).alias("__text"), *[F.col(c) for c in keep])
+    body = unused("text", docs.select(*keep))
+    rows = docs.select(F.col(text).alias(body), *[F.col(c) for c in keep])
     if model is None:
-        return rows.drop("__text").withColumns({c: F.lit(None).cast("double") for c in ("expected_grade", "top_chance")})
+        return rows.drop(body).withColumns({c: F.lit(None).cast("double") for c in ("expected_grade", "top_chance")})
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
     return rows.mapInArrow(_scored(model), f"{fields}expected_grade double, top_chance double")
 

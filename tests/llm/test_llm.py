@@ -179,7 +179,7 @@ def test_fingerprints(spark, odd, where):
     texts = dict(docs)
     order = [d for d, _ in docs]
     after = {d: order[(i + 1) % len(order)] for i, d in enumerate(order)}
-    repeated = {8, 4} if where == "odd" else set()
+    repeated = {8, 4, 7, 3} if where == "odd" else set()  # of equal keys and their neighbours, see below
     prints = {}
     for r in ALL["op8_piecewise"](spark, folder).collect():
         assert r.n_chars == len(texts[r.doc_id])
