@@ -1,50 +1,113 @@
-"""Citation markers of one answer: where code stands, groups, markers under another paper's heading, numbers."""
+"""Citation markers of one answer: one scan tells code, headings and markers apart, and every pass works on its tokens."""
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_FENCE = re.compile(r"(```|~~~)(?:.*?\1|.*\Z)", re.S)
-_INLINE = re.compile(r"`[^`\n]*`")
-_MARK = re.compile(r"\[(\d+)\]")
-_GROUP = re.compile(r"\[\d+(?:\s*,\s*\d+)+\]")
-_RUN = re.compile(r"[ \t]*(\[\d+\](?:[ \t]*[,;]?[ \t]*\[\d+\])*)")
-_HEAD = re.compile(r"[ \t]*(?:[-*+][ \t]|\d+\.[ \t]|#)")
 #: Words of a title that a heading must quote in one run.
 TITLE_RUN = 4
 GONE = "[source unavailable]"
+#: What opens a block of code, and closes it.
+FENCES = ("```", "~~~")
+
+
+class Token(NamedTuple):
+    """kind: code, head (a list item's or heading's line) or mark (one or several numbers in brackets)."""
+
+    kind: str
+    start: int
+    end: int
+    numbers: tuple[int, ...] = ()
+
+
+def _fenced(text: str) -> Iterator[tuple[int, int]]:
+    """Blocks of code; one that is never closed runs to the end."""
+    at = 0
+    while opened := [p for p in (text.find(f, at) for f in FENCES) if p >= 0]:
+        start = min(opened)
+        close = text.find(text[start : start + 3], start + 3)
+        at = len(text) if close < 0 else close + 3
+        yield start, at
+
+
+def _quoted(text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
+    """Code between two backticks of one line."""
+    while (start := text.find("`", at, end)) >= 0 and (close := text.find("`", start + 1, end)) >= 0:
+        if "\n" in text[start:close]:
+            at = close
+        else:
+            at = close + 1
+            yield start, at
 
 
 def code_spans(text: str) -> list[tuple[int, int]]:
-    """Where code stands: fences first (an open one runs to the end), then inline code within the prose between them."""
-    fences = [m.span() for m in _FENCE.finditer(text)]
-    edges = [0, *(x for span in fences for x in span), len(text)]
-    inline = [m.span() for a, b in zip(edges[::2], edges[1::2], strict=True) for m in _INLINE.finditer(text, a, b)]
-    return sorted(fences + inline)
+    """Where code stands: blocks first, then what is quoted in the prose between them."""
+    out, at = [], 0
+    for start, end in [*_fenced(text), (len(text), len(text))]:
+        out += [*_quoted(text, at, start), (start, end)]
+        at = end
+    return out[:-1]
+
+
+def _numbers(inner: str) -> tuple[int, ...]:
+    """The numbers of a marker: digits, or several with commas between; none for anything else."""
+    parts = [part.strip() for part in inner.split(",")]
+    return tuple(map(int, parts)) if inner == inner.strip() and all(part.isdecimal() for part in parts) else ()
+
+
+def _marks(text: str, at: int, end: int) -> Iterator[Token]:
+    while (start := text.find("[", at, end)) >= 0:
+        close = text.find("]", start, end)
+        if close < 0:
+            return
+        numbers = _numbers(text[start + 1 : close])
+        if numbers:
+            yield Token("mark", start, close + 1, numbers)
+        at = close + 1 if numbers else start + 1
+
+
+def is_heading(line: str) -> bool:
+    """Whether a line is a heading, or an item of a list."""
+    body = line.lstrip(" \t")
+    mark = body.rstrip("\n").partition(" ")[0].partition("\t")[0]
+    return body.startswith("#") or (mark in ("-", "*", "+") or mark.endswith(".") and mark[:-1].isdecimal()) and body[len(mark) : len(mark) + 1] in (" ", "\t")
+
+
+def scan(text: str) -> list[Token]:
+    """All tokens in order; what stands between them is prose."""
+    code = code_spans(text)
+    tokens = [Token("code", *span) for span in code]
+    prose, at = [], 0
+    for start, end in [*code, (len(text), len(text))]:
+        prose.append((at, start))
+        at = end
+    tokens += [mark for span in prose for mark in _marks(text, *span)]
+    at = 0
+    for line in text.splitlines(keepends=True):
+        if is_heading(line) and not any(start <= at < end for start, end in code):
+            tokens.append(Token("head", at, at + len(line)))
+        at += len(line)
+    return sorted(tokens, key=lambda t: (t.start, t.kind != "head"))
 
 
-def in_prose(pattern: re.Pattern, replace, text: str) -> str:
-    """re.sub() that leaves code alone."""
+def _rewritten(text: str, changes: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
-    for start, end in [*code_spans(text), (len(text), len(text))]:
-        out += [pattern.sub(replace, text[at:start]), text[start:end]]
+    for start, end, new in changes:
+        out += [text[at:start], new]
         at = end
-    return "".join(out)
+    return "".join([*out, text[at:]])
 
 
 def expand(text: str, most: int) -> str:
     """[8, 14] to [8], [14], if all numbers are of the catalog."""
-
-    def each(m: re.Match) -> str:
-        numbers = [int(n) for n in re.findall(r"\d+", m[0])]
-        return ", ".join(f"[{n}]" for n in numbers) if all(0 < n <= most for n in numbers) else m[0]
-
-    return in_prose(_GROUP, each, text)
+    groups = [t for t in scan(text) if len(t.numbers) > 1 and all(0 < n <= most for n in t.numbers)]
+    return _rewritten(text, [(t.start, t.end, ", ".join(f"[{n}]" for n in t.numbers)) for t in groups])
 
 
 def common_run(a: list[str], b: list[str]) -> int:
@@ -59,66 +122,73 @@ def common_run(a: list[str], b: list[str]) -> int:
     return best
 
 
-def headings(text: str, titles: dict[str, str]) -> list[tuple[int, str | None]]:
-    """Places of list items and headings outside code, with the one paper whose title they quote; none on a tie."""
-    words = {p: w for p, t in titles.items() if len(w := re.findall(r"\w+", (t or "").lower())) >= TITLE_RUN}
-    code, out, at = code_spans(text), [], 0
-    for line in text.splitlines(keepends=True):
-        if _HEAD.match(line) and not any(a <= at < b for a, b in code):
-            found = sorted(((common_run(w, re.findall(r"\w+", line.lower())), p) for p, w in words.items()), reverse=True)
-            sure = found and found[0][0] >= TITLE_RUN and (len(found) == 1 or found[1][0] < found[0][0])
-            out.append((at, found[0][1] if sure else None))
-        at += len(line)
+def _words(text: str | None) -> list[str]:
+    return re.findall(r"\w+", (text or "").lower())
+
+
+def named_paper(line: str, titles: dict[str, list[str]]) -> str | None:
+    """The paper whose title, of those given by their words, a line quotes with the longest run of all; none on a tie."""
+    runs = {paper: common_run(title, _words(line)) for paper, title in titles.items()}
+    best = max(runs.values(), default=0)
+    owners = [paper for paper, n in runs.items() if n == best]
+    return owners[0] if best >= TITLE_RUN and len(owners) == 1 else None
+
+
+def _runs(text: str, tokens: list[Token]) -> list[list[Token]]:
+    """Single markers with nothing between them but blanks and at most one comma or semicolon."""
+    out: list[list[Token]] = []
+    for token in tokens:
+        if token.kind == "mark" and len(token.numbers) == 1:
+            beside = out and out[-1][-1].end <= token.start
+            between = text[out[-1][-1].end : token.start].replace("\t", "").replace(" ", "") if beside else "none"
+            if between in ("", ",", ";"):
+                out[-1].append(token)
+            else:
+                out.append([token])
     return out
 
 
 def strip(text: str, papers: dict[int, str], titles: dict[str, str]) -> tuple[str, list[int]]:
     """Markers of another paper than the one a heading names are taken out of what stands below it; numbers that no chunk has stay."""
-    spans = headings(text, titles)
-    starts, dropped = [s for s, _ in spans], []
-    code = code_spans(text)
-
-    def each(m: re.Match) -> str:
-        at = bisect_right(starts, m.start(1)) - 1
-        owner = spans[at][1] if at >= 0 else None
-        if owner is None or any(a <= m.start(1) < b for a, b in code):
-            return m[0]
-        numbers = [int(n) for n in _MARK.findall(m[1])]
-        wrong = [n for n in numbers if papers.get(n, owner) != owner]
-        dropped.extend(wrong)
-        left = [f"[{n}]" for n in numbers if papers.get(n, owner) == owner]
-        if not wrong:
-            return m[0]
-        glue = ", " if "," in m[1] else "; " if ";" in m[1] else " "
-        return m[0][: m.start(1) - m.start()] + glue.join(left) if left else ""
-
-    return _RUN.sub(each, text), dropped
+    known = {paper: words for paper, title in titles.items() if len(words := _words(title)) >= TITLE_RUN}
+    tokens = scan(text)
+    heads = [(t.start, named_paper(text[t.start : t.end], known)) for t in tokens if t.kind == "head"]
+    changes, dropped = [], []
+    for run in _runs(text, tokens):
+        owner = next((paper for start, paper in reversed(heads) if start <= run[0].start), None)
+        stay = [t for t in run if owner is None or papers.get(t.numbers[0], owner) == owner]
+        if len(stay) < len(run):
+            dropped += [t.numbers[0] for t in run if t not in stay]
+            inside = text[run[0].start : run[-1].end]
+            mark = next((c for c in ",;" if c in inside), "")
+            # with nothing left, the blanks in front go too
+            start = run[0].start if stay else len(text[: run[0].start].rstrip(" \t"))
+            changes.append((start, run[-1].end, f"{mark} ".join(text[t.start : t.end] for t in stay)))
+    return _rewritten(text, changes), dropped
 
 
 def renumber(text: str, most: int) -> tuple[str, dict[int, int]]:
     """Numbers from 1 in order of appearance in prose; a number that the catalog does not have is said to be gone."""
     new: dict[int, int] = {}
-
-    def each(m: re.Match) -> str:
-        n = int(m[1])
-        return f"[{new.setdefault(n, len(new) + 1)}]" if 0 < n <= most else GONE
-
-    return in_prose(_MARK, each, text), new
+    marks = [t for t in scan(text) if len(t.numbers) == 1]
+    shown = [f"[{new.setdefault(t.numbers[0], len(new) + 1)}]" if 0 < t.numbers[0] <= most else GONE for t in marks]
+    return _rewritten(text, [(t.start, t.end, s) for t, s in zip(marks, shown, strict=True)]), new
 
 
 def tokenise(text: str, valid: set[int]) -> list[tuple[str, str, list[int]]]:
     """(kind, value, run) pieces: prose, and markers with the run of markers they stand in."""
-    hits = [m for m in _MARK.finditer(text) if int(m[1]) in valid]
-    run_of, run = [], -1
-    for i, m in enumerate(hits):
-        run += not i or not re.fullmatch(r"(?:\s|,|;|and|or)*", text[hits[i - 1].end() : m.start()])
-        run_of.append(run)
+    marks = [t for t in _marks(text, 0, len(text)) if len(t.numbers) == 1 and t.numbers[0] in valid]
+    runs: list[list[Token]] = []
+    for mark in marks:
+        beside = bool(runs) and not re.sub(r"\s|,|;|and|or", "", text[runs[-1][-1].end : mark.start])
+        runs[-1].append(mark) if beside else runs.append([mark])
     out, at = [], 0
-    for i, m in enumerate(hits):
-        if m.start() > at:
-            out.append(("text", text[at : m.start()], []))
-        out.append(("cite", m[1], [int(h[1]) for h, r in zip(hits, run_of, strict=True) if r == run_of[i]]))
-        at = m.end()
+    for run in runs:
+        for mark in run:
+            if mark.start > at:
+                out.append(("text", text[at : mark.start], []))
+            out.append(("cite", text[mark.start + 1 : mark.end - 1], [t.numbers[0] for t in run]))
+            at = mark.end
     return out + [("text", text[at:], [])] if at < len(text) or not out else out
 
 
