@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.store import hinted
+
+#: Anchors of needles that are broadcast at most, and needles without an anchor that are tried on every text.
+ANCHORS_AT_ONCE, SHORT_AT_ONCE = 1_000_000, 500
+
 
 def replace_groups(base: DataFrame, new: DataFrame, touched: DataFrame, group: str) -> DataFrame:
     """base without the rows of touched groups, and new instead; a touched group without new rows is emptied."""
@@ -65,19 +70,27 @@ def anchored_contains(docs: DataFrame, needles: DataFrame, doc: str, text: str,
     """Pairs (doc, needle) where the text contains the needle, case and all, without comparing all with all.
 
     A run of whole words from within the needle must stand in the text, so runs
-    are joined by hash and only those pairs are looked at. Needles with fewer
-    words than run + 2 have no such run and are tried on every text; they are few
-    or broadcast by size.
+    are joined by hash and only those pairs are looked at. Needles of one or two
+    words have no whole word within and are tried on every text, one after
+    another: they are broadcast, and must be SHORT_AT_ONCE at most.
     """
     inner = lambda t: F.filter(F.split(t, r"\s+"), lambda x: x != "")
     n = needles.select(F.col(needle).alias("needle"), F.col(needle_text).alias("wanted")).where(F.char_length("wanted") > 0)
     counted = n.withColumn("parts", inner(F.col("wanted")))
-    long = counted.where(F.size("parts") >= run + 2).select("needle", F.slice("parts", 2, run).alias("parts"))
+    # of the words within, as many as a run has, or all there are
+    long = counted.where(F.size("parts") >= 3).select("needle", F.slice("parts", F.lit(2), F.least(F.lit(run), F.size("parts") - 2)).alias("parts"))
     d = docs.select(F.col(doc).alias("doc"), F.col(text).alias("body"))
-    grams = word_runs(d.select("doc", inner(F.col("body")).alias("parts")), "parts", F.lit(run), run)
-    anchors = word_runs(long, "parts", F.lit(run), run).select("needle", "gram")
-    hits = grams.select("doc", "gram").join(anchors, "gram").select("doc", "needle").distinct()
+    anchors = word_runs(long, "parts", F.size("parts"), run).select("needle", "gram")
+    widths = sorted(r[0] for r in long.select(F.size("parts").alias("width")).distinct().collect())
+    parts = d.select("doc", inner(F.col("body")).alias("parts"), F.explode(F.array(*map(F.lit, widths or [run]))).alias("width"))
+    grams = word_runs(parts, "parts", F.col("width"), run)
+    hits = grams.select("doc", "gram").join(hinted(anchors, ANCHORS_AT_ONCE), "gram").select("doc", "needle").distinct()
     by_anchor = hits.join(n, "needle").join(d, "doc").where(F.contains("body", "wanted")).select("doc", "needle")
-    short = counted.where(F.size("parts") < run + 2).select("needle", "wanted")
-    by_trying = d.join(short, F.contains(d["body"], short["wanted"])).select("doc", "needle")
+    short = counted.where(F.size("parts") < 3).select(F.struct("needle", "wanted").alias("one")).limit(SHORT_AT_ONCE + 1).collect()
+    if len(short) > SHORT_AT_ONCE:
+        raise ValueError(f"more than {SHORT_AT_ONCE} needles of one or two words")
+    if not short:
+        return by_anchor
+    tried = [F.when(F.contains("body", F.lit(r.one.wanted)), F.lit(r.one.needle)) for r in short]
+    by_trying = d.select("doc", F.explode(F.array_compact(F.array(*tried))).alias("needle"))
     return by_anchor.unionByName(by_trying)

@@ -11,30 +11,80 @@ from pyspark.sql import types as T
 
 from brindle.config import CONFIG
 from brindle.functions.folding import fold, folded
-from brindle.plans.ingest import title_spans
+from brindle.operators import keyed
 
-_NAME = r"[^\W\d_][\w'\u2019-]*"
-ATTRIBUTIONS = [re.compile(p) for p in (rf"\bauthored\s+by\s+((?:{_NAME}\s*){{1,3}})", rf"\bby\s+((?:{_NAME}\s*){{1,3}})", rf"\b({_NAME})\s+et\s+al\b", rf"\b({_NAME})['\u2019]s\b")]
+#: Words that a name after "by" may have.
+NAME_WORDS = 3
 YEAR = r"\b((?:19|20)\d{2})\b"
 
 
-def attributed(question: str | None) -> list[str]:
-    """Capitalised names that a question attributes something to, in order of the constructions."""
-    out = []
-    for pattern in ATTRIBUTIONS:
-        for m in pattern.finditer(question or ""):
-            words = m[1].split()
-            stop = next((i for i, w in enumerate(words) if not w[0].isupper()), len(words))
-            if stop:
-                out.append(" ".join(words[:stop]))
+def _words(question: str) -> list[tuple[str, bool]]:
+    """Words that begin with a letter, and whether only blanks stand between each and the one before; apostrophes and hyphens are part of them."""
+    out, behind = [], -1
+    for m in re.finditer(r"[\w'\u2019-]+", question):
+        start = next((i for i, c in enumerate(m[0]) if c.isalpha()), len(m[0]))
+        # a word cannot begin behind a digit or underscore that it would be one with
+        if start < len(m[0]) and (start == 0 or not (m[0][start - 1].isalnum() or m[0][start - 1] == "_")):
+            out.append((m[0][start:], start == 0 and behind >= 0 and not question[behind : m.start()].strip()))
+        behind = m.end()
     return out
 
 
+def _capitals(words: list[str]) -> str:
+    stop = next((i for i, word in enumerate(words) if not word[0].isupper()), len(words))
+    return " ".join(words[:stop])
+
+
+def _owner(word: str) -> str:
+    """The word before the last possessive ending in it; empty if it has none."""
+    for at in range(len(word) - 2, 0, -1):
+        if word[at] in "'\u2019" and word[at + 1] == "s" and not (word[at + 2 : at + 3].isalnum() or word[at + 2 : at + 3] == "_"):
+            return word[:at]
+    return ""
+
+
+def attributed(question: str | None) -> list[str]:
+    """Capitalised names that a question attributes something to: authored by, by, et al., possessive, in order of the constructions."""
+    words = _words(question or "")
+    found: dict[int, list[str]] = {0: [], 1: [], 2: [], 3: []}
+    for i, (word, _) in enumerate(words):
+        joined = [next_ for next_, beside in words[i + 1 : i + 1 + NAME_WORDS]]
+        run = next((k for k, (_, beside) in enumerate(words[i + 1 : i + 1 + NAME_WORDS]) if not beside), len(joined))
+        if word == "by":
+            name = _capitals(joined[:run])
+            found[1].append(name)
+            if i and words[i - 1][0] == "authored" and words[i][1]:
+                found[0].append(name)
+        if run >= 2 and joined[:2] == ["et", "al"]:
+            found[2].append(_capitals([word]))
+        if owner := _owner(word):
+            found[3].append(_capitals([owner]))
+    return [name for names in found.values() for name in names if name]
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType()))])))
 def attributions(questions: pd.Series) -> pd.Series:
     return questions.map(lambda q: [(n, fold(n).split()) for n in attributed(q)])
 
 
+def title_spans(asked: DataFrame, titled: DataFrame, least: int = 4) -> DataFrame:
+    """Rows (question_id, paper_id, span, n): the longest run of a title's words (least or more, or all of a shorter title) that a question holds.
+
+    Runs of so many words are joined by hash; hits that follow each other in
+    both texts are one run. asked: question_id, words; titled: paper_id, words.
+    """
+    width = F.least(F.lit(least), F.size("words"))
+    some = titled.where(F.size("words") > 0).withColumn("width", width)
+    titles = keyed.word_runs(some.select("paper_id", "words", "width"), "words", F.col("width"), least, "i")
+    widths = F.explode(F.sequence(F.lit(1), F.lit(least))).alias("width")
+    questions = keyed.word_runs(asked.select("question_id", "words", widths), "words", F.col("width"), least, "j")
+    hits = titles.join(questions, ["gram", "width"]).select("question_id", "paper_id", "width", "i", (F.col("j") - F.col("i")).alias("shift")).distinct()
+    run = F.col("i") - F.row_number().over(Window.partitionBy("question_id", "paper_id", "shift").orderBy("i"))
+    runs = hits.withColumn("run", run).groupBy("question_id", "paper_id", "width", "shift", "run").agg(F.min("i").alias("first"), F.count("*").alias("hits"))
+    best = runs.withColumn("n", F.col("hits") + F.col("width") - 1).groupBy("question_id", "paper_id").agg(F.max(F.struct("n", (-F.col("first")).alias("f"))).alias("top"))
+    return best.join(titled, "paper_id").select("question_id", "paper_id", F.array_join(F.slice("words", (1 - F.col("top.f")).cast("int"), F.col("top.n").cast("int")), " ").alias("span"), "top.n")
+
+
 def author_hits(questions: DataFrame, papers: DataFrame) -> DataFrame:
     """Rows (question_id, paper_id, name): the longest beginning of a name whose words one paper's authors have; the first name of a paper counts.
 

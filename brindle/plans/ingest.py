@@ -9,7 +9,9 @@ from brindle.bindings import PAPERS_SQL, WORDS_SQL, papers, table
 from brindle.config import CONFIG as C
 from brindle.functions import text as X
 from brindle.operators import keyed, lexical
+from brindle.operators.resolve import title_spans
 from brindle.registry import register
+from brindle.store import in_order
 
 STEP = C.chunk_words - C.chunk_overlap
 WINDOWS_SQL = f"w AS (SELECT doc_id, {WORDS_SQL.format('text')} AS w FROM documents), chunked AS (SELECT doc_id, unnest(range(0, CAST(greatest(0, ceil((len(w) - {C.chunk_words}) / CAST({STEP} AS DOUBLE))) AS BIGINT) + 1)) AS chunk_index, w FROM w WHERE len(w) > 0), chunk_texts AS (SELECT doc_id, chunk_index, array_to_string(w[chunk_index * {STEP} + 1 : chunk_index * {STEP} + {C.chunk_words}], ' ') AS chunk FROM chunked)"
@@ -57,37 +59,35 @@ def html_title(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", X.html_title(X.head_of_page(F.col("html"))).alias("title"))
 
 
-VARIANTS_SQL = "v AS (SELECT page_id * 3 AS pos, url, concat('S', page_id, '.') AS summary FROM pages UNION ALL SELECT page_id * 3 + 1, concat('HTTPS://www.', split_part(url, '://', 2), '/'), concat('S', page_id, '.') FROM pages UNION ALL SELECT page_id * 3 + 2, split_part(url, '://', 2), concat('T', page_id % 2, '.') FROM pages)"
+VARIANTS_SQL = "v AS (SELECT page_id * 3 AS pos, url, concat('S', page_id, '.') AS summary FROM pages UNION ALL SELECT page_id * 3 + 1, concat('HTTPS://www.', split_part(url, '://', 2), '/'), concat('S', page_id, '.') FROM pages UNION ALL SELECT page_id * 3 + 2, split_part(url, '://', 2), CASE WHEN page_id % 5 = 0 THEN concat(page_id, '.') ELSE concat('T', page_id % 2, '.') END FROM pages)"
 NORM_SQL = "regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^.*?://', ''), '^www\\.', ''), '/+$', '')"
 
 
 def findings(spark: SparkSession, sf: str) -> DataFrame:
-    """Each page's address in three spellings, so that there is something to merge."""
+    """Each page's address in three spellings, so that there is something to merge; every fifth page's last summary stands within its first."""
     pages = table(spark, sf, "pages")
     rest = F.split_part("url", F.lit("://"), F.lit(2))
     named = lambda i, url, summary: F.struct((F.col("page_id") * 3 + i).alias("pos"), url.alias("url"), summary.alias("summary"))
     own = F.concat(F.lit("S"), F.col("page_id").cast("string"), F.lit("."))
-    return pages.select(F.inline(F.array(named(0, F.col("url"), own), named(1, F.concat(F.lit("HTTPS://www."), rest, F.lit("/")), own), named(2, rest, F.concat(F.lit("T"), (F.col("page_id") % 2).cast("string"), F.lit("."))))))
+    return pages.select(F.inline(F.array(named(0, F.col("url"), own), named(1, F.concat(F.lit("HTTPS://www."), rest, F.lit("/")), own), named(2, rest, F.when(F.col("page_id") % 5 == 0, F.concat(F.col("page_id").cast("string"), F.lit("."))).otherwise(F.concat(F.lit("T"), (F.col("page_id") % 2).cast("string"), F.lit(".")))))))
 
 
 def source_catalog(rows: DataFrame) -> DataFrame:
     """Rows (key, n, url, summary): sources by canonical address, numbered in order of appearance, with the summaries that add something.
 
-    Numbers come from two windows: within a block of positions, and over one row
-    for each block, so no window covers all sources.
+    A summary that stands within what is there already adds nothing. Numbers come
+    from sorted ranges, so no window covers all sources.
     """
     keyed_rows = rows.withColumn("key", X.canonical_url(F.col("url"))).where("key <> ''")
     grouped = keyed_rows.groupBy("key").agg(F.min(F.struct("pos", "url")).alias("first"), F.array_sort(F.collect_set(F.struct("pos", "summary"))).alias("all"))
     merged = F.aggregate("all", F.lit(""), lambda s, x: F.when(F.coalesce(F.contains(s, x["summary"]), F.lit(True)), s).otherwise(F.trim(F.concat_ws(" ", F.nullif(s, F.lit("")), x["summary"]))))
-    flat = grouped.select("key", "first.pos", "first.url", merged.alias("summary"), F.floor(F.col("first.pos") / 65536).alias("block"))
-    sizes = flat.groupBy("block").agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
-    return flat.join(F.broadcast(before), "block").select("key", (F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy("pos"))).alias("n"), "url", "summary")
+    flat = in_order(grouped.select("key", "first.pos", "first.url", merged.alias("summary")), ["pos"], "n")
+    return flat.select("key", (F.col("n") + 1).alias("n"), "url", "summary")
 
 
 @register(
     "url_canonical_catalog",
-    f"WITH {VARIANTS_SQL}, k AS (SELECT *, {NORM_SQL} AS key FROM v), f AS (SELECT key, min(pos) AS pos, count(*) AS spellings FROM k WHERE key <> '' GROUP BY key), s AS (SELECT k.key, k.summary, min(k.pos) AS pos FROM k GROUP BY k.key, k.summary), m AS (SELECT key, string_agg(summary, ' ' ORDER BY pos) AS summary FROM s GROUP BY key) SELECT f.key, row_number() OVER (ORDER BY f.pos) AS n, k.url, m.summary FROM f JOIN k ON k.pos = f.pos JOIN m ON m.key = f.key",
+    f"WITH {VARIANTS_SQL}, k AS (SELECT *, {NORM_SQL} AS key FROM v), f AS (SELECT key, min(pos) AS pos, count(*) AS spellings FROM k WHERE key <> '' GROUP BY key), s AS (SELECT k.key, k.summary, min(k.pos) AS pos FROM k GROUP BY k.key, k.summary), m AS (SELECT key, string_agg(summary, ' ' ORDER BY pos) AS summary FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.key = s.key AND t.pos < s.pos AND contains(t.summary, s.summary)) GROUP BY key) SELECT f.key, row_number() OVER (ORDER BY f.pos) AS n, k.url, m.summary FROM f JOIN k ON k.pos = f.pos JOIN m ON m.key = f.key",
 )
 def url_canonical_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return source_catalog(findings(spark, sf))
@@ -203,12 +203,16 @@ def tree_order(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("kind").orderBy(F.lower("name"), "name")).cast("long"))
 
 
-@register("tree_digest", "WITH e AS (SELECT source, doc_id, sha256(text) AS h FROM documents) SELECT source, sha256(concat('pdflatex', chr(1), 'main.tex', chr(1), string_agg(concat(doc_id, chr(1), h), chr(1) ORDER BY doc_id))) AS digest FROM e GROUP BY source")
+DIGEST_FILES = 1024
+
+
+@register("tree_digest", f"WITH e AS (SELECT source, doc_id, sha256(text) AS h FROM documents), b AS (SELECT source, doc_id // {DIGEST_FILES} AS block, sha256(string_agg(concat(doc_id, chr(1), h), chr(1) ORDER BY doc_id)) AS d FROM e GROUP BY source, doc_id // {DIGEST_FILES}) SELECT source, sha256(concat('pdflatex', chr(1), 'main.tex', chr(1), string_agg(d, chr(1) ORDER BY block))) AS digest FROM b GROUP BY source")
 def tree_digest(spark: SparkSession, sf: str) -> DataFrame:
-    """Digest of a set of files in order of their path: 64 hex digits a file are gathered, never contents."""
-    each = table(spark, sf, "documents").select("source", "doc_id", F.sha2("text", 256).alias("h"))
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: F.concat(x["doc_id"].cast("string"), F.lit("\x01"), x["h"])), "\x01")
-    return each.groupBy("source").agg(F.sha2(F.concat(F.lit("pdflatex\x01main.tex\x01"), parts), 256).alias("digest"))
+    """Digest of a set of files in order of their path: of blocks of files first, then of the blocks' digests; contents are never gathered."""
+    each = table(spark, sf, "documents").select("source", F.floor(F.col("doc_id") / DIGEST_FILES).alias("block"), "doc_id", F.sha2("text", 256).alias("h"))
+    joined = lambda rows, shown: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*rows))), shown), "\x01")
+    blocks = each.groupBy("source", "block").agg(F.sha2(joined(["doc_id", "h"], lambda x: F.concat(x["doc_id"].cast("string"), F.lit("\x01"), x["h"])), 256).alias("d"))
+    return blocks.groupBy("source").agg(F.sha2(F.concat(F.lit("pdflatex\x01main.tex\x01"), joined(["block", "d"], lambda x: x["d"])), 256).alias("digest"))
 
 
 @register("skip_loaded", f"WITH {PAPERS_SQL} SELECT p.paper_id, p.project_id, p.title FROM papers p WHERE p.paper_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -223,24 +227,6 @@ n AS (SELECT paper_id, t, unnest(range(least(4, len(t)), len(t) + 1)) AS n FROM
 hit AS (SELECT q.item_id, s.paper_id, s.span, s.n, s.i FROM q JOIN s ON contains(q.q, concat(' ', s.span, ' '))), best AS (SELECT item_id, paper_id, span, n FROM hit QUALIFY row_number() OVER (PARTITION BY item_id, paper_id ORDER BY n DESC, i) = 1)"""
 
 
-def title_spans(asked: DataFrame, titled: DataFrame, least: int = 4) -> DataFrame:
-    """Rows (question_id, paper_id, span, n): the longest run of a title's words (least or more, or all of a shorter title) that a question holds.
-
-    Runs of so many words are joined by hash; hits that follow each other in
-    both texts are one run. asked: question_id, words; titled: paper_id, words.
-    """
-    width = F.least(F.lit(least), F.size("words"))
-    some = titled.where(F.size("words") > 0).withColumn("width", width)
-    titles = keyed.word_runs(some.select("paper_id", "words", "width"), "words", F.col("width"), least, "i")
-    lengths = some.select("width").distinct()
-    questions = keyed.word_runs(asked.crossJoin(F.broadcast(lengths)), "words", F.col("width"), least, "j")
-    hits = titles.join(questions, ["gram", "width"]).select("question_id", "paper_id", "width", "i", (F.col("j") - F.col("i")).alias("shift")).distinct()
-    run = F.col("i") - F.row_number().over(Window.partitionBy("question_id", "paper_id", "shift").orderBy("i"))
-    runs = hits.withColumn("run", run).groupBy("question_id", "paper_id", "width", "shift", "run").agg(F.min("i").alias("first"), F.count("*").alias("hits"))
-    best = runs.withColumn("n", F.col("hits") + F.col("width") - 1).groupBy("question_id", "paper_id").agg(F.max(F.struct("n", (-F.col("first")).alias("f"))).alias("top"))
-    return best.join(titled, "paper_id").select("question_id", "paper_id", F.array_join(F.slice("words", (1 - F.col("top.f")).cast("int"), F.col("top.n").cast("int")), " ").alias("span"), "top.n")
-
-
 @register("title_span_resolve", f"WITH {SPANS_SQL} SELECT b.item_id AS question_id, b.paper_id, b.span, b.n, count(*) OVER (PARTITION BY b.item_id, b.span) > 1 AS ambiguous FROM best b")
 def title_span_resolve(spark: SparkSession, sf: str) -> DataFrame:
     """Papers whose title a question quotes; a run that several papers claim is ambiguous."""
