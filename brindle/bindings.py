@@ -23,18 +23,22 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("paper_id"), F.col("source").alias("project_id"), F.array_join(F.slice(words(F.col("text")), 1, TITLE_WORDS), " ").alias("title"), F.col("text").alias("body"), "lang")
 
 
-def chunks(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
-    """id, paper_id, embedding, project_id, and the text if it is asked for."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("project_id"), *(["text"] if text else []))
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("paper_id"), "embedding")
-    return vectors.join(docs, "id")
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, paper_id, embedding of every chunk: for searches that need no text, so nothing is joined."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("paper_id"), "embedding")
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, paper_id, embedding, project_id and text of the chunks that have a text."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("project_id"), "text")
+    return vectors(spark, sf_dir).join(docs, "id")
 
 
 def questions(spark: SparkSession, sf_dir: str, rest: int = 0, sign: int = 1) -> DataFrame:
     """question_id, paper_id, embedding: the stated query set is every twentieth vector; negated ones serve as off-topic questions."""
-    vectors = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == rest)
+    asked = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == rest)
     turned = F.col("embedding") if sign > 0 else F.transform("embedding", lambda x: -x)
-    return vectors.select(F.col("vec_id").alias("question_id"), F.col("label").alias("paper_id"), turned.alias("embedding"))
+    return asked.select(F.col("vec_id").alias("question_id"), F.col("label").alias("paper_id"), turned.alias("embedding"))
 
 
 def question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +61,6 @@ def distance_sql(a: str, b: str) -> str:
     return f"round(greatest(list_cosine_distance({a}, {b}), 0), 9)"
 
 
-#: Every pair of question and chunk; a fresh vector search would keep the nearest only.
+#: Every pair of question and chunk; a fresh vector search would keep the nearest only. Without texts all vectors are chunks.
 DISTANCES_SQL = f"{CHUNKS_SQL}, {QUESTIONS_SQL}, pairs AS (SELECT question_id, own, id, paper_id, {distance_sql('v', 'qv')} AS distance FROM questions CROSS JOIN chunks)"
+VECTORS_SQL = f"chunks AS (SELECT vec_id AS id, label AS paper_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), {QUESTIONS_SQL}, pairs AS (SELECT question_id, own, id, paper_id, {distance_sql('v', 'qv')} AS distance FROM questions CROSS JOIN chunks)"

@@ -14,7 +14,11 @@ PALETTE = ("#3B82F6", "#8B5CF6", "#EC4899", "#EF4444", "#F97316", "#EAB308", "#2
 #: Beginnings of words that ask for authors, year or venue.
 METADATA_WORDS = ("author", "wrote", "written", "who", "year", "when", "dat", "publish", "publication", "venue", "journal", "conference", "proceeding", "cit", "newest", "latest", "oldest", "recent", "earliest")
 METADATA = rf"(?i)(?:^|[^a-z0-9_])(?:{'|'.join(METADATA_WORDS)})|(?:^|[^a-z0-9_])(?:19|20)[0-9]{{2}}(?:$|[^a-z0-9_])"
+#: Fixed value: what a caption looks like.
 CAPTION = r"(?i)((?:Figure|Fig\.?)\s+\d+[.:—-]?\s+\S[^\n]{4,300})"
+#: What a DOI looks like, and where arXiv keeps its PDFs.
+DOI = r"10\.\d{4,}/[^\s\"<>]+"
+ARXIV_PDF = r"^(https?://arxiv\.org)/pdf/"
 TITLE_CHARS, ABSTRACT_CHARS, PAGE_CHARS = 300, 4000, 200_000
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
@@ -64,14 +68,15 @@ def html_abstract(html: Column) -> Column:
 
 
 def doi(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"(10\.\d{4,9}/[^\s\"'<>?#]+)", 1), F.lit(""))
+    """The first DOI: its prefix of four digits or more, and what follows the slash up to a blank, a double quote or an angle bracket."""
+    return F.nullif(F.regexp_extract(text, DOI, 0), F.lit(""))
 
 
 def abstract_page(url: Column) -> Column:
-    """An arXiv PDF's address as that of its abstract page; any other as it is."""
-    found = F.regexp_extract(url, r"(?i)^(https?://(?:www\.)?arxiv\.org)/pdf/([^?#]+?)(?:\.pdf)?(?:[?#].*)?$", 1)
-    paper = F.regexp_extract(url, r"(?i)^(https?://(?:www\.)?arxiv\.org)/pdf/([^?#]+?)(?:\.pdf)?(?:[?#].*)?$", 2)
-    return F.when(found != "", F.concat(found, F.lit("/abs/"), paper)).otherwise(url)
+    """An arXiv PDF's address as that of its abstract page, whatever is behind the paper's number; any other as it is."""
+    paper = F.regexp_replace(F.regexp_replace(url, f"(?i){ARXIV_PDF}", ""), r"(?i)(?<=.)\.pdf$", "")
+    site = F.regexp_extract(url, f"(?i){ARXIV_PDF}", 1)
+    return F.when((site != "") & (paper != ""), F.concat(site, F.lit("/abs/"), paper)).otherwise(url)
 
 
 def captions(text: Column) -> Column:

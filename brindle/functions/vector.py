@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 #: Decimals of a distance that count; ties beyond them go by id.
 DECIMALS = 9
-#: Questions that are compared in one pass over the corpus, and pairs whose distances are held at once.
-QUESTIONS_AT_ONCE, PAIRS_AT_ONCE = 1024, 1 << 22
+#: Questions of a block, rows of a pack (fewer if they are wide), and bytes of a pack.
+QUESTIONS_AT_ONCE, ROWS_AT_ONCE, PACK_BYTES = 1024, 4096, 8 << 20
+#: Bytes of all questions up to which they are broadcast, and blocks whose state a task remembers.
+BROADCAST_BYTES, BLOCKS_AT_ONCE = 32 << 20, 64
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -49,108 +51,135 @@ def _cut(found: list[np.ndarray], keep: int, by_group: bool) -> list[np.ndarray]
 
 
 class _Block:
-    """Questions of one pass: ids, unit vectors, and the groups that each may find (all, if None)."""
+    """Questions of one block: ids, unit vectors, the groups that each may find (all, if None), and how far each may look."""
 
-    def __init__(self, rows: list, gate: float | None):
-        self.ids = np.array([r["question_id"] for r in rows], np.int64)
-        self.vectors = _unit(pa.array([list(map(float, r["embedding"])) for r in rows], pa.list_(pa.float64())))
-        self.scopes = [None if r["scope"] is None else np.array(sorted(r["scope"]), np.int64) for r in rows]
-        gates = [r["gate"] if r["gate"] is not None else gate for r in rows]
+    def __init__(self, asked: pa.StructArray, gate: float | None):
+        self.ids = asked.field("question_id").to_numpy(zero_copy_only=False)
+        self.vectors = _unit(asked.field("embedding"))
+        self.scopes = [None if not s.is_valid else s.values.to_numpy(zero_copy_only=False) for s in asked.field("scope")]
+        gates = [gate if g is None else g for g in asked.field("gate").to_pylist()]
         self.gates = np.array([np.inf if g is None else g for g in gates])
-
-    def distances(self, batch: pa.RecordBatch, skip_self: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Blocks of (ids, groups, distances questions x rows); what must not be found is nan."""
-        step = max(1, PAIRS_AT_ONCE // max(1, len(self.ids)))
-        for start in range(0, batch.num_rows, step):
-            part = batch.slice(start, step)
-            ids, groups = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-            found = np.round(np.maximum(1 - self.vectors @ _unit(part.column(2)).T, 0), DECIMALS)
-            found[~(found < self.gates[:, None])] = np.nan
-            for i, scope in enumerate(self.scopes):
-                if scope is not None:
-                    found[i, ~np.isin(groups, scope)] = np.nan
-            if skip_self:
-                found[self.ids[:, None] == ids[None, :]] = np.nan
-            yield ids, groups, found
-
-
-def _search(block: _Block, keep: int, by_group: bool, skip_self: bool):
+        self.nearest: np.ndarray | None = None
+
+    def distances(self, ids: np.ndarray, groups: np.ndarray, units: np.ndarray, skip_self: bool) -> np.ndarray:
+        """Questions x rows; what must not be found is nan."""
+        found = np.round(np.maximum(1 - self.vectors @ units.T, 0), DECIMALS)
+        found[~(found < self.gates[:, None])] = np.nan
+        for i, scope in enumerate(self.scopes):
+            if scope is not None:
+                found[i, ~np.isin(groups, scope)] = np.nan
+        if skip_self:
+            found[self.ids[:, None] == ids[None, :]] = np.nan
+        return found
+
+    def bound(self, found: np.ndarray, keep: int) -> np.ndarray:
+        """The keep-th least distance of each question among all rows that this task has seen."""
+        seen = np.where(np.isnan(found), np.inf, found)
+        if self.nearest is not None:
+            seen = np.hstack([self.nearest, seen])
+        self.nearest = np.partition(seen, keep - 1, axis=1)[:, :keep] if seen.shape[1] > keep else seen
+        return self.nearest.max(1) if self.nearest.shape[1] == keep else np.full(len(found), np.inf)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, group, vector) to packs of many rows: arrays as bytes. Null and zero vectors are left out."""
+    for batch in batches:
+        widths = np.array([len(x) if x.is_valid else 0 for x in batch.column(2)])
+        for width in np.unique(widths[widths > 0]):
+            part = batch.filter(pa.array(widths == width))
+            units = _unit(part.column(2))
+            good = ~np.isnan(units).any(1)
+            units, ids, groups = units[good], part.column(0).to_numpy(zero_copy_only=False)[good], part.column(1).to_numpy(zero_copy_only=False)[good]
+            step = max(1, min(ROWS_AT_ONCE, PACK_BYTES // (8 * int(width))))
+            for k in range(0, len(ids), step):
+                packed = [pa.array([x[k : k + step].tobytes()], pa.binary()) for x in (ids, groups, units)]
+                yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), *packed], ["width", "ids", "groups", "units"])
+
+
+def _met(batches: Iterator[pa.RecordBatch], gate: float | None) -> Iterator[tuple[_Block, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each pack with each block of questions that it has been dealt; a block that comes again soon keeps what it knows."""
+    blocks: dict[tuple[int, int], _Block] = {}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ids, groups, units = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((1, np.int64), (2, np.int64), (3, np.float64)))
+            key = batch.column(4)[i].as_py(), batch.column(0)[i].as_py()
+            if key not in blocks:
+                if len(blocks) >= BLOCKS_AT_ONCE:
+                    blocks.pop(next(iter(blocks)))
+                blocks[key] = _Block(batch.column(5)[i].values, gate)
+            yield blocks[key], ids, groups, units.reshape(len(ids), -1)
+
+
+_FOUND = ["question_id", "id", "paper_id", "distance"]
+
+
+def _search(keep: int, by_group: bool, skip_self: bool, gate: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64)]
-        names = ["question_id", "id", "paper_id", "distance"]
-        bound = np.full(len(block.ids), np.inf)
-        for batch in batches:
-            for ids, groups, found in block.distances(batch, skip_self):
-                q, r = np.nonzero(found <= bound[:, None])
-                best = _cut([np.concatenate([a, b]) for a, b in zip(best, (block.ids[q], ids[r], groups[r], found[q, r]), strict=True)], keep, by_group)
-                if by_group:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names)
-                    best = [c[:0] for c in best]
-                else:
-                    # once a question has all it keeps, only rows as near as its farthest are looked at
-                    which, first, count = np.unique(best[0], return_index=True, return_counts=True)
-                    full = count >= keep
-                    bound[np.searchsorted(block.ids, which[full])] = best[3][first[full] + keep - 1]
-        if len(best[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names)
+        for block, ids, groups, units in _met(batches, gate):
+            found = block.distances(ids, groups, units, skip_self)
+            q, r = np.nonzero(~np.isnan(found) if by_group else found <= block.bound(found, keep)[:, None])
+            best = _cut([block.ids[q], ids[r], groups[r], found[q, r]], keep, by_group)
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], _FOUND)
 
     return run
 
 
-def _counted(block: _Block, gates: list[float], skip_self: bool):
+def _counted(gates: list[float], skip_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(block.ids), len(gates)), np.int64)
-        for batch in batches:
-            for _, _, found in block.distances(batch, skip_self):
-                total += np.stack([(found < g).sum(1) for g in gates], 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block.ids, len(gates))), pa.array(np.tile(np.array(gates), len(block.ids))), pa.array(total.reshape(-1))], ["question_id", "gate", "n"])
+        for block, ids, groups, units in _met(batches, None):
+            found = block.distances(ids, groups, units, skip_self)
+            total = np.stack([(found < g).sum(1) for g in gates], 1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block.ids, len(gates))), pa.array(np.tile(np.array(gates), len(block.ids))), pa.array(total.reshape(-1))], ["question_id", "gate", "n"])
 
     return run
 
 
-def _blocks(questions: DataFrame, scope: DataFrame | None, gate: float | None) -> Iterator[_Block]:
-    """Blocks of a bounded number of questions. scope: question_id, paper_id; a question without a row there finds nothing."""
-    rows = questions.select("question_id", "embedding", F.col("gate") if "gate" in questions.columns else F.lit(None).cast("double").alias("gate"))
+def _dealt(corpus: DataFrame, questions: DataFrame, scope: DataFrame | None) -> DataFrame:
+    """Packs of corpus rows, each with each block of questions: one plan, whatever the number of questions.
+
+    Questions are rows, gathered into blocks of about QUESTIONS_AT_ONCE. While
+    they are few by their counted bytes, the blocks are broadcast and the corpus
+    is never shuffled; beyond that, every block meets every pack in a join by the
+    block's number, dealt over as many tasks as there are shuffle partitions.
+    """
+    spark = corpus.sparkSession
+    gate = F.col("gate").cast("double") if "gate" in questions.columns else F.lit(None).cast("double")
+    rows = questions.where("question_id is not null").select(F.col("question_id").cast("long").alias("question_id"), F.col("embedding").cast("array<double>").alias("embedding"), gate.alias("gate"))
     if scope is None:
         rows = rows.withColumn("scope", F.lit(None).cast("array<bigint>"))
     else:
+        # a question without a row in scope finds nothing
         rows = rows.join(scope.groupBy("question_id").agg(F.collect_set(F.col("paper_id").cast("long")).alias("scope")), "question_id", "left").withColumn("scope", F.coalesce("scope", F.array().cast("array<bigint>")))
-    rows = rows.where("question_id is not null")
-    parts = max(1, -(-rows.count() // QUESTIONS_AT_ONCE))
-    for k in range(parts):
-        found = rows.where(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == k) if parts > 1 else rows
-        if got := sorted(found.collect(), key=lambda r: r["question_id"]):
-            yield _Block(got, gate)
-
-
-def _corpus(corpus: DataFrame) -> DataFrame:
-    return corpus.select(F.col("id").cast("long"), F.coalesce(F.col("paper_id").cast("long"), F.lit(-1)).alias("paper_id"), "embedding").where("id is not null")
+    total, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    blocks = max(1, -(-total // QUESTIONS_AT_ONCE))
+    asked = rows.groupBy(F.pmod(F.xxhash64("question_id"), F.lit(blocks)).alias("block"), F.size("embedding").alias("width")).agg(F.collect_list(F.struct("question_id", "embedding", "gate", "scope")).alias("asked"))
+    packs = corpus.select(F.col("id").cast("long"), F.coalesce(F.col("paper_id").cast("long"), F.lit(-1)).alias("paper_id"), "embedding").where("id is not null")
+    packs = packs.mapInArrow(_pack, "width int, ids binary, groups binary, units binary")
+    if total * width * 8 <= BROADCAST_BYTES:
+        both = packs.join(F.broadcast(asked), "width")
+    else:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        both = packs.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts))).withColumn("block", numbers(blocks)).join(asked.withColumn("part", numbers(parts)), ["block", "part", "width"])
+    return both.select("width", "ids", "groups", "units", F.col("block").cast("long"), "asked")
 
 
 def nearest(corpus: DataFrame, questions: DataFrame, keep: int, gate: float | None = None, scope: DataFrame | None = None, by_group: bool = False, skip_self: bool = False) -> DataFrame:
     """Exact nearest rows of corpus (id, paper_id, embedding) for every question (question_id, embedding[, gate]).
 
     Rows (question_id, id, paper_id, distance, d_rank): at most keep of each question, or of
-    each question and paper; nearer than the gate, ties by id. Each task keeps its own
-    nearest, so what is shuffled does not depend on the corpus but on its tasks. Null and
-    zero vectors find nothing and are not found. Question ids must be unique.
+    each question and paper; nearer than the gate, ties by id. A task passes on only what is
+    among the nearest of all that it has seen, so what is shuffled depends on the number of
+    tasks, not of rows. Null and zero vectors find nothing and are not found, and neither do
+    vectors of different lengths. Question ids must be unique.
     """
-    found = None
-    for block in _blocks(questions, scope, gate):
-        part = _corpus(corpus).mapInArrow(_search(block, keep, by_group, skip_self), "question_id bigint, id bigint, paper_id bigint, distance double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = corpus.sparkSession.createDataFrame([], "question_id bigint, id bigint, paper_id bigint, distance double")
+    found = _dealt(corpus, questions, scope).mapInArrow(_search(keep, by_group, skip_self, gate), "question_id bigint, id bigint, paper_id bigint, distance double")
     order = Window.partitionBy("question_id", *(["paper_id"] if by_group else [])).orderBy("distance", "id")
     return found.withColumn("d_rank", F.row_number().over(order).cast("long")).where(F.col("d_rank") <= keep)
 
 
 def counts_below(corpus: DataFrame, questions: DataFrame, gates: list[float], scope: DataFrame | None = None, skip_self: bool = False) -> DataFrame:
-    """Rows (question_id, gate, n): how many rows are strictly nearer than each gate; counted in the tasks."""
-    found = None
-    for block in _blocks(questions, scope, None):
-        part = _corpus(corpus).mapInArrow(_counted(block, gates, skip_self), "question_id bigint, gate double, n bigint")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = corpus.sparkSession.createDataFrame([], "question_id bigint, gate double, n bigint")
+    """Rows (question_id, gate, n): how many rows are strictly nearer than each gate; counted in the tasks, and none for an empty corpus."""
+    found = _dealt(corpus, questions, scope).mapInArrow(_counted(gates, skip_self), "question_id bigint, gate double, n bigint")
     return found.groupBy("question_id", "gate").agg(F.sum("n").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cutoffs of a sweep.
@@ -57,14 +57,10 @@ def leave_one_out(hits: DataFrame) -> DataFrame:
     return hits.select("question_id").crossJoin(F.broadcast(two)).select("question_id", other.alias("o")).select("question_id", F.when(~F.col("o.none"), F.col("o.d")).alias("lo"))
 
 
-def midpoint(lo: float, hi: float, decimals: int = 4) -> float:
-    """The rounded midpoint of (lo, hi]; refused if it falls outside."""
-    if lo >= hi:
-        raise ValueError("the interval is empty")
-    value = round((lo + hi) / 2, decimals)
-    if not lo < value <= hi:
-        raise ValueError("the rounded midpoint is outside the interval")
-    return value
+def recommended(lo: Column, hi: Column, decimals: int = 4) -> Column:
+    """The middle of the interval above lo up to hi, rounded half to even; null where the interval is empty or rounding leaves it."""
+    middle = F.bround((lo + hi) / 2, decimals)
+    return F.when((middle > lo) & (middle <= hi), middle)
 
 
 def flip_risk(positives: int, negatives: int) -> tuple[float, float, float]:
@@ -75,19 +71,21 @@ def flip_risk(positives: int, negatives: int) -> tuple[float, float, float]:
     return p, n, 1 - (1 - p) * (1 - n)
 
 
-def outcomes(kept: DataFrame, scope: DataFrame, answers: DataFrame) -> DataFrame:
-    """Rows (question_id, kept_total, scope_size, represented, answer_chunks, second_chunks, minority, survived).
+def outcomes(kept: DataFrame, scope: DataFrame, answers: DataFrame, *by: str) -> DataFrame:
+    """Rows (by, question_id, kept_total, scope_size, represented, answer_chunks, second_chunks, minority, survived).
 
     kept: question_id, id, paper_id; scope: question_id, paper_id; answers:
-    question_id, paper_id and answer_id (null if the case has none).
+    question_id, paper_id and answer_id (null if the case has none); all with the
+    columns in by, such as the policy.
     """
-    per = kept.groupBy("question_id", "paper_id").agg(F.count("*").alias("n"))
-    named = scope.select("question_id", "paper_id").distinct().join(per, ["question_id", "paper_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    sides = named.groupBy("question_id").agg(F.count("*").alias("scope_size"), F.count_if(F.col("n") > 0).alias("represented"), F.min("n").alias("minority"))
-    joined = answers.select("question_id", F.col("paper_id").alias("answer_paper"), "answer_id").join(kept, "question_id", "left")
-    totals = joined.groupBy("question_id", "answer_id").agg(F.count("id").alias("kept_total"), F.count_if(F.col("paper_id") == F.col("answer_paper")).alias("answer_chunks"), F.max(F.col("id") == F.col("answer_id")).alias("hit"))
+    case = [*by, "question_id"]
+    per = kept.groupBy(*case, "paper_id").agg(F.count("*").alias("n"))
+    named = scope.select(*case, "paper_id").distinct().join(per, [*case, "paper_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    sides = named.groupBy(*case).agg(F.count("*").alias("scope_size"), F.count_if(F.col("n") > 0).alias("represented"), F.min("n").alias("minority"))
+    joined = answers.select(*case, F.col("paper_id").alias("answer_paper"), "answer_id").join(kept, case, "left")
+    totals = joined.groupBy(*case, "answer_id").agg(F.count("id").alias("kept_total"), F.count_if(F.col("paper_id") == F.col("answer_paper")).alias("answer_chunks"), F.max(F.col("id") == F.col("answer_id")).alias("hit"))
     totals = totals.withColumn("survived", F.when(F.col("answer_id").isNotNull(), F.coalesce("hit", F.lit(False)))).drop("hit", "answer_id")
-    return totals.join(sides, "question_id").withColumn("second_chunks", F.col("kept_total") - F.col("answer_chunks"))
+    return totals.join(sides, case).withColumn("second_chunks", F.col("kept_total") - F.col("answer_chunks"))
 
 
 def rates(rows: DataFrame, *by: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.store import hinted
+
 #: Terms of questions that are broadcast at most.
 TERMS_AT_ONCE = 200_000
 
@@ -16,11 +18,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has been counted to be small enough."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def matches(chunks: DataFrame, terms: DataFrame, mode: str = "all", without: DataFrame | None = None) -> DataFrame:
     """Rows (question_id, id, paper_id, tf): chunks that hold all (or any) of a question's terms, and none of those it excludes.
 
@@ -30,16 +27,15 @@ def matches(chunks: DataFrame, terms: DataFrame, mode: str = "all", without: Dat
     """
     if mode not in ("all", "any"):
         raise ValueError("mode is all or any")
-    asked = terms.select("question_id", "term").distinct()
+    asked = terms.select("question_id", "term").distinct().withColumn("asked", F.count("*").over(Window.partitionBy("question_id")))
     wanted = asked.withColumn("no", F.lit(False))
     if without is not None:
-        wanted = wanted.unionByName(without.select("question_id", "term", F.lit(True).alias("no")).distinct())
+        wanted = wanted.unionByName(without.select("question_id", "term", F.lit(0).cast("long").alias("asked"), F.lit(True).alias("no")).distinct())
     each = chunks.select("id", "paper_id", F.explode(tokens(F.col("text"))).alias("term"))
-    counted = each.join(small(wanted, TERMS_AT_ONCE), "term").groupBy("question_id", "id", "paper_id", "term", "no").agg(F.count("*").alias("tf"))
-    found = counted.groupBy("question_id", "id", "paper_id").agg(F.sum(F.when(~F.col("no"), F.col("tf")).otherwise(0)).alias("tf"), F.sum((~F.col("no")).cast("long")).alias("n"), F.max("no").alias("refused"))
-    sizes = asked.groupBy("question_id").agg(F.count("*").alias("asked"))
+    counted = each.join(hinted(wanted, TERMS_AT_ONCE), "term").groupBy("question_id", "id", "paper_id", "term", "no", "asked").agg(F.count("*").alias("tf"))
+    found = counted.groupBy("question_id", "id", "paper_id").agg(F.sum(F.when(~F.col("no"), F.col("tf")).otherwise(0)).alias("tf"), F.sum((~F.col("no")).cast("long")).alias("n"), F.max("no").alias("refused"), F.max("asked").alias("asked"))
     enough = F.col("n") == F.col("asked") if mode == "all" else F.col("n") > 0
-    return found.where(~F.col("refused")).join(small(sizes, TERMS_AT_ONCE), "question_id").where(enough).select("question_id", "id", "paper_id", "tf")
+    return found.where(~F.col("refused") & enough).select("question_id", "id", "paper_id", "tf")
 
 
 def ranked(found: DataFrame, pool: int, score: str = "tf") -> DataFrame:
@@ -72,9 +68,7 @@ def cover_density(chunks: DataFrame, terms: DataFrame) -> DataFrame:
 
     Only the places of terms are gathered, for one question and chunk at a time.
     """
-    asked = terms.select("question_id", "term").distinct()
+    asked = terms.select("question_id", "term").distinct().withColumn("asked", F.count("*").over(Window.partitionBy("question_id")))
     each = chunks.select("id", "paper_id", F.posexplode(tokens(F.col("text"))).alias("place", "term"))
-    hits = each.join(small(asked, TERMS_AT_ONCE), "term").groupBy("question_id", "id", "paper_id").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("hits"), F.count_distinct("term").alias("n"))
-    sizes = asked.groupBy("question_id").agg(F.count("*").alias("asked"))
-    both = hits.join(small(sizes, TERMS_AT_ONCE), "question_id").where(F.col("n") == F.col("asked"))
-    return both.select("question_id", "id", "paper_id", _covers("hits.place", "hits.term", "asked").alias("score"))
+    hits = each.join(hinted(asked, TERMS_AT_ONCE), "term").groupBy("question_id", "id", "paper_id", "asked").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("hits"), F.count_distinct("term").alias("n"))
+    return hits.where(F.col("n") == F.col("asked")).select("question_id", "id", "paper_id", _covers("hits.place", "hits.term", "asked").alias("score"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.config import CONFIG, EngineConfig
 from brindle.functions.vector import nearest
 from brindle.operators import lexical
+from brindle.store import hinted
 
 #: Stands for the rank of an arm that has missed a row.
 MISSED = 2**62
@@ -73,12 +74,21 @@ def widened(pinned: DataFrame, fill: DataFrame, budget: int = CONFIG.max_context
     return once.withColumn("n", F.row_number().over(order).cast("long")).where(F.col("n") <= budget).select("question_id", "id", "paper_id", "n", (F.col("block") == 1).alias("fill"))
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, terms: DataFrame | None = None, scope: DataFrame | None = None, pool: int | None = None, guarantee: int = 0, config: EngineConfig = CONFIG) -> DataFrame:
+def ranked_within(near: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
+    """The nearest of each question (question_id, gate) among rows found for each of its papers, ranked anew."""
+    rows = near.join(asked.select("question_id", "gate"), "question_id").where(F.col("distance") < F.col("gate")).drop("gate", "d_rank")
+    order = Window.partitionBy("question_id").orderBy("distance", "id")
+    return rows.withColumn("d_rank", F.row_number().over(order).cast("long")).where(F.col("d_rank") <= keep)
+
+
+def retrieve(chunks: DataFrame, questions: DataFrame, terms: DataFrame | None = None, scope: DataFrame | None = None, pool: int | None = None, guarantee: int = 0, near: DataFrame | None = None, config: EngineConfig = CONFIG) -> DataFrame:
     """Rows (question_id, pos, id, paper_id, distance[, d_rank, s_rank, score]) for a batch of questions, in the order of the cuts: gate, pools, fusion, budget, cut within one paper, guarantee.
 
     chunks: id, paper_id, embedding and, for the lexical arm, text. Without terms
     only the dense arm is used. A question whose scope is exactly one paper has
-    the wider gate and a cut of its own, and no guarantee.
+    the wider gate and a cut of its own, and no guarantee. near may bring the
+    nearest rows of each question and paper in scope (d_rank within the paper, no
+    gate, as many as any pool): then nothing is searched again.
     """
     pool = pool or config.max_context_chunks
     asked = questions
@@ -90,7 +100,8 @@ def retrieve(chunks: DataFrame, questions: DataFrame, terms: DataFrame | None =
     else:
         asked = questions.withColumn("single", F.lit(False)).withColumn("gate", F.lit(config.similarity_threshold))
     single = asked.select("question_id", "single")
-    dense = nearest(chunks, asked, max(config.hybrid_dense_pool, pool) if terms is not None else pool, scope=scope)
+    keep = max(config.hybrid_dense_pool, pool) if terms is not None else pool
+    dense = nearest(chunks, asked, keep, scope=scope) if near is None else ranked_within(near, asked, keep)
     if terms is None:
         ranked = dense.withColumnRenamed("d_rank", "pos").where(F.col("pos") <= pool).join(single, "question_id")
         cut = within_delta(ranked.where("single"), config.intra_paper_delta)
@@ -98,10 +109,13 @@ def retrieve(chunks: DataFrame, questions: DataFrame, terms: DataFrame | None =
     else:
         found = lexical.matches(chunks, terms)
         if scope is not None:
-            found = found.join(lexical.small(scope, lexical.TERMS_AT_ONCE), ["question_id", "paper_id"], "left_semi")
+            found = found.join(hinted(scope, lexical.TERMS_AT_ONCE), ["question_id", "paper_id"], "left_semi")
         fused = fuse(dense, lexical.ranked(found, config.hybrid_sparse_pool), config).where(F.col("pos") <= pool)
         ranked = fused.join(single, "question_id").where(~F.col("single") | (F.col("pos") <= config.intra_paper_rank_window)).drop("single")
     if guarantee > 0 and scope is not None:
         many = asked.where("not single")
-        return guaranteed(ranked, nearest(chunks, many, guarantee, scope=scope, by_group=True))
+        if near is None:
+            return guaranteed(ranked, nearest(chunks, many, guarantee, scope=scope, by_group=True))
+        own = near.join(many.select("question_id", "gate"), "question_id").where(F.col("distance") < F.col("gate"))
+        return guaranteed(ranked, own.where(F.col("d_rank") <= guarantee))
     return ranked

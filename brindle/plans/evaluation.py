@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.bindings import DISTANCES_SQL, NEGATIVES_SQL, QUESTIONS_SQL, chunks, distance_sql, question_terms, questions, table
+from brindle.bindings import DISTANCES_SQL, NEGATIVES_SQL, QUESTIONS_SQL, chunks, distance_sql, question_terms, questions, table, vectors
 from brindle.config import CONFIG as C
 from brindle.functions.vector import nearest
 from brindle.operators import evaluation as ev
 from brindle.operators import ranking
 from brindle.plans import retrieval as R
 from brindle.registry import register
+from brindle.store import written
 
 K = C.max_context_chunks
 KS = [5, 10, K]
@@ -24,14 +25,10 @@ SWEEP_SQL = f"""WITH {POSITIVES_SQL}, {OFF_TOPIC_SQL}, {CUTS_SQL},
 swept AS (SELECT threshold, (SELECT avg(CASE WHEN h.distance < c.threshold THEN 1.0 ELSE 0.0 END) FROM hits h) AS recall, (SELECT avg(CASE WHEN b.distance < c.threshold THEN 1.0 ELSE 0.0 END) FROM bests b) AS false_accept FROM cuts c)"""
 
 
-def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("paper_id"), "embedding")
-
-
 def positives(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Cases, and their lists (question_id, id, rank, distance, sat)."""
     asked = questions(spark, sf)
-    found = nearest(corpus(spark, sf), asked, K, skip_self=True)
+    found = nearest(vectors(spark, sf), asked, K, skip_self=True)
     lists = found.join(asked.select("question_id", F.col("paper_id").alias("own")), "question_id")
     return asked, lists.select("question_id", "id", F.col("d_rank").alias("rank"), "distance", (F.col("paper_id") == F.col("own")).alias("sat"))
 
@@ -45,7 +42,7 @@ def hits(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
 def off_topic(spark: SparkSession, sf: str) -> DataFrame:
     """Best distance of each off-topic question; one that finds nothing stays, with null."""
     asked = questions(spark, sf, rest=10, sign=-1)
-    best = nearest(corpus(spark, sf), asked, 1).select("question_id", "distance")
+    best = nearest(vectors(spark, sf), asked, 1).select("question_id", "distance")
     return asked.select("question_id").join(best, "question_id", "left")
 
 
@@ -66,7 +63,7 @@ def first_satisfying(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
     asked = questions(spark, sf)
-    rows = ranking.retrieve(chunks(spark, sf, text=True), asked, question_terms(spark, sf)).join(asked.select("question_id", F.col("paper_id").alias("own")), "question_id")
+    rows = ranking.retrieve(chunks(spark, sf), asked, question_terms(spark, sf)).join(asked.select("question_id", F.col("paper_id").alias("own")), "question_id")
     return rows.where((F.col("paper_id") == F.col("own")) & (F.col("id") != F.col("question_id"))).groupBy("question_id").agg(F.min_by(F.struct("d_rank", "s_rank"), "pos").alias("first"))
 
 
@@ -113,18 +110,24 @@ def leave_one_out_lo(spark: SparkSession, sf: str) -> DataFrame:
     return ev.leave_one_out(hits(spark, sf)).select("question_id", F.round("lo", 6).alias("lo"))
 
 
-def arm(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """What a policy keeps of a question's two named papers: production (hybrid), flat at either gate, or paper by paper admitted at either gate."""
+def scoped(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest chunks of each question in each of its two papers, as many as any policy looks at: one search for all policies."""
+    asked = questions(spark, sf)
+    keep = max(C.hybrid_dense_pool, C.max_context_chunks + 2 * C.mention_per_paper_floor) + 1
+    return written(nearest(chunks(spark, sf), asked, keep, scope=R.scope_of_two(asked), by_group=True), "scoped")
+
+
+def arm(spark: SparkSession, sf: str, name: str, near: DataFrame) -> DataFrame:
+    """What a policy keeps of a question's two named papers: production (hybrid), flat at either gate, or paper by paper admitted at either gate. near: scoped()."""
     asked = questions(spark, sf)
     scope = R.scope_of_two(asked)
     if name == "production":
-        return ranking.floor(R.candidates(spark, sf)[0], scope)
-    rows = chunks(spark, sf)
+        return ranking.floor(R.candidates(spark, sf, near)[0], scope)
     if name.startswith("flat"):
-        found = nearest(rows, asked, C.max_context_chunks + 2 * C.mention_per_paper_floor, gate=float(name[5:]), scope=scope)
+        found = ranking.ranked_within(near, asked.withColumn("gate", F.lit(float(name[5:]))), C.max_context_chunks + 2 * C.mention_per_paper_floor)
         return ranking.floor(found.withColumnRenamed("d_rank", "pos"), scope)
     admit = float(name[6:])
-    own = nearest(rows, asked, C.max_context_chunks, gate=C.intra_paper_ceiling, scope=scope, by_group=True)
+    own = near.where((F.col("distance") < C.intra_paper_ceiling) & (F.col("d_rank") <= C.max_context_chunks))
     best = F.min("distance").over(R.Window.partitionBy("question_id", "paper_id"))
     admitted = own.withColumn("best", best).where(F.col("best") < admit)
     # each paper's list is cut against its own first row, then the lists are merged in turn
@@ -136,12 +139,18 @@ def arm(spark: SparkSession, sf: str, name: str) -> DataFrame:
 ARMS = ["production", f"flat:{C.similarity_threshold}", f"flat:{C.intra_paper_ceiling}", f"admit:{C.similarity_threshold}", f"admit:{C.intra_paper_ceiling}"]
 
 
-def arm_outcomes(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """The answer of a question is the chunk of its own paper nearest to it, itself excluded."""
-    asked = questions(spark, sf)
-    own = nearest(chunks(spark, sf), asked, 1, scope=R.scope_of_one(asked), skip_self=True).select("question_id", F.col("id").alias("answer_id"))
-    answers = asked.select("question_id", F.col("paper_id").cast("long").alias("paper_id")).join(own, "question_id", "left")
-    return ev.outcomes(arm(spark, sf, name).select("question_id", "id", "paper_id"), R.scope_of_two(asked), answers)
+def arm_outcomes(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
+    """Rows (arm, ...) of ev.outcomes(). The answer of a question is the chunk of its own paper nearest to it, itself excluded."""
+    near = scoped(spark, sf)
+    asked = questions(spark, sf).select("question_id", F.col("paper_id").cast("long").alias("paper_id"))
+    own = near.join(asked, ["question_id", "paper_id"]).where(F.col("id") != F.col("question_id")).groupBy("question_id").agg(F.min(F.struct("distance", "id"))["id"].alias("answer_id"))
+    answers = asked.join(own, "question_id", "left")
+    kept = None
+    for name in names:
+        found = arm(spark, sf, name, near).select(F.lit(name).alias("arm"), "question_id", "id", "paper_id")
+        kept = found if kept is None else kept.unionByName(found)
+    arms = F.explode(F.array(*map(F.lit, names))).alias("arm")
+    return ev.outcomes(kept, R.scope_of_two(asked).select(arms, "question_id", "paper_id"), answers.select(arms, "question_id", "paper_id", "answer_id"), "arm")
 
 
 def _flat_sql(name: str, gate: float) -> str:
@@ -175,32 +184,29 @@ round(avg(CASE WHEN kept_total > 0 THEN (kept_total - answer_chunks) / CAST(kept
 )
 def representation_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Five policies over the same questions."""
-    rows = None
-    for name in ARMS:
-        found = arm_outcomes(spark, sf, name).withColumn("arm", F.lit(name))
-        rows = found if rows is None else rows.unionByName(found)
-    return ev.rates(rows, "arm").withColumns({c: F.round(c, 9) for c in RATES})
+    return ev.rates(arm_outcomes(spark, sf, ARMS), "arm").withColumns({c: F.round(c, 9) for c in RATES})
 
 
 @register("arm_outcome_rows", f"{ARMS_SQL} SELECT arm, question_id, kept_total, answer_chunks, represented, survived FROM outcome WHERE arm = 'production'")
 def arm_outcome_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return arm_outcomes(spark, sf, "production").select(F.lit("production").alias("arm"), "question_id", "kept_total", "answer_chunks", "represented", "survived")
+    return arm_outcomes(spark, sf, ["production"]).select("arm", "question_id", "kept_total", "answer_chunks", "represented", "survived")
 
 
 @register("survival_regressions", f"{ARMS_SQL} SELECT b.question_id FROM outcome b JOIN outcome c ON c.question_id = b.question_id WHERE b.arm = '{ARMS[2]}' AND c.arm = '{ARMS[1]}' AND b.survived AND NOT c.survived")
 def survival_regressions(spark: SparkSession, sf: str) -> DataFrame:
-    return ev.regressions(arm_outcomes(spark, sf, ARMS[2]), arm_outcomes(spark, sf, ARMS[1]), "question_id")
+    rows = written(arm_outcomes(spark, sf, [ARMS[2], ARMS[1]]), "outcomes")
+    return ev.regressions(rows.where(F.col("arm") == ARMS[2]), rows.where(F.col("arm") == ARMS[1]), "question_id")
 
 
 @register(
     "separation_point",
-    f"WITH {POSITIVES_SQL}, {OFF_TOPIC_SQL}, b AS (SELECT (SELECT max(distance) FROM hits) AS lo, (SELECT min(distance) FROM bests) AS hi, (SELECT count(*) FROM hits) AS p, (SELECT count(*) FROM bests) AS n, (SELECT count(*) FROM bests WHERE distance < {C.similarity_threshold}) AS below) SELECT p AS positives, n AS negatives, round(CAST(1 AS DOUBLE) / (p + 1), 9) AS p_positive, round(CAST(1 AS DOUBLE) / (n + 1), 9) AS p_negative, round(CAST(below AS DOUBLE) / n, 9) AS acceptance FROM b",
+    f"WITH {POSITIVES_SQL}, {OFF_TOPIC_SQL}, b AS (SELECT (SELECT max(distance) FROM hits) AS lo, (SELECT min(distance) FROM bests) AS hi, (SELECT count(*) FROM hits) AS p, (SELECT count(*) FROM bests) AS n, (SELECT count(*) FROM bests WHERE distance < {C.similarity_threshold}) AS below) SELECT p AS positives, n AS negatives, round(CAST(1 AS DOUBLE) / (p + 1), 9) AS p_positive, round(CAST(1 AS DOUBLE) / (n + 1), 9) AS p_negative, round(CAST(below AS DOUBLE) / n, 9) AS acceptance, CASE WHEN round_even((lo + hi) / 2, 4) > lo AND round_even((lo + hi) / 2, 4) <= hi THEN round_even((lo + hi) / 2, 4) END AS recommended FROM b",
 )
 def separation_point(spark: SparkSession, sf: str) -> DataFrame:
-    """How many cases stand behind the bounds, the chances that one more would break them, and the share of off-topic questions that pass the gate."""
-    p = hits(spark, sf).agg(F.count("*").alias("positives"))
-    n = off_topic(spark, sf).agg(F.count("*").alias("negatives"), F.count_if(F.col("distance") < C.similarity_threshold).alias("below"))
-    return p.crossJoin(n).select("positives", "negatives", F.round(1 / (F.col("positives") + 1), 9).alias("p_positive"), F.round(1 / (F.col("negatives") + 1), 9).alias("p_negative"), F.round(F.try_divide("below", "negatives"), 9).alias("acceptance"))
+    """How many cases stand behind the bounds, the chances that one more would break them, the share of off-topic questions that pass the gate, and the gate that would part both kinds."""
+    p = hits(spark, sf).agg(F.count("*").alias("positives"), F.max("distance").alias("lo"))
+    n = off_topic(spark, sf).agg(F.count("*").alias("negatives"), F.min("distance").alias("hi"), F.count_if(F.col("distance") < C.similarity_threshold).alias("below"))
+    return p.crossJoin(n).select("positives", "negatives", F.round(1 / (F.col("positives") + 1), 9).alias("p_positive"), F.round(1 / (F.col("negatives") + 1), 9).alias("p_negative"), F.round(F.try_divide("below", "negatives"), 9).alias("acceptance"), ev.recommended(F.col("lo"), F.col("hi")).alias("recommended"))
 
 
 @register(

@@ -11,6 +11,7 @@ from brindle.functions import text as X
 from brindle.operators import keyed
 from brindle.plans.ingest import TREE_SQL, tree
 from brindle.registry import register
+from brindle.store import hinted
 
 #: Segments stand for roles, and roles have ranks.
 ROLES = {"BUILDING": "owner", "MACHINERY": "member"}
@@ -47,7 +48,7 @@ def tenant_scan(spark: SparkSession, sf: str) -> DataFrame:
 def json_scope_join(spark: SparkSession, sf: str) -> DataFrame:
     """A scope handed over as JSON; an id that is named twice does not double rows."""
     scope = spark.range(1).select(F.explode(F.from_json(F.lit('["src1","src2","src1"]'), "array<string>")).alias("project_id")).distinct()
-    return table(spark, sf, "documents").select(F.col("source").alias("project_id")).join(F.broadcast(scope.limit(10_000)), "project_id").groupBy("project_id").agg(F.count("*").alias("n"))
+    return table(spark, sf, "documents").select(F.col("source").alias("project_id")).join(hinted(scope, 10_000), "project_id").groupBy("project_id").agg(F.count("*").alias("n"))
 
 
 @register("mention_ids_validate", "WITH w AS (SELECT conv_id, list(turn * 400 + conv_id ORDER BY turn) AS ids FROM conversations GROUP BY conv_id), e AS (SELECT conv_id, unnest(list_distinct(ids)) AS id FROM w) SELECT e.conv_id, count(*) AS asked, count(d.doc_id) AS found, count(*) = count(d.doc_id) AS ok FROM e LEFT JOIN documents d ON d.doc_id = e.id GROUP BY e.conv_id")

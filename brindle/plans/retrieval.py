@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.bindings import CHUNKS_SQL, DISTANCES_SQL, PAPERS_SQL, TERMS_SQL, chunks, papers, question_terms, questions, table
+from brindle.bindings import CHUNKS_SQL, DISTANCES_SQL, PAPERS_SQL, TERMS_SQL, VECTORS_SQL, chunks, papers, question_terms, questions, table, vectors
 from brindle.config import CONFIG as C
-from brindle.functions.vector import cosine_distance, counts_below, nearest
+from brindle.functions.vector import counts_below, nearest
 from brindle.operators import lexical, ranking
 from brindle.registry import register
+from brindle.store import in_order
 
 PAPERS_IN_ALL = 10
 
@@ -63,43 +64,43 @@ def floor_sql(budget: str, source: str = "candidates", name: str = "floored") ->
 {name} AS (SELECT question_id, id, paper_id, distance, pinned, row_number() OVER (PARTITION BY question_id ORDER BY pinned DESC, CASE WHEN pinned THEN r END, CASE WHEN pinned THEN scope_pos END, pos) AS n FROM {name}_p QUALIFY n <= {budget})"""
 
 
-@register("dense_topk", f"WITH {DISTANCES_SQL}, {dense_sql()} SELECT question_id, id, paper_id, round(distance, 6) AS distance, d_rank FROM dense")
+@register("dense_topk", f"WITH {VECTORS_SQL}, {dense_sql()} SELECT question_id, id, paper_id, round(distance, 6) AS distance, d_rank FROM dense")
 def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
-    found = nearest(chunks(spark, sf), questions(spark, sf), C.hybrid_dense_pool, gate=C.similarity_threshold)
+    found = nearest(vectors(spark, sf), questions(spark, sf), C.hybrid_dense_pool, gate=C.similarity_threshold)
     return found.select("question_id", "id", F.col("paper_id").cast("int"), F.round("distance", 6).alias("distance"), "d_rank")
 
 
-@register("dense_gate_count", f"WITH {DISTANCES_SQL}, gates AS (SELECT unnest([CAST({C.similarity_threshold} AS DOUBLE), CAST({C.intra_paper_ceiling} AS DOUBLE)]) AS gate) SELECT question_id, gate, count(*) FILTER (WHERE distance < gate) AS n FROM pairs CROSS JOIN gates GROUP BY question_id, gate")
+@register("dense_gate_count", f"WITH {VECTORS_SQL}, gates AS (SELECT unnest([CAST({C.similarity_threshold} AS DOUBLE), CAST({C.intra_paper_ceiling} AS DOUBLE)]) AS gate) SELECT question_id, gate, count(*) FILTER (WHERE distance < gate) AS n FROM pairs CROSS JOIN gates GROUP BY question_id, gate")
 def dense_gate_count(spark: SparkSession, sf: str) -> DataFrame:
-    return counts_below(chunks(spark, sf), questions(spark, sf), [C.similarity_threshold, C.intra_paper_ceiling])
+    return counts_below(vectors(spark, sf), questions(spark, sf), [C.similarity_threshold, C.intra_paper_ceiling])
 
 
-@register("dense_guarantee_per_group", f"WITH {DISTANCES_SQL}, g AS (SELECT question_id, id, paper_id, distance, row_number() OVER (PARTITION BY question_id, paper_id ORDER BY distance, id) AS p_rank FROM pairs WHERE distance < {C.similarity_threshold} QUALIFY p_rank <= {C.mention_per_paper_floor}) SELECT question_id, id, paper_id, round(distance, 6) AS distance, p_rank FROM g")
+@register("dense_guarantee_per_group", f"WITH {VECTORS_SQL}, g AS (SELECT question_id, id, paper_id, distance, row_number() OVER (PARTITION BY question_id, paper_id ORDER BY distance, id) AS p_rank FROM pairs WHERE distance < {C.similarity_threshold} QUALIFY p_rank <= {C.mention_per_paper_floor}) SELECT question_id, id, paper_id, round(distance, 6) AS distance, p_rank FROM g")
 def dense_guarantee_per_group(spark: SparkSession, sf: str) -> DataFrame:
-    found = nearest(chunks(spark, sf), questions(spark, sf), C.mention_per_paper_floor, gate=C.similarity_threshold, by_group=True)
+    found = nearest(vectors(spark, sf), questions(spark, sf), C.mention_per_paper_floor, gate=C.similarity_threshold, by_group=True)
     return found.select("question_id", "id", F.col("paper_id").cast("int"), F.round("distance", 6).alias("distance"), F.col("d_rank").alias("p_rank"))
 
 
 @register("sparse_and_topk", f"WITH {CHUNKS_SQL}, questions AS (SELECT vec_id AS question_id FROM embeddings WHERE vec_id % 20 = 0), {hits_sql()}, {sparse_sql()} SELECT question_id, id, tf, s_rank FROM sparse")
 def sparse_and_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.ranked(lexical.matches(chunks(spark, sf, text=True), question_terms(spark, sf)), C.hybrid_sparse_pool).select("question_id", "id", "tf", "s_rank")
+    return lexical.ranked(lexical.matches(chunks(spark, sf), question_terms(spark, sf)), C.hybrid_sparse_pool).select("question_id", "id", "tf", "s_rank")
 
 
 @register("sparse_or_topk", f"WITH {CHUNKS_SQL}, questions AS (SELECT vec_id AS question_id FROM embeddings WHERE vec_id % 20 = 0), {hits_sql('n > 0')}, {sparse_sql()} SELECT question_id, id, tf, s_rank FROM sparse")
 def sparse_or_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.ranked(lexical.matches(chunks(spark, sf, text=True), question_terms(spark, sf), mode="any"), C.hybrid_sparse_pool).select("question_id", "id", "tf", "s_rank")
+    return lexical.ranked(lexical.matches(chunks(spark, sf), question_terms(spark, sf), mode="any"), C.hybrid_sparse_pool).select("question_id", "id", "tf", "s_rank")
 
 
 @register("sparse_cover_density")
 def sparse_cover_density(spark: SparkSession, sf: str) -> DataFrame:
     """Held against a brute-force count of covers in the tests."""
-    found = lexical.cover_density(chunks(spark, sf, text=True), question_terms(spark, sf))
+    found = lexical.cover_density(chunks(spark, sf), question_terms(spark, sf))
     return lexical.ranked(found, C.hybrid_sparse_pool, "score").select("question_id", "id", F.round("score", 9).alias("score"), "s_rank")
 
 
 def _arms(spark: SparkSession, sf: str) -> DataFrame:
     dense = nearest(chunks(spark, sf), questions(spark, sf), C.hybrid_dense_pool, gate=C.similarity_threshold)
-    return ranking.fuse(dense, lexical.ranked(lexical.matches(chunks(spark, sf, text=True), question_terms(spark, sf)), C.hybrid_sparse_pool))
+    return ranking.fuse(dense, lexical.ranked(lexical.matches(chunks(spark, sf), question_terms(spark, sf)), C.hybrid_sparse_pool))
 
 
 def _shown(rows: DataFrame, *columns: str) -> DataFrame:
@@ -118,7 +119,7 @@ def hybrid_full_outer_arms(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("hybrid_global_budget", f"{HYBRID_SQL}, papers_kept AS (SELECT question_id, paper_id, count(*) AS kept FROM ordered WHERE pos <= {C.max_context_chunks} GROUP BY question_id, paper_id) SELECT question_id, CAST(sum(kept) AS BIGINT) AS kept, count(*) AS papers, max(kept) AS most FROM papers_kept GROUP BY question_id")
 def hybrid_global_budget(spark: SparkSession, sf: str) -> DataFrame:
-    kept = ranking.retrieve(chunks(spark, sf, text=True), questions(spark, sf), question_terms(spark, sf)).groupBy("question_id", "paper_id").agg(F.count("*").alias("kept"))
+    kept = ranking.retrieve(chunks(spark, sf), questions(spark, sf), question_terms(spark, sf)).groupBy("question_id", "paper_id").agg(F.count("*").alias("kept"))
     return kept.groupBy("question_id").agg(F.sum("kept").alias("kept"), F.count("*").alias("papers"), F.max("kept").alias("most"))
 
 
@@ -128,22 +129,22 @@ ONE_SQL = "scope AS (SELECT question_id, own AS paper_id FROM questions)"
 @register("hybrid_single_paper_window", f"WITH {DISTANCES_SQL}, {ONE_SQL}, {hits_sql()}, {dense_sql(C.intra_paper_ceiling, where=IN_SCOPE)}, {sparse_sql(IN_SCOPE)}, {FUSED_SQL} SELECT question_id, pos AS n, id AS chunk_id, paper_id, round(score, 9) AS score FROM ordered WHERE pos <= {min(C.max_context_chunks, C.intra_paper_rank_window)}")
 def hybrid_single_paper_window(spark: SparkSession, sf: str) -> DataFrame:
     asked = questions(spark, sf)
-    return _shown(ranking.retrieve(chunks(spark, sf, text=True), asked, question_terms(spark, sf), scope_of_one(asked)), F.round("score", 9).alias("score"))
+    return _shown(ranking.retrieve(chunks(spark, sf), asked, question_terms(spark, sf), scope_of_one(asked)), F.round("score", 9).alias("score"))
 
 
 @register(
     "dense_single_paper_delta",
-    f"WITH {DISTANCES_SQL}, {ONE_SQL}, {dense_sql(C.intra_paper_ceiling, C.max_context_chunks, where=IN_SCOPE)}, firsts AS (SELECT question_id, min(distance) AS best FROM dense GROUP BY question_id) SELECT d.question_id, d.d_rank AS n, d.id AS chunk_id, d.paper_id, round(d.distance, 6) AS distance FROM dense d JOIN firsts f ON f.question_id = d.question_id WHERE d.distance <= f.best + CAST({C.intra_paper_delta} AS DOUBLE)",
+    f"WITH {VECTORS_SQL}, {ONE_SQL}, {dense_sql(C.intra_paper_ceiling, C.max_context_chunks, where=IN_SCOPE)}, firsts AS (SELECT question_id, min(distance) AS best FROM dense GROUP BY question_id) SELECT d.question_id, d.d_rank AS n, d.id AS chunk_id, d.paper_id, round(d.distance, 6) AS distance FROM dense d JOIN firsts f ON f.question_id = d.question_id WHERE d.distance <= f.best + CAST({C.intra_paper_delta} AS DOUBLE)",
 )
 def dense_single_paper_delta(spark: SparkSession, sf: str) -> DataFrame:
     asked = questions(spark, sf)
-    return _shown(ranking.retrieve(chunks(spark, sf), asked, scope=scope_of_one(asked)), F.round("distance", 6).alias("distance"))
+    return _shown(ranking.retrieve(vectors(spark, sf), asked, scope=scope_of_one(asked)), F.round("distance", 6).alias("distance"))
 
 
-def candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def candidates(spark: SparkSession, sf: str, near: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     asked = questions(spark, sf)
     scope = scope_of_two(asked)
-    return ranking.retrieve(chunks(spark, sf, text=True), asked, question_terms(spark, sf), scope, guarantee=C.mention_per_paper_floor), scope
+    return ranking.retrieve(chunks(spark, sf), asked, question_terms(spark, sf), scope, guarantee=C.mention_per_paper_floor, near=near), scope
 
 
 @register("guaranteed_tail_union", f"{CANDIDATES_SQL} SELECT question_id, pos AS n, id AS chunk_id, paper_id FROM candidates")
@@ -174,7 +175,7 @@ def mention_widened_fill(spark: SparkSession, sf: str) -> DataFrame:
     """A turn is widened where a row from outside the scope has landed; the pool for filling has room for all pinned rows."""
     found, scope = candidates(spark, sf)
     pinned = ranking.floor(found, scope, budget=min(2 * C.mention_per_paper_floor, C.max_context_chunks))
-    fill = ranking.retrieve(chunks(spark, sf, text=True), questions(spark, sf), question_terms(spark, sf), pool=C.max_context_chunks + 2 * C.mention_per_paper_floor)
+    fill = ranking.retrieve(chunks(spark, sf), questions(spark, sf), question_terms(spark, sf), pool=C.max_context_chunks + 2 * C.mention_per_paper_floor)
     rows = ranking.widened(pinned, fill).join(scope.select("question_id", "paper_id", F.lit(False).alias("out")), ["question_id", "paper_id"], "left")
     return rows.select("question_id", "n", F.col("id").alias("chunk_id"), F.col("paper_id").cast("int"), "fill", F.coalesce("out", F.lit(True)).alias("outside"))
 
@@ -189,31 +190,22 @@ MESSAGES_SQL = "messages AS (SELECT row_number() OVER (ORDER BY conv_id, turn, r
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Messages numbered from 0 over all conversations: counts of those before come from one row for each conversation."""
-    rows = table(spark, sf, "conversations")
-    sizes = rows.groupBy("conv_id").agg(F.count("*").alias("size"))
-    # a running sum over one row for each conversation, by blocks of conversations, so that no window covers them all
-    blocks = sizes.withColumn("block", F.floor(F.col("conv_id") / 4096))
-    heads = blocks.groupBy("block").agg(F.sum("size").alias("s"))
-    before = heads.alias("h").join(heads.select(F.col("block").alias("b"), F.col("s").alias("t")), F.col("b") < F.col("block"), "left").groupBy("block").agg(F.coalesce(F.sum("t"), F.lit(0)).alias("start"))
-    within = Window.partitionBy("block").orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.join(before, "block").select("conv_id", (F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("start"))
-    own = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return rows.join(starts, "conv_id").select((F.col("start") + F.row_number().over(own) - 1).alias("message_id"), "conv_id", "turn", "role", "text")
+    """Messages numbered from 0 over all conversations."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return in_order(rows, ["conv_id", "turn", "role", "text"], "message_id")
 
 
 @register(
     "history_topk",
-    f"WITH {MESSAGES_SQL}, near AS (SELECT m.conv_id, m.message_id, m.role, round(greatest(list_cosine_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 0), 9) AS distance FROM messages m JOIN embeddings e ON e.vec_id = m.message_id CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) q) SELECT conv_id, message_id, role, round(distance, 6) AS distance, row_number() OVER (PARTITION BY conv_id ORDER BY distance, message_id) AS n FROM near WHERE distance < {C.similarity_threshold} QUALIFY n <= {C.history_top_k}",
+    f"WITH {MESSAGES_SQL}, near AS (SELECT q.vec_id AS question_id, m.conv_id, m.message_id, m.role, round(greatest(list_cosine_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 0), 9) AS distance FROM messages m JOIN embeddings e ON e.vec_id = m.message_id CROSS JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) q) SELECT question_id, conv_id, message_id, role, round(distance, 6) AS distance, row_number() OVER (PARTITION BY question_id, conv_id ORDER BY distance, message_id) AS n FROM near WHERE distance < {C.similarity_threshold} QUALIFY n <= {C.history_top_k}",
 )
 def history_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """For every conversation the messages nearest to one question, as a column: a join on the key, no search."""
-    vectors = table(spark, sf, "embeddings")
-    question = vectors.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    rows = messages(spark, sf).join(vectors, F.col("message_id") == F.col("vec_id")).crossJoin(F.broadcast(question.limit(1)))
-    near = rows.select("conv_id", "message_id", "role", cosine_distance(F.col("embedding"), F.col("q")).alias("distance")).where(F.col("distance") < C.similarity_threshold)
-    order = Window.partitionBy("conv_id").orderBy("distance", "message_id")
-    return near.withColumn("n", F.row_number().over(order).cast("long")).where(F.col("n") <= C.history_top_k).withColumn("distance", F.round("distance", 6))
+    """For every question and conversation, the messages nearest to the question."""
+    told = messages(spark, sf).select(F.col("message_id").alias("id"), F.col("conv_id").alias("paper_id"), "role")
+    rows = told.join(vectors(spark, sf).select("id", "embedding"), "id")
+    near = nearest(rows, questions(spark, sf), C.history_top_k, gate=C.similarity_threshold, by_group=True)
+    shown = near.join(told.select("id", "role"), "id")
+    return shown.select("question_id", F.col("paper_id").alias("conv_id"), F.col("id").alias("message_id"), "role", F.round("distance", 6).alias("distance"), F.col("d_rank").alias("n"))
 
 
 @register("renumbered_context", f"{HYBRID_SQL}, {PAPERS_SQL.replace('papers AS', 'titled AS')} SELECT o.question_id, o.pos AS n, o.id AS chunk_id, coalesce(t.title, '') AS title, left(c.text, {C.snippet_chars}) AS snippet FROM ordered o JOIN chunks c ON c.id = o.id LEFT JOIN titled t ON t.paper_id = o.id WHERE o.pos <= {C.max_context_chunks}")
@@ -224,42 +216,42 @@ def renumbered_context(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(shown, "chunk_id").select("question_id", "n", "chunk_id", F.coalesce("title", F.lit("")).alias("title"), "snippet")
 
 
-@register("group_best_distance", f"WITH {DISTANCES_SQL} SELECT question_id, paper_id, round(min(distance), 6) AS best, row_number() OVER (PARTITION BY question_id ORDER BY min(distance), paper_id) AS pos FROM pairs GROUP BY question_id, paper_id")
+@register("group_best_distance", f"WITH {VECTORS_SQL} SELECT question_id, paper_id, round(min(distance), 6) AS best, row_number() OVER (PARTITION BY question_id ORDER BY min(distance), paper_id) AS pos FROM pairs GROUP BY question_id, paper_id")
 def group_best_distance(spark: SparkSession, sf: str) -> DataFrame:
-    best = nearest(chunks(spark, sf), questions(spark, sf), 1, by_group=True)
+    best = nearest(vectors(spark, sf), questions(spark, sf), 1, by_group=True)
     order = Window.partitionBy("question_id").orderBy("distance", "paper_id")
     return best.select("question_id", F.col("paper_id").cast("int"), F.round("distance", 6).alias("best"), F.row_number().over(order).cast("long").alias("pos"))
 
 
-@register("group_band_counts", f"WITH {DISTANCES_SQL}, best AS (SELECT question_id, paper_id, min(distance) AS d FROM pairs GROUP BY question_id, paper_id) SELECT question_id, count(*) FILTER (WHERE d >= {C.similarity_threshold} AND d < {C.intra_paper_ceiling}) AS in_band, count(*) FILTER (WHERE d < {C.similarity_threshold}) AS admitted FROM best GROUP BY question_id")
+@register("group_band_counts", f"WITH {VECTORS_SQL}, best AS (SELECT question_id, paper_id, min(distance) AS d FROM pairs GROUP BY question_id, paper_id) SELECT question_id, count(*) FILTER (WHERE d >= {C.similarity_threshold} AND d < {C.intra_paper_ceiling}) AS in_band, count(*) FILTER (WHERE d < {C.similarity_threshold}) AS admitted FROM best GROUP BY question_id")
 def group_band_counts(spark: SparkSession, sf: str) -> DataFrame:
-    best = nearest(chunks(spark, sf), questions(spark, sf), 1, by_group=True)
+    best = nearest(vectors(spark, sf), questions(spark, sf), 1, by_group=True)
     d = F.col("distance")
     return best.groupBy("question_id").agg(F.count_if((d >= C.similarity_threshold) & (d < C.intra_paper_ceiling)).alias("in_band"), F.count_if(d < C.similarity_threshold).alias("admitted"))
 
 
 @register(
     "nearest_other_pair",
-    f"WITH {DISTANCES_SQL}, best AS (SELECT question_id, own, paper_id, min(distance) AS d FROM pairs WHERE paper_id <> own GROUP BY question_id, own, paper_id), a AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, paper_id) AS r, row_number() OVER (PARTITION BY question_id ORDER BY md5(concat('7:', question_id, ':', paper_id)), paper_id) AS s FROM best) SELECT question_id, own, max(paper_id) FILTER (WHERE r = 1) AS nearest_other, max(paper_id) FILTER (WHERE s = 1) AS seeded_other FROM a GROUP BY question_id, own",
+    f"WITH {VECTORS_SQL}, best AS (SELECT question_id, own, paper_id, min(distance) AS d FROM pairs WHERE paper_id <> own GROUP BY question_id, own, paper_id), a AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, paper_id) AS r, row_number() OVER (PARTITION BY question_id ORDER BY md5(concat('7:', question_id, ':', paper_id)), paper_id) AS s FROM best) SELECT question_id, own, max(paper_id) FILTER (WHERE r = 1) AS nearest_other, max(paper_id) FILTER (WHERE s = 1) AS seeded_other FROM a GROUP BY question_id, own",
 )
 def nearest_other_pair(spark: SparkSession, sf: str) -> DataFrame:
     """Partner papers of a question: the nearest other one, and one drawn by a hash of seed, question and paper."""
-    best = nearest(chunks(spark, sf), questions(spark, sf), 1, by_group=True).join(questions(spark, sf).select("question_id", F.col("paper_id").alias("own")), "question_id").where("paper_id <> own")
+    best = nearest(vectors(spark, sf), questions(spark, sf), 1, by_group=True).join(questions(spark, sf).select("question_id", F.col("paper_id").alias("own")), "question_id").where("paper_id <> own")
     drawn = F.md5(F.concat_ws(":", F.lit("7"), "question_id", "paper_id").cast("binary"))
     return best.groupBy("question_id", "own").agg(F.min(F.struct("distance", "paper_id"))["paper_id"].cast("int").alias("nearest_other"), F.min(F.struct(drawn.alias("h"), "paper_id"))["paper_id"].cast("int").alias("seeded_other"))
 
 
-@register("round_robin_merge", f"WITH {DISTANCES_SQL}, lists AS (SELECT question_id, id, paper_id, row_number() OVER (PARTITION BY question_id, paper_id ORDER BY distance, id) AS r FROM pairs WHERE distance < {C.intra_paper_ceiling} QUALIFY r <= {C.mention_per_paper_floor}) SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY r, paper_id) AS n FROM lists")
+@register("round_robin_merge", f"WITH {VECTORS_SQL}, lists AS (SELECT question_id, id, paper_id, row_number() OVER (PARTITION BY question_id, paper_id ORDER BY distance, id) AS r FROM pairs WHERE distance < {C.intra_paper_ceiling} QUALIFY r <= {C.mention_per_paper_floor}) SELECT question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY r, paper_id) AS n FROM lists")
 def round_robin_merge(spark: SparkSession, sf: str) -> DataFrame:
-    lists = nearest(chunks(spark, sf), questions(spark, sf), C.mention_per_paper_floor, gate=C.intra_paper_ceiling, by_group=True)
+    lists = nearest(vectors(spark, sf), questions(spark, sf), C.mention_per_paper_floor, gate=C.intra_paper_ceiling, by_group=True)
     order = Window.partitionBy("question_id").orderBy("d_rank", "paper_id")
     return lists.select("question_id", "id", F.row_number().over(order).cast("long").alias("n"))
 
 
-@register("nearest_paper_scope", f"WITH {DISTANCES_SQL}, first AS (SELECT question_id, paper_id FROM pairs QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY distance, id) = 1) SELECT p.question_id, p.id, p.paper_id, row_number() OVER (PARTITION BY p.question_id ORDER BY p.distance, p.id) AS n FROM pairs p JOIN first f ON f.question_id = p.question_id AND f.paper_id = p.paper_id WHERE p.distance < {C.intra_paper_ceiling} QUALIFY n <= {C.intra_paper_rank_window}")
+@register("nearest_paper_scope", f"WITH {VECTORS_SQL}, first AS (SELECT question_id, paper_id FROM pairs QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY distance, id) = 1) SELECT p.question_id, p.id, p.paper_id, row_number() OVER (PARTITION BY p.question_id ORDER BY p.distance, p.id) AS n FROM pairs p JOIN first f ON f.question_id = p.question_id AND f.paper_id = p.paper_id WHERE p.distance < {C.intra_paper_ceiling} QUALIFY n <= {C.intra_paper_rank_window}")
 def nearest_paper_scope(spark: SparkSession, sf: str) -> DataFrame:
     """Only rows of the paper that owns the nearest row of all."""
     asked = questions(spark, sf)
-    owner = nearest(chunks(spark, sf), asked, 1).select("question_id", "paper_id")
-    found = nearest(chunks(spark, sf), asked, C.intra_paper_rank_window, gate=C.intra_paper_ceiling, scope=owner)
+    owner = nearest(vectors(spark, sf), asked, 1).select("question_id", "paper_id")
+    found = nearest(vectors(spark, sf), asked, C.intra_paper_rank_window, gate=C.intra_paper_ceiling, scope=owner)
     return found.select("question_id", "id", F.col("paper_id").cast("int"), F.col("d_rank").alias("n"))

@@ -30,7 +30,7 @@ def test_cover_density(spark):
     terms = {}
     for r in question_terms(spark, SF).collect():
         terms.setdefault(r.question_id, set()).add(r.term)
-    texts = {r.id: [t for t in re.split("[^a-z0-9]+", r.text.lower()) if t] for r in chunks(spark, SF, text=True).collect()}
+    texts = {r.id: [t for t in re.split("[^a-z0-9]+", r.text.lower()) if t] for r in chunks(spark, SF).collect()}
     found = {(r.question_id, r.id): r.score for r in QUERIES["sparse_cover_density"](spark, SF).collect()}
     wanted = {}
     for q, asked in terms.items():

@@ -109,9 +109,9 @@ def test_metrics_without_cases_are_null_or_refused(spark):
     r = evaluation.separation(blocked, off).first()
     assert (r.lo, r.hi, r.blocked, r.separable) == (None, None, 1, False)
     assert {x.question_id: x.lo for x in evaluation.leave_one_out(blocked).collect()} == {1: None, 2: 0.3}
-    with pytest.raises(ValueError):
-        evaluation.midpoint(0.498, 0.4999, 2)
-    assert evaluation.midpoint(0.498, 0.4999) == 0.499 and evaluation.flip_risk(1, 3)[:2] == (0.5, 0.25)
+    middle = lambda lo, hi, decimals: one(spark, evaluation.recommended(F.lit(lo), F.lit(hi), decimals))
+    assert middle(0.498, 0.4999, 2) is None and middle(0.5, 0.5, 4) is None and middle(0.6, 0.5, 4) is None
+    assert middle(0.25, 0.5, 2) == 0.38 and middle(0.25, 0.5, 3) == 0.375 and middle(0.125, 0.5, 2) == 0.31 and evaluation.flip_risk(1, 3)[:2] == (0.5, 0.25)
 
 
 @pytest.mark.parametrize("text, wanted", [("Yıldız & Güven", "yildiz guven"), ("Øystein—Straße", "oystein strasse"), ("", ""), (None, ""), ("...", "")])
@@ -175,7 +175,8 @@ def test_text_columns(spark):
     s = lambda column: one(spark, column)
     assert s(X.canonical_url(F.lit(" HTTPS://www.A.org/x//"))) == "a.org/x"
     assert s(X.abstract_page(F.lit("https://arxiv.org/pdf/1234.5678v2.pdf"))) == "https://arxiv.org/abs/1234.5678v2"
-    assert s(X.doi(F.lit("https://doi.org/10.1000/abc.1"))) == "10.1000/abc.1"
+    assert s(X.abstract_page(F.lit("HTTP://arXiv.org/PDF/hep-th/99.PDF"))) == "HTTP://arXiv.org/abs/hep-th/99" and s(X.abstract_page(F.lit("https://www.arxiv.org/pdf/1"))) == "https://www.arxiv.org/pdf/1"
+    assert s(X.doi(F.lit("https://doi.org/10.1000/abc.1"))) == "10.1000/abc.1" and s(X.doi(F.lit("see 10.1234567890/a'b?c#d<x"))) == "10.1234567890/a'b?c#d" and s(X.doi(F.lit("10.1/x"))) is None
     page = "<meta content='Best &amp; Title' name=citation_title><title>T | IEEE Xplore</title>"
     assert s(X.html_title(F.lit(page))) == "Best & Title" and s(X.html_title(F.lit("<title>T - Nature x</title>"))) == "T"
     assert s(X.html_abstract(F.lit('<meta name="description" content="About">'))) == "About"
