@@ -31,9 +31,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def _place(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what written() has written of frames that nothing reads any more."""
+    for frame in frames:
+        place, files = _place(frame.sparkSession, frame.written_to)
+        files.delete(place, True)
 
 
 def kept(df: DataFrame) -> DataFrame:
