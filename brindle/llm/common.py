@@ -2,76 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Parts into which the rows of any one key are dealt where a side is too large to be broadcast.
-SALTS = 8
+from brindle.store import discard, hinted, kept, matched, salted, shared_dir, small, unused, written
+
+__all__ = ["discard", "hinted", "kept", "matched", "salted", "shared_dir", "small", "table", "unused", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a session of one machine gets one of its own where none is named."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not context.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and survives a lost executor. The files go when the session's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder, for tables of few bytes a row that a loop reads again and again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; reads no more than it has to."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def hinted(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has been counted to be small (rows of a bounded width only); otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if small(df, rows) else df
-
-
-def salted(left: DataFrame, right: DataFrame, on: str, spread: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join in which one key's rows of left are dealt over several tasks by a hash of spread; right should have few rows a key."""
-    salt = unused("salt", left, right)
-    dealt = left.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)))
-    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return dealt.join(copies, [on, salt], how).drop(salt)
-
-
-def matched(left: DataFrame, right: DataFrame, on: str, spread: str, rows: int, how: str = "inner") -> DataFrame:
-    """left joined with right, which is broadcast if it has at most so many rows; beyond that, hot keys of left are dealt over several tasks."""
-    return left.join(F.broadcast(right), on, how) if small(right, rows) else salted(left, right, on, spread, how)
-
-
-def unused(name: str, *frames: DataFrame) -> str:
-    """name, with underscores in front until no frame has a column of that name."""
-    taken = {c.lower() for frame in frames for c in frame.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name

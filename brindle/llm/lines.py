@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import neardup
-from brindle.llm.common import hinted, kept, salted, small, table, unused
+from brindle.llm.common import hinted, kept, matched, salted, small, table, unused
 
 #: A line goes if it is on more than RATIO of its host's pages, and on PAGES of them at least.
 RATIO, PAGES = 0.05, 5
@@ -76,9 +76,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     row = unused("row", docs)
     rows, _ = neardup.numbered(docs, "doc_id", row)
-    parts = kept(neardup.grouped(rows, row).select("id", "component"))
+    parts = neardup.grouped(rows, row).select("id", "component")
     many = parts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    copies = hinted(kept(parts.join(many, "component")), COPIES_AT_ONCE)
+    copies = hinted(kept(matched(parts, kept(many), "component", "id", COPIES_AT_ONCE)), COPIES_AT_ONCE)
     own = rows.select(F.col(row).alias("id"), "source", "text").join(copies, "id", "left")
     pages = own.withColumn("page", F.when(F.col("component").isNotNull(), F.xxhash64(F.lit("copies"), "component")).otherwise(F.xxhash64("text")))
     cleaned = drop_boilerplate(docs, found=boilerplate(pages, page="page"), counts=None)

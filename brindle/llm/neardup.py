@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import hinted, kept, salted, table, unused, written
+from brindle.llm.common import discard, hinted, kept, salted, table, unused, written
 
 BANDS, BAND_ROWS = 64, 8
 WORDS, PERCENT = 5, 80
@@ -277,18 +277,21 @@ def components(edges: DataFrame) -> DataFrame:
     """Rows (id, component) for every id in edges (a, b): union-find by large and small stars.
 
     Every id is hung on the least id near it, in turn among its larger and its
-    smaller neighbours, until no edge changes; a hot id's edges are only summed
-    (min) before a shuffle, or dealt over several tasks when they meet its least
-    neighbour, never gathered.
+    smaller neighbours, until no edge changes. A hot id's edges are only summed
+    (min) before a shuffle and never gathered: ids in more than SPREAD edges are
+    few, and meet their edges where those are.
     """
     edges = kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = salted(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        hot = kept(least.where(F.col("n") > SPREAD).select("u", F.col("m").alias("top")))
+        upper = both.where("v > u").join(hinted(hot, HOT_AT_ONCE), "u", "left")
+        rest = upper.where("top is null").join(least.where(F.col("n") <= SPREAD), "u")
+        large = upper.where("top is not null").select("v", F.col("top").alias("m")).union(rest.select("v", "m")).toDF("u", "v").where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted(large, least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.toDF("u", "v")).distinct()
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.toDF("u", "v")).distinct()
         edges = kept(small)
         # two runs of the loop that end in the same edges have reached the stars
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -350,7 +353,11 @@ def grouped(rows: DataFrame, key: str, text: str = "text", words: int = WORDS, p
 
     found = sketch.select("id", "n_shingles", "print").join(classes.select("print", F.col("id").alias("head")), "print", "left")
     found = found.join(joined.withColumnRenamed("id", "head"), "head", "left")
-    return found.select("id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("head")), "id").alias("component"))
+    found = found.select("id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("head")), "id").alias("component"))
+    # three numbers a row stay; the sketches and sets they come from go
+    found = written(found, "components")
+    discard(sketch, buckets, sets)
+    return found
 
 
 def numbered(docs: DataFrame, key: str, row: str) -> tuple[DataFrame, bool]:
