@@ -2,8 +2,8 @@
 
 Four kinds are found by pattern and check (email, ip, card, phone). Beyond them,
 tokens with digits are candidates for secrets and identifiers: a regex, a
-gazetteer of cue words, the characters around and the mix of characters each
-vote for, against or abstain. Expectation-maximisation over the counts of vote
+gazetteer of cue words, the characters around, the mix of characters and the
+check digit of card-like numbers each vote for, against or abstain. Expectation-maximisation over the counts of vote
 patterns (a table bounded by 3 to the number of labelers) estimates how reliable
 each labeler is and how likely each pattern is personal. These posteriors are
 soft labels for the final span classifier, a naive Bayes model over hashed
@@ -38,7 +38,7 @@ AGAINST = ("page", "pages", "version", "chapter", "figure", "table", "section",
 #: Kinds of added spans: with letters and without.
 ADDED = ("secret", "id")
 #: Labelers in the order of their votes: for, against, abstain are 1, 2, 0.
-LABELERS = ("pattern", "gazetteer", "context", "mixture")
+LABELERS = ("pattern", "gazetteer", "context", "mixture", "checksum")
 ROUNDS, SMOOTH, BUCKETS, LEAST = 40, 1.0, 4096, 0.5
 #: Characters to the left of a span that labelers and features see.
 LEFT = 32
@@ -93,6 +93,11 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(spans(text, BASE[kind], NEEDS[kind]), lambda x: _valid(kind, x["span"]))
 
 
+def _checked(span: Column) -> Column:
+    """Whether a number as long as a card's has the right check digit; null for anything else."""
+    return F.when(span.rlike("^[0-9]{13,19}$"), _luhn(span))
+
+
 def _votes(span: Column, left: Column, right: Column) -> dict[str, Column]:
     """The labelers' votes on a candidate; left: what stands before it, right: the character behind it."""
     cue = lambda words: left.rlike(rf"(?i)(?:^|[^a-z])(?:{'|'.join(words)})s?[\x20\x22':=#.]*$")
@@ -103,16 +108,18 @@ def _votes(span: Column, left: Column, right: Column) -> dict[str, Column]:
         "pattern": vote(span.rlike(r"^(?:[0-9a-f]{16,}|[0-9A-F]{16,}|[A-Za-z0-9+/_-]{24,}|[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}[)\x20.]+[0-9]{3}[\x20.-][0-9]{4})$"), span.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[a-z]+[0-9]{1,2}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})$")),
         "gazetteer": vote(cue(FOR), cue(AGAINST)),
         "context": vote(left.rlike(r"[=:#][\x20]?[\x22']?$|[\x22']$"), left.rlike(r"[$€£/.]$") | right.isin("%", "/", "°")),
+        "checksum": vote(_checked(span), ~_checked(span)),
         "mixture": vote((letters > 0) & share.between(0.2, 0.95) & (F.length(span) >= 12), ((letters > 0) & (share < 0.15)) | ((letters == 0) & (F.length(span) < 9))),
     }
 
 
 def _features(span: Column, left: Column, right: Column) -> Column:
-    """Hashed features: shape, length, both neighbours, the word before."""
+    """Hashed features: shape and length, each with the check digit, both neighbours, the word before."""
+    checked = F.coalesce(F.concat(F.lit(":"), _checked(span).cast("string")), F.lit(""))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(span, "[0-9]+", "9"), "[a-z]+", "a"), "[A-Z]+", "A")
     named = F.array(
-        F.concat(F.lit("shape:"), F.left(F.regexp_replace(shape, "(?:9a|a9|9A|A9){2,}9?", "M"), F.lit(12))),
-        F.concat(F.lit("length:"), F.least(F.length(span), F.lit(40)).cast("string")),
+        F.concat(F.lit("shape:"), F.left(F.regexp_replace(shape, "(?:9a|a9|9A|A9){2,}9?", "M"), F.lit(12)), checked),
+        F.concat(F.lit("length:"), F.least(F.length(span), F.lit(40)).cast("string"), checked),
         F.concat(F.lit("left:"), F.right(F.regexp_replace(F.regexp_replace(left, r"[0-9]", "9"), r"\p{L}", "a"), F.lit(2))),
         F.concat(F.lit("right:"), F.regexp_replace(F.coalesce(right, F.lit("")), r"\p{L}", "a")),
         F.concat(F.lit("word:"), F.lower(F.regexp_extract(left, r"(\p{L}+)[^\p{L}]*$", 1))),
