@@ -190,14 +190,15 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     if not found:
         return None
     names = [r["label"] for r in found]
-    x = np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in found]), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    x = np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in found]), axis=1)
+    length = np.sqrt(np.maximum(x.sum(1, dtype=np.int64), 1)).astype(np.float32)[:, None]
     languages = sorted(set(names))
     y = np.array([[float(n == lang) for lang in languages] for n in names])
     first = np.concatenate([np.flatnonzero(y[:, j])[:landmarks] for j in range(len(languages))])
-    marks = x[first]
+    marks = x[first] / length[first]
     columns = np.flatnonzero(marks.any(0))
-    kernel = (x @ marks.T).astype(np.float64)
+    # in blocks, so that the driver never holds the whole sample as floats
+    kernel = np.vstack([(x[k : k + ROWS].astype(np.float32) / length[k : k + ROWS]) @ marks.T for k in range(0, len(x), ROWS)]).astype(np.float64)
     weights = _ridge(kernel, first, y, np.ones(len(x), bool), ridge)[1]
     cut = _cut(x, kernel, first, y, ridge)
     return Model(languages, columns, np.ascontiguousarray(marks[:, columns]), weights, cut)
