@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,12 @@ def discard(*frames: DataFrame) -> None:
         files.delete(place, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver drop what is no longer referred to, so that Spark's cleaner deletes the shuffles and checkpoints of steps that are done."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def kept(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder, for tables of few bytes a row that are read again and again."""
     shared_dir(df.sparkSession)
