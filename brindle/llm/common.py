@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.store import discard, hinted, kept, matched, salted, shared_dir, small, unused, written
+from brindle.store import discard, hinted, kept, matched, salted, shared_dir, small, tidy, unused, written
 
-__all__ = ["discard", "hinted", "kept", "matched", "salted", "shared_dir", "small", "table", "unused", "written"]
+__all__ = ["discard", "hinted", "kept", "matched", "salted", "shared_dir", "small", "table", "tidy", "unused", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import discard, hinted, kept, salted, table, unused, written
+from brindle.llm.common import discard, hinted, kept, salted, table, tidy, unused, written
 
 BANDS, BAND_ROWS = 64, 8
 WORDS, PERCENT = 5, 80
@@ -310,6 +310,13 @@ def grouped(rows: DataFrame, key: str, text: str = "text", words: int = WORDS, p
     and is linked with nothing, so it is its own component. Equal texts are
     always linked.
     """
+    found = _grouped(rows, key, text, words, percent, bands, band_rows)
+    # all that the result came from is done with, and its files can go before the next step needs the disk
+    tidy(rows.sparkSession)
+    return found
+
+
+def _grouped(rows: DataFrame, key: str, text: str, words: int, percent: int, bands: int, band_rows: int) -> DataFrame:
     rows = rows.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     hashed = lambda r: r.select("id", word_hashes(F.col("text")).alias("words"))
     sketch = written(hashed(rows).mapInArrow(_sketch(words, bands, band_rows), "id bigint, n_shingles bigint, print binary, keys array<bigint>"), "sketch")
@@ -337,6 +344,7 @@ def grouped(rows: DataFrame, key: str, text: str = "text", words: int = WORDS, p
     stars = kept(stars.select(F.col("m.id").alias("a"), F.col("h.id").alias("b")).distinct())
     links = kept(confirm(stars, sets, percent))
     joined = components(links)
+    tidy(rows.sparkSession)
 
     # what a bucket's head has not joined: classes of different components that share a bucket
     placed = members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
