@@ -79,6 +79,13 @@ def rescued(spark: SparkSession, sf: str) -> DataFrame:
     return only.crossJoin(asked.join(dense, "question_id", "left_anti").agg(F.count("*").alias("eligible")))
 
 
+@register("rescue_eligible", f"WITH {POSITIVES_SQL} SELECT question_id FROM hits WHERE rank IS NULL OR rank > {KS[0]}")
+def rescue_eligible(spark: SparkSession, sf: str) -> DataFrame:
+    """Cases that the dense arm misses within its first rows: those that another arm could rescue."""
+    asked, lists = positives(spark, sf)
+    return asked.select("question_id").join(lists.where(F.col("sat") & (F.col("rank") <= KS[0])).select("question_id"), "question_id", "left_anti")
+
+
 @register("noise_floor", f"WITH {OFF_TOPIC_SQL} SELECT round(min(distance), 6) AS noise_floor, count(distance) AS measured FROM bests")
 def noise_floor(spark: SparkSession, sf: str) -> DataFrame:
     return off_topic(spark, sf).agg(F.round(F.min("distance"), 6).alias("noise_floor"), F.count("distance").alias("measured"))

@@ -108,3 +108,9 @@ def iso_day(spark: SparkSession, sf: str) -> DataFrame:
     """The day of what can be read as a time; anything else stays as it is."""
     raw = F.when(F.col("event_id") % 5 == 0, "not a date").otherwise(F.col("ts").cast("string"))
     return table(spark, sf, "events").select("event_id", F.coalesce(F.date_format(F.try_to_timestamp(raw), "yyyy-MM-dd"), raw).alias("day"))
+
+
+@register("retry_after", "SELECT event_id, CAST(86400 - (hour(ts) * 3600 + minute(ts) * 60 + second(ts)) AS BIGINT) AS seconds FROM events")
+def retry_after(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole seconds until the next midnight, when a daily cap is open again."""
+    return table(spark, sf, "events").select("event_id", (86_400 - (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts"))).cast("long").alias("seconds"))

@@ -254,3 +254,32 @@ def embed_batches(spark: SparkSession, sf: str) -> DataFrame:
     shown = F.concat(F.lit("search_document: "), F.ltrim("text"))
     return table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / C.embed_batch).alias("batch")).agg(F.count("*").alias("n"), F.sum(F.char_length(shown).cast("long")).alias("chars"))
 
+
+
+#: A path that is the export's own and that nobody may write or delete.
+RESERVED = "manifest.json"
+
+
+@register("delete_paths", f"WITH {TREE_SQL}, asked AS (SELECT DISTINCT CASE WHEN page_id % 4 = 0 THEN path WHEN page_id % 4 = 1 THEN concat(path, '/none') ELSE '{RESERVED}' END AS path FROM tree), k AS (SELECT DISTINCT path FROM tree) SELECT a.path, CASE WHEN a.path = '{RESERVED}' THEN 'refused' WHEN k.path IS NOT NULL THEN 'deleted' ELSE 'missing' END AS outcome FROM asked a LEFT JOIN k ON k.path = a.path")
+def delete_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Each path that is to go and what comes of it: a missing one is no error, the reserved one is refused."""
+    files = tree(spark, sf).select("page_id", "path")
+    asked = files.select(F.when(F.col("page_id") % 4 == 0, F.col("path")).when(F.col("page_id") % 4 == 1, F.concat("path", F.lit("/none"))).otherwise(RESERVED).alias("path")).distinct()
+    known = files.select("path", F.lit(True).alias("there")).distinct()
+    outcome = F.when(F.col("path") == RESERVED, "refused").when(F.col("there"), "deleted").otherwise("missing")
+    return asked.join(known, "path", "left").select("path", outcome.alias("outcome"))
+
+
+@register("compile_memo", "WITH r AS (SELECT sha256(text) AS h, min(doc_id) AS result FROM documents WHERE doc_id % 2 = 0 GROUP BY sha256(text)) SELECT d.doc_id, r.result IS NOT NULL AS cached, r.result FROM documents d LEFT JOIN r ON r.h = sha256(d.text)")
+def compile_memo(spark: SparkSession, sf: str) -> DataFrame:
+    """Results are looked up by a digest of the contents: texts of even ids have been made, and their copies need not be made again."""
+    hashed = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    made = hashed.where(F.col("doc_id") % 2 == 0).groupBy("h").agg(F.min("doc_id").alias("result"))
+    return hashed.join(made, "h", "left").select("doc_id", F.col("result").isNotNull().alias("cached"), "result")
+
+
+@register("canvas_scale", "SELECT doc_id, CAST(n_chars % 612 AS DOUBLE) * 1.5 AS canvas_x, CAST(n_chars % 612 AS DOUBLE) * 1.5 / 1.5 AS tex_x FROM documents")
+def canvas_scale(spark: SparkSession, sf: str) -> DataFrame:
+    """A place on a page in points, as a place on a canvas of one and a half times its size, and back."""
+    point = (F.col("n_chars") % 612).cast("double")
+    return table(spark, sf, "documents").select("doc_id", (point * 1.5).alias("canvas_x"), (point * 1.5 / 1.5).alias("tex_x"))

@@ -255,3 +255,27 @@ def nearest_paper_scope(spark: SparkSession, sf: str) -> DataFrame:
     owner = nearest(vectors(spark, sf), asked, 1).select("question_id", "paper_id")
     found = nearest(vectors(spark, sf), asked, C.intra_paper_rank_window, gate=C.intra_paper_ceiling, scope=owner)
     return found.select("question_id", "id", F.col("paper_id").cast("int"), F.col("d_rank").alias("n"))
+
+
+TITLE_NEEDLE = "The A"
+
+
+@register(
+    "title_scope",
+    f"WITH {DISTANCES_SQL}, {PAPERS_SQL}, scoped AS (SELECT p.question_id, p.id, p.distance FROM pairs p JOIN papers t ON t.paper_id = p.id WHERE contains(lower(t.title), lower('{TITLE_NEEDLE}')) AND p.distance < {C.intra_paper_ceiling}) SELECT question_id, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY question_id ORDER BY distance, id) AS n FROM scoped QUALIFY n <= {C.max_context_chunks}",
+)
+def title_scope(spark: SparkSession, sf: str) -> DataFrame:
+    """Only chunks of documents whose title holds the needle, case aside, nearest first: the scope is cut before anything is searched."""
+    named = papers(spark, sf).where(F.contains(F.lower("title"), F.lit(TITLE_NEEDLE.lower()))).select(F.col("paper_id").alias("id"))
+    rows = vectors(spark, sf).join(named, "id", "left_semi")
+    found = nearest(rows, questions(spark, sf), C.max_context_chunks, gate=C.intra_paper_ceiling)
+    return found.select("question_id", "id", F.round("distance", 6).alias("distance"), F.col("d_rank").alias("n"))
+
+
+@register("space_topk", f"WITH {VECTORS_SQL} SELECT question_id, id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY question_id ORDER BY distance, id) AS n FROM pairs WHERE id % 2 = question_id % 4 // 2 QUALIFY n <= {C.history_top_k}")
+def space_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of two models (even and odd ids) are never compared with each other: a question is asked in the space of its own model."""
+    models = vectors(spark, sf).select("id", (F.col("id") % 2).alias("paper_id"), "embedding")
+    asked = questions(spark, sf)
+    found = nearest(models, asked, C.history_top_k, scope=asked.select("question_id", F.floor(F.col("question_id") % 4 / 2).alias("paper_id")))
+    return found.select("question_id", "id", F.round("distance", 6).alias("distance"), F.col("d_rank").alias("n"))

@@ -15,6 +15,7 @@ from brindle.functions import citations, folding, vector
 from brindle.functions import text as X
 from brindle.operators import evaluation, keyed, lexical, planning, ranking, resolve
 from brindle.sources import records
+from brindle.store import in_order
 
 
 def one(spark, column, **values):
@@ -81,6 +82,34 @@ def test_search_is_exact_whatever_the_batches(spark):
     assert vector.nearest(corpus, asked.where("false"), 3).count() == 0
 
 
+@pytest.mark.parametrize("bytes_", [1 << 30, 0])
+def test_search_of_many_questions(spark, monkeypatch, bytes_):
+    """5000 questions: one plan with nothing collected, broadcast or dealt by blocks."""
+    monkeypatch.setattr(vector, "BROADCAST_BYTES", bytes_)
+    rng = np.random.default_rng(3)
+    units = rng.normal(size=(900, 6)).astype("float32")
+    corpus = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(units)], "id bigint, paper_id bigint, embedding array<float>").repartition(3)
+    turned = rng.normal(size=(5000, 6)).astype("float32")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(turned)], "question_id bigint, embedding array<float>")
+    found = {(r.question_id, r.d_rank): r.id for r in vector.nearest(corpus, asked, 2).collect()}
+    a, b = (x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True) for x in (turned, units))
+    distance = np.round(np.maximum(1 - a @ b.T, 0), 9)
+    best = np.argsort(distance, axis=1, kind="stable")[:, :2]
+    assert found == {(i, k + 1): int(best[i, k]) for i in range(5000) for k in range(2)}
+
+
+def test_numbers_in_order(spark):
+    rows = spark.createDataFrame([(i * 7 % 1000, "x") for i in range(1000)], "k bigint, part string").repartition(5)
+    assert all(r.n == r.k and r.part == "x" for r in in_order(rows, ["k"], "n").collect())
+    assert in_order(rows.where("false"), ["k"], "n").count() == 0
+
+
+def test_equal_names_are_numbered_in_one_pass(spark):
+    rows = [("d", i, "Main.tex", False) for i in range(4000)] + [("d", 5000 + i, f"other{i}.tex", False) for i in range(50)]
+    found = planning.plan_writes(spark.createDataFrame(rows, "doc string, seq bigint, path string, old boolean"), "doc", "seq", "path", "old").collect()
+    assert {r.seq: r.planned for r in found if r.seq < 5000} == {0: "Main.tex"} | {i: f"Main ({i}).tex" for i in range(1, 4000)}
+
+
 def test_cosine_column(spark):
     e = F.array(F.lit(1.0), F.lit(0.0))
     assert one(spark, vector.cosine_distance(e, e)) == 0.0
