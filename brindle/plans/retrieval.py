@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.bindings import CHUNKS_SQL, DISTANCES_SQL, PAPERS_SQL, TERMS_SQL, VECTORS_SQL, chunks, papers, question_terms, questions, table, vectors
 from brindle.config import CONFIG as C
 from brindle.functions.vector import counts_below, nearest
-from brindle.operators import lexical, ranking
+from brindle.operators import lexical, ranking, websearch
 from brindle.registry import register
 from brindle.store import in_order
 
@@ -91,6 +91,50 @@ def sparse_or_topk(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.ranked(lexical.matches(chunks(spark, sf), question_terms(spark, sf), mode="any"), C.hybrid_sparse_pool).select("question_id", "id", "tf", "s_rank")
 
 
+#: What people type, by the question's number: words, a phrase, alternatives, a refused word, a refused phrase, stop words alone.
+TYPED = (
+    "w[1] || ' ' || w[2]",
+    "'\"' || w[2] || ' ' || w[3] || '\"'",
+    "w[1] || ' or ' || w[2] || ' ' || w[3] || ' OR \"' || w[3] || ' the ' || w[4]",
+    "w[1] || ' -' || w[2]",
+    "w[2] || ' -\"' || w[3] || ' ' || w[4] || '\" ' || w[5] || '-' || w[6]",
+    "'the of \"to a\" or -and'",
+)
+
+
+def typed_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """question_id, text: each stated question typed in one of the ways of TYPED, from the title of the document with its id."""
+    titles = papers(spark, sf).select(F.col("paper_id").alias("question_id"), F.split(F.replace("title", F.lit('"'), F.lit("")), " ").alias("w"))
+    asked = questions(spark, sf).select("question_id").join(titles, "question_id")
+    word = lambda sql: "".join(f"get(w, {int(x[0]) - 1}){x[1:]}" if i else x for i, x in enumerate(sql.replace("w[", "\0").replace("]", "").split("\0")))
+    ways = F.array(*[F.expr(word(sql)) for sql in TYPED])
+    return asked.select("question_id", F.get(ways, (F.floor(F.col("question_id") / 20) % len(TYPED)).cast("int")).alias("text"))
+
+
+TYPED_SQL = f"""{PAPERS_SQL}, typed AS (SELECT question_id, CASE CAST(question_id // 20 AS INTEGER) % {len(TYPED)} {' '.join(f'WHEN {i} THEN {sql}' for i, sql in enumerate(TYPED))} END AS text FROM (SELECT q.question_id, string_split(replace(p.title, '"', ''), ' ') AS w FROM questions q JOIN papers p ON p.paper_id = q.question_id)),
+pieces AS MATERIALIZED (SELECT question_id, unnest(l) AS piece, unnest(range(len(l))) AS seq FROM (SELECT question_id, regexp_extract_all(text, '{websearch.PIECE}') AS l FROM typed)),
+parted AS (SELECT *, count(*) FILTER (WHERE lower(piece) = 'or') OVER (PARTITION BY question_id ORDER BY seq) AS part, list_filter(regexp_split_to_array(lower(piece), '[^a-z0-9]+'), lambda x: x <> '') AS ts FROM pieces),
+said AS MATERIALIZED (SELECT question_id, part, seq, piece LIKE '-%' AS no, unnest(ts) AS term, unnest(range(len(ts))) AS place FROM parted),
+words AS (SELECT * FROM said WHERE term NOT IN ({', '.join(f"'{x}'" for x in websearch.STOP_WORDS)})),
+placed AS (SELECT *, count(*) OVER (PARTITION BY question_id, seq) AS n, place - min(place) OVER (PARTITION BY question_id, seq) AS off FROM words),
+firsts AS (SELECT question_id, min(seq) AS seq FROM (SELECT question_id, part, seq, no, string_agg(term || ' ' || off, ' ' ORDER BY off) AS atom FROM placed GROUP BY ALL) GROUP BY question_id, part, no, atom),
+need AS MATERIALIZED (SELECT question_id, part, seq, no, n, off, hash(term) AS h FROM placed p WHERE EXISTS (SELECT 1 FROM firsts f WHERE f.question_id = p.question_id AND f.seq = p.seq)),
+toks AS MATERIALIZED (SELECT id, paper_id, hash(term) AS h, place FROM (SELECT id, paper_id, unnest(ts) AS term, unnest(range(len(ts))) AS place FROM (SELECT id, paper_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ts FROM chunks))),
+met AS MATERIALIZED (SELECT n.question_id, n.part, n.seq, n.no, n.n, t.id, t.paper_id, t.place - n.off AS start FROM toks t JOIN need n ON n.h = t.h),
+runs AS (SELECT question_id, part, seq, no, id, paper_id, start FROM met GROUP BY ALL HAVING count(*) = any_value(n)),
+atoms AS (SELECT question_id, part, seq, no, id, paper_id, count(*) AS tf FROM runs GROUP BY ALL),
+wanted AS (SELECT question_id, part, count(DISTINCT seq) FILTER (WHERE NOT no) AS asked FROM need GROUP BY ALL),
+parts AS (SELECT a.question_id, a.part, a.id, a.paper_id, sum(a.tf) AS tf FROM atoms a JOIN wanted w ON w.question_id = a.question_id AND w.part = a.part GROUP BY ALL HAVING NOT bool_or(a.no) AND count(*) = any_value(w.asked)),
+matched AS (SELECT question_id, id, paper_id, CAST(max(tf) AS BIGINT) AS tf FROM parts GROUP BY ALL)"""
+
+
+@register("websearch_topk", f"WITH {CHUNKS_SQL}, questions AS (SELECT vec_id AS question_id FROM embeddings WHERE vec_id % 20 = 0), {TYPED_SQL}, {sparse_sql()} SELECT question_id, id, tf, s_rank FROM sparse")
+def websearch_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Typed questions with phrases, alternatives and refusals."""
+    found = websearch.search(chunks(spark, sf), typed_questions(spark, sf))
+    return lexical.ranked(found, C.hybrid_sparse_pool).select("question_id", "id", "tf", "s_rank")
+
+
 @register("sparse_cover_density")
 def sparse_cover_density(spark: SparkSession, sf: str) -> DataFrame:
     """Held against a brute-force count of covers in the tests."""

@@ -264,3 +264,81 @@ def test_keyed_changes(spark):
     texts = spark.createDataFrame([(1, "one two three four five six seven"), (2, "xone two"), (3, None)], "d bigint, t string")
     needles = spark.createDataFrame([(1, "ne two three four five six sev"), (2, "one two"), (3, ""), (4, None)], "i bigint, n string")
     assert sorted(map(tuple, keyed.anchored_contains(texts, needles, "d", "t", "i", "n").collect())) == [(1, 1), (1, 2), (2, 2)]
+
+
+def test_typed_questions(spark):
+    from brindle.operators.websearch import search
+
+    texts = ["graph neural networks", "the graph of networks is neural", "kernel methods", "networks graph", None, "", "graph graph graph", "GRAPH-kernel, state of the art"]
+    chunks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "id long, paper_id long, text string")
+    asked = {
+        "graph networks": {0, 1, 3},
+        '"neural networks"': {0},
+        '"graph of networks"': {0, 1},  # a stop word stands for any word
+        "kernel or neural": {0, 1, 2, 7},
+        "graph -neural": {3, 6, 7},
+        'networks -"graph neural"': {1, 3},
+        "graph-kernel": {7},
+        'kernel methods OR "state of the art" -neural': {2, 7},
+        "graph graph": {0, 1, 3, 6, 7},
+        "the of -and": set(),
+        "-graph": set(),
+        'or or "" -': set(),
+        '"open graph': set(),
+        '"neural networks': {0},
+    }
+    questions = spark.createDataFrame([*enumerate(asked), (99, None)], "question_id long, text string")
+    found = search(chunks, questions).collect()
+    got = {text: {r.id for r in found if r.question_id == i} for i, text in enumerate(asked)}
+    assert got == asked and all(r.question_id != 99 for r in found)
+    assert {r.id: r.tf for r in found if r.question_id == 8}[6] == 3
+    assert not search(chunks.limit(0), questions).collect() and not search(chunks, questions.limit(0)).collect()
+
+
+def test_tree_paths(spark):
+    import posixpath
+
+    from brindle.sources.records import tree_path
+
+    tails = ["a.tex", "./a.tex", "x/./a.tex", "x/../a.tex", "x/../../a.tex", "../a", "..", "x/..", "./", "", "/etc/a", "a//b", "x/y/../../b", "a/../../r/b", "../../..", "a/b/../c/", "..x/a"]
+
+    def plain(tail):
+        if not tail or tail.startswith("/"):
+            return None
+        path = posixpath.normpath(tail)
+        return None if path == ".." or path.startswith("../") else path
+
+    rows = spark.createDataFrame([(t, f"/tmp/r/{t}") for t in tails], "tail string, input string")
+    for root in ("/tmp/r", "/tmp/r//"):
+        assert {r.tail: r.path for r in rows.select("tail", tree_path(F.col("input"), F.lit(root)).alias("path")).collect()} == {t: plain(t) for t in tails}
+    one = spark.createDataFrame([("/tmp/rx/a", "/tmp/r"), (None, "/tmp/r"), ("/tmp/r/a", None), ("/a", "")], "input string, root string")
+    assert all(r.path is None for r in one.select(tree_path(F.col("input"), F.col("root")).alias("path")).collect())
+
+
+def test_mentions(spark):
+    from brindle.functions.mentions import mention_inserted, mention_query, standing
+
+    assert standing("@Search Methods and @Search", ["Search", "Search Methods", "Search"]) == [0, 1]
+    assert standing("@Search Methods", ["Search", "Search Methods"]) == [1]
+    assert standing("@A @A", ["A", "A", "A", None]) == [0, 1] and standing(None, ["A"]) == [] and standing("x", []) == []
+    cases = [("ask @que", 8, ("que", 4)), ("ask @que", 5, ("", 4)), ("a@b", 3, None), ("@x y", 4, None), ("@" + "q" * 79, 80, ("q" * 79, 0)), ("@" + "q" * 80, 81, None), ("@a\n", 3, None), ("@a@b", 4, None), (None, 0, None), ("", 0, None)]
+    rows = spark.createDataFrame([(i, t, c) for i, (t, c, _) in enumerate(cases)], "i int, text string, caret int")
+    found = {r.i: r.m and tuple(r.m) for r in rows.select("i", mention_query(F.col("text"), F.col("caret")).alias("m")).collect()}
+    assert found == {i: want for i, (_, _, want) in enumerate(cases)}
+    put = spark.createDataFrame([("ask @qu now", 4, 7), ("@q", 0, 2)], "text string, start int, caret int")
+    assert [tuple(r.p) for r in put.select(mention_inserted(F.col("text"), F.col("start"), F.col("caret"), F.lit("Title")).alias("p")).collect()] == [("ask @Title now", 11), ("@Title ", 7)]
+
+
+def test_manifests_and_archives(spark):
+    from brindle.sources.records import manifest, packed, unpacked
+
+    said = ['{"main_path": "a.tex", "engine": "xelatex"}', '{"main_path": "gone.tex", "engine": "pdflatex"}', '{"main_path": {}, "engine": {}}', '"xelatex"', "[" * 2000, "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, said string")
+    found = {r.i: tuple(r.m) for r in rows.select("i", manifest(F.col("said"), F.array(F.lit("a.tex"), F.lit("b.bin"))).alias("m")).collect()}
+    assert found == {0: ("a.tex", "xelatex"), 1: (None, "pdflatex"), **{i: (None, None) for i in range(2, 7)}}
+    trees = spark.createDataFrame([(1, [("a.tex", b"x"), ("b/c", None)]), (None, []), (2, None)], "k int, files array<struct<path:string,data:binary>>")
+    back = {(r.k, r.path, bytes(r.data)) for r in unpacked(packed(trees, "k", "files"), "k", "archive").collect()}
+    assert back == {(1, "a.tex", b"x"), (1, "b/c", b"")}
+    assert unpacked(trees.select("k", F.lit(None).cast("binary").alias("c")), "k", "c").select("error").distinct().collect()[0][0] == "no archive"
+    with pytest.raises(Exception, match="too large"):
+        packed(trees, "k", "files", most_files=1).collect()
