@@ -113,3 +113,26 @@ def regressions(base: DataFrame, candidate: DataFrame, *keys: str) -> DataFrame:
 def verdict(truth, got):
     """correct, wrong, missed or hallucinated, of a value and what was found; null is absent."""
     return F.when(truth.isNull(), F.when(got.isNull(), "correct").otherwise("hallucinated")).when(got.isNull(), "missed").when(truth == got, "correct").otherwise("wrong")
+
+
+def name_sets(cases: DataFrame, names: DataFrame, case: str) -> DataFrame:
+    """Rows (case, verdict) of lists compared as sets. names: case, side ('truth' or 'got'), name as compared; null and empty names do not count."""
+    side = lambda which: F.array_sort(F.collect_set(F.when((F.col("side") == which) & (F.col("name") != ""), F.col("name"))))
+    sets = cases.join(names.groupBy(case).agg(side("truth").alias("truth"), side("got").alias("got")), case, "left")
+    stated = lambda c: F.when(F.size(c) > 0, F.col(c))
+    return sets.select(case, verdict(stated("truth"), stated("got")).alias("verdict"))
+
+
+def resolution_passes(expected: Column, resolved: Column) -> Column:
+    """Whether each expected part of a title takes a resolved title of its own, the first that holds it in any case, and none is left over."""
+    none = F.array().cast("array<string>")
+    start = F.struct(F.coalesce(resolved, none).alias("left"), F.lit(True).alias("ok"))
+
+    def take(state: Column, part: Column) -> Column:
+        left = state["left"]
+        at = F.array_position(F.transform(left, lambda t: F.contains(F.lower(t), F.lower(part))), True).cast("int")
+        rest = F.when(at > 0, F.concat(F.slice(left, 1, F.greatest(at - 1, F.lit(0))), F.slice(left, at + 1, F.size(left)))).otherwise(left)
+        return F.struct(rest.alias("left"), (state["ok"] & (at > 0)).alias("ok"))
+
+    end = F.aggregate(F.coalesce(expected, none), start, take)
+    return end["ok"] & (F.size(end["left"]) == 0)

@@ -7,9 +7,12 @@ import json
 import zipfile
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from brindle.config import CONFIG
 from brindle.functions import text as X
@@ -32,7 +35,11 @@ def crossref(message: Column) -> Column:
 
 def golden_set(spark: SparkSession, path: str) -> DataFrame:
     """Cases of a set; any defect is fatal: unknown kinds, empty questions, repeated ids, needles that a kind must (not) have."""
-    cases = spark.read.schema(GOLDEN).json(path, multiLine=True).select(F.explode("cases").alias("c")).select("c.*")
+    return checked_cases(spark.read.schema(GOLDEN).json(path, multiLine=True).select(F.explode("cases").alias("c")).select("c.*"))
+
+
+def checked_cases(cases: DataFrame) -> DataFrame:
+    """Cases with trimmed needles; ValueError, naming one, if any is malformed or its id is repeated."""
     needles = F.transform(F.coalesce("expect_substrings", F.array().cast("array<string>")), lambda x: F.trim(x))
     cases = cases.withColumn("expect_substrings", needles)
     off = F.col("kind") == "off_topic"
@@ -58,6 +65,11 @@ def first_object(text: str | None) -> str | None:
     return None
 
 
+@F.pandas_udf(T.StringType())
+def objects(texts: pd.Series) -> pd.Series:
+    return texts.map(first_object)
+
+
 class BadArchive(ValueError):
     pass
 
@@ -94,20 +106,79 @@ def archive_entries(data: bytes, most_files: int = CONFIG.tree_files_cap, most_b
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Rows (archive, path, data, is_binary, error) of all archives below a path; a refused archive is one row with its error."""
+    files = spark.read.format("binaryFile").load(path)
+    return unpacked(files.select(F.col("path").alias("archive"), "content"), "archive", "content")
+
+
+def unpacked(archives: DataFrame, key: str, content: str) -> DataFrame:
+    """Rows (key, path, data, is_binary, error) of archives held in a binary column; a null one is refused."""
+    kinds = T.StructType([archives.schema[key], *T._parse_datatype_string("path string, data binary, is_binary boolean, error string").fields])
+    columns = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["archive", "path", "data", "is_binary", "error"]
-        kinds = [pa.string(), pa.string(), pa.binary(), pa.bool_(), pa.string()]
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    rows = [(name, p, b, is_binary(b), None) for p, b in archive_entries(data.as_py())]
+                    rows = [(name, p, b, is_binary(b), None) for p, b in archive_entries(data.as_py() or b"")]
                 except BadArchive as error:
                     rows = [(name, None, None, None, str(error))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), columns, strict=True)], names=columns.names)
+
+    return archives.select(key, content).mapInArrow(run, kinds)
+
+
+def zipped(files: list[dict]) -> bytes:
+    """An archive of files (path, data) with a fixed date, so equal files give equal bytes."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in files:
+            archive.writestr(zipfile.ZipInfo(file["path"]), file["data"] or b"", zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
+def packed(trees: DataFrame, key: str, files: str, most_files: int = CONFIG.tree_files_cap, most_bytes: int = CONFIG.tree_bytes_cap) -> DataFrame:
+    """Rows (key, archive) of trees with an array of files (path, data). ValueError for a tree beyond the bounds, as it could not be read again."""
+    kinds = T.StructType([trees.schema[key], T.StructField("archive", T.BinaryType())])
+    columns = to_arrow_schema(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tree = batch.column(1)[i].as_py() or []
+                if len(tree) > most_files or sum(len(f["data"] or b"") for f in tree) > most_bytes:
+                    raise ValueError("a tree is too large for an archive")
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()], columns.field(0).type), pa.array([zipped(tree)], pa.binary())], names=columns.names)
+
+    return trees.select(key, files).mapInArrow(run, kinds)
+
+
+#: The engines that a manifest may name.
+ENGINES = ("pdflatex", "xelatex")
+
+
+def manifest(said: Column, texts: Column) -> Column:
+    """Struct (main, engine) of a manifest: main is one of the tree's .tex texts, engine a known one; whatever is not is null.
+
+    Strings alone count: a number or a list says nothing, and neither does what is no JSON object.
+    """
+    whole = F.try_parse_json(said)
+    string = lambda name: F.when(F.schema_of_variant(F.try_variant_get(whole, f"$.{name}", "variant")) == "STRING", F.try_variant_get(whole, f"$.{name}", "string"))
+    main, engine = string("main_path"), string("engine")
+    return F.struct(F.when(F.array_contains(texts, main) & main.endswith(".tex"), main).alias("main"), F.when(engine.isin(*ENGINES), engine).alias("engine"))
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, path string, data binary, is_binary boolean, error string")
+def tree_path(recorded: Column, root: Column) -> Column:
+    """A recorded input as a path below the root of its tree; null for any other place, and for one that climbs out of the tree."""
+    prefix = F.concat(F.rtrim(root, F.lit("/")), F.lit("/"))
+    tail = F.substr(recorded, F.char_length(prefix) + 1)
+    segments = F.filter(F.split(tail, "/"), lambda x: ~x.isin("", "."))
+    none = F.array().cast("array<string>")
+    # a parent takes back the folder before it; without one it stays and shows that the path climbs out
+    climb = lambda seen: F.when(F.coalesce(F.try_element_at(seen, F.lit(-1)), F.lit("..")) != "..", F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0)))).otherwise(F.array_append(seen, F.lit("..")))
+    found = F.aggregate(segments, none, lambda seen, x: F.when(x == "..", climb(seen)).otherwise(F.array_append(seen, x)))
+    inside = F.startswith(recorded, prefix) & (tail != "") & ~tail.startswith("/") & (F.coalesce(F.get(found, F.lit(0)), F.lit("")) != "..")
+    return F.when(inside & (root != ""), F.when(F.size(found) == 0, ".").otherwise(F.array_join(found, "/")))
 
 
 def is_binary(data: bytes) -> bool:
