@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.bindings import DISTANCES_SQL, NEGATIVES_SQL, QUESTIONS_SQL, chunks, distance_sql, question_terms, questions, table, vectors
 from brindle.config import CONFIG as C
-from brindle.functions.vector import nearest
+from brindle.functions.vector import counts_below, nearest
 from brindle.operators import evaluation as ev
 from brindle.operators import ranking
 from brindle.plans import retrieval as R
@@ -225,3 +225,47 @@ def metadata_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf, "labels"), "doc_id")
     truth, got = F.when(F.col("quality") == 1, F.col("lang")), F.when(F.col("toxic") == 0, F.when(F.col("n_chars") > 1000, F.col("lang")).otherwise("en"))
     return rows.select(ev.verdict(truth, got).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+#: A chunk answers a question of its own paper if both ids leave the same remainder, itself excluded.
+ANSWER_EVERY = 7
+TARGETED_SQL = f"""WITH {R.VECTORS_SQL}, off AS (SELECT question_id, own, qv, 'off_topic' AS kind FROM (SELECT vec_id AS question_id, label AS own, list_transform(CAST(embedding AS DOUBLE[]), lambda x: -x) AS qv FROM embeddings WHERE vec_id % 20 = 10)),
+cases AS (SELECT question_id, own, qv, 'content' AS kind FROM questions UNION ALL SELECT * FROM off),
+near AS MATERIALIZED (SELECT c.question_id, c.own, c.kind, k.id, k.paper_id, {distance_sql('k.v', 'c.qv')} AS distance FROM cases c CROSS JOIN chunks k WHERE k.id <> c.question_id),
+scope AS (SELECT question_id, CASE WHEN any_value(kind) = 'content' THEN any_value(own) ELSE arg_min(paper_id, struct_pack(d := distance, i := id)) END AS paper_id FROM near GROUP BY question_id),
+inside AS (SELECT n.*, n.kind = 'content' AND n.id % {ANSWER_EVERY} = n.question_id % {ANSWER_EVERY} AS sat, row_number() OVER (PARTITION BY n.question_id ORDER BY n.distance, n.id) AS pos, min(n.distance) OVER (PARTITION BY n.question_id) AS best FROM near n JOIN scope s ON s.question_id = n.question_id AND s.paper_id = n.paper_id),
+judged AS (SELECT *, pos <= {K} AND distance < {C.intra_paper_ceiling} AND distance <= best + CAST({C.intra_paper_delta} AS DOUBLE) AS stays FROM inside)"""
+
+
+def targeted(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows (question_id, kind, paper_chunks, kept, survived): each question held to one paper, its own or, off topic, the nearest."""
+    corpus = vectors(spark, sf)
+    own = questions(spark, sf).withColumn("kind", F.lit("content"))
+    far = questions(spark, sf, rest=10, sign=-1).withColumn("kind", F.lit("off_topic"))
+    first = nearest(corpus, far, 1, skip_self=True).select("question_id", "paper_id")
+    asked = own.unionByName(far)
+    scope = written(own.select("question_id", F.col("paper_id").cast("long").alias("paper_id")).unionByName(first), "scope")
+    found = nearest(corpus, asked.select("question_id", "embedding"), K, gate=C.intra_paper_ceiling, scope=scope, skip_self=True)
+    best = found.groupBy("question_id").agg(F.min("distance").alias("best"))
+    stays = found.join(best, "question_id").where(F.col("distance") <= F.col("best") + C.intra_paper_delta)
+    kept = stays.groupBy("question_id").agg(F.count("*").alias("kept"), F.max(F.col("id") % ANSWER_EVERY == F.col("question_id") % ANSWER_EVERY).alias("hit"))
+    # every chunk of the paper is counted at a distance of more than any two vectors have
+    sizes = counts_below(corpus, asked.select("question_id", "embedding"), [3.0], scope=scope, skip_self=True).select("question_id", F.col("n").alias("paper_chunks"))
+    rows = asked.select("question_id", "kind").join(sizes, "question_id", "left").join(kept, "question_id", "left")
+    survived = F.when(F.col("kind") == "content", F.coalesce("hit", F.lit(False)))
+    return rows.select("question_id", "kind", F.coalesce("paper_chunks", F.lit(0)).cast("long").alias("paper_chunks"), F.coalesce("kept", F.lit(0)).cast("long").alias("kept"), survived.alias("survived"))
+
+
+@register("targeted_rows", f"{TARGETED_SQL} SELECT question_id, any_value(kind) AS kind, count(*) AS paper_chunks, count(*) FILTER (WHERE stays) AS kept, CASE WHEN any_value(kind) = 'content' THEN coalesce(bool_or(sat AND stays), false) END AS survived FROM judged GROUP BY question_id")
+def targeted_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return targeted(spark, sf)
+
+
+@register(
+    "targeted_report",
+    f"{TARGETED_SQL}, r AS (SELECT question_id, any_value(kind) AS kind, count(*) FILTER (WHERE stays) AS kept, bool_or(sat AND stays) AS hit FROM judged GROUP BY question_id) SELECT round(avg(CASE WHEN kind = 'content' THEN CASE WHEN hit THEN 1.0 ELSE 0.0 END END), 9) AS survival, round(avg(CASE WHEN kind = 'content' THEN kept END), 9) AS mean_kept, max(CASE WHEN kind = 'off_topic' THEN kept END) AS worst_off_topic FROM r",
+)
+def targeted_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Survival and kept chunks of questions held to their paper, and the most that an off-topic one keeps."""
+    content, off = F.col("kind") == "content", F.col("kind") == "off_topic"
+    return targeted(spark, sf).agg(F.round(F.avg(F.col("survived").cast("double")), 9).alias("survival"), F.round(F.avg(F.when(content, F.col("kept"))), 9).alias("mean_kept"), F.max(F.when(off, F.col("kept"))).alias("worst_off_topic"))
