@@ -158,3 +158,37 @@ def golden_cases(spark: SparkSession, sf: str) -> DataFrame:
     needles = F.when(~off, F.array(F.concat(F.lit(" n"), "item_id", F.lit(" ")), F.lit("end")))
     cases = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.when(off, "off_topic").otherwise("content").alias("kind"), F.concat(F.lit("Is it "), "text").alias("question"), F.lit(None).cast("string").alias("paper_title_contains"), needles.alias("expect_substrings"))
     return S.checked_cases(cases).select("id", "kind", F.array_join("expect_substrings", "|").alias("needles"))
+
+
+@register("main_files", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'paper.tex' WHEN 1 THEN 'z.tex' WHEN 2 THEN 'a/b.tex' END AS main, CASE page_id % 5 WHEN 3 THEN 'none' WHEN 4 THEN 'ambiguous' ELSE 'ok' END AS verdict, CASE page_id % 5 WHEN 0 THEN 'xelatex' WHEN 1 THEN 'pdflatex' WHEN 2 THEN 'pdflatex' END AS engine FROM pages")
+def main_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The file that a tree compiles, and its engine: by a usual name, by depth, by being the only one that is no quotation."""
+    real, quoted = "\\documentclass{article}\n", "\\begin{verbatim}\n\\documentclass{x}\n\\end{verbatim}\n% \\documentclass{y}\n"
+    trees = (
+        (("b.tex", real), ("paper.tex", real + "\\usepackage[a]{xcolor, fontspec }")),
+        (("z.tex", real + "%\\usepackage{fontspec}"), ("x/a.tex", real), ("x/b.tex", real)),
+        (("a/b.tex", real), ("main.tex", quoted)),
+        (("main.tex", quoted), ("notes.txt", real)),
+        (("main.tex", real), ("ms.tex", real)),
+    )
+    file = lambda f: F.struct(F.lit(f[0]).alias("path"), F.lit(f[1]).alias("text"))
+    files = F.get(F.array(*[F.array(*map(file, t)) for t in trees]), (F.col("page_id") % len(trees)).cast("int"))
+    tree = table(spark, sf, "pages").select("page_id", F.inline(files))
+    chosen = S.main_files(tree, "page_id")
+    texts = tree.select("page_id", F.col("path").alias("main"), S.engine(F.col("text")).alias("engine"))
+    return chosen.join(texts, ["page_id", "main"], "left").select("page_id", "main", "verdict", "engine")
+
+
+@register("first_errors", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('Undefined ', page_id) WHEN 1 THEN 'Emergency stop.' END AS message FROM pages")
+def first_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """What a TeX log says first: with its file and line, without, or nothing."""
+    logs = F.expr("CASE page_id % 3 WHEN 0 THEN concat('This is TeX\n./a.tex:12: Undefined ', page_id, ' \n! later') WHEN 1 THEN 'text ! no\n! Emergency stop.\n./a.tex:1: late' ELSE 'all is well' END")
+    return table(spark, sf, "pages").select("page_id", S.first_error(logs).alias("message"))
+
+
+@register("synctex_records", "SELECT page_id, record, CASE record WHEN 1 THEN concat('a', page_id, '.pdf') ELSE 'b.pdf' END AS output, CASE record WHEN 1 THEN '1' END AS page FROM pages, (SELECT unnest([CAST(1 AS BIGINT), CAST(2 AS BIGINT)]) AS record)")
+def synctex_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of lines; what stands before the first is none, and a field's first value counts."""
+    text = F.concat(F.lit("Page:0\nSyncTeX result begin\nOutput:a"), "page_id", F.lit(".pdf\nPage:1\nPage:2\nOutput:b.pdf\nend"))
+    found = S.synctex_records(table(spark, sf, "pages").select("page_id", text.alias("text")), "page_id")
+    return found.select("page_id", "record", F.col("fields")["Output"].alias("output"), F.col("fields")["Page"].alias("page"))

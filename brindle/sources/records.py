@@ -204,11 +204,36 @@ def first_error(log: Column) -> Column:
     return F.when(line.rlike(r"^\S.*?:\d+:\s*.*\S"), F.regexp_extract(line, r"^\S.*?:\d+:\s*(.+?)\s*$", 1)).otherwise(F.regexp_extract(line, r"^!\s*(.+?)\s*$", 1))
 
 
+#: Names of a main file at the top of a tree, blocks whose text is no source, packages that need XeTeX.
+MAIN_NAMES = ("main.tex", "paper.tex", "ms.tex")
+QUOTING = "verbatim|lstlisting|minted"
+XETEX_PACKAGES = ("fontspec", "unicode-math", "polyglossia")
+
+
+def live(source: Column) -> Column:
+    """TeX without its comments and without the lines of blocks that only quote; a block that is never closed quotes the rest."""
+    bare = F.regexp_replace(source, r"(?m)(?<!\\)((?:\\\\)*)%.*$", "$1")
+    return F.regexp_replace(bare, rf"(?ms)^[^\n]*?\\begin\{{({QUOTING})\}}.*?(?:\\end\{{\1\}}[^\n]*$|\z)", "")
+
+
+def engine(source: Column) -> Column:
+    """xelatex for a source that loads a package which needs it, else pdflatex; null for null."""
+    loaded = F.regexp_extract_all(live(source), F.lit(r"\\(?:usepackage|RequirePackage)(?:\s*\[[^\]]*\])?\s*\{([^}]*)\}"), F.lit(1))
+    names = F.transform(F.split(F.array_join(loaded, ","), ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.when(source.isNotNull(), F.when(F.arrays_overlap(names, F.array(*map(F.lit, XETEX_PACKAGES))), "xelatex").otherwise("pdflatex"))
+
+
 def main_files(tree: DataFrame, group: str = "document", path: str = "path", text: str = "text") -> DataFrame:
-    """Rows (group, main, verdict): the .tex file with \\documentclass nearest to the top; ambiguous if several are as near."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?m)(?<!\\)((?:\\\\)*)%.*$", "$1"), r"(?s)\\begin\{(verbatim|comment)\}.*?\\end\{\1\}", "")
-    found = tree.where(F.lower(path).endswith(".tex")).withColumn("__main", F.coalesce(bare.rlike(r"\\documentclass\b"), F.lit(False))).withColumn("__depth", F.size(F.split(path, "/")))
-    best = found.where("__main").groupBy(group, "__depth").agg(F.count("*").alias("n"), F.min(path).alias("main")).groupBy(group).agg(F.min(F.struct("__depth", "n", "main")).alias("b"))
+    """Rows (group, main, verdict): which .tex file with \\documentclass is compiled.
+
+    The only one; else the only one with a usual name at the top; else, without
+    any such name, the one nearest to the top. What is left is ambiguous.
+    """
+    found = tree.where(F.col(path).endswith(".tex") & F.coalesce(live(F.col(text)).rlike(r"\\documentclass"), F.lit(False)))
+    usual = F.col(path).isin(*MAIN_NAMES)
+    # usual names come before all depths, so one minimum serves both rules
+    level = F.when(usual, -1).otherwise(F.size(F.split(path, "/")))
+    best = found.groupBy(group, level.alias("level")).agg(F.count("*").alias("n"), F.min(path).alias("main")).groupBy(group).agg(F.min(F.struct("level", "n", "main")).alias("b"))
     rows = tree.select(group).distinct().join(best, group, "left")
     return rows.select(group, F.when(F.col("b.n") == 1, F.col("b.main")).alias("main"), F.when(F.col("b").isNull(), "none").when(F.col("b.n") > 1, "ambiguous").otherwise("ok").alias("verdict"))
 
