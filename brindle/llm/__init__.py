@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "lines", "quality", "chat", "neardup", "reputation", "pii", "fingerprint", "bpe", "langid")
+MODULES = ("decontaminate", "lines", "quality", "chat", "neardup", "reputation", "pii", "fingerprint", "bpe", "langid", "centroids")
 
 
 def queries() -> dict:
