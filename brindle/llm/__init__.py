@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontaminate", "lines", "quality", "chat", "neardup", "reputation", "pii", "fingerprint", "bpe", "langid", "blockmax", "centroids")
+MODULES = ("decontaminate", "lines", "quality", "chat", "neardup", "reputation", "pii", "fingerprint", "bpe", "langid", "secrets", "blockmax", "centroids")
 
 
 def queries() -> dict:
