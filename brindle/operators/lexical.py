@@ -3,27 +3,38 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.functions.text import tokens
+from brindle.operators.postings import TERMS_AT_ONCE, Index, lookup
 from brindle.store import hinted
 
-#: Terms of questions that are broadcast at most.
-TERMS_AT_ONCE = 200_000
 
+def _counted(corpus: DataFrame | Index, asked: DataFrame) -> DataFrame:
+    """Rows of asked with id, paper_id and tf of each chunk that has the term: looked up in an index, or counted in texts."""
+    if isinstance(corpus, Index):
+        return lookup(corpus, asked).drop("places")
+    each = corpus.select("id", "paper_id", F.explode(tokens(F.col("text"))).alias("term"))
+    return each.join(hinted(asked, TERMS_AT_ONCE), "term").groupBy(*asked.columns, "id", "paper_id").agg(F.count("*").alias("tf"))
 
-def tokens(text: Column) -> Column:
-    """Runs of a-z and 0-9 of a text in lower case, in order; none for null."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
 
+def placed(corpus: DataFrame | Index, asked: DataFrame) -> DataFrame:
+    """Rows of asked with id, paper_id and at for each place of the term in a chunk."""
+    if isinstance(corpus, Index):
+        return lookup(corpus, asked).drop("tf").withColumn("at", F.explode("places")).drop("places")
+    each = corpus.select("id", "paper_id", F.posexplode(tokens(F.col("text"))).alias("at", "term"))
+    return each.join(hinted(asked, TERMS_AT_ONCE), "term")
 
-def matches(chunks: DataFrame, terms: DataFrame, mode: str = "all", without: DataFrame | None = None) -> DataFrame:
+
+def matches(chunks: DataFrame | Index, terms: DataFrame, mode: str = "all", without: DataFrame | None = None) -> DataFrame:
     """Rows (question_id, id, paper_id, tf): chunks that hold all (or any) of a question's terms, and none of those it excludes.
 
-    chunks: id, paper_id, text; terms and without: question_id, term. A question
-    without terms finds nothing. Only tokens that some question asks for leave
-    the scan, and they are counted before they are shuffled.
+    chunks: id, paper_id, text, or their index; terms and without: question_id,
+    term. A question without terms finds nothing. Without an index, only tokens
+    that some question asks for leave the scan, and they are counted before they
+    are shuffled.
     """
     if mode not in ("all", "any"):
         raise ValueError("mode is all or any")
@@ -31,9 +42,7 @@ def matches(chunks: DataFrame, terms: DataFrame, mode: str = "all", without: Dat
     wanted = asked.withColumn("no", F.lit(False))
     if without is not None:
         wanted = wanted.unionByName(without.select("question_id", "term", F.lit(0).cast("long").alias("asked"), F.lit(True).alias("no")).distinct())
-    each = chunks.select("id", "paper_id", F.explode(tokens(F.col("text"))).alias("term"))
-    counted = each.join(hinted(wanted, TERMS_AT_ONCE), "term").groupBy("question_id", "id", "paper_id", "term", "no", "asked").agg(F.count("*").alias("tf"))
-    found = counted.groupBy("question_id", "id", "paper_id").agg(F.sum(F.when(~F.col("no"), F.col("tf")).otherwise(0)).alias("tf"), F.sum((~F.col("no")).cast("long")).alias("n"), F.max("no").alias("refused"), F.max("asked").alias("asked"))
+    found = _counted(chunks, wanted).groupBy("question_id", "id", "paper_id").agg(F.sum(F.when(~F.col("no"), F.col("tf")).otherwise(0)).alias("tf"), F.sum((~F.col("no")).cast("long")).alias("n"), F.max("no").alias("refused"), F.max("asked").alias("asked"))
     enough = F.col("n") == F.col("asked") if mode == "all" else F.col("n") > 0
     return found.where(~F.col("refused") & enough).select("question_id", "id", "paper_id", "tf")
 
@@ -63,12 +72,11 @@ def _covers(places: pd.Series, found: pd.Series, asked: pd.Series) -> pd.Series:
     return pd.Series([cover_score(list(zip(p, t, strict=True)), n) for p, t, n in zip(places, found, asked, strict=True)])
 
 
-def cover_density(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+def cover_density(chunks: DataFrame | Index, terms: DataFrame) -> DataFrame:
     """Rows (question_id, id, paper_id, score) of chunks with all terms of a question, scored by how close they stand.
 
     Only the places of terms are gathered, for one question and chunk at a time.
     """
     asked = terms.select("question_id", "term").distinct().withColumn("asked", F.count("*").over(Window.partitionBy("question_id")))
-    each = chunks.select("id", "paper_id", F.posexplode(tokens(F.col("text"))).alias("place", "term"))
-    hits = each.join(hinted(asked, TERMS_AT_ONCE), "term").groupBy("question_id", "id", "paper_id", "asked").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("hits"), F.count_distinct("term").alias("n"))
+    hits = placed(chunks, asked).groupBy("question_id", "id", "paper_id", "asked").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("place"), "term"))).alias("hits"), F.count_distinct("term").alias("n"))
     return hits.where(F.col("n") == F.col("asked")).select("question_id", "id", "paper_id", _covers("hits.place", "hits.term", "asked").alias("score"))

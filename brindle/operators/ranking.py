@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.config import CONFIG, EngineConfig
 from brindle.functions.vector import nearest
-from brindle.operators import lexical
+from brindle.operators import lexical, websearch
 from brindle.store import hinted
 
 #: Stands for the rank of an arm that has missed a row.
@@ -81,11 +81,13 @@ def ranked_within(near: DataFrame, asked: DataFrame, keep: int) -> DataFrame:
     return rows.withColumn("d_rank", F.row_number().over(order).cast("long")).where(F.col("d_rank") <= keep)
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, terms: DataFrame | None = None, scope: DataFrame | None = None, pool: int | None = None, guarantee: int = 0, near: DataFrame | None = None, config: EngineConfig = CONFIG) -> DataFrame:
+def retrieve(chunks: DataFrame, questions: DataFrame, terms: DataFrame | None = None, scope: DataFrame | None = None, pool: int | None = None, guarantee: int = 0, near: DataFrame | None = None, texts: DataFrame | lexical.Index | None = None, typed: DataFrame | None = None, config: EngineConfig = CONFIG) -> DataFrame:
     """Rows (question_id, pos, id, paper_id, distance[, d_rank, s_rank, score]) for a batch of questions, in the order of the cuts: gate, pools, fusion, budget, cut within one paper, guarantee.
 
-    chunks: id, paper_id, embedding and, for the lexical arm, text. Without terms
-    only the dense arm is used. A question whose scope is exactly one paper has
+    chunks: id, paper_id, embedding and, for the lexical arm, text, unless texts
+    brings chunks with texts or their index. Without terms and typed questions
+    (question_id, text; see websearch, by stems where there is an index) only the
+    dense arm is used. A question whose scope is exactly one paper has
     the wider gate and a cut of its own, and no guarantee. near may bring the
     nearest rows of each question and paper in scope (d_rank within the paper, no
     gate, as many as any pool): then nothing is searched again.
@@ -100,14 +102,16 @@ def retrieve(chunks: DataFrame, questions: DataFrame, terms: DataFrame | None =
     else:
         asked = questions.withColumn("single", F.lit(False)).withColumn("gate", F.lit(config.similarity_threshold))
     single = asked.select("question_id", "single")
-    keep = max(config.hybrid_dense_pool, pool) if terms is not None else pool
+    by_words = terms is not None or typed is not None
+    keep = max(config.hybrid_dense_pool, pool) if by_words else pool
     dense = nearest(chunks, asked, keep, scope=scope) if near is None else ranked_within(near, asked, keep)
-    if terms is None:
+    if not by_words:
         ranked = dense.withColumnRenamed("d_rank", "pos").where(F.col("pos") <= pool).join(single, "question_id")
         cut = within_delta(ranked.where("single"), config.intra_paper_delta)
         ranked = ranked.where("not single").unionByName(cut).drop("single")
     else:
-        found = lexical.matches(chunks, terms)
+        corpus = chunks if texts is None else texts
+        found = lexical.matches(corpus, terms) if typed is None else websearch.search(corpus, typed, isinstance(corpus, lexical.Index))
         if scope is not None:
             found = found.join(hinted(scope, lexical.TERMS_AT_ONCE), ["question_id", "paper_id"], "left_semi")
         fused = fuse(dense, lexical.ranked(found, config.hybrid_sparse_pool), config).where(F.col("pos") <= pool)

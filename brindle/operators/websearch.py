@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.operators.lexical import TERMS_AT_ONCE, tokens
-from brindle.store import hinted
+from brindle.functions.stemming import stemmed
+from brindle.functions.text import tokens
+from brindle.operators.lexical import placed
+from brindle.operators.postings import Index, variants
 
 #: Words that English full-text search leaves out.
 STOP_WORDS = (
@@ -20,37 +22,47 @@ STOP_WORDS = (
 PIECE = r'-?"[^"]*"?|[^\s"]+'
 
 
-def asked_for(questions: DataFrame) -> DataFrame:
+def asked_for(questions: DataFrame, index: Index | None = None) -> DataFrame:
     """Rows (question_id, part, asked, no, atom, need, place, term): what each alternative of a question asks for or refuses.
 
     questions: question_id, text. What is quoted, or holds several words without
     a blank, is a phrase: its words stand as far apart as they are typed. Stop
     words only keep their place. asked counts the different atoms that a part
-    needs; a question of stop words alone has no rows, as has a null one.
+    needs; a question of stop words alone has no rows, as has a null one. With an
+    index, words are taken for their stems: atoms are told apart by them, and a
+    place has a row for each token of the corpus that has its stem (one row, with
+    the stem, if none has).
     """
     pieces = questions.select("question_id", F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("at", "piece"))
     parts = pieces.withColumn("part", F.count_if(F.lower("piece") == "or").over(Window.partitionBy("question_id").orderBy("at")))
-    placed = F.transform(tokens(F.col("piece")), lambda t, i: F.struct(i.alias("place"), t.alias("term")))
-    left = F.filter(placed, lambda x: ~x["term"].isin(STOP_WORDS))
-    said = parts.select("question_id", "part", F.col("piece").startswith("-").alias("no"), left.alias("terms")).where(F.size("terms") > 0)
+    words = parts.select("question_id", "part", "at", F.col("piece").startswith("-").alias("no"), F.posexplode(tokens(F.col("piece"))).alias("place", "term")).where(~F.col("term").isin(STOP_WORDS))
+    if index is not None:
+        words = stemmed(words).drop("term").withColumnRenamed("stem", "term")
+    said = words.groupBy("question_id", "part", "at", "no").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("terms"))
     begin = F.transform("terms", lambda x: F.struct((x["place"] - F.col("terms")[0]["place"]).alias("place"), x["term"].alias("term")))
     atoms = said.select("question_id", "part", "no", begin.alias("terms")).withColumn("atom", F.array_join(F.transform("terms", lambda x: F.concat_ws(":", x["place"].cast("string"), x["term"])), " "))
     once = atoms.dropDuplicates(["question_id", "part", "no", "atom"])
     counted = once.withColumn("asked", F.count_if(~F.col("no")).over(Window.partitionBy("question_id", "part")))
-    return counted.select("question_id", "part", "asked", "no", "atom", F.size("terms").alias("need"), F.inline("terms"))
+    rows = counted.select("question_id", "part", "asked", "no", "atom", F.size("terms").alias("need"), F.inline("terms"))
+    if index is None:
+        return rows
+    told = rows.withColumnRenamed("term", "stem")
+    return told.join(variants(index, told), "stem", "left").select(*rows.columns[:-1], F.coalesce("term", "stem").alias("term"))
 
 
-def search(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+def search(chunks: DataFrame | Index, questions: DataFrame, stems: bool = False) -> DataFrame:
     """Rows (question_id, id, paper_id, tf): chunks that hold everything some alternative asks for and nothing it refuses.
 
-    chunks: id, paper_id, text. tf counts the finds of the alternative that has
+    chunks: id, paper_id, text, or their index, which stems need: then a word finds
+    every token with its stem. tf counts the finds of the alternative that has
     most. An alternative of refusals alone finds nothing, for nothing would rank
     its finds. Only tokens that some question names leave the scan, and single
     words are counted before they are shuffled.
     """
-    asked = asked_for(questions)
-    each = chunks.select("id", "paper_id", F.posexplode(tokens(F.col("text"))).alias("at", "term"))
-    hits = each.join(hinted(asked, TERMS_AT_ONCE), "term").withColumn("start", F.when(F.col("need") > 1, F.col("at") - F.col("place")))
+    if stems and not isinstance(chunks, Index):
+        raise ValueError("stems are kept in an index")
+    asked = asked_for(questions, chunks if stems else None)
+    hits = placed(chunks, asked).withColumn("start", F.when(F.col("need") > 1, F.col("at") - F.col("place")))
     whole = ["question_id", "part", "asked", "id", "paper_id"]
     runs = hits.groupBy(*whole, "no", "atom", "need", "start").agg(F.count("*").alias("n")).where((F.col("need") == 1) | (F.col("n") == F.col("need")))
     found = runs.groupBy(*whole, "no", "atom").agg(F.sum(F.when(F.col("need") == 1, F.col("n")).otherwise(1)).alias("tf"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.bindings import DISTANCES_SQL, NEGATIVES_SQL, QUESTIONS_SQL, chunks, distance_sql, question_terms, questions, table, vectors
+from brindle.bindings import DISTANCES_SQL, NEGATIVES_SQL, QUESTIONS_SQL, chunks, distance_sql, questions, table, vectors
 from brindle.config import CONFIG as C
 from brindle.functions.vector import counts_below, nearest
 from brindle.operators import evaluation as ev
 from brindle.operators import ranking
 from brindle.plans import retrieval as R
+from brindle.plans.indexes import asked_terms, text_index
 from brindle.registry import register
 from brindle.store import written
 
@@ -63,7 +64,7 @@ def first_satisfying(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
     asked = questions(spark, sf)
-    rows = ranking.retrieve(chunks(spark, sf), asked, question_terms(spark, sf)).join(asked.select("question_id", F.col("paper_id").alias("own")), "question_id")
+    rows = ranking.retrieve(chunks(spark, sf), asked, asked_terms(spark, sf), texts=text_index(spark, sf)).join(asked.select("question_id", F.col("paper_id").alias("own")), "question_id")
     return rows.where((F.col("paper_id") == F.col("own")) & (F.col("id") != F.col("question_id"))).groupBy("question_id").agg(F.min_by(F.struct("d_rank", "s_rank"), "pos").alias("first"))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.bindings import CHUNKS_SQL, DISTANCES_SQL, PAPERS_SQL, TERMS_SQL, VECTORS_SQL, chunks, papers, question_terms, questions, table, vectors
+from brindle.bindings import CHUNKS_SQL, DISTANCES_SQL, PAPERS_SQL, TERMS_SQL, VECTORS_SQL, chunks, papers, questions, table, vectors
 from brindle.config import CONFIG as C
 from brindle.functions.vector import counts_below, nearest
 from brindle.operators import lexical, ranking, websearch
+from brindle.plans.indexes import asked_terms, text_index
 from brindle.registry import register
 from brindle.store import in_order
 
@@ -83,12 +84,12 @@ def dense_guarantee_per_group(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("sparse_and_topk", f"WITH {CHUNKS_SQL}, questions AS (SELECT vec_id AS question_id FROM embeddings WHERE vec_id % 20 = 0), {hits_sql()}, {sparse_sql()} SELECT question_id, id, tf, s_rank FROM sparse")
 def sparse_and_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.ranked(lexical.matches(chunks(spark, sf), question_terms(spark, sf)), C.hybrid_sparse_pool).select("question_id", "id", "tf", "s_rank")
+    return lexical.ranked(lexical.matches(text_index(spark, sf), asked_terms(spark, sf)), C.hybrid_sparse_pool).select("question_id", "id", "tf", "s_rank")
 
 
 @register("sparse_or_topk", f"WITH {CHUNKS_SQL}, questions AS (SELECT vec_id AS question_id FROM embeddings WHERE vec_id % 20 = 0), {hits_sql('n > 0')}, {sparse_sql()} SELECT question_id, id, tf, s_rank FROM sparse")
 def sparse_or_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.ranked(lexical.matches(chunks(spark, sf), question_terms(spark, sf), mode="any"), C.hybrid_sparse_pool).select("question_id", "id", "tf", "s_rank")
+    return lexical.ranked(lexical.matches(text_index(spark, sf), asked_terms(spark, sf), mode="any"), C.hybrid_sparse_pool).select("question_id", "id", "tf", "s_rank")
 
 
 #: What people type, by the question's number: words, a phrase, alternatives, a refused word, a refused phrase, stop words alone.
@@ -131,20 +132,40 @@ matched AS (SELECT question_id, id, paper_id, CAST(max(tf) AS BIGINT) AS tf FROM
 @register("websearch_topk", f"WITH {CHUNKS_SQL}, questions AS (SELECT vec_id AS question_id FROM embeddings WHERE vec_id % 20 = 0), {TYPED_SQL}, {sparse_sql()} SELECT question_id, id, tf, s_rank FROM sparse")
 def websearch_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Typed questions with phrases, alternatives and refusals."""
-    found = websearch.search(chunks(spark, sf), typed_questions(spark, sf))
+    found = websearch.search(text_index(spark, sf), typed_questions(spark, sf))
     return lexical.ranked(found, C.hybrid_sparse_pool).select("question_id", "id", "tf", "s_rank")
 
 
+@register("websearch_stems_topk")
+def websearch_stems_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Typed questions by English stems: a word finds all tokens with its stem. Held against a plain search in the tests."""
+    found = websearch.search(text_index(spark, sf), typed_questions(spark, sf), stems=True)
+    return lexical.ranked(found, C.hybrid_sparse_pool).select("question_id", "id", "tf", "s_rank")
+
+
+@register("hybrid_typed")
+def hybrid_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """Hybrid search whose lexical arm takes questions as they are typed, by stems. Held against a plain search in the tests."""
+    found = ranking.retrieve(chunks(spark, sf), questions(spark, sf), texts=text_index(spark, sf), typed=typed_questions(spark, sf))
+    return _shown(found, "d_rank", "s_rank", F.round("score", 9).alias("score"))
+
+
+@register("vocabulary_stems")
+def vocabulary_stems(spark: SparkSession, sf: str) -> DataFrame:
+    """Stems of the corpus: how many tokens share each, and in how many chunks its most frequent token stands."""
+    return text_index(spark, sf).vocabulary.groupBy("stem").agg(F.count("*").alias("tokens"), F.max("chunks").alias("most"))
+
+
 @register("sparse_cover_density")
 def sparse_cover_density(spark: SparkSession, sf: str) -> DataFrame:
     """Held against a brute-force count of covers in the tests."""
-    found = lexical.cover_density(chunks(spark, sf), question_terms(spark, sf))
+    found = lexical.cover_density(text_index(spark, sf), asked_terms(spark, sf))
     return lexical.ranked(found, C.hybrid_sparse_pool, "score").select("question_id", "id", F.round("score", 9).alias("score"), "s_rank")
 
 
 def _arms(spark: SparkSession, sf: str) -> DataFrame:
     dense = nearest(chunks(spark, sf), questions(spark, sf), C.hybrid_dense_pool, gate=C.similarity_threshold)
-    return ranking.fuse(dense, lexical.ranked(lexical.matches(chunks(spark, sf), question_terms(spark, sf)), C.hybrid_sparse_pool))
+    return ranking.fuse(dense, lexical.ranked(lexical.matches(text_index(spark, sf), asked_terms(spark, sf)), C.hybrid_sparse_pool))
 
 
 def _shown(rows: DataFrame, *columns: str) -> DataFrame:
@@ -163,7 +184,7 @@ def hybrid_full_outer_arms(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("hybrid_global_budget", f"{HYBRID_SQL}, papers_kept AS (SELECT question_id, paper_id, count(*) AS kept FROM ordered WHERE pos <= {C.max_context_chunks} GROUP BY question_id, paper_id) SELECT question_id, CAST(sum(kept) AS BIGINT) AS kept, count(*) AS papers, max(kept) AS most FROM papers_kept GROUP BY question_id")
 def hybrid_global_budget(spark: SparkSession, sf: str) -> DataFrame:
-    kept = ranking.retrieve(chunks(spark, sf), questions(spark, sf), question_terms(spark, sf)).groupBy("question_id", "paper_id").agg(F.count("*").alias("kept"))
+    kept = ranking.retrieve(chunks(spark, sf), questions(spark, sf), asked_terms(spark, sf), texts=text_index(spark, sf)).groupBy("question_id", "paper_id").agg(F.count("*").alias("kept"))
     return kept.groupBy("question_id").agg(F.sum("kept").alias("kept"), F.count("*").alias("papers"), F.max("kept").alias("most"))
 
 
@@ -173,7 +194,7 @@ ONE_SQL = "scope AS (SELECT question_id, own AS paper_id FROM questions)"
 @register("hybrid_single_paper_window", f"WITH {DISTANCES_SQL}, {ONE_SQL}, {hits_sql()}, {dense_sql(C.intra_paper_ceiling, where=IN_SCOPE)}, {sparse_sql(IN_SCOPE)}, {FUSED_SQL} SELECT question_id, pos AS n, id AS chunk_id, paper_id, round(score, 9) AS score FROM ordered WHERE pos <= {min(C.max_context_chunks, C.intra_paper_rank_window)}")
 def hybrid_single_paper_window(spark: SparkSession, sf: str) -> DataFrame:
     asked = questions(spark, sf)
-    return _shown(ranking.retrieve(chunks(spark, sf), asked, question_terms(spark, sf), scope_of_one(asked)), F.round("score", 9).alias("score"))
+    return _shown(ranking.retrieve(chunks(spark, sf), asked, asked_terms(spark, sf), scope_of_one(asked), texts=text_index(spark, sf)), F.round("score", 9).alias("score"))
 
 
 @register(
@@ -188,7 +209,7 @@ def dense_single_paper_delta(spark: SparkSession, sf: str) -> DataFrame:
 def candidates(spark: SparkSession, sf: str, near: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     asked = questions(spark, sf)
     scope = scope_of_two(asked)
-    return ranking.retrieve(chunks(spark, sf), asked, question_terms(spark, sf), scope, guarantee=C.mention_per_paper_floor, near=near), scope
+    return ranking.retrieve(chunks(spark, sf), asked, asked_terms(spark, sf), scope, guarantee=C.mention_per_paper_floor, near=near, texts=text_index(spark, sf)), scope
 
 
 @register("guaranteed_tail_union", f"{CANDIDATES_SQL} SELECT question_id, pos AS n, id AS chunk_id, paper_id FROM candidates")
@@ -219,7 +240,7 @@ def mention_widened_fill(spark: SparkSession, sf: str) -> DataFrame:
     """A turn is widened where a row from outside the scope has landed; the pool for filling has room for all pinned rows."""
     found, scope = candidates(spark, sf)
     pinned = ranking.floor(found, scope, budget=min(2 * C.mention_per_paper_floor, C.max_context_chunks))
-    fill = ranking.retrieve(chunks(spark, sf), questions(spark, sf), question_terms(spark, sf), pool=C.max_context_chunks + 2 * C.mention_per_paper_floor)
+    fill = ranking.retrieve(chunks(spark, sf), questions(spark, sf), asked_terms(spark, sf), pool=C.max_context_chunks + 2 * C.mention_per_paper_floor, texts=text_index(spark, sf))
     rows = ranking.widened(pinned, fill).join(scope.select("question_id", "paper_id", F.lit(False).alias("out")), ["question_id", "paper_id"], "left")
     return rows.select("question_id", "n", F.col("id").alias("chunk_id"), F.col("paper_id").cast("int"), "fill", F.coalesce("out", F.lit(True)).alias("outside"))
 

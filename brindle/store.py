@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,11 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and survives a lost executor. The files go when the session's JVM ends."""
+def written(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts the lineage and survives a lost executor. The files go when the session's JVM ends.
+
+    folders: columns that stand last, by whose values the files are kept apart.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=folders)
     place, files = _place(spark, path)
     files.deleteOnExit(place)
     found = spark.read.schema(df.schema).parquet(path)
@@ -44,6 +48,22 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+_KEPT: dict[tuple[str, ...], object] = {}
+
+
+def once(spark: SparkSession, name: str, paths: list[str], make: Callable[[], object]) -> object:
+    """What make() returns, made once for a session and the state of the files below paths (sizes, number, time of the last change)."""
+    states = []
+    for path in paths:
+        place, files = _place(spark, path)
+        total = files.getContentSummary(place)
+        states.append(f"{path}:{total.getLength()}:{total.getFileCount()}:{files.getFileStatus(place).getModificationTime()}")
+    key = (spark.sparkContext.applicationId, name, *states)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what written() has written of frames that nothing reads any more."""
     for frame in frames:
