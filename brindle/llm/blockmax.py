@@ -30,10 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from brindle.llm.common import discard, table, written
+from brindle.llm.common import batches, discard, table, written
 
 #: Results of a query, documents of a block, and documents and postings of a shard (at least one document).
-TOP, BLOCK, SHARD_DOCS, SHARD_POSTINGS = 20, 32, 4096, 500_000
+TOP, BLOCK, SHARD_DOCS, SHARD_POSTINGS = 20, 32, 2048, 150_000
+#: Maxima are kept in steps, rounded up; blocks that are scored first, then twice as many each time.
+COARSE, AT_FIRST = 4000, 4
+#: Texts and shards that a Python worker is handed at a time.
+TEXTS_AT_ONCE, SHARDS_AT_ONCE = 1000, 8
 #: One shard in so many is searched first; queries of a block; bytes of all queries up to which they are broadcast; blocks of queries that a task remembers.
 FIRST, QUERIES_AT_ONCE, BROADCAST_BYTES, REMEMBERED = 16, 256, 32 << 20, 16
 #: Worth of a term without length; share of a document's length in it, in hundredths; steepness; scale.
@@ -43,9 +47,26 @@ LENGTH_SHARE, STEEP, FULL = 25, 12, 1_000_000_000
 _FOLDED = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def words(text: str | None) -> list[bytes]:
-    """Terms of a text as UTF-8, in order: maximal runs of ASCII letters and digits and of anything beyond ASCII; only A-Z are lower-cased."""
-    return (text or "").encode("utf-8", "replace").translate(_FOLDED).split()
+#: Bytes of a text that are cut into terms at a time.
+PIECE = 1 << 20
+
+
+def word_pieces(text: str | None) -> Iterator[list[bytes]]:
+    """Terms of a text as UTF-8, in order and piece by piece: maximal runs of ASCII letters and digits and of anything beyond ASCII; only A-Z are lower-cased."""
+    folded = (text or "").encode("utf-8", "replace").translate(_FOLDED)
+    at = 0
+    while at < len(folded):
+        end = folded.find(b" ", at + PIECE)
+        end = len(folded) if end < 0 else end
+        yield folded[at:end].split()
+        at = end
+
+
+def word_counts(text: str | None) -> Counter:
+    found: Counter = Counter()
+    for piece in word_pieces(text):
+        found.update(piece)
+    return found
 
 
 def term_hash(term: bytes) -> int:
@@ -61,6 +82,17 @@ def worth(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (FULL * tf) // (1000 * tf + STEEP * m)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 as bytes, each in as few as the largest needs; the first byte says how many."""
+    most = int(x.max(initial=0))
+    size = next(n for n in (1, 2, 4, 8) if most < 1 << 8 * n)
+    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+
+
+def unpacked(data: pa.Buffer | bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{np.frombuffer(data, np.uint8, 1)[0]}", offset=1)
+
+
 def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """All numbers of the ranges, one after another."""
     sizes = end - begin
@@ -77,9 +109,9 @@ class _Shard:
         self.tfs: list[np.ndarray] = []
         self.postings = 0
 
-    def add(self, key, found: Counter, length: int) -> None:
+    def add(self, key, found: Counter) -> None:
         self.keys.append(key)
-        self.lengths.append(length)
+        self.lengths.append(found.total())
         self.terms.append(np.fromiter(map(term_hash, found), np.int64, len(found)))
         self.tfs.append(np.fromiter(found.values(), np.int64, len(found)))
         self.postings += len(found)
@@ -99,15 +131,16 @@ class _Shard:
         by_term = np.lexsort((block, term))
         first = np.flatnonzero(np.diff(term[by_term], prepend=-1) | np.diff(block[by_term], prepend=-1))
         numbers = {
-            "lengths": lengths, "vocabulary": terms, "df": np.bincount(term, minlength=len(terms)).astype(np.int32),
-            "f_start": np.searchsorted(block[ahead], np.arange(block[-1] + 2)).astype(np.int32), "f_term": term[ahead].astype(np.int32), "f_doc": (doc % BLOCK)[ahead].astype(np.uint8), "f_tf": tf[ahead].astype(np.int32),
-            "d_start": np.searchsorted(term[by_term][first], np.arange(len(terms) + 1)).astype(np.int32), "d_block": block[by_term][first].astype(np.int16), "d_most": np.maximum.reduceat(value[by_term], first).astype(np.int32),
+            "lengths": lengths,
+            "f_start": np.searchsorted(block[ahead], np.arange(block[-1] + 2)), "f_term": term[ahead], "f_doc": (doc % BLOCK)[ahead], "f_tf": tf[ahead],
+            "d_start": np.searchsorted(term[by_term][first], np.arange(len(terms) + 1)), "d_block": block[by_term][first], "d_most": -(-np.maximum.reduceat(value[by_term], first) // COARSE),
         }
-        return {name: x.tobytes() for name, x in numbers.items()} | {"keys": self.keys}
+        told = {"keys": self.keys, "vocabulary": terms.tobytes(), "df": packed(np.bincount(term, minlength=len(terms)))}
+        return told | {name: packed(x) for name, x in numbers.items()}
 
 
-#: The arrays of a shard, as bytes.
-_ARRAYS = {"lengths": np.int64, "vocabulary": np.int64, "df": np.int32, "f_start": np.int32, "f_term": np.int32, "f_doc": np.uint8, "f_tf": np.int32, "d_start": np.int32, "d_block": np.int16, "d_most": np.int32}
+#: The arrays of a shard that a search reads, as bytes, besides its vocabulary.
+_ARRAYS = ("lengths", "f_start", "f_term", "f_doc", "f_tf", "d_start", "d_block", "d_most")
 
 
 def totals(docs: DataFrame, text: str = "text") -> tuple[int, int]:
@@ -117,18 +150,19 @@ def totals(docs: DataFrame, text: str = "text") -> tuple[int, int]:
         n = total = 0
         for batch in batches:
             for t in batch.column(0):
-                found = len(words(t.as_py()))
+                found = sum(map(len, word_pieces(t.as_py())))
                 n, total = n + (found > 0), total + found
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total], pa.int64())], ["n", "total"])
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "n bigint, total bigint").agg(F.sum("n"), F.sum("total")).first()
+    with batches(docs.sparkSession, TEXTS_AT_ONCE):
+        found = docs.select(F.col(text).alias("text")).mapInArrow(run, "n bigint, total bigint").agg(F.sum("n"), F.sum("total")).first()
     return found[0] or 0, found[1] or 0
 
 
 def index(docs: DataFrame, n: int, total: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The written index of docs, one row a shard; n and total as totals() gives them. Documents without terms are in no shard."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kinds = T.StructType([T.StructField("keys", T.ArrayType(rows.schema["key"].dataType)), *[T.StructField(a, T.BinaryType()) for a in _ARRAYS]])
+    kinds = T.StructType([T.StructField("keys", T.ArrayType(rows.schema["key"].dataType)), *[T.StructField(a, T.BinaryType()) for a in ("vocabulary", "df", *_ARRAYS)]])
     columns = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,16 +171,17 @@ def index(docs: DataFrame, n: int, total: int, key: str = "doc_id", text: str =
         for batch in batches:
             keys = batch.column(0)
             for i, t in enumerate(batch.column(1)):
-                found = words(t.as_py())
+                found = word_counts(t.as_py())
                 if found:
-                    shard.add(keys[i].as_py(), Counter(found), len(found))
+                    shard.add(keys[i].as_py(), found)
                     if shard.full():
                         yield out()
                         shard = _Shard()
         if shard.keys:
             yield out()
 
-    return written(rows.mapInArrow(run, kinds).withColumn("shard", F.monotonically_increasing_id()), "shards")
+    with batches(docs.sparkSession, TEXTS_AT_ONCE):
+        return written(rows.mapInArrow(run, kinds).withColumn("shard", F.monotonically_increasing_id()), "shards")
 
 
 def query_terms(items: DataFrame) -> DataFrame:
@@ -154,7 +189,7 @@ def query_terms(items: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Counter(words(t.as_py())) for t in batch.column(1)]
+            found = [word_counts(t.as_py()) for t in batch.column(1)]
             items = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array([term_hash(t) for f in found for t in f], pa.int64()), pa.array([c for f in found for c in f.values()], pa.int64())], ["item", "term", "times"])
 
@@ -178,7 +213,7 @@ def _frequencies(shards: DataFrame, terms: DataFrame) -> DataFrame:
         sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                vocabulary, df = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((0, np.int64), (1, np.int32)))
+                vocabulary, df = np.frombuffer(batch.column(0)[i].as_buffer(), np.int64), unpacked(batch.column(1)[i].as_buffer())
                 block = batch.column(2)[i].as_py()
                 if block not in sums:
                     asked = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
@@ -190,7 +225,8 @@ def _frequencies(shards: DataFrame, terms: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(total)], ["term", "df"])
 
     both = _met(shards, blocks, ["vocabulary", "df"]).select("vocabulary", "df", "block", "terms")
-    return both.mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    with batches(shards.sparkSession, SHARDS_AT_ONCE):
+        return written(both.mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")), "frequencies")
 
 
 class _Queries:
@@ -207,49 +243,51 @@ class _Queries:
         self.weights = np.split(weights[offsets[0] : offsets[-1]], offsets[1:-1] - offsets[0])
         self.best = [np.full(top, x - 1, np.int64) for x in asked.field("least").to_numpy(zero_copy_only=False)]
 
-    def search(self, s: dict[str, np.ndarray], ranks: np.ndarray, n: int, total: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-        """(query, documents, scores, blocks scored) of a shard: each query's best here, none worse than its best so far."""
-        top = len(self.best[0])
-        at = np.minimum(np.searchsorted(s["vocabulary"], self.terms), len(s["vocabulary"]) - 1)
+    def search(self, s: dict[str, np.ndarray], ranks: np.ndarray, n: int, total: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, documents, scores) of a shard: each query's best here, none worse than its best so far."""
+        top, size = len(self.best[0]), len(s["vocabulary"])
+        at = np.minimum(np.searchsorted(s["vocabulary"], self.terms), size - 1)
         held = s["vocabulary"][at] == self.terms
-        blocks = len(s["f_start"]) - 1
-        value: dict[int, np.ndarray] = {}
-        m = measure(s["lengths"], n, total)
+        starts, d_start = s["f_start"].astype(np.int64), s["d_start"].astype(np.int64)
+        blocks = len(starts) - 1
+        # block and term in one number, ascending; each posting's document and worth
+        block = np.repeat(np.arange(blocks), np.diff(starts))
+        place = block * size + s["f_term"]
+        doc = block * BLOCK + s["f_doc"]
+        value = worth(s["f_tf"].astype(np.int64), measure(s["lengths"].astype(np.int64), n, total)[doc])
+        most = s["d_most"].astype(np.int64) * COARSE
         for q, (places, weights) in enumerate(zip(self.places, self.weights, strict=True)):
             there = held[places]
             terms, weight = at[places][there], weights[there]
-            begin, end = s["d_start"][terms].astype(np.int64), s["d_start"][terms + 1].astype(np.int64)
+            begin, end = d_start[terms], d_start[terms + 1]
             each = _ranges(begin, end)
             bound = np.zeros(blocks, np.int64)
-            np.add.at(bound, s["d_block"][each], np.repeat(weight, end - begin) * s["d_most"][each])
-            docs, scores, seen = [], [], 0
-            for b in np.argsort(-bound, kind="stable"):
+            np.add.at(bound, s["d_block"][each], np.repeat(weight, end - begin) * most[each])
+            order = np.argsort(-bound, kind="stable")
+            docs, scores, done, step = [], [], 0, AT_FIRST
+            while True:
                 # an equal score may still come first by its key
-                if bound[b] <= self.best[q][0]:
-                    if bound[b] < self.best[q][0] or bound[b] <= 0:
-                        break
-                f0, f1 = s["f_start"][b], s["f_start"][b + 1]
-                known, local = s["f_term"][f0:f1], s["f_doc"][f0:f1]
-                if b not in value:
-                    value[b] = worth(s["f_tf"][f0:f1].astype(np.int64), m[b * BLOCK + local.astype(np.int64)])
-                begin, end = np.searchsorted(known, terms, "left"), np.searchsorted(known, terms, "right")
+                some = order[done : done + step]
+                some = some[(bound[some] > 0) & (bound[some] >= self.best[q][0])]
+                if not len(some):
+                    break
+                done, step = done + step, 2 * step
+                wanted = (some[:, None] * size + terms[None, :]).ravel()
+                begin, end = np.searchsorted(place, wanted, "left"), np.searchsorted(place, wanted, "right")
                 each = _ranges(begin, end)
-                got = np.zeros(BLOCK, np.int64)
-                np.add.at(got, local[each], np.repeat(weight, end - begin) * value[b][each])
-                seen += 1
+                got = np.zeros(len(s["lengths"]), np.int64)
+                np.add.at(got, doc[each], np.repeat(np.tile(weight, len(some)), end - begin) * value[each])
                 good = np.flatnonzero((got > 0) & (got >= self.best[q][0]))
                 if len(good):
-                    docs.append(b * BLOCK + good)
+                    docs.append(good)
                     scores.append(got[good])
                     self.best[q] = np.sort(np.concatenate([self.best[q], got[good]]))[-top:]
             if docs:
-                doc, score = np.concatenate(docs), np.concatenate(scores)
+                found, score = np.concatenate(docs), np.concatenate(scores)
                 stay = score >= self.best[q][0]
-                doc, score = doc[stay], score[stay]
-                stay = np.lexsort((ranks[doc], -score))[:top]
-                yield q, doc[stay], score[stay], seen
-            elif seen:
-                yield q, np.zeros(0, np.int64), np.zeros(0, np.int64), seen
+                found, score = found[stay], score[stay]
+                stay = np.lexsort((ranks[found], -score))[:top]
+                yield q, found[stay], score[stay]
 
 
 def _ranks(keys: pa.Array) -> np.ndarray:
@@ -260,7 +298,7 @@ def _ranks(keys: pa.Array) -> np.ndarray:
 
 
 def _searched(shards: DataFrame, asked: DataFrame, n: int, total: int, top: int) -> DataFrame:
-    """Rows (item, key, score): the best of each query in each shard, as far as they may be among the best of all."""
+    """Rows (item, key, score), written: the best of each query in each shard, as far as they may be among the best of all."""
     key = shards.schema["keys"].dataType.elementType
     kinds = T.StructType([T.StructField("item", T.LongType()), T.StructField("key", key), T.StructField("score", T.LongType())])
     columns = to_arrow_schema(kinds)
@@ -274,16 +312,17 @@ def _searched(shards: DataFrame, asked: DataFrame, n: int, total: int, top: int)
                     if len(known) >= REMEMBERED:
                         known.pop(next(iter(known)))
                     known[block] = _Queries(batch.column("asked")[i].values, top)
-                s = {a: np.frombuffer(batch.column(a)[i].as_buffer(), kind) for a, kind in _ARRAYS.items() if a != "df"}
+                s = {a: unpacked(batch.column(a)[i].as_buffer()) for a in _ARRAYS} | {"vocabulary": np.frombuffer(batch.column("vocabulary")[i].as_buffer(), np.int64)}
                 keys = batch.column("keys")[i].values
-                found = [x for x in known[block].search(s, _ranks(keys), n, total) if len(x[1])]
+                found = list(known[block].search(s, _ranks(keys), n, total))
                 if found:
-                    items = np.repeat(known[block].items[[q for q, *_ in found]], [len(d) for _, d, _, _ in found])
-                    docs = np.concatenate([d for _, d, _, _ in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), keys.take(pa.array(docs)).cast(columns.field("key").type), pa.array(np.concatenate([x for _, _, x, _ in found]))], schema=columns)
+                    items = np.repeat(known[block].items[[q for q, _, _ in found]], [len(d) for _, d, _ in found])
+                    docs = np.concatenate([d for _, d, _ in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), keys.take(pa.array(docs)).cast(columns.field("key").type), pa.array(np.concatenate([x for _, _, x in found]))], schema=columns)
 
-    both = _met(shards, asked, ["keys", *[a for a in _ARRAYS if a != "df"]])
-    return both.mapInArrow(run, kinds)
+    both = _met(shards, asked, ["keys", "vocabulary", *_ARRAYS])
+    with batches(shards.sparkSession, SHARDS_AT_ONCE):
+        return written(both.mapInArrow(run, kinds), "finds")
 
 
 def _best(found: DataFrame, top: int) -> DataFrame:
