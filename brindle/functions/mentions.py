@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Fixed value: an @ further from the caret than this begins no query.
 FARTHEST = 80
@@ -29,22 +27,29 @@ def mention_inserted(text: Column, start: Column, caret: Column, title: Column)
     return F.struct(F.concat(F.left(text, start), F.lit("@"), title, blank, after).alias("text"), (start + F.char_length(title) + 2).cast("int").alias("caret"))
 
 
-def standing(text: str | None, titles: list[str | None]) -> list[int]:
-    """Places of the titles that still stand in a text behind an @; longer ones choose first, and no two share a character."""
-    text, kept = text or "", []
-    taken = bytearray(len(text))
-    for i in sorted((i for i, t in enumerate(titles) if t is not None), key=lambda i: -len(titles[i])):
-        mention = f"@{titles[i]}"
-        at = text.find(mention)
-        while at >= 0 and any(taken[at : at + len(mention)]):
-            at = text.find(mention, at + 1)
-        if at >= 0:
-            taken[at : at + len(mention)] = b"\1" * len(mention)
-            kept.append(i)
-    return sorted(kept)
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def reconciled(texts: pd.Series, titles: pd.Series) -> pd.Series:
-    """Places (from 0, in their order) of the mentions of a message that its text still has; a null list has none."""
-    return pd.Series([standing(x, [] if t is None else list(t)) for x, t in zip(texts, titles, strict=True)])
+def reconciled(text: Column, titles: Column) -> Column:
+    """Places (from 0, in their order) of the mentions of a message that its text still has; a null list has none.
+
+    The text is walked once, from one @ to the next: there stands the longest title
+    that fits and has not been found yet, and the walk goes on behind it. Equal
+    titles need an occurrence each; a null title never stands.
+    """
+    body = F.coalesce(text, F.lit(""))
+    pieces = F.split(body, "@", -1)
+    # code points before each @
+    steps = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.char_length(p) + 1)
+    marks = F.slice(F.aggregate(steps, F.array(F.lit(0)), lambda seen, n: F.array_append(seen, F.element_at(seen, -1) + n)), F.lit(2), F.size(steps))
+    named = F.filter(F.transform(titles, lambda t, i: F.struct((-F.char_length(t)).alias("size"), i.alias("i"), t.alias("title"))), lambda x: x["title"].isNotNull())
+    start = F.struct(F.array_sort(named).alias("left"), F.array().cast("array<int>").alias("kept"), F.lit(0).alias("free"))
+
+    def step(seen: Column, mark: Column) -> Column:
+        fits = F.get(F.filter(seen["left"], lambda x: F.substr(body, mark + 1, -x["size"]) == x["title"]), F.lit(0))
+
+        def take(hit: Column) -> Column:
+            found = F.struct(F.filter(seen["left"], lambda x: x["i"] != hit["i"]).alias("left"), F.array_append(seen["kept"], hit["i"]).alias("kept"), (mark - hit["size"]).alias("free"))
+            return F.when((mark <= seen["free"]) | hit.isNull(), seen).otherwise(found)
+
+        return F.get(F.transform(F.array(fits), take), F.lit(0))
+
+    walked = F.aggregate(marks, start, step, lambda seen: F.array_sort(seen["kept"]))
+    return F.when(titles.isNull(), F.array().cast("array<int>")).otherwise(walked)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,15 +53,26 @@ def checked_cases(cases: DataFrame) -> DataFrame:
 
 
 def first_object(text: str | None) -> str | None:
-    """The first whole JSON object in a model's output, without what it thought before; null if there is none."""
-    body = text or ""
-    while "<think>" in body and "</think>" in body:
-        body = body[: body.index("<think>")] + body[body.index("</think>") + 8 :] if body.index("<think>") < body.index("</think>") else body[body.index("</think>") + 8 :]
-    body = body.rpartition("</think>")[2]
+    """The first whole JSON object in a model's output, without what it thought before; null if there is none.
+
+    What is nested too deeply to be read is no object.
+    """
+    body, kept, at = text or "", [], 0
+    # thoughts are cut out in one walk; one that is closed without having been opened takes all before it
+    for close in re.finditer("</think>", body):
+        begun = body.find("<think>", at, close.start())
+        if begun < 0:
+            kept.clear()
+        else:
+            kept.append(body[at:begun])
+        at = close.end()
+    body = "".join(kept) + body[at:]
     reader, at = json.JSONDecoder(), body.find("{")
     while at >= 0:
         try:
             return body[at : reader.raw_decode(body, at)[1]]
+        except RecursionError:
+            return None
         except ValueError:
             at = body.find("{", at + 1)
     return None
@@ -70,6 +83,24 @@ def objects(texts: pd.Series) -> pd.Series:
     return texts.map(first_object)
 
 
+def structured(first: Column, second: Column, schema: str) -> Column:
+    """Struct (value, attempt) of two answers to one request, the second one to a stricter wording: the first object that has all fields of schema in their kinds; null if neither has.
+
+    A field that is null, absent or of another kind fails an answer.
+    """
+    fields = T._parse_datatype_string(schema).fieldNames()
+
+    def read(answer: Column) -> Column:
+        found = F.from_json(objects(answer), schema, {"mode": "PERMISSIVE"})
+        whole = F.lit(True)
+        for name in fields:
+            whole = whole & found[name].isNotNull()
+        return F.when(whole, found)
+
+    one, two = read(first), read(second)
+    return F.when(one.isNotNull(), F.struct(one.alias("value"), F.lit(1).alias("attempt"))).when(two.isNotNull(), F.struct(two.alias("value"), F.lit(2).alias("attempt")))
+
+
 class BadArchive(ValueError):
     pass
 
@@ -78,7 +109,7 @@ def archive_entries(data: bytes, most_files: int = CONFIG.tree_files_cap, most_b
     """(path, bytes) of every file, without the folder that all share; anything wrong refuses the whole archive."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile as error:
+    except (zipfile.BadZipFile, NotImplementedError, EOFError, OSError, ValueError) as error:
         raise BadArchive("no archive") from error
     infos = [i for i in archive.infolist() if not i.is_dir() and "__MACOSX" not in i.filename and not i.filename.endswith(".DS_Store")]
     if len(infos) > most_files:
@@ -90,8 +121,12 @@ def archive_entries(data: bytes, most_files: int = CONFIG.tree_files_cap, most_b
         parts = [p for p in info.filename.split("/") if p != "."]
         if "\\" in info.filename or info.filename.startswith("/") or not all(parts) or ".." in parts or any(ord(c) < 32 for c in info.filename):
             raise BadArchive("bad path")
-        with archive.open(info) as file:
-            body = file.read(left + 1)
+        try:
+            with archive.open(info) as file:
+                body = file.read(left + 1)
+        # damaged data or checksum, a compression or a version that is not known, a head that lies
+        except (zlib.error, zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, OSError, ValueError) as error:
+            raise BadArchive("damaged or unknown data") from error
         left -= len(body)
         if left < 0:
             raise BadArchive("too large")
@@ -198,10 +233,18 @@ def synctex_records(texts: DataFrame, key: str = "file", text: str = "text") ->
 
 
 def first_error(log: Column) -> Column:
-    """Message of the first line of a TeX log that reads path:line: message or ! message; null if none does."""
-    shaped = F.filter(F.split(log, "\n"), lambda x: x.rlike(r"^\S.*?:\d+:\s*.*\S") | x.rlike(r"^!\s*.*\S"))
-    line = F.get(shaped, F.lit(0))
-    return F.when(line.rlike(r"^\S.*?:\d+:\s*.*\S"), F.regexp_extract(line, r"^\S.*?:\d+:\s*(.+?)\s*$", 1)).otherwise(F.regexp_extract(line, r"^!\s*(.+?)\s*$", 1))
+    """Message of the first line of a TeX log that has one behind a ! or behind a place, path:line: ; null if none does."""
+    blank = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+
+    def said(line: Column) -> Column:
+        # a path has a character at least, and does not begin with a blank
+        rest = F.substr(line, F.lit(2))
+        at = F.regexp_instr(rest, F.lit(":[0-9]+:"))
+        behind = blank(F.regexp_replace(F.substr(rest, at + 1), "^[0-9]+:", ""))
+        placed = F.when((at > 0) & ~line.rlike(r"^\s"), F.nullif(behind, F.lit("")))
+        return F.coalesce(placed, F.when(line.startswith("!"), F.nullif(blank(rest), F.lit(""))))
+
+    return F.get(F.filter(F.transform(F.split(log, "\n"), said), lambda x: x.isNotNull()), F.lit(0))
 
 
 #: Names of a main file at the top of a tree, blocks whose text is no source, packages that need XeTeX.
@@ -218,8 +261,11 @@ def live(source: Column) -> Column:
 
 def engine(source: Column) -> Column:
     """xelatex for a source that loads a package which needs it, else pdflatex; null for null."""
-    loaded = F.regexp_extract_all(live(source), F.lit(r"\\(?:usepackage|RequirePackage)(?:\s*\[[^\]]*\])?\s*\{([^}]*)\}"), F.lit(1))
-    names = F.transform(F.split(F.array_join(loaded, ","), ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    commands = F.split(live(source), r"\\(?:usepackage|RequirePackage)(?![A-Za-z])")
+    # behind the command: options in brackets, if there are any, then the names in braces
+    argument = lambda x: F.ltrim(F.when(F.ltrim(x).startswith("["), F.substr(x, F.instr(x, "]") + 1)).otherwise(x), F.lit(" \t\r\n"))
+    inside = F.transform(F.filter(F.transform(F.slice(commands, 2, 1_000_000), argument), lambda x: x.startswith("{") & x.contains("}")), lambda x: F.substring_index(F.substr(x, F.lit(2)), "}", 1))
+    names = F.transform(F.split(F.array_join(inside, ","), ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     return F.when(source.isNotNull(), F.when(F.arrays_overlap(names, F.array(*map(F.lit, XETEX_PACKAGES))), "xelatex").otherwise("pdflatex"))
 
 

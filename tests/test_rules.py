@@ -244,6 +244,46 @@ def packed(files):
     return out.getvalue()
 
 
+def test_damaged_archives(spark, tmp_path):
+    good = packed([("main.tex", b"x" * 400)])
+    stored = zipfile.ZipFile(io.BytesIO(good)).infolist()[0].header_offset + 30 + len("main.tex")
+    squeezed = io.BytesIO()
+    with zipfile.ZipFile(squeezed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("main.tex", b"some text " * 400)
+    squeezed = squeezed.getvalue()
+    turned = lambda data, at, put: data[:at] + put + data[at + len(put) :]
+    head = good.rindex(b"PK\1\2")
+    bad = {
+        "checksum": turned(good, stored + 5, b"y"),
+        "data": turned(squeezed, stored, b"\xff" * 20),
+        "method": turned(turned(good, 8, b"\x63\0"), head + 10, b"\x63\0"),
+        "locked": turned(turned(good, 6, b"\1\0"), head + 8, b"\1\0"),
+        "short": squeezed[: stored + 4],
+        "no head": turned(good, 0, b"xxxx"),
+    }
+    for name, data in {**bad, "good": good}.items():
+        (tmp_path / f"{name}.zip").write_bytes(data)
+    rows = records.read_archives(spark, str(tmp_path)).select(F.regexp_extract("archive", "([^/]+)\\.zip$", 1).alias("name"), "path", "error").collect()
+    assert {r.name: r.path for r in rows if r.error is None} == {"good": "main.tex"} and len(rows) == 7
+
+
+def test_answers_beyond_reading(spark):
+    assert records.first_object('{"a":' * 200_000) is None
+    thoughts = "<think>a</think>" * 20_000
+    assert records.first_object(thoughts + '{"b": 1}') == '{"b": 1}' and records.first_object('{"a": 1}</think>{"b": 2}') == '{"b": 2}' and records.first_object('{"a": 1}<think>{</think>') == '{"a": 1}'
+    told = [('{"n": 1, "s": "x"}', None, (1, "x", 1)), ("none", 'so: {"n": 2, "s": "y"}', (2, "y", 2)), ('{"n": "q", "s": "x"}', '{"n": 3, "s": "z"}', (3, "z", 2)), ('{"n": 1}', "", None), (None, None, None)]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(told)], "i int, a string, b string").select("i", records.structured(F.col("a"), F.col("b"), "n int, s string").alias("r"))
+    assert {r.i: r.r and (r.r.value.n, r.r.value.s, r.r.attempt) for r in rows.collect()} == {i: want for i, (_, _, want) in enumerate(told)}
+
+
+def test_first_errors_and_engines(spark):
+    one = lambda c: spark.range(1).select(c.alias("c")).first().c
+    logs = {"a\n ./x.tex:3: no\n./x.tex:4:   yes  \n! later": "yes", "!  \n! said ": "said", "::12: a": "a", ":12: a": None, "x:12:  \n": None, "all is well": None, "": None, "a:b.tex:7: boom:8: x": "boom:8: x"}
+    assert {k: one(records.first_error(F.lit(k))) for k in logs} == logs
+    sources = {"\\usepackage{fontspec}": "xelatex", "\\usepackage [x]{ a , polyglossia}": "xelatex", "\\RequirePackage{b}\\usepackage[q=1]\n {unicode-math}": "xelatex", "\\usepackage{fontspecs}": "pdflatex", "\\usepackagex{fontspec}": "pdflatex", "%\\usepackage{fontspec}": "pdflatex", "\\usepackage fontspec": "pdflatex", "": "pdflatex"}
+    assert {k: one(records.engine(F.lit(k))) for k in sources} == sources and one(records.engine(F.lit(None).cast("string"))) is None
+
+
 def test_archives(spark, tmp_path):
     assert records.archive_entries(packed([("p/main.tex", b"x"), ("p/img.png", b"\0")])) == [("main.tex", b"x"), ("img.png", b"\0")]
     for files in ([("../x", b"")], [("a", b""), ("A", b"")], [("/abs", b"")], [("a", b"12345")]):
@@ -316,11 +356,14 @@ def test_tree_paths(spark):
 
 
 def test_mentions(spark):
-    from brindle.functions.mentions import mention_inserted, mention_query, standing
-
-    assert standing("@Search Methods and @Search", ["Search", "Search Methods", "Search"]) == [0, 1]
-    assert standing("@Search Methods", ["Search", "Search Methods"]) == [1]
-    assert standing("@A @A", ["A", "A", "A", None]) == [0, 1] and standing(None, ["A"]) == [] and standing("x", []) == []
+    from brindle.functions.mentions import mention_inserted, mention_query, reconciled
+
+    told = [
+        ("@Search Methods and @Search", ["Search", "Search Methods", "Search"], [0, 1]), ("@Search Methods", ["Search", "Search Methods"], [1]), ("@A @A", ["A", "A", "A", None], [0, 1]),
+        (None, ["A"], []), ("x", [], []), ("x @A", None, []), ("", ["A"], []), ("@@A@", ["A", "@A"], [1]), ("@T et al @T et al", ["T", "T et al"], [0, 1]), ("a@ü @ü", ["ü"], [0]), ("@a", ["A", ""], [1]),
+    ]
+    rows = spark.createDataFrame([(i, x, t) for i, (x, t, _) in enumerate(told)], "i int, x string, t array<string>")
+    assert {r.i: r.k for r in rows.select("i", reconciled(F.col("x"), F.col("t")).alias("k")).collect()} == {i: k for i, (_, _, k) in enumerate(told)}
     cases = [("ask @que", 8, ("que", 4)), ("ask @que", 5, ("", 4)), ("a@b", 3, None), ("@x y", 4, None), ("@" + "q" * 79, 80, ("q" * 79, 0)), ("@" + "q" * 80, 81, None), ("@a\n", 3, None), ("@a@b", 4, None), (None, 0, None), ("", 0, None)]
     rows = spark.createDataFrame([(i, t, c) for i, (t, c, _) in enumerate(cases)], "i int, text string, caret int")
     found = {r.i: r.m and tuple(r.m) for r in rows.select("i", mention_query(F.col("text"), F.col("caret")).alias("m")).collect()}
