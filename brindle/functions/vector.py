@@ -135,13 +135,14 @@ def _counted(gates: list[float], skip_self: bool):
     return run
 
 
-def _dealt(corpus: DataFrame, questions: DataFrame, scope: DataFrame | None) -> DataFrame:
+def _dealt(corpus: DataFrame, questions: DataFrame, scope: DataFrame | None, by_group: bool = False) -> DataFrame:
     """Packs of corpus rows, each with each block of questions: one plan, whatever the number of questions.
 
     Questions are rows, gathered into blocks of about QUESTIONS_AT_ONCE. While
     they are few by their counted bytes, the blocks are broadcast and the corpus
-    is never shuffled; beyond that, every block meets every pack in a join by the
-    block's number, dealt over as many tasks as there are shuffle partitions.
+    is never shuffled; beyond that, packs are shuffled once, each to one of as many
+    parts as there are shuffle partitions, and only the questions are copied, a
+    copy of every block for each part.
     """
     spark = corpus.sparkSession
     gate = F.col("gate").cast("double") if "gate" in questions.columns else F.lit(None).cast("double")
@@ -154,14 +155,16 @@ def _dealt(corpus: DataFrame, questions: DataFrame, scope: DataFrame | None) ->
     total, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     blocks = max(1, -(-total // QUESTIONS_AT_ONCE))
     asked = rows.groupBy(F.pmod(F.xxhash64("question_id"), F.lit(blocks)).alias("block"), F.size("embedding").alias("width")).agg(F.collect_list(F.struct("question_id", "embedding", "gate", "scope")).alias("asked"))
-    packs = corpus.select(F.col("id").cast("long"), F.coalesce(F.col("paper_id").cast("long"), F.lit(-1)).alias("paper_id"), "embedding").where("id is not null")
+    rows = corpus.select(F.col("id").cast("long"), F.coalesce(F.col("paper_id").cast("long"), F.lit(-1)).alias("paper_id"), "embedding").where("id is not null")
+    # a pack passes on some rows of each of its groups, so groups must lie in few packs; a large group is split by id
+    packs = rows.repartitionByRange("paper_id", "id").sortWithinPartitions("paper_id", "id") if by_group else rows
     packs = packs.mapInArrow(_pack, "width int, ids binary, groups binary, units binary")
     if total * width * 8 <= BROADCAST_BYTES:
         both = packs.join(F.broadcast(asked), "width")
     else:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-        both = packs.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts))).withColumn("block", numbers(blocks)).join(asked.withColumn("part", numbers(parts)), ["block", "part", "width"])
+        both = packs.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts))).join(asked.withColumn("part", numbers(parts)), ["part", "width"])
     return both.select("width", "ids", "groups", "units", F.col("block").cast("long"), "asked")
 
 
@@ -171,10 +174,11 @@ def nearest(corpus: DataFrame, questions: DataFrame, keep: int, gate: float | No
     Rows (question_id, id, paper_id, distance, d_rank): at most keep of each question, or of
     each question and paper; nearer than the gate, ties by id. A task passes on only what is
     among the nearest of all that it has seen, so what is shuffled depends on the number of
-    tasks, not of rows. Null and zero vectors find nothing and are not found, and neither do
+    tasks, not of rows; by group, the corpus is first ranged by paper, so that it depends on
+    the number of papers. Null and zero vectors find nothing and are not found, and neither do
     vectors of different lengths. Question ids must be unique.
     """
-    found = _dealt(corpus, questions, scope).mapInArrow(_search(keep, by_group, skip_self, gate), "question_id bigint, id bigint, paper_id bigint, distance double")
+    found = _dealt(corpus, questions, scope, by_group).mapInArrow(_search(keep, by_group, skip_self, gate), "question_id bigint, id bigint, paper_id bigint, distance double")
     order = Window.partitionBy("question_id", *(["paper_id"] if by_group else [])).orderBy("distance", "id")
     return found.withColumn("d_rank", F.row_number().over(order).cast("long")).where(F.col("d_rank") <= keep)
 
