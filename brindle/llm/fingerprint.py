@@ -27,8 +27,8 @@ from brindle.llm.common import table, written
 
 WINDOW, LEAST, LENGTH = 7, 3, 64
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-#: Bytes that are hashed at once, and of texts in a range of keys.
-BLOCK, RANGE = 1 << 20, 32 << 20
+#: Bytes that are hashed at once, and of texts in a range of keys; ranges at most (each has a row on the driver), beyond which they grow.
+BLOCK, RANGE, MOST_RANGES = 1 << 20, 32 << 20, 20_000
 _LETTERS = np.frombuffer(ALPHABET.encode(), np.uint8)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,7 +75,8 @@ def _letters(blocks: list[tuple[np.ndarray, np.ndarray]]) -> str:
         hashes = (sums[stops] - sums[starts]) * _POWERS[BLOCK - starts]
         lengths = stops - starts
         if open_length:
-            hashes[:1] = hashes[:1] * np.uint64(31) + np.array([open_hash]) * _BASE
+            # what the block before left open goes on here: the same sum as if the piece lay in one block
+            hashes[:1] = np.array([open_hash]) + hashes[:1] * np.array([pow(int(_BASE), int(open_length), 1 << 64)], np.uint64)
             lengths[0] += open_length
         found.append(hashes[:-1] + lengths[:-1].astype(np.uint64))
         open_hash, open_length = hashes[-1], lengths[-1]
@@ -203,14 +204,17 @@ def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text", range
 
     Rows with a null key come last; equal keys are in the order of a hash of their
     texts, so repeated rows follow each other. The last document is followed by
-    the first. Texts are dealt by ranges of about range_bytes, one shuffle for
-    all; each range hands on its first and its last text, and those of
-    neighbouring ranges meet in a join, so no window covers the order.
+    the first. Keys are whole numbers (ValueError for others). Texts are dealt by
+    ranges of about range_bytes, one shuffle for all; each range hands on its
+    first and its last text, and those of neighbouring ranges meet in a join, so
+    no window covers the order.
     """
     spark = docs.sparkSession
+    if docs.schema[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("keys are put in order as whole numbers")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("order"), F.col(text).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, -(-size // range_bytes)))
     placed = [F.desc_nulls_last("key"), F.asc("order")]
     plain = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     dealt = rows.repartitionByRange(ranges, *placed).sortWithinPartitions(*placed)

@@ -1,6 +1,7 @@
 """Personal data by patterns and weak supervision, in column expressions only.
 
-Four kinds are found by pattern and check (email, ip, card, phone). Beyond them,
+Four kinds are found by pattern and check (email, ip, card, phone), and cards also
+where several stand side by side, by the check digit alone. Beyond them,
 tokens with digits are candidates for secrets and identifiers: a regex, a
 gazetteer of cue words, the characters around, the mix of characters and the
 check digit of card-like numbers each vote for, against or abstain. Expectation-maximisation over the counts of vote
@@ -29,6 +30,8 @@ BASE = {
 }
 #: What a text must contain for a pattern to be tried.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+#: Runs of digits that are too long for one card, and groups of digits that a card has at most.
+LONG_RUN, MOST_GROUPS = r"[0-9](?:[\x20-]?[0-9]){19}", 8
 _TOKEN = r"A-Za-z0-9+/_-"
 #: Tokens of eight characters or more with a digit, and groups of digits as in telephone numbers.
 CANDIDATE = rf"(?:\([0-9]{{3}}\)\x20?|(?<![0-9.])[0-9]{{3}}[\x20.])[0-9]{{3}}[\x20.-][0-9]{{4}}(?![0-9])|(?<![{_TOKEN}])(?=[A-Za-z+/_-]*+[0-9])[{_TOKEN}]{{8,}}+"
@@ -93,6 +96,30 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(spans(text, BASE[kind], NEEDS[kind]), lambda x: _valid(kind, x["span"]))
 
 
+def cards_in_runs(text: Column) -> Column:
+    """Array of struct (start, end, span): card numbers in runs of digits that are too long for one card, as where several stand side by side.
+
+    A run is made of groups with one blank or hyphen between them. A card is some
+    whole groups of 16 to 19 digits whose check digit is right; the leftmost come
+    first (of those that begin at one place the shortest), and no two share a digit.
+    """
+    none = F.array().cast("array<struct<start:int,end:int,span:string>>")
+
+    def found(groups: Column) -> Column:
+        def windows(at: Column) -> Column:
+            part = lambda n: F.slice(groups, at, n)
+            each = F.transform(F.sequence(F.lit(1), F.least(F.lit(MOST_GROUPS), F.size(groups) - at + 1)), lambda n: F.struct(F.get(part(n), F.lit(0))["start"].alias("start"), F.get(part(n), n - 1)["end"].alias("end"), F.array_join(F.transform(part(n), lambda g: g["span"]), "").alias("digits")))
+            long = F.filter(each, lambda w: F.length(w["digits"]).between(16, 19) & (w["end"] - w["start"] <= 2 * F.length(w["digits"]) - 1))
+            whole = F.transform(long, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.substr(text, w["start"] + 1, w["end"] - w["start"]).alias("span")))
+            return F.slice(F.filter(whole, lambda w: w["span"].rlike(r"^[0-9](?:[\x20-]?[0-9])*\z") & _luhn(w["span"])), 1, 1)
+
+        free = lambda kept, w: F.coalesce(F.try_element_at(kept, F.lit(-1))["end"], F.lit(0)) <= w["start"]
+        return F.aggregate(F.flatten(F.transform(F.sequence(F.lit(1), F.size(groups)), windows)), none, lambda kept, w: F.when(free(kept, w), F.array_append(kept, w)).otherwise(kept))
+
+    groups = spans(text, "[0-9]++", "[0-9]")
+    return F.when(text.rlike(LONG_RUN), F.get(F.transform(F.array(groups), found), F.lit(0))).otherwise(none)
+
+
 def _checked(span: Column) -> Column:
     """Whether a number as long as a card's has the right check digit; null for anything else."""
     return F.when(span.rlike("^[0-9]{13,19}$"), _luhn(span))
@@ -160,7 +187,8 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", least: floa
     """Rows (key, base, added), arrays of struct (kind, start, end), for every row of docs.
 
     Null texts count as empty. Added spans have the kind secret (with letters) or
-    id, and never overlap base ones. Keys need not be unique; a null key is kept.
+    id, and never overlap base ones. Cards that stand side by side are ids whatever
+    the classifier says: their check digits speak for them. Keys need not be unique; a null key is kept.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), body.alias("text"))
@@ -170,7 +198,9 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", least: floa
     tag = lambda kind: F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     tagged = [tag(kind) for kind in BASE]
     rows = rows.withColumn("base", F.concat(*tagged))
-    free = F.filter("maybe", lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+    meets = lambda x, others: F.exists(others, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
+    rows = rows.withColumn("cards", F.transform(F.filter(cards_in_runs(F.col("text")), lambda x: ~meets(x, "base")), lambda x: F.struct(F.lit("id").alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
+    free = F.filter("maybe", lambda x: ~meets(x, "base") & ~meets(x, "cards"))
     around = F.transform(
         free,
         lambda x: F.struct(
@@ -182,7 +212,7 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", least: floa
         ),
     )
     # one pass over the texts; from here on only spans are read
-    found = written(rows.select(F.monotonically_increasing_id().alias("row"), "key", "base", F.when(F.size("maybe") > 0, around).otherwise(F.array().cast("array<struct<start:int,end:int,span:string,left:string,right:string>>")).alias("maybe")), "spans")
+    found = written(rows.select(F.monotonically_increasing_id().alias("row"), "key", "base", "cards", F.when(F.size("maybe") > 0, around).otherwise(F.array().cast("array<struct<start:int,end:int,span:string,left:string,right:string>>")).alias("maybe")), "spans")
     each = found.where(F.size("maybe") > 0).select("row", F.inline("maybe"))
     votes = _votes(F.col("span"), F.col("left"), F.col("right"))
     voted = each.select("row", "start", "end", "span", "left", "right", *[votes[name].alias(name) for name in LABELERS])
@@ -203,7 +233,7 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", least: floa
     kind = F.when(F.col("span").rlike("[A-Za-z]"), "secret").otherwise("id")
     added = labelled.where(sure).select("row", F.struct(kind.alias("kind"), "start", "end").alias("one")).groupBy("row").agg(F.array_sort(F.collect_list("one")).alias("added"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return found.join(hinted(kept(added), ROWS_AT_ONCE), "row", "left").select(F.col("key").alias(key), "base", F.coalesce("added", none).alias("added"))
+    return found.join(hinted(kept(added), ROWS_AT_ONCE), "row", "left").select(F.col("key").alias(key), "base", F.array_sort(F.concat("cards", F.coalesce("added", none))).alias("added"))
 
 
 def spelled(found: Column) -> Column:

@@ -221,9 +221,29 @@ def test_added_spans_recall_and_precision(spark):
     found = {(r.doc_id, int(a), int(b)) for r in ALL["op7_weak_supervision"](spark, SF).collect() for kind, a, b in (x.split(":") for x in r.spans.split(",") if x) if kind in pii.ADDED}
     print("secrets", len(secrets), "found", len(secrets & found), "cards side by side", len(cards), "found", len(cards & found), "added", len(found))
     assert len(secrets & found) >= 0.95 * len(secrets) > 5
+    assert len(cards & found) >= 0.9 * len(cards) > 0
     assert len((secrets | cards) & found) >= 0.9 * len(found)
 
 
+def test_cards_side_by_side(spark):
+    one, two = "4111 1111 1111 1111", "5500-0000-0000-0004"
+    cases = {
+        f"{one} {two}": [(0, 19), (20, 39)],
+        f"in 2024 {one}": [(8, 27)],
+        f"{one}": [],  # a base span
+        "4111111111111111 5500000000000004 340000": [(0, 16), (17, 33)],
+        "41111111111111115500000000000004": [],  # no group of a card's length
+        "1234 5678 9012 3456 7890 1234": [],
+        f"é {one}  {two}": [],  # two blanks: both are base spans
+        f"{one} {one} x {two} {two}": [(0, 19), (20, 39), (42, 61), (62, 81)],
+        "7 " * 30_000: None,
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id int, text string")
+    found = {r.doc_id: sorted((x.start, x.end) for x in r.added if x.kind == "id") for r in pii.detect(rows, least=2.0).collect()}
+    for i, (text, want) in enumerate(cases.items()):
+        assert want is None or found[i] == want, text
+
+
 def test_counts_of_spans(spark):
     for r in ALL["op7_weak_supervision"](spark, SF).collect():
         kinds = [x.split(":")[0] for x in r.spans.split(",") if x]
@@ -275,6 +295,28 @@ def test_fingerprints_against_a_plain_version():
         assert fingerprint.fingerprint(text) == plain_fingerprint(text)
 
 
+def test_fingerprints_do_not_depend_on_blocks(monkeypatch):
+    """Texts of many blocks, pieces over several blocks, and one letter put in front of all."""
+    monkeypatch.setattr(fingerprint, "BLOCK", 64)
+    monkeypatch.setattr(fingerprint, "_POWERS", fingerprint._powers(65))
+    for text in ["", "a", "a" * 1000, prose(3, 200), "Ñandú \U0001f600 " * 30, prose(9, 700)]:
+        assert fingerprint.fingerprint(text) == plain_fingerprint(text)
+    one, other = fingerprint.fingerprint(prose(5, 900)), fingerprint.fingerprint("x" + prose(5, 900))
+    assert sum(a != b for a, b in zip(one.split(":")[1], other.split(":")[1], strict=True)) <= 1
+
+
+def test_fingerprints_beyond_a_block():
+    text = " ".join(prose(k, 40_000) for k in range(6, 15))
+    one, other = fingerprint.fingerprint(text), fingerprint.fingerprint("x" + text)
+    assert len(text.encode()) > 2 * fingerprint.BLOCK
+    assert sum(a != b for a, b in zip(one.split(":")[1], other.split(":")[1], strict=True)) <= 1
+
+
+def test_keys_that_are_no_numbers(spark):
+    with pytest.raises(ValueError):
+        fingerprint.against_next(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 @pytest.mark.parametrize("range_bytes", [1 << 20, 500])
 def test_next_documents_of_equal_and_null_keys(spark, range_bytes):
     rows = [(i, prose(i, 30)) for i in range(0, 90, 3)] + [(30, prose(400, 20)), (30, prose(30, 30)), (None, prose(500, 9)), (None, None)]
