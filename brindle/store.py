@@ -65,10 +65,11 @@ def once(spark: SparkSession, name: str, paths: list[str], make: Callable[[], ob
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete what written() has written of frames that nothing reads any more."""
+    """Delete what written() and kept() have written of frames that nothing reads any more."""
     for frame in frames:
-        place, files = _place(frame.sparkSession, frame.written_to)
-        files.delete(place, True)
+        if path := getattr(frame, "written_to", None):
+            place, files = _place(frame.sparkSession, path)
+            files.delete(place, True)
 
 
 def tidy(spark: SparkSession) -> None:
@@ -78,9 +79,15 @@ def tidy(spark: SparkSession) -> None:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder, for tables of few bytes a row that are read again and again."""
+    """checkpoint() in the shared folder, for tables of few bytes a row that are read again and again. Like written(), deleted by discard(), or when the session's JVM ends."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    found = df.checkpoint()
+    path = found._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if path.isDefined():
+        found.written_to = path.get()
+        place, files = _place(found.sparkSession, found.written_to)
+        files.deleteOnExit(place)
+    return found
 
 
 def small(df: DataFrame, rows: int) -> bool:
