@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.scan import running
 from brindle.store import hinted
 
 #: Anchors of needles that are broadcast at most, and needles without an anchor that are tried on every text.
@@ -36,8 +37,7 @@ def patched(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
 
 def first_over_cap(rows: DataFrame, group: str, order: list[str], size: str, total: int, files: int) -> DataFrame:
     """rows with running_bytes, running_files and whether each still fits its group's caps."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("running_bytes", F.sum(size).over(w)).withColumn("running_files", F.count("*").over(w))
+    out = running(rows, group, order, {"running_bytes": F.col(size), "running_files": F.lit(1)})
     return out.withColumn("fits", (F.col("running_bytes") <= total) & (F.col("running_files") <= files))
 
 

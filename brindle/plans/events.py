@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.bindings import table
 from brindle.config import CONFIG as C
 from brindle.functions import text as X
+from brindle.operators import scan
 from brindle.registry import register
 from brindle.streaming.state import admitted
 
@@ -31,8 +32,7 @@ def events_last_n(spark: SparkSession, sf: str) -> DataFrame:
 @register("rate_window_counts", f"SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN {WINDOW_SECONDS * 1_000_000} PRECEDING AND CURRENT ROW) AS hits FROM events")
 def rate_window_counts(spark: SparkSession, sf: str) -> DataFrame:
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy("at").rangeBetween(-WINDOW_SECONDS * 1_000_000, 0)
-    return table(spark, sf, "events").select("event_id", "user_id", micros.alias("at")).select("event_id", "user_id", F.count("*").over(w).alias("hits"))
+    return scan.counts_within(table(spark, sf, "events").select("event_id", "user_id", micros.alias("at")), "user_id", "event_id", "at", WINDOW_SECONDS * 1_000_000)
 
 
 @register("rate_admission")
@@ -60,8 +60,7 @@ def daily_counts(spark: SparkSession, sf: str) -> DataFrame:
 @register("sessionize_gap", f"WITH g AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL {GAP_MINUTES} MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g) SELECT user_id, CAST(s AS BIGINT) AS session, count(*) AS n, min(ts) AS begins, max(ts) AS ends FROM s GROUP BY user_id, s")
 def sessionize_gap(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("user_id", "event_id", "ts")
-    new = F.when(F.col("ts") - F.lag("ts").over(by_user()) <= F.expr(f"INTERVAL {GAP_MINUTES} MINUTES"), 0).otherwise(1)
-    numbered = rows.withColumn("new", new).withColumn("session", F.sum("new").over(by_user()).cast("long"))
+    numbered = scan.sessions(rows, "user_id", ["ts", "event_id"], "ts", F.expr(f"INTERVAL {GAP_MINUTES} MINUTES"))
     return numbered.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("begins"), F.max("ts").alias("ends"))
 
 

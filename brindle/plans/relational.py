@@ -10,6 +10,7 @@ from brindle.config import CONFIG as C
 from brindle.functions import text as X
 from brindle.operators import keyed
 from brindle.plans.ingest import TREE_SQL, tree
+from brindle.operators.scan import running
 from brindle.registry import register
 from brindle.store import hinted
 
@@ -189,8 +190,7 @@ def conflict_overlay(spark: SparkSession, sf: str) -> DataFrame:
 def suffix_numbering(spark: SparkSession, sf: str) -> DataFrame:
     """Numbers for names that come again, where no name has a number of its own yet."""
     p = table(spark, sf, "pages").select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("path"))
-    r = F.row_number().over(Window.partitionBy("path").orderBy("page_id"))
-    return p.withColumn("r", r).select("page_id", F.when(F.col("r") == 1, F.col("path")).otherwise(F.concat("path", F.lit(" ("), (F.col("r") - 1).cast("string"), F.lit(")"))).alias("planned"))
+    return running(p, "path", ["page_id"], {"r": F.lit(1)}).select("page_id", F.when(F.col("r") == 1, F.col("path")).otherwise(F.concat("path", F.lit(" ("), (F.col("r") - 1).cast("string"), F.lit(")"))).alias("planned"))
 
 
 @register("project_list_counts", f"WITH n AS (SELECT c_nationkey, count(*) AS members, count(*) FILTER (WHERE {ROLE_SQL} = 'owner') AS owners FROM customer GROUP BY c_nationkey) SELECT n_nationkey, n_name, coalesce(members, 0) AS members, coalesce(owners, 0) AS owners, coalesce(owners, 0) = 1 AS last_owner FROM nation LEFT JOIN n ON n.c_nationkey = nation.n_nationkey")
