@@ -168,6 +168,12 @@ def path_verdict(raw: Column) -> Column:
     return F.struct(F.when(reason.isNull(), joined).alias("normalized"), reason.alias("reason"))
 
 
+def highlighted(text: Column, terms: Column, mark: str = "mark") -> Column:
+    """text with every term in a tag, case aside; of terms that begin at one place the longest is marked. No terms mark nothing."""
+    longest = F.transform(F.array_sort(F.transform(F.array_distinct(F.filter(terms, lambda t: t.isNotNull() & (t != ""))), lambda t: F.struct((-F.char_length(t)).alias("n"), t.alias("t")))), lambda x: F.regexp_replace(x["t"], r"([\\^$.|?*+()\[\]{}])", r"\\$1"))
+    return F.when(F.size(longest) > 0, F.regexp_replace(text, F.concat(F.lit("(?i)("), F.array_join(longest, "|"), F.lit(")")), F.lit(f"<{mark}>$1</{mark}>"))).otherwise(text)
+
+
 def filename(title: Column) -> Column:
     cleaned = F.regexp_replace(F.left(squeezed(F.regexp_replace(title, r'[\\/:*?"<>|]', "-")), F.lit(80)), r"[. ]+$", "")
     return F.concat(F.when(cleaned.rlike(r"[\p{L}\p{N}]"), cleaned).otherwise("conversation"), F.lit(".md"))

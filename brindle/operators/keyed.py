@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.scan import running
-from brindle.store import hinted
+from brindle.store import hinted, written
 
-#: Anchors of needles that are broadcast at most, and needles without an anchor that are tried on every text.
-ANCHORS_AT_ONCE, SHORT_AT_ONCE = 1_000_000, 500
+#: Anchors of needles that are broadcast at most.
+ANCHORS_AT_ONCE = 1_000_000
 
 
 def replace_groups(base: DataFrame, new: DataFrame, touched: DataFrame, group: str) -> DataFrame:
@@ -71,8 +71,8 @@ def anchored_contains(docs: DataFrame, needles: DataFrame, doc: str, text: str,
 
     A run of whole words from within the needle must stand in the text, so runs
     are joined by hash and only those pairs are looked at. Needles of one or two
-    words have no whole word within and are tried on every text, one after
-    another: they are broadcast, and must be SHORT_AT_ONCE at most.
+    words have no whole word within; see _short_contains. Documents and needles
+    have keys of their own.
     """
     inner = lambda t: F.filter(F.split(t, r"\s+"), lambda x: x != "")
     n = needles.select(F.col(needle).alias("needle"), F.col(needle_text).alias("wanted")).where(F.char_length("wanted") > 0)
@@ -86,11 +86,31 @@ def anchored_contains(docs: DataFrame, needles: DataFrame, doc: str, text: str,
     grams = word_runs(parts, "parts", F.col("width"), run)
     hits = grams.select("doc", "gram").join(hinted(anchors, ANCHORS_AT_ONCE), "gram").select("doc", "needle").distinct()
     by_anchor = hits.join(n, "needle").join(d, "doc").where(F.contains("body", "wanted")).select("doc", "needle")
-    short = counted.where(F.size("parts") < 3).select(F.struct("needle", "wanted").alias("one")).limit(SHORT_AT_ONCE + 1).collect()
-    if len(short) > SHORT_AT_ONCE:
-        raise ValueError(f"more than {SHORT_AT_ONCE} needles of one or two words")
-    if not short:
-        return by_anchor
-    tried = [F.when(F.contains("body", F.lit(r.one.wanted)), F.lit(r.one.needle)) for r in short]
-    by_trying = d.select("doc", F.explode(F.array_compact(F.array(*tried))).alias("needle"))
-    return by_anchor.unionByName(by_trying)
+    short = counted.where(F.size("parts") < 3).select("needle", "wanted")
+    return by_anchor.unionByName(_short_contains(d, short))
+
+
+def _short_contains(d: DataFrame, short: DataFrame) -> DataFrame:
+    """Pairs (doc, needle) of needles of at most two words, any number of them; d: doc, body, short: needle, wanted.
+
+    A needle's longest word (a blank one's blanks) lies within a word (within
+    blanks) of the text, so it is looked up among the pieces of the corpus's
+    different words, each of which is cut up once; only texts that have such a word
+    are looked at, and only for needles that are more than it.
+    """
+    tokens = lambda c: F.regexp_extract_all(c, F.lit(r"\s+|\S+"), F.lit(0))
+    longest = lambda xs: F.array_sort(F.transform(xs, lambda x: F.struct((-F.char_length(x)).alias("n"), x.alias("x"))))[0]["x"]
+    solid = F.filter(tokens(F.col("wanted")), lambda x: ~x.rlike(r"^\s"))
+    named = written(short.select("needle", "wanted", F.coalesce(F.when(F.size(solid) > 0, longest(solid)), F.col("wanted")).alias("anchor")), "needles")
+    lengths = sorted(r[0] for r in named.select(F.char_length("anchor").alias("n")).distinct().collect())
+    if not lengths:
+        return d.select("doc", F.lit(None).cast(short.schema["needle"].dataType).alias("needle")).where(F.lit(False))
+    words = d.select("doc", F.explode(F.array_distinct(tokens(F.col("body")))).alias("word"))
+    vocabulary = words.select("word").distinct()
+    cut = vocabulary.select("word", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where(F.char_length("word") >= F.col("n"))
+    pieces = cut.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("word") - F.col("n") + 1), lambda i: F.substr("word", i, F.col("n"))))).alias("anchor"))
+    met = written(pieces.join(hinted(named.select("anchor").distinct(), ANCHORS_AT_ONCE), "anchor"), "pieces")
+    found = words.join(hinted(met, ANCHORS_AT_ONCE), "word").select("doc", "anchor").distinct().join(hinted(named, ANCHORS_AT_ONCE), "anchor")
+    whole = found.where(F.col("anchor") == F.col("wanted")).select("doc", "needle")
+    more = found.where(F.col("anchor") != F.col("wanted")).join(d, "doc").where(F.contains("body", "wanted")).select("doc", "needle")
+    return whole.unionByName(more)

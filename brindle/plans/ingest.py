@@ -242,6 +242,26 @@ def highlight_terms(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select("item_id", F.explode(terms).alias("term")).withColumn("chars", F.length("term"))
 
 
+@register(
+    "highlighted_items",
+    "WITH t AS (SELECT item_id, text, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: len(x) >= 4))) AS ts FROM benchmark), s AS (SELECT item_id, text, list_distinct(list_concat(ts[1:3], list_transform(ts[1:2], lambda x: x[1:3]))) AS ts FROM t), o AS (SELECT item_id, text, (SELECT string_agg(x, '|' ORDER BY len(x) DESC, x) FROM (SELECT unnest(ts) AS x)) AS p FROM s) SELECT item_id, CASE WHEN p IS NULL THEN text ELSE regexp_replace(text, '(' || p || ')', '<mark>\\1</mark>', 'gi') END AS shown FROM o",
+)
+def highlighted_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Each item with some of its words marked, and with beginnings of them that must give way to the longer ones."""
+    ts = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda x: F.length(x) >= 4)))
+    rows = table(spark, sf, "benchmark").select("item_id", "text", ts.alias("ts"))
+    terms = F.array_distinct(F.concat(F.slice("ts", 1, 3), F.transform(F.slice("ts", 1, 2), lambda x: F.left(x, F.lit(3)))))
+    return rows.select("item_id", X.highlighted(F.col("text"), terms).alias("shown"))
+
+
+@register("short_needles", "WITH w AS (SELECT DISTINCT lower(x) AS w FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS x FROM benchmark) WHERE len(x) >= 6), d AS (SELECT doc_id, text FROM documents) SELECT w AS needle, count(*) AS docs FROM d JOIN w ON contains(d.text, w.w) GROUP BY w")
+def short_needles(spark: SparkSession, sf: str) -> DataFrame:
+    """In how many documents each longer word of the benchmark stands, also within other words: needles too short for whole words within."""
+    words = F.filter(F.split("text", "[^A-Za-z]+"), lambda x: F.length(x) >= 6)
+    needles = table(spark, sf, "benchmark").select(F.explode(words).alias("w")).select(F.lower("w").alias("w")).distinct().select("w", F.col("w").alias("wanted"))
+    return keyed.anchored_contains(table(spark, sf, "documents"), needles, "doc_id", "text", "w", "wanted").groupBy("needle").agg(F.count("*").alias("docs"))
+
+
 @register("paper_prompt_lines", f"WITH {PAPERS_SQL} SELECT paper_id, concat_ws(' — ', nullif(title, ''), CASE WHEN lang <> 'en' THEN lang END, project_id) AS line FROM papers")
 def paper_prompt_lines(spark: SparkSession, sf: str) -> DataFrame:
     """One line for each paper; absent fields are left out."""
