@@ -13,7 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 #: Modules that register queries when they are imported.
-MODULES: tuple[str, ...] = tuple(f"brindle.plans.{name}" for name in ("retrieval", "evaluation", "ingest", "relational", "events", "answers", "records", "tex", "imports"))
+MODULES: tuple[str, ...] = tuple(f"brindle.plans.{name}" for name in ("retrieval", "evaluation", "ingest", "relational", "events", "answers", "records", "tex", "imports", "loads"))
 
 
 def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
