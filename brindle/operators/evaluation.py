@@ -136,3 +136,33 @@ def resolution_passes(expected: Column, resolved: Column) -> Column:
 
     end = F.aggregate(F.coalesce(expected, none), start, take)
     return end["ok"] & (F.size(end["left"]) == 0)
+
+
+def sides(kept: DataFrame, scope: DataFrame, best: DataFrame) -> DataFrame:
+    """One row for each arm, question and named paper: how many of its chunks were kept, the rank of the first of them, and how near the paper is at all.
+
+    kept: arm, question_id, id, paper_id, n. scope: arm, question_id, paper_id,
+    scope_pos (0 is the paper that answers). best: question_id, paper_id, best.
+    """
+    counts = kept.groupBy("arm", "question_id", "paper_id").agg(F.count("*").alias("kept"), F.min("n").alias("first"))
+    rows = scope.join(counts, ["arm", "question_id", "paper_id"], "left").join(best, ["question_id", "paper_id"], "left")
+    return rows.select("arm", "question_id", "paper_id", F.when(F.col("scope_pos") == 0, "answer").otherwise("other").alias("side"), F.coalesce("kept", F.lit(0)).alias("kept"), "first", "best")
+
+
+def slices(rows: DataFrame, low: float, high: float, by: tuple[str, ...] = ("arm", "side")) -> DataFrame:
+    """Rates of sides() for every slice: each value of each column in by alone, all of them together, and everything. A column that a slice does not look at is null.
+
+    All slices come from one pass over the rows. Rates of an empty slice are null.
+    """
+    sets = [list(by), *[[c] for c in by], []]
+    view = rows.withColumns({"in_band": F.when((F.col("best") >= low) & (F.col("best") < high), 1).otherwise(0), "there": F.when(F.col("kept") > 0, 1.0).otherwise(0.0)})
+    return view.groupingSets([[F.col(c) for c in s] for s in sets], *by).agg(
+        F.count("*").alias("n"), F.avg("there").alias("represented"), F.count_if(F.col("kept") == 0).alias("shut_out"), F.avg("kept").alias("mean_kept"), F.max("kept").alias("worst_kept"), F.avg("first").alias("mean_first"), F.sum("in_band").cast("long").alias("in_band"), F.max("best").alias("worst_best")
+    )
+
+
+def kept_maps(rows: DataFrame) -> DataFrame:
+    """Rows (arm, question_id, kept, by_paper, answer_first, other_first) of sides(): what a case has kept of each named paper, as a map in the order of papers."""
+    pair = F.array_sort(F.collect_list(F.struct("paper_id", "kept")))
+    first = lambda side: F.min(F.when(F.col("side") == side, F.col("first")))
+    return rows.groupBy("arm", "question_id").agg(F.sum("kept").alias("kept"), F.map_from_entries(pair).alias("by_paper"), first("answer").alias("answer_first"), first("other").alias("other_first"))

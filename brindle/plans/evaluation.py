@@ -200,6 +200,41 @@ def arm_outcome_rows(spark: SparkSession, sf: str) -> DataFrame:
     return arm_outcomes(spark, sf, ["production"]).select("arm", "question_id", "kept_total", "answer_chunks", "represented", "survived")
 
 
+SIDE_ARMS = [ARMS[0], ARMS[2]]
+SIDES_SQL = f"""{ARMS_SQL}, placed AS ({' UNION ALL '.join(f"SELECT '{a}' AS arm, question_id, id, paper_id, n FROM arm{ARMS.index(a)}" for a in SIDE_ARMS)}),
+bests AS (SELECT question_id, paper_id, min(distance) AS best FROM pairs GROUP BY question_id, paper_id),
+side_rows AS (SELECT a.arm, s.question_id, s.paper_id, CASE WHEN s.scope_pos = 0 THEN 'answer' ELSE 'other' END AS side, count(k.id) AS kept, min(k.n) AS first, any_value(b.best) AS best
+  FROM (SELECT unnest({SIDE_ARMS}) AS arm) a CROSS JOIN scope s LEFT JOIN placed k ON k.arm = a.arm AND k.question_id = s.question_id AND k.paper_id = s.paper_id LEFT JOIN bests b ON b.question_id = s.question_id AND b.paper_id = s.paper_id GROUP BY a.arm, s.question_id, s.paper_id, s.scope_pos)"""
+
+
+def side_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of ev.sides() for two policies."""
+    near = scoped(spark, sf)
+    kept = None
+    for name in SIDE_ARMS:
+        found = arm(spark, sf, name, near).select(F.lit(name).alias("arm"), "question_id", "id", "paper_id", "n")
+        kept = found if kept is None else kept.unionByName(found)
+    scope = R.scope_of_two(questions(spark, sf)).select(F.explode(F.array(*map(F.lit, SIDE_ARMS))).alias("arm"), "question_id", "paper_id", "scope_pos")
+    return ev.sides(kept, scope, near.groupBy("question_id", "paper_id").agg(F.min("distance").alias("best")))
+
+
+@register(
+    "slice_report",
+    f"{SIDES_SQL} SELECT arm, side, count(*) AS n, round(avg(CASE WHEN kept > 0 THEN 1.0 ELSE 0.0 END), 9) AS represented, count(*) FILTER (WHERE kept = 0) AS shut_out, round(avg(kept), 9) AS mean_kept, max(kept) AS worst_kept, round(avg(first), 9) AS mean_first, count(*) FILTER (WHERE best >= {C.similarity_threshold} AND best < {C.intra_paper_ceiling}) AS in_band, round(max(best), 6) AS worst_best FROM side_rows GROUP BY GROUPING SETS ((arm, side), (arm), (side), ())",
+)
+def slice_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Rates of two policies by policy, by side of the question and over all, with how many papers are so far off that the gates differ about them."""
+    found = ev.slices(side_rows(spark, sf), C.similarity_threshold, C.intra_paper_ceiling)
+    return found.withColumns({c: F.round(c, 9) for c in ("represented", "mean_kept", "mean_first")}).withColumn("worst_best", F.round("worst_best", 6))
+
+
+@register("kept_by_paper", f"{SIDES_SQL} SELECT arm, question_id, CAST(sum(kept) AS BIGINT) AS kept, string_agg(paper_id || ':' || kept, ' ' ORDER BY paper_id) AS by_paper, min(CASE WHEN side = 'answer' THEN first END) AS answer_first, min(CASE WHEN side = 'other' THEN first END) AS other_first FROM side_rows GROUP BY arm, question_id")
+def kept_by_paper(spark: SparkSession, sf: str) -> DataFrame:
+    """What each question has kept of its papers, and the rank of each side's first chunk."""
+    spelled = F.array_join(F.transform(F.map_entries("by_paper"), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"].cast("string"))), " ")
+    return ev.kept_maps(side_rows(spark, sf)).withColumn("by_paper", spelled)
+
+
 @register("survival_regressions", f"{ARMS_SQL} SELECT b.question_id FROM outcome b JOIN outcome c ON c.question_id = b.question_id WHERE b.arm = '{ARMS[2]}' AND c.arm = '{ARMS[1]}' AND b.survived AND NOT c.survived")
 def survival_regressions(spark: SparkSession, sf: str) -> DataFrame:
     rows = written(arm_outcomes(spark, sf, [ARMS[2], ARMS[1]]), "outcomes")
