@@ -63,10 +63,14 @@ class _Block:
 
     def distances(self, ids: np.ndarray, groups: np.ndarray, units: np.ndarray, skip_self: bool) -> np.ndarray:
         """Questions x rows; what must not be found is nan."""
-        found = np.round(np.maximum(1 - self.vectors @ units.T, 0), DECIMALS)
+        here = np.unique(groups)
+        live = np.array([s is None or np.isin(here, s).any() for s in self.scopes], bool)
+        found = np.full((len(self.ids), len(ids)), np.nan)
+        # questions that may find none of the pack's groups are not compared with it
+        found[live] = np.round(np.maximum(1 - self.vectors[live] @ units.T, 0), DECIMALS)
         found[~(found < self.gates[:, None])] = np.nan
         for i, scope in enumerate(self.scopes):
-            if scope is not None:
+            if scope is not None and live[i] and len(here) > 1:
                 found[i, ~np.isin(groups, scope)] = np.nan
         if skip_self:
             found[self.ids[:, None] == ids[None, :]] = np.nan

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.bindings import chunks, question_terms
+from brindle.bindings import chunks, question_terms, vectors
+from brindle.functions.pivots import Cells, file_under_pivots
 from brindle.operators.postings import Index, build
 from brindle.store import once, written
 
@@ -23,3 +24,8 @@ def text_index(spark: SparkSession, sf: str) -> Index:
 def asked_terms(spark: SparkSession, sf: str) -> DataFrame:
     """question_terms, so that a search does not make its questions from the texts again."""
     return _once(spark, sf, "asked_terms", lambda: written(question_terms(spark, sf), "asked-terms"))
+
+
+def vector_cells(spark: SparkSession, sf: str) -> Cells:
+    """All vectors, filed under pivots."""
+    return _once(spark, sf, "vector_cells", lambda: file_under_pivots(vectors(spark, sf)))

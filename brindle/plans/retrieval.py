@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from brindle.bindings import CHUNKS_SQL, DISTANCES_SQL, PAPERS_SQL, TERMS_SQL, VECTORS_SQL, chunks, papers, questions, table, vectors
 from brindle.config import CONFIG as C
+from brindle.functions.pivots import nearest_pruned
 from brindle.functions.vector import counts_below, nearest
 from brindle.operators import lexical, ranking, websearch
-from brindle.plans.indexes import asked_terms, text_index
+from brindle.plans.indexes import asked_terms, text_index, vector_cells
 from brindle.registry import register
 from brindle.store import in_order
 
@@ -71,6 +72,13 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("question_id", "id", F.col("paper_id").cast("int"), F.round("distance", 6).alias("distance"), "d_rank")
 
 
+@register("dense_topk_pruned", f"WITH {VECTORS_SQL}, {dense_sql(keep=C.max_context_chunks)} SELECT question_id, id, paper_id, round(distance, 6) AS distance, d_rank FROM dense")
+def dense_topk_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search over cells: those that cannot hold a result are not read."""
+    found = nearest_pruned(vector_cells(spark, sf), questions(spark, sf), C.max_context_chunks, gate=C.similarity_threshold)
+    return found.select("question_id", "id", F.col("paper_id").cast("int"), F.round("distance", 6).alias("distance"), "d_rank")
+
+
 @register("dense_gate_count", f"WITH {VECTORS_SQL}, gates AS (SELECT unnest([CAST({C.similarity_threshold} AS DOUBLE), CAST({C.intra_paper_ceiling} AS DOUBLE)]) AS gate) SELECT question_id, gate, count(*) FILTER (WHERE distance < gate) AS n FROM pairs CROSS JOIN gates GROUP BY question_id, gate")
 def dense_gate_count(spark: SparkSession, sf: str) -> DataFrame:
     return counts_below(vectors(spark, sf), questions(spark, sf), [C.similarity_threshold, C.intra_paper_ceiling])
