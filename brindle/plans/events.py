@@ -13,7 +13,7 @@ from brindle.registry import register
 from brindle.streaming.state import admitted
 
 LAST, GAP_MINUTES, DEBOUNCE_MINUTES = 5, 30, 60
-HITS, WINDOW_SECONDS, DAY_HITS = 3, 6 * 3600, 4
+HITS, WINDOW_SECONDS, DAY_HITS, GRACE_SECONDS = 3, 6 * 3600, 4, 12 * 3600
 
 
 def by_user():
@@ -71,6 +71,17 @@ def debounce_latest(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(F.col("next").isNull() | (F.col("next") - F.col("ts") > F.expr(f"INTERVAL {DEBOUNCE_MINUTES} MINUTES"))).select("user_id", "event_id")
 
 
+@register("grace_expiries", f"SELECT user_id, event_id, epoch_us(ts) + {GRACE_SECONDS * 1_000_000} AS settles FROM (SELECT user_id, event_id, ts, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE event_type = 'purchase' AND (next IS NULL OR epoch_us(next) - epoch_us(ts) > {GRACE_SECONDS * 1_000_000})")
+def grace_expiries(spark: SparkSession, sf: str) -> DataFrame:
+    """When what a user has left is closed: a grace after the last event, unless another one comes in time."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = table(spark, sf, "events").select("user_id", "event_id", micros.alias("at"), "event_type")
+    later = rows.withColumn("minus", -F.col("at")).withColumn("back", -F.col("event_id"))
+    after = scan.previous(later, "user_id", ["minus", "back"], "at", "next")
+    calm = F.col("next").isNull() | (F.col("next") - F.col("at") > GRACE_SECONDS * 1_000_000)
+    return after.where((F.col("event_type") == "purchase") & calm).select("user_id", "event_id", (F.col("at") + GRACE_SECONDS * 1_000_000).alias("settles"))
+
+
 @register("orphan_sweep", "SELECT CASE WHEN o_orderstatus IN ('O', 'P') THEN 'failed' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY 1")
 def orphan_sweep(spark: SparkSession, sf: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus").isin("O", "P"), "failed").otherwise(F.col("o_orderstatus"))

@@ -88,3 +88,41 @@ def sessions_stream(rows: DataFrame, gap: str = "30 minutes", late: str = "1 hou
 def daily_counts_stream(rows: DataFrame, late: str = "1 hour") -> DataFrame:
     timed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "n")
+
+
+def settled_stream(rows: DataFrame, wait_seconds: int = CONFIG.grace_seconds, late: str = "1 hour") -> DataFrame:
+    """Rows (user_id, event_id, at, settles) of the events that end something and are followed by none of their user within the wait: timers over event time.
+
+    rows: user_id, event_id (bigint), ts, ends. An event that ends (the last one left,
+    a text was edited) starts a timer; any later event of the user within the wait
+    cancels it (someone came back, the text was edited again). It has run out once
+    no event can come in time any more, by the watermark. at and settles are
+    microseconds. Events may come late (up to late), out of order and repeated; what
+    waits for its timer is all that is kept of a user.
+    """
+    wait = wait_seconds * 1_000_000
+    timed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    timed = timed.select("user_id", "event_id", "ts", F.unix_micros("ts").alias("at"), F.coalesce("ends", F.lit(False)).alias("ends"))
+
+    def run(user: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {(int(a), int(e)): bool(x) for a, e, x in zip(*state.get, strict=True)} if state.exists else {}
+        if not state.hasTimedOut:
+            for frame in frames:
+                held |= {(int(a), int(e)): bool(x) for a, e, x in zip(frame["at"], frame["event_id"], frame["ends"], strict=True)}
+        passed = state.getCurrentWatermarkMs() * 1000
+        order = sorted(held)
+        out = []
+        for i, (at, event) in enumerate(order):
+            calm = i + 1 == len(order) or order[i + 1][0] > at + wait
+            if held[at, event] and calm and at + wait <= passed:
+                out.append((user[0], event, at, at + wait))
+        # what no event can reach any more is done with
+        left = [k for k in order if k[0] + wait > passed]
+        if left:
+            state.update(([a for a, _ in left], [e for _, e in left], [held[k] for k in left]))
+            state.setTimeoutTimestamp(-(-(left[0][0] + wait) // 1000))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "at", "settles"])
+
+    return timed.groupBy("user_id").applyInPandasWithState(run, "user_id bigint, event_id bigint, at bigint, settles bigint", "at array<bigint>, event array<bigint>, ends array<boolean>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -44,3 +44,39 @@ def test_sessions(spark, run):
     found = run(lambda s: state.sessions_stream(s), "complete", "sessions")
     wanted = registry.queries()["sessionize_gap"](spark, SF).collect()
     assert sum(r.n for r in found) == sum(r.n for r in wanted) and abs(len(found) - len(wanted)) <= 2
+
+
+@pytest.fixture
+def timed(spark, tmp_path):
+    """Run settled_stream over events that come out of order and twice, in files of their own, with one event behind all to let the last timers run out."""
+
+    def go(wait, ends, late):
+        events = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_id", "ts", ends.alias("ends"))
+        end = events.agg(F.max("ts") + F.expr("INTERVAL 900 DAYS")).first()[0]
+        mixed = events.withColumn("file", F.pmod(F.xxhash64("event_id"), F.lit(4)))
+        again = mixed.where("event_id % 9 = 0").withColumn("file", (F.col("file") + 1) % 4)
+        for i in range(4):
+            mixed.unionByName(again).where(F.col("file") == i).drop("file").coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+        last = spark.createDataFrame([(-1, -1, end, False)], events.schema)
+        last.coalesce(1).write.parquet(str(tmp_path / "in" / "9"))
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        query = state.settled_stream(stream, wait, late).writeStream.outputMode("append").format("memory").queryName("settled").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination(240)
+        return spark.table("settled").collect()
+
+    return go
+
+
+def test_timers_of_a_grace(spark, timed):
+    from brindle.plans.events import GRACE_SECONDS
+
+    found = timed(GRACE_SECONDS, F.col("event_type") == "purchase", "800 days")
+    wanted = {(r.user_id, r.event_id, r.settles) for r in registry.queries()["grace_expiries"](spark, SF).collect()}
+    assert {(r.user_id, r.event_id, r.settles) for r in found} == wanted and len(found) == len(wanted) > 10
+
+
+def test_timers_of_a_debounce(spark, timed):
+    from brindle.plans.events import DEBOUNCE_MINUTES
+
+    found = timed(60 * DEBOUNCE_MINUTES, F.lit(True), "800 days")
+    assert {(r.user_id, r.event_id) for r in found} == {(r.user_id, r.event_id) for r in registry.queries()["debounce_latest"](spark, SF).collect()}
