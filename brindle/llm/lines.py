@@ -6,30 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import neardup
-from brindle.llm.common import hinted, kept, matched, salted, small, table, unused
+from brindle.llm.common import discard, kept, matched, salted, small, table, unused, written
 
 #: A line goes if it is on more than RATIO of its host's pages, and on PAGES of them at least.
 RATIO, PAGES = 0.05, 5
 #: Hosts whose lists of lines are broadcast at most; a host has fewer lines than its mean lines a page divided by RATIO.
 HOSTS_AT_ONCE = 100_000
-#: Near copies whose group is broadcast at most.
-COPIES_AT_ONCE = 1_000_000
+#: Bands of near copies of a host, of so many places each; buckets that are broadcast at most; and what a page counts for.
+BANDS, BAND_ROWS, COPIES_AT_ONCE, WHOLE = 16, 4, 1_000_000, 10**9
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES, page: str | None = None) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, pages: int = PAGES, weight: str | None = None) -> DataFrame:
     """Rows (host, line_hash) of the lines to drop.
 
     Rows of a host with equal texts are one page, so what only copies of a page
-    share is no boilerplate; if page names a column, rows of a host with equal
-    values there are one page, which has the lines of them all.
+    share is no boilerplate. If weight names a column, each row is a page that
+    counts for as many WHOLE-ths as it says.
 
     A line counts once for a page; blank lines never count. Rows with a null host
     belong to no site. Counts are summed before the shuffle, so a host or a line
     with a third of all rows costs no more than any other.
     """
-    own = F.xxhash64(text) if page is None else F.col(page)
-    rows = docs.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("text"), own.alias("page"))
     lines = F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(x) != ""))
+    if weight is not None:
+        rows = docs.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("text"), F.col(weight).cast("decimal(38,0)").alias("weight"))
+        placed = rows.select("host", "weight", F.explode(lines).alias("line"))
+        counted = placed.groupBy("host", F.xxhash64("line").alias("line_hash")).agg(F.sum("weight").alias("n"))
+        totals = rows.groupBy("host").agg(F.sum("weight").alias("total"))
+        often = counted.where(F.col("n") >= pages * WHOLE)
+        return salted(often, totals, "host", "line_hash").where(F.col("n") > F.lit(ratio) * F.col("total")).select("host", "line_hash")
+    rows = docs.where(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col(text).alias("text"), F.xxhash64(text).alias("page"))
     placed = rows.select("host", "page", F.explode(lines).alias("line")).select("host", "page", F.xxhash64("line").alias("line_hash")).distinct()
     counted = placed.groupBy("host", "line_hash").agg(F.count("*").alias("n"))
     totals = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
@@ -68,20 +74,37 @@ def op2_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("clean_sha256"))
 
 
+def weighed(rows: DataFrame, key: str, host: str = "source", text: str = "text", bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+    """Rows (key, weight) for rows of a unique key whose host has copies or near copies of them: WHOLE over about as many as there are.
+
+    Texts are sketched in bands; rows of a host with an equal band are a bucket,
+    and a row's weight is WHOLE over the size of its largest. A group of near
+    copies so counts for little more than one page, whatever its size: of copies
+    with a similarity of 0.8 a bucket has four in ten, and all but 0.02 % are in
+    one; of texts with a similarity of 0.3 an eighth is in any. Rows without a
+    bucket of two are left out.
+    """
+    hashed = rows.where(F.col(host).isNotNull()).select(F.struct(F.col(key).cast("long").alias("id"), F.xxhash64(host).alias("host")).alias("id"), neardup.word_hashes(F.col(text)).alias("words"))
+    sketch = written(hashed.mapInArrow(neardup._sketch(neardup.WORDS, bands, band_rows), "id struct<id:bigint,host:bigint>, n_shingles bigint, print binary, keys array<bigint>").where("n_shingles > 0").select("id.*", "keys"), "line-bands")
+    placed = sketch.select("id", "host", F.explode("keys").alias("band")).select("id", F.xxhash64("host", "band").alias("band"))
+    sizes = kept(placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    largest = matched(placed, sizes, "band", "id", COPIES_AT_ONCE).groupBy("id").agg(F.max("n").alias("n"))
+    found = written(largest.select(F.col("id").alias(key), F.floor(F.lit(WHOLE) / F.col("n")).alias("weight")), "line-weights")
+    discard(sketch, sizes)
+    return found
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: every document, without its site's boilerplate lines; n_chars follows the text.
 
-    Equal texts and near copies, as the next stage finds them, are one page, so
-    what only they share is no boilerplate and is left for that stage.
+    Equal texts and near copies count for about one page (see weighed()), so what
+    only they share is no boilerplate and is left for the next stage.
     """
-    row = unused("row", docs)
+    row, weight = unused("row", docs), unused("weight", docs)
     rows, _ = neardup.numbered(docs, "doc_id", row)
-    parts = neardup.grouped(rows, row).select("id", "component")
-    many = parts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    copies = hinted(kept(matched(parts, kept(many), "component", "id", COPIES_AT_ONCE)), COPIES_AT_ONCE)
-    own = rows.select(F.col(row).alias("id"), "source", "text").join(copies, "id", "left")
-    pages = own.withColumn("page", F.when(F.col("component").isNotNull(), F.xxhash64(F.lit("copies"), "component")).otherwise(F.xxhash64("text")))
-    cleaned = drop_boilerplate(docs, found=boilerplate(pages, page="page"), counts=None)
+    copies = weighed(rows, row).withColumnRenamed("weight", weight)
+    pages = rows.select(row, "source", "text").join(copies, row, "left").withColumn(weight, F.coalesce(weight, F.lit(WHOLE)))
+    cleaned = drop_boilerplate(docs, found=boilerplate(pages, weight=weight), counts=None)
     return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 

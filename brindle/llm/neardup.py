@@ -292,7 +292,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = upper.where("top is not null").select("v", F.col("top").alias("m")).union(rest.select("v", "m")).toDF("u", "v").where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.toDF("u", "v")).distinct()
-        edges = kept(small)
+        last, edges = edges, kept(small)
+        discard(last, hot)
         # two runs of the loop that end in the same edges have reached the stars
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
@@ -370,7 +371,7 @@ def _grouped(rows: DataFrame, key: str, text: str, words: int, percent: int, ban
     found = found.select("id", "n_shingles", F.coalesce("component", F.when(F.col("n_shingles") > 0, F.col("head")), "id").alias("component"))
     # three numbers a row stay; the sketches and sets they come from go
     found = written(found, "components")
-    discard(sketch, buckets, sets)
+    discard(sketch, buckets, sets, classes, crowd, private, stars, links, unjoined, more)
     return found
 
 
