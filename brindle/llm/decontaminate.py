@@ -27,6 +27,8 @@ from brindle.llm.common import hinted, kept, small, table
 MASKS = ("1101101011", "1110010111")
 #: Tokens on each side of the mask that are compared too, and the share of the compared tokens that must agree.
 MARGIN, AGREE = 3, 0.75
+#: Tokens of an item at least for which the pipeline drops a document; shorter ones stand in texts that have nothing to do with the benchmark.
+LEAST_ITEM = 5
 #: Stands for a missing token of an item, so that it agrees with nothing.
 NO_TOKEN = -0x6E6F6E65
 #: Seeds that are broadcast at most with what stands around them (about 250 bytes each), seeds alone (8 bytes), and ids.
@@ -125,9 +127,10 @@ def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: documents without a benchmark passage."""
-    leaks = kept(overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least_item: int = LEAST_ITEM) -> DataFrame:
+    """Pipeline: documents without a benchmark passage; items of fewer than least_item tokens drop none."""
+    items = table(spark, sf_dir, "benchmark").where(F.size(token_hashes(F.col("text"))) >= least_item)
+    leaks = kept(overlaps(docs, items).select("doc_id").distinct())
     return docs.join(hinted(leaks, IDS_AT_ONCE), "doc_id", "left_anti").select(docs.columns)
 
 
