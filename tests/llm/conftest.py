@@ -20,6 +20,7 @@ def write(folder: str, name: str, columns: dict, schema: dict) -> None:
 SCHEMAS = {
     "documents": {"doc_id": pa.int64(), "text": pa.string(), "lang": pa.string(), "source": pa.string(), "n_chars": pa.int64(), "key": pa.string(), "row": pa.int64(), "lang_pred": pa.string(), "n_lines": pa.int64()},
     "benchmark": {"item_id": pa.int64(), "text": pa.string(), "seed": pa.int64()},
+    "embeddings": {"vec_id": pa.int64(), "embedding": pa.list_(pa.float32()), "label": pa.int64(), "cluster": pa.string(), "v": pa.int64()},
     "labels": {"doc_id": pa.int64(), "quality": pa.int32(), "toxic": pa.int32()},
     "pages": {"page_id": pa.int64(), "url": pa.string(), "html": pa.string(), "host": pa.string()},
     "conversations": {"conv_id": pa.int64(), "turn": pa.int64(), "role": pa.string(), "text": pa.string(), "segment": pa.int64()},
@@ -56,6 +57,10 @@ def odd():
     write(folder, "documents", docs, SCHEMAS["documents"])
     write(folder, "benchmark", {"item_id": [0, 1, 2, 3], "text": [passage, None, "", "too short"], "seed": [1] * 4}, SCHEMAS["benchmark"])
     write(folder, "labels", {"doc_id": [3, 4, 4, 7, None, 100], "quality": [1, 0, 1, None, 1, 1], "toxic": [0, 0, 1, 0, 0, None]}, SCHEMAS["labels"])
+    vectors = [[((7 * i * j + i) % 13) / 13 - 0.5 for j in range(64)] for i in range(40)]
+    vectors += [vectors[3], vectors[3], None, [], [1.0] * 63, [None] + [0.0] * 63, [float("nan")] + [0.0] * 63, [float("inf")] + [0.0] * 63, [0.0] * 64, [-1.5] * 64]
+    vec_ids = [*range(40), 3, 77, *range(100, 108)]
+    write(folder, "embeddings", {"vec_id": vec_ids, "embedding": vectors, "label": [1] * 50, "cluster": ["c"] * 50, "v": [None] * 50}, SCHEMAS["embeddings"])
     urls = [None, "", "no scheme", "http://Example.COM/en/7/x?q=1", "http://sub.example.com/en/8", "https://example.net#f", "https://x.example.net/de/8", "https://x.example.net/de/9", "http://a.org/es/", "http://notcom/en/", "ftp://com/en/", "http://com"]
     write(folder, "pages", {"page_id": list(range(len(urls))), "url": urls, "html": [None] * len(urls), "host": ["h"] * len(urls)}, SCHEMAS["pages"])
     conv = {"conv_id": [1, 1, 1, 1, 2, None, 3, 3], "turn": [0, 1, 1, None, 0, 0, 0, 0], "role": ["user", "assistant", "assistant", None, "robot", "user", "", "user"], "text": ["Hi?\nUser: quoted", "Yes.", "Yes.", "late", None, "lost", "", "x" * 5000], "segment": [5] * 8}
