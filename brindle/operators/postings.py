@@ -10,6 +10,7 @@ each token once, bucketed by its stem: that is where a stem's tokens are found.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +27,16 @@ TERMS_AT_ONCE = 200_000
 
 @dataclass(frozen=True)
 class Index:
-    """postings: term, id, paper_id, tf, places (ascending, from 0), bucket. vocabulary: term, chunks, stem, bucket."""
+    """postings: term, id, paper_id, tf, places (ascending, from 0), bucket. vocabulary: term, chunks, stem, bucket, written when it is first asked for."""
 
     postings: DataFrame
-    vocabulary: DataFrame
     buckets: int
 
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        words = stemmed(self.postings.groupBy("term").agg(F.count("*").alias("chunks"))).withColumn("bucket", self.bucket("stem"))
+        return written(words.repartition("bucket").sortWithinPartitions("bucket", "stem", "term"), "vocabulary", ["bucket"])
+
     def bucket(self, term: str):
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
@@ -48,9 +53,7 @@ def build(chunks: DataFrame) -> Index:
     # rows of a token and chunk lie in one range, so nothing is shuffled again
     rows = ranged.groupBy(*keys).agg(F.first("paper_id").alias("paper_id"), F.array_sort(F.collect_list("place")).alias("places"))
     postings = written(rows.select("term", "id", "paper_id", F.size("places").cast("long").alias("tf"), "places", "bucket").sortWithinPartitions(*keys), "postings", ["bucket"])
-    words = stemmed(postings.groupBy("term").agg(F.count("*").alias("chunks")))
-    vocabulary = words.withColumn("bucket", F.pmod(F.xxhash64("stem"), F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "stem", "term")
-    return Index(postings, written(vocabulary, "vocabulary", ["bucket"]), buckets)
+    return Index(postings, buckets)
 
 
 def _folders(index: Index, asked: DataFrame, term: str) -> list[int]:
