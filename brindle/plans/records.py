@@ -14,11 +14,19 @@ from brindle.registry import register
 from brindle.sources import records as S
 
 
-@register("identifiers", "SELECT page_id, concat('10.', 1000 + page_id, '/a(', page_id, ')') AS doi, CASE page_id % 3 WHEN 0 THEN concat('https://arxiv.org/abs/', page_id, 'v2') WHEN 1 THEN concat('http://arxiv.org/abs/', page_id) ELSE concat('https://example.org/pdf/', page_id, '.pdf') END AS page FROM pages")
+@register(
+    "identifiers",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS html, split_part(url, '/', 3) AS host, regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS leaf FROM pages)
+SELECT page_id, '10.' || (1000 + len(html)) || '/' || host || '(' || page_id || ')' AS doi,
+CASE len(html) % 3 WHEN 0 THEN 'https://arxiv.org/abs/' || host || 'v2' WHEN 1 THEN 'http://arxiv.org/abs/' || host ELSE 'https://' || host || '/pdf/' || leaf || '.pdf' END AS page FROM p""",
+)
 def identifiers(spark: SparkSession, sf: str) -> DataFrame:
-    """The DOI of a line of text, and the abstract page of a PDF's address; other addresses stay."""
-    line = F.expr("concat('see https://doi.org/10.', 1000 + page_id, '/a(', page_id, ')\" and 10.5555/zz')")
-    address = F.expr("CASE page_id % 3 WHEN 0 THEN concat('https://arxiv.org/pdf/', page_id, 'v2.pdf') WHEN 1 THEN concat('http://arxiv.org/pdf/', page_id) ELSE concat('https://example.org/pdf/', page_id, '.pdf') END")
+    """The DOI in a line about a page, and the abstract page of a PDF's address; other addresses stay. Host and length of the page make both."""
+    n, host = F.char_length(F.coalesce("html", F.lit(""))), F.split_part("url", F.lit("/"), F.lit(3))
+    leaf = F.regexp_replace("url", "^[a-z]+://[^/]*/?", "")
+    line = F.concat(F.lit("see https://doi.org/10."), 1000 + n, F.lit("/"), host, F.lit("("), "page_id", F.lit(')" and 10.5555/zz, or '), F.left("html", F.lit(50)))
+    line = F.coalesce(line, F.concat(F.lit("see https://doi.org/10."), 1000 + n, F.lit("/"), host, F.lit("("), "page_id", F.lit(')" and 10.5555/zz')))
+    address = F.when(n % 3 == 0, F.concat(F.lit("https://arxiv.org/pdf/"), host, F.lit("v2.pdf"))).when(n % 3 == 1, F.concat(F.lit("http://arxiv.org/pdf/"), host)).otherwise(F.concat(F.lit("https://"), host, F.lit("/pdf/"), leaf, F.lit(".pdf")))
     return table(spark, sf, "pages").select("page_id", X.doi(line).alias("doi"), X.abstract_page(address).alias("page"))
 
 
@@ -88,12 +96,19 @@ def manifests(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page_id", "m.main", "m.engine")
 
 
-@register("tree_paths", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat('a/f', page_id, '.tex') WHEN 1 THEN concat('f', page_id, '.tex') WHEN 4 THEN concat('c/f', page_id, '.tex') END AS path FROM pages")
+@register(
+    "tree_paths",
+    """WITH p AS (SELECT page_id, len(coalesce(html, '')) AS n, split_part(url, '/', 3) AS host, regexp_replace(url, '^[a-z]+://', '') AS rest FROM pages),
+c AS (SELECT *, list_filter(string_split(rest, '/'), lambda x: x <> '' AND x <> '.') AS s FROM p)
+SELECT page_id, CASE n % 5 WHEN 0 THEN array_to_string(s, '/') WHEN 1 THEN array_to_string(list_concat(s[:len(s) - 1], ['f.tex']), '/') WHEN 2 THEN 'f.tex' END AS path FROM c""",
+)
 def tree_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Recorded inputs as paths of the tree: a sibling folder, a system file and what climbs out are refused."""
-    name = F.concat(F.lit("f"), F.col("page_id"), F.lit(".tex"))
-    heads = F.array(*map(F.lit, ("/tmp/r/./a/", "/tmp/r/b/../", "/tmp/rx/", "/tmp/r/../r/../../", "/tmp/r/./c//./", "/usr/share/")))
-    return table(spark, sf, "pages").select("page_id", S.tree_path(F.concat(F.get(heads, (F.col("page_id") % 6).cast("int")), name), F.lit("/tmp/r/")).alias("path"))
+    """Recorded inputs as paths of the tree, made of the hosts and paths of pages: a sibling folder and what climbs out are refused."""
+    n = F.char_length(F.coalesce("html", F.lit("")))
+    rest = F.regexp_replace("url", "^[a-z]+://", "")
+    up = F.repeat(F.lit("../"), F.size(F.filter(F.split(rest, "/"), lambda x: ~x.isin("", "."))))
+    recorded = F.when(n % 5 == 0, F.concat(F.lit("/tmp/r/.//"), rest)).when(n % 5 == 1, F.concat(F.lit("/tmp/r/"), rest, F.lit("/../f.tex"))).when(n % 5 == 2, F.concat(F.lit("/tmp/r/"), rest, F.lit("/"), up, F.lit("f.tex"))).when(n % 5 == 3, F.concat(F.lit("/tmp/r/"), rest, F.lit("/"), up, F.lit("../f.tex"))).otherwise(F.concat(F.lit("/tmp/rx/"), rest))
+    return table(spark, sf, "pages").select("page_id", S.tree_path(recorded, F.lit("/tmp/r/")).alias("path"))
 
 
 @register("mention_reconcile", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '0,1' WHEN 1 THEN '1' ELSE '0,2' END AS kept FROM conversations")
@@ -179,11 +194,20 @@ def main_files(spark: SparkSession, sf: str) -> DataFrame:
     return chosen.join(texts, ["page_id", "main"], "left").select("page_id", "main", "verdict", "engine")
 
 
-@register("first_errors", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('Undefined ', page_id) WHEN 1 THEN 'Emergency stop.' END AS message FROM pages")
+@register(
+    "first_errors",
+    """WITH d AS (SELECT doc_id, text, n_chars, split_part(text, ' ', 1) AS w FROM documents WHERE text IS NOT NULL),
+logs AS (SELECT doc_id, 'This is TeX' || chr(10) || text || chr(10) || CASE n_chars % 3 WHEN 0 THEN './' || w || '.tex:' || n_chars || ': Undefined ' || w || ' ' WHEN 1 THEN '! Emergency ' || w ELSE 'all is well' END || chr(10) || '! late' AS log FROM d),
+lines AS (SELECT doc_id, unnest(string_split(log, chr(10))) AS l, unnest(range(len(string_split(log, chr(10))))) AS k FROM logs),
+said AS (SELECT doc_id, k, coalesce(CASE WHEN NOT regexp_matches(l, '^[ \t\n\v\f\r]') AND regexp_matches(l[2:], ':[0-9]+:') THEN nullif(trim(regexp_extract(l[2:], ':[0-9]+:(.*)$', 1)), '') END, CASE WHEN starts_with(l, '!') THEN nullif(trim(l[2:]), '') END) AS message FROM lines)
+SELECT doc_id, arg_min(message, k) FILTER (WHERE message IS NOT NULL) AS message FROM said GROUP BY doc_id""",
+)
 def first_errors(spark: SparkSession, sf: str) -> DataFrame:
-    """What a TeX log says first: with its file and line, without, or nothing."""
-    logs = F.expr("CASE page_id % 3 WHEN 0 THEN concat('This is TeX\n./a.tex:12: Undefined ', page_id, ' \n! later') WHEN 1 THEN 'text ! no\n! Emergency stop.\n./a.tex:1: late' ELSE 'all is well' END")
-    return table(spark, sf, "pages").select("page_id", S.first_error(logs).alias("message"))
+    """What a TeX log says first: with its file and line, or without. The log is what a document has printed and a line made of its first word and length."""
+    d = table(spark, sf, "documents").where("text is not null")
+    n, w = F.col("n_chars"), F.split_part("text", F.lit(" "), F.lit(1))
+    last = F.when(n % 3 == 0, F.concat(F.lit("./"), w, F.lit(".tex:"), n, F.lit(": Undefined "), w, F.lit(" "))).when(n % 3 == 1, F.concat(F.lit("! Emergency "), w)).otherwise("all is well")
+    return d.select("doc_id", S.first_error(F.array_join(F.array(F.lit("This is TeX"), F.col("text"), last, F.lit("! late")), "\n")).alias("message"))
 
 
 @register("synctex_records", "SELECT page_id, record, CASE record WHEN 1 THEN concat('a', page_id, '.pdf') ELSE 'b.pdf' END AS output, CASE record WHEN 1 THEN '1' END AS page FROM pages, (SELECT unnest([CAST(1 AS BIGINT), CAST(2 AS BIGINT)]) AS record)")
