@@ -15,6 +15,8 @@ DECIMALS = 9
 QUESTIONS_AT_ONCE, ROWS_AT_ONCE, PACK_BYTES = 1024, 4096, 8 << 20
 #: Bytes of all questions up to which they are broadcast, and blocks whose state a task remembers.
 BROADCAST_BYTES, BLOCKS_AT_ONCE = 32 << 20, 64
+#: Questions that are held against a pack at a time.
+STEP = 256
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -51,38 +53,50 @@ def _cut(found: list[np.ndarray], keep: int, by_group: bool) -> list[np.ndarray]
 
 
 class _Block:
-    """Questions of one block: ids, unit vectors, the groups that each may find (all, if None), and how far each may look."""
+    """Questions of one block: ids, unit vectors, the scope of each (the groups that it may find; all, if None), and how far each may look.
+
+    A block outlives the batch that it came in, so nothing in it may be a view of the batch, which would stay in memory as a whole.
+    """
 
     def __init__(self, asked: pa.StructArray, gate: float | None):
-        self.ids = asked.field("question_id").to_numpy(zero_copy_only=False)
+        self.ids = np.array(asked.field("question_id").to_numpy(zero_copy_only=False))
         self.vectors = _unit(asked.field("embedding"))
-        self.scopes = [None if not s.is_valid else s.values.to_numpy(zero_copy_only=False) for s in asked.field("scope")]
+        named = [None if s is None else tuple(sorted(s)) for s in asked.field("scope").to_pylist()]
+        kinds = {s: i for i, s in enumerate(dict.fromkeys(named))}
+        # many questions share a scope: each is looked up once a pack
+        self.scopes, self.scope_of = [None if s is None else np.array(s, np.int64) for s in kinds], np.array([kinds[s] for s in named], np.int64)
         gates = [gate if g is None else g for g in asked.field("gate").to_pylist()]
         self.gates = np.array([np.inf if g is None else g for g in gates])
-        self.nearest: np.ndarray | None = None
+        self.nearest: dict[int, np.ndarray] = {}
+
+    def steps(self) -> Iterator[slice]:
+        """The block's questions, some at a time."""
+        return (slice(k, k + STEP) for k in range(0, len(self.ids), STEP))
 
-    def distances(self, ids: np.ndarray, groups: np.ndarray, units: np.ndarray, skip_self: bool) -> np.ndarray:
+    def distances(self, at: slice, ids: np.ndarray, groups: np.ndarray, units: np.ndarray, skip_self: bool) -> np.ndarray:
         """Questions x rows; what must not be found is nan."""
-        here = np.unique(groups)
-        live = np.array([s is None or np.isin(here, s).any() for s in self.scopes], bool)
-        found = np.full((len(self.ids), len(ids)), np.nan)
+        here, scope_of, asked = np.unique(groups), self.scope_of[at], self.ids[at]
+        live = np.array([s is None or np.isin(here, s).any() for s in self.scopes], bool)[scope_of]
+        found = np.full((len(asked), len(ids)), np.nan)
         # questions that may find none of the pack's groups are not compared with it
-        found[live] = np.round(np.maximum(1 - self.vectors[live] @ units.T, 0), DECIMALS)
-        found[~(found < self.gates[:, None])] = np.nan
-        for i, scope in enumerate(self.scopes):
-            if scope is not None and live[i] and len(here) > 1:
-                found[i, ~np.isin(groups, scope)] = np.nan
+        found[live] = np.round(np.maximum(1 - self.vectors[at][live] @ units.T, 0), DECIMALS)
+        found[~(found < self.gates[at, None])] = np.nan
+        for k in np.unique(scope_of[live]) if len(here) > 1 else ():
+            if self.scopes[k] is not None:
+                found[np.ix_(scope_of == k, ~np.isin(groups, self.scopes[k]))] = np.nan
         if skip_self:
-            found[self.ids[:, None] == ids[None, :]] = np.nan
+            found[asked[:, None] == ids[None, :]] = np.nan
         return found
 
-    def bound(self, found: np.ndarray, keep: int) -> np.ndarray:
+    def bound(self, at: slice, found: np.ndarray, keep: int) -> np.ndarray:
         """The keep-th least distance of each question among all rows that this task has seen."""
         seen = np.where(np.isnan(found), np.inf, found)
-        if self.nearest is not None:
-            seen = np.hstack([self.nearest, seen])
-        self.nearest = np.partition(seen, keep - 1, axis=1)[:, :keep] if seen.shape[1] > keep else seen
-        return self.nearest.max(1) if self.nearest.shape[1] == keep else np.full(len(found), np.inf)
+        if at.start in self.nearest:
+            seen = np.hstack([self.nearest[at.start], seen])
+        # a copy, for a part of the whole array would keep all of it
+        near = np.partition(seen, keep - 1, axis=1)[:, :keep].copy() if seen.shape[1] > keep else seen
+        self.nearest[at.start] = near
+        return near.max(1) if near.shape[1] == keep else np.full(len(found), np.inf)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +134,12 @@ _FOUND = ["question_id", "id", "paper_id", "distance"]
 def _search(keep: int, by_group: bool, skip_self: bool, gate: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, groups, units in _met(batches, gate):
-            found = block.distances(ids, groups, units, skip_self)
-            q, r = np.nonzero(~np.isnan(found) if by_group else found <= block.bound(found, keep)[:, None])
-            best = _cut([block.ids[q], ids[r], groups[r], found[q, r]], keep, by_group)
-            if len(q):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], _FOUND)
+            for at in block.steps():
+                found = block.distances(at, ids, groups, units, skip_self)
+                q, r = np.nonzero(~np.isnan(found) if by_group else found <= block.bound(at, found, keep)[:, None])
+                best = _cut([block.ids[at][q], ids[r], groups[r], found[q, r]], keep, by_group)
+                if len(q):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], _FOUND)
 
     return run
 
@@ -132,8 +147,7 @@ def _search(keep: int, by_group: bool, skip_self: bool, gate: float | None):
 def _counted(gates: list[float], skip_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, groups, units in _met(batches, None):
-            found = block.distances(ids, groups, units, skip_self)
-            total = np.stack([(found < g).sum(1) for g in gates], 1).astype(np.int64)
+            total = np.concatenate([np.stack([(found < g).sum(1) for g in gates], 1) for found in (block.distances(at, ids, groups, units, skip_self) for at in block.steps())]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block.ids, len(gates))), pa.array(np.tile(np.array(gates), len(block.ids))), pa.array(total.reshape(-1))], ["question_id", "gate", "n"])
 
     return run

@@ -5,6 +5,7 @@ import json
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -385,3 +386,24 @@ def test_manifests_and_archives(spark):
     assert unpacked(trees.select("k", F.lit(None).cast("binary").alias("c")), "k", "c").select("error").distinct().collect()[0][0] == "no archive"
     with pytest.raises(Exception, match="too large"):
         packed(trees, "k", "files", most_files=1).collect()
+
+
+def test_blocks_of_questions_keep_no_batch_and_no_whole_matrix():
+    """What a task remembers of a block are its own questions and the nearest of each, not the batch and the distances that they came from."""
+    n, rows, keep = 300, 500, 7
+    kind = pa.list_(pa.struct([("question_id", pa.int64()), ("embedding", pa.list_(pa.float64())), ("gate", pa.float64()), ("scope", pa.list_(pa.int64()))]))
+    rng = np.random.default_rng(3)
+    asked = pa.array([[{"question_id": i, "embedding": rng.normal(size=4).tolist(), "gate": None, "scope": [None, [1], [2, 1], []][i % 4]} for i in range(n)]], kind)
+    block = vector._Block(asked[0].values, None)
+    batch = asked[0].values.field("question_id").to_numpy()
+    assert not np.shares_memory(block.ids, batch)
+    units, ids, groups = vector._unit(pa.array(rng.normal(size=(rows, 4)).tolist())), np.arange(rows), np.arange(rows) % 3
+    for at in block.steps():
+        found = block.distances(at, ids, groups, units, False)
+        for i, row in enumerate(found, at.start):
+            allowed = [np.ones(rows, bool), groups == 1, groups > 0, np.zeros(rows, bool)][i % 4]
+            wanted = np.where(allowed, np.round(np.maximum(1 - units @ block.vectors[i], 0), vector.DECIMALS), np.nan)
+            assert np.allclose(row, wanted, equal_nan=True)
+        block.bound(at, found, keep)
+    held = sum(near.nbytes if near.base is None else near.base.nbytes for near in block.nearest.values())
+    assert held == n * keep * 8
