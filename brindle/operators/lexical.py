@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.functions.text import tokens
+from brindle.operators import packs
 from brindle.operators.postings import TERMS_AT_ONCE, Index, lookup
 from brindle.store import hinted
 
@@ -47,6 +48,21 @@ def matches(chunks: DataFrame | Index, terms: DataFrame, mode: str = "all", with
     return found.where(~F.col("refused") & enough).select("question_id", "id", "paper_id", "tf")
 
 
+def best(corpus: DataFrame | Index, terms: DataFrame, pool: int, mode: str = "all", scope: DataFrame | None = None) -> DataFrame:
+    """The pool best of matches(), with s_rank; scope (question_id, paper_id) names the papers that a question may find.
+
+    With an index, pairs of question and chunk stay in the tasks (see packs).
+    """
+    if mode not in ("all", "any"):
+        raise ValueError("mode is all or any")
+    if not isinstance(corpus, Index):
+        found = matches(corpus, terms, mode)
+        return ranked(found if scope is None else found.join(hinted(scope, TERMS_AT_ONCE), ["question_id", "paper_id"], "left_semi"), pool)
+    asked = terms.where("term is not null").select("question_id", F.lit(0).alias("part"), F.lit(False).alias("no"), F.col("term").alias("atom"), F.lit(0).alias("place"), "term", F.col("term").alias("unit")).distinct()
+    found = packs.best(corpus, asked, pool, packs.by_sum if mode == "all" else packs.by_any, scope, placed=False)
+    return ranked(found.select("question_id", "id", "paper_id", F.col("score").cast("long").alias("tf")), pool)
+
+
 def ranked(found: DataFrame, pool: int, score: str = "tf") -> DataFrame:
     """The best of each question, with s_rank; ties by id."""
     order = Window.partitionBy("question_id").orderBy(F.desc(score), "id")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from brindle.config import CONFIG, EngineConfig
 from brindle.functions.vector import nearest
 from brindle.operators import lexical, websearch
-from brindle.store import hinted
 
 #: Stands for the rank of an arm that has missed a row.
 MISSED = 2**62
@@ -111,10 +110,9 @@ def retrieve(chunks: DataFrame, questions: DataFrame, terms: DataFrame | None =
         ranked = ranked.where("not single").unionByName(cut).drop("single")
     else:
         corpus = chunks if texts is None else texts
-        found = lexical.matches(corpus, terms) if typed is None else websearch.search(corpus, typed, isinstance(corpus, lexical.Index))
-        if scope is not None:
-            found = found.join(hinted(scope, lexical.TERMS_AT_ONCE), ["question_id", "paper_id"], "left_semi")
-        fused = fuse(dense, lexical.ranked(found, config.hybrid_sparse_pool), config).where(F.col("pos") <= pool)
+        pool_of = config.hybrid_sparse_pool
+        sparse = lexical.best(corpus, terms, pool_of, scope=scope) if typed is None else websearch.best(corpus, typed, pool_of, isinstance(corpus, lexical.Index), scope)
+        fused = fuse(dense, sparse, config).where(F.col("pos") <= pool)
         ranked = fused.join(single, "question_id").where(~F.col("single") | (F.col("pos") <= config.intra_paper_rank_window)).drop("single")
     if guarantee > 0 and scope is not None:
         many = asked.where("not single")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions.stemming import stemmed
 from brindle.functions.text import tokens
-from brindle.operators.lexical import placed
+from brindle.operators import packs
+from brindle.operators.lexical import placed, ranked
 from brindle.operators.postings import Index, variants
 
 #: Words that English full-text search leaves out.
@@ -47,7 +48,7 @@ def asked_for(questions: DataFrame, index: Index | None = None) -> DataFrame:
     if index is None:
         return rows
     told = rows.withColumnRenamed("term", "stem")
-    return told.join(variants(index, told), "stem", "left").select(*rows.columns[:-1], F.coalesce("term", "stem").alias("term"))
+    return told.join(variants(index, told), "stem", "left").select(*rows.columns[:-1], F.coalesce("term", "stem").alias("term"), "stem")
 
 
 def search(chunks: DataFrame | Index, questions: DataFrame, stems: bool = False) -> DataFrame:
@@ -68,3 +69,17 @@ def search(chunks: DataFrame | Index, questions: DataFrame, stems: bool = False)
     found = runs.groupBy(*whole, "no", "atom").agg(F.sum(F.when(F.col("need") == 1, F.col("n")).otherwise(1)).alias("tf"))
     parts = found.groupBy(*whole).agg(F.sum(F.when(~F.col("no"), F.col("tf"))).alias("tf"), F.count_if(~F.col("no")).alias("n"), F.max("no").alias("refused"))
     return parts.where(~F.col("refused") & (F.col("n") == F.col("asked"))).groupBy("question_id", "id", "paper_id").agg(F.max("tf").alias("tf"))
+
+
+def best(chunks: DataFrame | Index, questions: DataFrame, pool: int, stems: bool = False, scope: DataFrame | None = None) -> DataFrame:
+    """The pool best of search(), with s_rank; scope (question_id, paper_id) names the papers that a question may find.
+
+    With an index, pairs of question and chunk stay in the tasks (see packs).
+    """
+    if not isinstance(chunks, Index):
+        found = search(chunks, questions, stems)
+        return ranked(found if scope is None else found.join(scope, ["question_id", "paper_id"], "left_semi"), pool)
+    rows = asked_for(questions, chunks if stems else None)
+    asked = rows.select("question_id", "part", "no", "atom", "place", "term", F.col("stem" if stems else "term").alias("unit"))
+    found = packs.best(chunks, asked, pool, scope=scope)
+    return ranked(found.select("question_id", "id", "paper_id", F.col("score").cast("long").alias("tf")), pool)

@@ -92,12 +92,12 @@ def dense_guarantee_per_group(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("sparse_and_topk", f"WITH {CHUNKS_SQL}, questions AS (SELECT vec_id AS question_id FROM embeddings WHERE vec_id % 20 = 0), {hits_sql()}, {sparse_sql()} SELECT question_id, id, tf, s_rank FROM sparse")
 def sparse_and_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.ranked(lexical.matches(text_index(spark, sf), asked_terms(spark, sf)), C.hybrid_sparse_pool).select("question_id", "id", "tf", "s_rank")
+    return lexical.best(text_index(spark, sf), asked_terms(spark, sf), C.hybrid_sparse_pool).select("question_id", "id", "tf", "s_rank")
 
 
 @register("sparse_or_topk", f"WITH {CHUNKS_SQL}, questions AS (SELECT vec_id AS question_id FROM embeddings WHERE vec_id % 20 = 0), {hits_sql('n > 0')}, {sparse_sql()} SELECT question_id, id, tf, s_rank FROM sparse")
 def sparse_or_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.ranked(lexical.matches(text_index(spark, sf), asked_terms(spark, sf), mode="any"), C.hybrid_sparse_pool).select("question_id", "id", "tf", "s_rank")
+    return lexical.best(text_index(spark, sf), asked_terms(spark, sf), C.hybrid_sparse_pool, mode="any").select("question_id", "id", "tf", "s_rank")
 
 
 #: What people type, by the question's number: words, a phrase, alternatives, a refused word, a refused phrase, stop words alone.
@@ -140,15 +140,15 @@ matched AS (SELECT question_id, id, paper_id, CAST(max(tf) AS BIGINT) AS tf FROM
 @register("websearch_topk", f"WITH {CHUNKS_SQL}, questions AS (SELECT vec_id AS question_id FROM embeddings WHERE vec_id % 20 = 0), {TYPED_SQL}, {sparse_sql()} SELECT question_id, id, tf, s_rank FROM sparse")
 def websearch_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Typed questions with phrases, alternatives and refusals."""
-    found = websearch.search(text_index(spark, sf), typed_questions(spark, sf))
-    return lexical.ranked(found, C.hybrid_sparse_pool).select("question_id", "id", "tf", "s_rank")
+    found = websearch.best(text_index(spark, sf), typed_questions(spark, sf), C.hybrid_sparse_pool)
+    return found.select("question_id", "id", "tf", "s_rank")
 
 
 @register("websearch_stems_topk")
 def websearch_stems_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Typed questions by English stems: a word finds all tokens with its stem. Held against a plain search in the tests."""
-    found = websearch.search(text_index(spark, sf), typed_questions(spark, sf), stems=True)
-    return lexical.ranked(found, C.hybrid_sparse_pool).select("question_id", "id", "tf", "s_rank")
+    found = websearch.best(text_index(spark, sf), typed_questions(spark, sf), C.hybrid_sparse_pool, stems=True)
+    return found.select("question_id", "id", "tf", "s_rank")
 
 
 @register("hybrid_typed")
@@ -173,7 +173,7 @@ def sparse_cover_density(spark: SparkSession, sf: str) -> DataFrame:
 
 def _arms(spark: SparkSession, sf: str) -> DataFrame:
     dense = nearest(chunks(spark, sf), questions(spark, sf), C.hybrid_dense_pool, gate=C.similarity_threshold)
-    return ranking.fuse(dense, lexical.ranked(lexical.matches(text_index(spark, sf), asked_terms(spark, sf)), C.hybrid_sparse_pool))
+    return ranking.fuse(dense, lexical.best(text_index(spark, sf), asked_terms(spark, sf), C.hybrid_sparse_pool))
 
 
 def _shown(rows: DataFrame, *columns: str) -> DataFrame:
