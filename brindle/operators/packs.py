@@ -205,6 +205,8 @@ def best(index: Index, asked: DataFrame, keep: int, score: Callable = by_sum, sc
     words are asked for, which need the words' places.
     """
     spark = asked.sparkSession
+    # read again and again below, and made of texts as a rule
+    asked = written(asked, "asked-words")
     # numbers stand for units, and are written so that both sides have the same
     units = written(asked.select("unit").distinct().repartition(1).select("unit", F.monotonically_increasing_id().alias("number")), "units")
     named = asked.join(hinted(units, TERMS_AT_ONCE), "unit")

@@ -10,6 +10,7 @@ from brindle.functions.text import tokens
 from brindle.operators import packs
 from brindle.operators.lexical import placed, ranked
 from brindle.operators.postings import Index, variants
+from brindle.store import written
 
 #: Words that English full-text search leaves out.
 STOP_WORDS = (
@@ -47,7 +48,7 @@ def asked_for(questions: DataFrame, index: Index | None = None) -> DataFrame:
     rows = counted.select("question_id", "part", "asked", "no", "atom", F.size("terms").alias("need"), F.inline("terms"))
     if index is None:
         return rows
-    told = rows.withColumnRenamed("term", "stem")
+    told = written(rows.withColumnRenamed("term", "stem"), "asked-stems")
     return told.join(variants(index, told), "stem", "left").select(*rows.columns[:-1], F.coalesce("term", "stem").alias("term"), "stem")
 
 

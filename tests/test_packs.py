@@ -49,3 +49,17 @@ def test_few_rows_leave_a_task(spark, searched, monkeypatch):
     found = packs.best(searched[1], asked, 2)
     assert lexical.matches(searched[1], asked).count() > 60
     assert 2 <= found.count() <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_questions_are_read_once(spark, searched):
+    """Steps of a search share one reading of what is asked, which is made of texts as a rule."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    asked = spark.createDataFrame([(0, '"blue night" or corn'), (1, "trees -blue")], "question_id long, text string").coalesce(1).mapInPandas(counted, "question_id long, text string")
+    assert websearch.best(searched[1], asked, 3, stems=True).count() > 0
+    assert read.value <= 4
