@@ -48,6 +48,12 @@ def matches(chunks: DataFrame | Index, terms: DataFrame, mode: str = "all", with
     return found.where(~F.col("refused") & enough).select("question_id", "id", "paper_id", "tf")
 
 
+def _single(terms: DataFrame) -> DataFrame:
+    """What packs.best() takes, of single words. A null term is one that no chunk has."""
+    term = F.coalesce("term", F.lit(""))
+    return terms.select("question_id", F.lit(0).alias("part"), F.lit(False).alias("no"), term.alias("atom"), F.lit(0).alias("place"), term.alias("term"), term.alias("unit")).distinct()
+
+
 def best(corpus: DataFrame | Index, terms: DataFrame, pool: int, mode: str = "all", scope: DataFrame | None = None) -> DataFrame:
     """The pool best of matches(), with s_rank; scope (question_id, paper_id) names the papers that a question may find.
 
@@ -58,8 +64,7 @@ def best(corpus: DataFrame | Index, terms: DataFrame, pool: int, mode: str = "al
     if not isinstance(corpus, Index):
         found = matches(corpus, terms, mode)
         return ranked(found if scope is None else found.join(hinted(scope, TERMS_AT_ONCE), ["question_id", "paper_id"], "left_semi"), pool)
-    asked = terms.where("term is not null").select("question_id", F.lit(0).alias("part"), F.lit(False).alias("no"), F.col("term").alias("atom"), F.lit(0).alias("place"), "term", F.col("term").alias("unit")).distinct()
-    found = packs.best(corpus, asked, pool, packs.by_sum if mode == "all" else packs.by_any, scope, placed=False)
+    found = packs.best(corpus, _single(terms), pool, packs.by_sum if mode == "all" else packs.by_any, scope, placed=False)
     return ranked(found.select("question_id", "id", "paper_id", F.col("score").cast("long").alias("tf")), pool)
 
 
@@ -96,3 +101,8 @@ def cover_density(chunks: DataFrame | Index, terms: DataFrame) -> DataFrame:
     asked = terms.select("question_id", "term").distinct().withColumn("asked", F.count("*").over(Window.partitionBy("question_id")))
     hits = placed(chunks, asked).groupBy("question_id", "id", "paper_id", "asked").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("place"), "term"))).alias("hits"), F.count_distinct("term").alias("n"))
     return hits.where(F.col("n") == F.col("asked")).select("question_id", "id", "paper_id", _covers("hits.place", "hits.term", "asked").alias("score"))
+
+
+def best_covers(index: Index, terms: DataFrame, pool: int) -> DataFrame:
+    """The pool best of cover_density(), with s_rank: pairs of question and chunk and their places stay in the tasks (see packs)."""
+    return ranked(packs.best(index, _single(terms), pool, packs.by_cover), pool, "score")

@@ -133,6 +133,36 @@ def by_any(pack: _Pack, parts: list) -> tuple[np.ndarray, np.ndarray]:
     return chunks, total[chunks]
 
 
+def by_cover(pack: _Pack, parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks that hold every word of a question, with the sum over all minimal runs that hold them all of 1 / (1 + other words in the run)."""
+    units = {unit for atoms in parts for _, words in atoms for _, unit in words}
+    none = np.zeros(0, np.int64), np.zeros(0)
+    if not units <= pack.span.keys():
+        return none
+    spans = sorted((pack.span[u] for u in units), key=lambda s: s[1] - s[0])
+    chunks = pack.chunk[slice(*spans[0])]
+    for a, b in spans[1:]:
+        chunks = chunks[_within(chunks, pack.chunk[a:b])[0]]
+    if not len(chunks):
+        return none
+    held = np.zeros(len(pack.ids), bool)
+    held[chunks] = True
+    places = [pack.keys[pack.place_at[a] : pack.place_at[b]] for a, b in spans]
+    places = [x[held[x >> _SHIFT]] for x in places]
+    keys = np.concatenate(places)
+    order = np.argsort(keys, kind="stable")
+    keys, term = keys[order], np.repeat(np.arange(len(places)), [len(x) for x in places])[order]
+    at, chunk = np.arange(len(keys)), keys >> _SHIFT
+    # the run that ends at a place begins where the word begins that was last seen longest ago
+    first = np.minimum.reduce([np.maximum.accumulate(np.where(term == k, at, -1)) for k in range(len(places))])
+    begin = np.searchsorted(chunk, chunk)
+    # it is minimal if it begins later than the one before
+    new = (first >= begin) & (first > np.concatenate([[-1], first[:-1]]))
+    at, first = at[new], first[new]
+    total = np.bincount(chunk[new], 1.0 / (1 + keys[at] - keys[first] - (at - first)), len(pack.ids))
+    return chunks, total[chunks]
+
+
 class _Block:
     """Questions of one block, and the best of each so far: score, id and paper, at most keep."""
 

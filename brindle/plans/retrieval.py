@@ -167,8 +167,7 @@ def vocabulary_stems(spark: SparkSession, sf: str) -> DataFrame:
 @register("sparse_cover_density")
 def sparse_cover_density(spark: SparkSession, sf: str) -> DataFrame:
     """Held against a brute-force count of covers in the tests."""
-    found = lexical.cover_density(text_index(spark, sf), asked_terms(spark, sf))
-    return lexical.ranked(found, C.hybrid_sparse_pool, "score").select("question_id", "id", F.round("score", 9).alias("score"), "s_rank")
+    return lexical.best_covers(text_index(spark, sf), asked_terms(spark, sf), C.hybrid_sparse_pool).select("question_id", "id", F.round("score", 9).alias("score"), "s_rank")
 
 
 def _arms(spark: SparkSession, sf: str) -> DataFrame:

@@ -51,6 +51,26 @@ def test_few_rows_leave_a_task(spark, searched, monkeypatch):
     assert 2 <= found.count() <= 2 * spark.sparkContext.defaultParallelism
 
 
+def test_best_covers_are_those_of_every_pair(spark, searched, monkeypatch):
+    chunks, index = searched
+    monkeypatch.setattr(packs, "PACK_ROWS", 150)
+    terms = spark.createDataFrame([(q, t) for q in range(10) for t in {WORDS[q], WORDS[(q * 3 + 1) % 10], WORDS[(q * 7 + 2) % 10]}] + [(10, "absent"), (11, "corn"), (11, "absent"), (12, "blue"), (13, None), (14, "corn"), (14, None)], "question_id long, term string")
+    scored = lambda df: sorted((r.question_id, r.s_rank, r.id, r.score) for r in df.collect())
+    wanted = scored(lexical.ranked(lexical.cover_density(chunks, terms), 7, "score"))
+    assert wanted and scored(lexical.best_covers(index, terms, 7)) == wanted
+    # a null term is held by no chunk
+    assert {q for q, *_ in rows(lexical.best(index, terms, 7))} == {q for q, *_ in rows(lexical.ranked(lexical.matches(chunks, terms), 7))}
+
+
+def test_covers_leave_few_rows(spark, searched, monkeypatch):
+    monkeypatch.setattr(packs, "PACK_ROWS", 10)
+    monkeypatch.setattr(packs, "TASKS_A_CORE", 1)
+    kept = []
+    monkeypatch.setattr(lexical, "ranked", lambda found, pool, score: kept.append(found.count()) or found)
+    lexical.best_covers(searched[1], spark.createDataFrame([(0, "corn")], "question_id long, term string"), 2)
+    assert 2 <= kept[0] <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_questions_are_read_once(spark, searched):
     """Steps of a search share one reading of what is asked, which is made of texts as a rule."""
     read = spark.sparkContext.accumulator(0)
