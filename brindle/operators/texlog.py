@@ -70,12 +70,13 @@ def readings(line: Column) -> Column:
     sizes = F.zip_with(between, marks, lambda a, b: F.char_length(a) + F.char_length(b))
     ends = F.slice(F.aggregate(sizes, F.array(F.lit(0)), lambda seen, n: F.array_append(seen, F.element_at(seen, -1) + n)), F.lit(2), F.size(sizes))
     each = F.zip_with(ends, marks, lambda end, mark: F.struct(F.left(line, end - F.char_length(mark)).alias("path"), F.regexp_extract(mark, "[0-9]+", 0).try_cast("long").alias("number"), F.trim(F.substr(line, end + 1)).alias("message")))
-    return F.when(F.size(marks) > 0, F.filter(each, lambda x: x["path"] != "")).otherwise(F.array().cast("array<struct<path:string,number:bigint,message:string>>"))
+    # a branch is worked out where it is taken only, and few lines have a mark
+    return F.when(head.rlike(_MARK), F.filter(each, lambda x: x["path"] != "")).otherwise(F.array().cast("array<struct<path:string,number:bigint,message:string>>"))
 
 
 def log_lines(logs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (log, at, line) of logs that are one text each; at counts from 0. A line break at the end begins no line, a null log has none."""
-    body = F.regexp_replace(F.col(text), r"(?:\r\n|\r|\n)\z", "")
+    body = F.when(F.right(F.col(text), F.lit(1)).isin("\r", "\n"), F.regexp_replace(F.col(text), r"(?:\r\n|\r|\n)\z", "")).otherwise(F.col(text))
     return logs.where(F.col(text) != "").select(F.col(key).alias("log"), F.posexplode(F.split(body, r"\r\n|\r|\n")).alias("at", "line"))
 
 
@@ -83,7 +84,9 @@ def _judged(lines: DataFrame, staged: DataFrame, runs: DataFrame, present: DataF
     """One row for each line that could say something: its shape, whether it names a file that exists, and the one staged place that it names."""
     bang, context = F.col("line").startswith("!"), F.col("line").rlike(r"^(?:\s|<|l\.[0-9])")
     quoted = F.nullif(F.regexp_extract("line", r"^l\.([0-9]+)(?: |\z)", 1), F.lit(""))
-    shapes = lines.select("log", "at", bang.alias("bang"), context.alias("context"), F.col("line").startswith(STATISTICS).alias("statistics"), F.contains("line", F.lit(FATAL)).alias("fatal"), (F.col("line") == NO_PAGES).alias("no_pages"), quoted.alias("quoted"), readings(F.col("line")).alias("readings"))
+    # whatever has none of these says nothing, and most lines have none
+    likely = lines.where(bang | F.col("line").startswith(STATISTICS) | F.contains("line", F.lit(FATAL)) | (F.col("line") == NO_PAGES) | F.col("line").startswith("l.") | F.col("line").rlike(_MARK))
+    shapes = likely.select("log", "at", bang.alias("bang"), context.alias("context"), F.col("line").startswith(STATISTICS).alias("statistics"), F.contains("line", F.lit(FATAL)).alias("fatal"), (F.col("line") == NO_PAGES).alias("no_pages"), quoted.alias("quoted"), readings(F.col("line")).alias("readings"))
     telling = shapes.where(F.col("bang") | F.col("statistics") | F.col("fatal") | F.col("no_pages") | F.col("quoted").isNotNull() | (F.size("readings") > 0))
     place = runs.select("log", F.coalesce("main_dir", F.lit("")).alias("main_dir"))
     each = telling.join(place, "log").select("log", "at", "bang", "context", "statistics", "fatal", "no_pages", "quoted", "main_dir", F.posexplode_outer("readings").alias("k", "r"))

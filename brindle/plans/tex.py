@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.bindings import table, words
 from brindle.operators import texlog
 from brindle.registry import register
+from brindle.store import written
 
 
 def tex_runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,7 +53,8 @@ def tex_runs(spark: SparkSession, sf: str) -> DataFrame:
 @register("tex_log_attribution")
 def tex_log_attribution(spark: SparkSession, sf: str) -> DataFrame:
     """File, line and excerpt of each run's error, or why it cannot be told. Held against a plain loop over each log in the tests."""
-    runs = tex_runs(spark, sf)
+    # read again and again below: written, so that texts are split into words once
+    runs = written(tex_runs(spark, sf), "tex-runs")
     lines = texlog.log_lines(runs, "doc_id", "log")
     staged = runs.select(F.col("doc_id").alias("log"), F.inline("files"))
     told = runs.select(F.col("doc_id").alias("log"), "main_dir", texlog.engine_failed(F.col("stdout"), F.col("engine")).alias("errored"))

@@ -141,3 +141,16 @@ def test_paths_are_relative_to_the_main_file(spark):
 def test_driver_summary(spark, stdout, engine, failed):
     row = spark.createDataFrame([(stdout, engine)], "stdout string, engine string").select(texlog.engine_failed(F.col("stdout"), F.col("engine")).alias("failed")).first()
     assert row.failed is failed
+
+
+def test_texts_are_split_once(spark, monkeypatch):
+    """All steps read one written table of runs: the plan of the result no longer reaches the documents."""
+    from brindle.plans import tex
+
+    seen = []
+    attribute = texlog.attribute
+    monkeypatch.setattr(texlog, "attribute", lambda *frames: seen.extend(frames) or attribute(*frames))
+    tex.tex_log_attribution(spark, SF)
+    assert len(seen) == 3
+    for frame in seen:
+        assert not [f for f in frame.inputFiles() if f.endswith("documents.parquet")]
