@@ -68,6 +68,7 @@ class _Block:
         gates = [gate if g is None else g for g in asked.field("gate").to_pylist()]
         self.gates = np.array([np.inf if g is None else g for g in gates])
         self.nearest: dict[int, np.ndarray] = {}
+        self.last: dict[int, tuple[int, np.ndarray]] = {}
 
     def steps(self) -> Iterator[slice]:
         """The block's questions, some at a time."""
@@ -98,6 +99,26 @@ class _Block:
         self.nearest[at.start] = near
         return near.max(1) if near.shape[1] == keep else np.full(len(found), np.inf)
 
+    def near_in_groups(self, at: slice, found: np.ndarray, groups: np.ndarray, keep: int) -> np.ndarray:
+        """Which finds may be among the keep nearest of a question and group.
+
+        Packs come in the order of their groups, so a group of several packs ends one
+        and begins the next: only the group that a pack ends with is remembered.
+        """
+        good = ~np.isnan(found)
+        for group in dict.fromkeys((groups[0], groups[-1])):
+            part = groups == group
+            here = found[:, part]
+            seen = np.where(np.isnan(here), np.inf, here)
+            if at.start in self.last and self.last[at.start][0] == group:
+                seen = np.hstack([self.last[at.start][1], seen])
+            near = np.partition(seen, keep - 1, axis=1)[:, :keep].copy() if seen.shape[1] > keep else seen
+            if near.shape[1] == keep:
+                good[:, part] &= here <= near.max(1)[:, None]
+            if group == groups[-1]:
+                self.last[at.start] = group, near
+        return good
+
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, group, vector) to packs of many rows: arrays as bytes. Null and zero vectors are left out."""
@@ -136,7 +157,7 @@ def _search(keep: int, by_group: bool, skip_self: bool, gate: float | None):
         for block, ids, groups, units in _met(batches, gate):
             for at in block.steps():
                 found = block.distances(at, ids, groups, units, skip_self)
-                q, r = np.nonzero(~np.isnan(found) if by_group else found <= block.bound(at, found, keep)[:, None])
+                q, r = np.nonzero(block.near_in_groups(at, found, groups, keep) if by_group else found <= block.bound(at, found, keep)[:, None])
                 best = _cut([block.ids[at][q], ids[r], groups[r], found[q, r]], keep, by_group)
                 if len(q):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], _FOUND)
@@ -193,7 +214,7 @@ def nearest(corpus: DataFrame, questions: DataFrame, keep: int, gate: float | No
     each question and paper; nearer than the gate, ties by id. A task passes on only what is
     among the nearest of all that it has seen, so what is shuffled depends on the number of
     tasks, not of rows; by group, the corpus is first ranged by paper, so that it depends on
-    the number of papers. Null and zero vectors find nothing and are not found, and neither do
+    the number of papers and tasks. Null and zero vectors find nothing and are not found, and neither do
     vectors of different lengths. Question ids must be unique.
     """
     found = _dealt(corpus, questions, scope, by_group).mapInArrow(_search(keep, by_group, skip_self, gate), "question_id bigint, id bigint, paper_id bigint, distance double")

@@ -83,3 +83,30 @@ def test_questions_are_read_once(spark, searched):
     asked = spark.createDataFrame([(0, '"blue night" or corn'), (1, "trees -blue")], "question_id long, text string").coalesce(1).mapInPandas(counted, "question_id long, text string")
     assert websearch.best(searched[1], asked, 3, stems=True).count() > 0
     assert read.value <= 4
+
+
+def test_nearest_of_a_group_keeps_to_its_bound(monkeypatch):
+    """A group of many packs passes on ever less, and its nearest are those of all its rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    from brindle.functions import vector
+
+    monkeypatch.setattr(vector, "STEP", 2)
+    rng = np.random.default_rng(3)
+    asked = pa.array([{"question_id": q, "embedding": list(rng.normal(size=4)), "gate": None, "scope": None if q else [1, 2]} for q in range(5)])
+    units = rng.normal(size=(1000, 4))
+    units /= np.sqrt((units * units).sum(1, keepdims=True))
+    ids, groups = np.arange(1000), np.repeat([1, 2, 3, 4, 5, 9], [450, 300, 3, 2, 5, 240])
+    packs_ = [pa.RecordBatch.from_arrays([pa.array([4], pa.int32()), *(pa.array([x[k : k + 100].tobytes()], pa.binary()) for x in (ids, groups, units)), pa.array([0]), pa.array([asked.to_pylist()])], ["width", "ids", "groups", "units", "block", "asked"]) for k in range(0, 1000, 100)]
+    out = [b for b in vector._search(7, True, False, None)(iter(packs_))]
+    rows_ = [np.concatenate([b.column(c).to_numpy() for b in out]) for c in range(4)]
+    kept = vector._cut(rows_, 7, True)
+    block = vector._Block(asked, None)
+    found = np.concatenate([block.distances(at, ids, groups, units, False) for at in block.steps()])
+    q, r = np.nonzero(~np.isnan(found))
+    wanted = vector._cut([block.ids[q], ids[r], groups[r], found[q, r]], 7, True)
+    assert all((a == b).all() for a, b in zip(kept, wanted, strict=True))
+    # 14 parts of groups in the packs, 7 rows of each for 5 questions, if nothing were remembered
+    whole = sum(min(7, n) for k in range(0, 1000, 100) for n in np.unique(groups[k : k + 100], return_counts=True)[1])
+    assert len(rows_[0]) < 0.7 * 5 * whole
