@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.store import hinted
+
 #: Words of a document that serve as its title.
 TITLE_WORDS = 12
+#: Rows (id, paper_id) of chunks that are broadcast at most, so that texts are not shuffled.
+IDS_AT_ONCE = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +38,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).join(docs, "id")
 
 
+def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, paper_id and text of the same chunks: what is joined with the texts is a few bytes a row."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return docs.join(hinted(vectors(spark, sf_dir).select("id", "paper_id"), IDS_AT_ONCE), "id").select("id", "paper_id", "text")
+
+
 def questions(spark: SparkSession, sf_dir: str, rest: int = 0, sign: int = 1) -> DataFrame:
     """question_id, paper_id, embedding: the stated query set is every twentieth vector; negated ones serve as off-topic questions."""
     asked = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == rest)

@@ -26,12 +26,19 @@ _SHIFT = 32
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pack, unit, id, paper_id, tf, places), sorted by pack, unit and id, to one row of bytes for each pack."""
+    """Rows (pack, unit, id, paper_id, tf, places), sorted by pack, unit and id, to one row of bytes for each pack, where a unit's tokens in a chunk are one."""
 
     def pack(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         unit, ids, papers, tf = (np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts]) for c in (1, 2, 3, 4))
         sizes = np.concatenate([p.column(5).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for p in parts])
         places = np.concatenate([p.column(5).flatten().to_numpy(zero_copy_only=False) for p in parts])
+        new = np.append(True, (unit[1:] != unit[:-1]) | (ids[1:] != ids[:-1]))
+        if not new.all():
+            # several tokens of a unit in one chunk
+            begin = np.flatnonzero(new)
+            places = places[np.lexsort((places, np.repeat(np.cumsum(new), sizes)))]
+            tf, sizes = np.add.reduceat(tf, begin), np.add.reduceat(sizes, begin)
+            unit, ids, papers = unit[new], ids[new], papers[new]
         chunks, first, chunk = np.unique(ids, return_index=True, return_inverse=True)
         columns = unit.astype(np.int64), chunk.astype(np.int64), tf.astype(np.int64), sizes.astype(np.int64), places.astype(np.int64), chunks.astype(np.int64), papers[first].astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], ["pack", "unit", "chunk", "tf", "sizes", "places", "ids", "papers"])
@@ -245,9 +252,6 @@ def best(index: Index, asked: DataFrame, keep: int, score: Callable = by_sum, sc
     packs = max(1, -(-rows.select("number").count() // PACK_ROWS))
     places = F.col("places") if placed else F.lit(None).cast("array<int>")
     rows = rows.select("number", F.col("id").cast("long").alias("id"), F.coalesce(F.col("paper_id").cast("long"), F.lit(-1).cast("long")).alias("paper_id"), "tf", places.alias("places"))
-    if tokens.groupBy("number").count().where("count > 1").limit(1).count():
-        joined = F.array_sort(F.flatten(F.collect_list("places")))
-        rows = rows.groupBy("number", "id").agg(F.first("paper_id").alias("paper_id"), F.sum("tf").alias("tf"), (joined if placed else F.lit(None).cast("array<int>")).alias("places"))
     tasks = min(packs, TASKS_A_CORE * max(1, spark.sparkContext.defaultParallelism))
     dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(packs)).cast("int").alias("pack"), "number", "id", "paper_id", "tf", "places").repartition(tasks, "pack").sortWithinPartitions("pack", "number", "id")
     packed = dealt.mapInArrow(_packed, "pack int, unit binary, chunk binary, tf binary, sizes binary, places binary, ids binary, papers binary")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.bindings import chunks, question_terms, vectors
+from brindle.bindings import chunk_texts, question_terms, vectors
 from brindle.functions.pivots import Cells, file_under_pivots
 from brindle.operators.postings import Index, build
 from brindle.store import once, written
@@ -18,7 +18,7 @@ def _once(spark: SparkSession, sf: str, name: str, make):
 
 def text_index(spark: SparkSession, sf: str) -> Index:
     """The index of the chunks' texts."""
-    return _once(spark, sf, "text_index", lambda: build(chunks(spark, sf)))
+    return _once(spark, sf, "text_index", lambda: build(chunk_texts(spark, sf)))
 
 
 def asked_terms(spark: SparkSession, sf: str) -> DataFrame:
