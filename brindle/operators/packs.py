@@ -1,8 +1,9 @@
 """The best chunks of every question, found in packs of postings: what leaves a task is at most a list of each question.
 
-The asked units' postings (a unit is a token, or a stem with all its tokens) are shuffled
-once, dealt by chunk into packs, so that all that a question needs to know of a chunk lies
-in one pack. Every block of questions meets every pack, and a task keeps the best of each
+All that a question needs to know of a chunk lies in one pack. Without places, packs
+are those that the index has stored, of which the asked units' postings (a unit is a token,
+or a stem with all its tokens) are taken: no posting is shuffled. With places, the asked
+units' postings are shuffled once, dealt by chunk into packs. Every block of questions meets every pack, and a task keeps the best of each
 question over its packs: pairs of question and chunk are neither shuffled nor sorted.
 """
 
@@ -12,11 +13,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.postings import TERMS_AT_ONCE, Index, lookup
-from brindle.store import hinted, written
+from brindle.store import hinted, small, written
 
 #: Postings of a pack, questions of a block, blocks whose finds a task remembers, and rows of questions that are broadcast at most.
 PACK_ROWS, QUESTIONS_AT_ONCE, BLOCKS_AT_ONCE, ASKED_AT_ONCE = 400_000, 4096, 16, 500_000
@@ -25,6 +27,16 @@ TASKS_A_CORE = 3
 _SHIFT = 32
 
 
+_PACKED = ["pack", "unit", "chunk", "tf", "sizes", "places", "ids", "papers"]
+
+
+def _as_bytes(number: int, unit: np.ndarray, ids: np.ndarray, papers: np.ndarray, tf: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """One row of bytes of the postings of a pack, sorted by unit and id."""
+    chunks, first, chunk = np.unique(ids, return_index=True, return_inverse=True)
+    columns = unit, chunk, tf, sizes, places, chunks, papers[first]
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([c.astype(np.int64).tobytes()], pa.binary()) for c in columns)], _PACKED)
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (pack, unit, id, paper_id, tf, places), sorted by pack, unit and id, to one row of bytes for each pack, where a unit's tokens in a chunk are one."""
 
@@ -39,9 +51,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places = places[np.lexsort((places, np.repeat(np.cumsum(new), sizes)))]
             tf, sizes = np.add.reduceat(tf, begin), np.add.reduceat(sizes, begin)
             unit, ids, papers = unit[new], ids[new], papers[new]
-        chunks, first, chunk = np.unique(ids, return_index=True, return_inverse=True)
-        columns = unit.astype(np.int64), chunk.astype(np.int64), tf.astype(np.int64), sizes.astype(np.int64), places.astype(np.int64), chunks.astype(np.int64), papers[first].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], ["pack", "unit", "chunk", "tf", "sizes", "places", "ids", "papers"])
+        return _as_bytes(number, unit, ids, papers, tf, sizes, places)
 
     now, parts = None, []
     for batch in batches:
@@ -59,6 +69,39 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack(now, parts)
 
 
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (pack, unit, ids, papers, tf), where a pack's rows are next to each other, to rows of bytes as of _packed(): stored packs are put together until they have PACK_ROWS."""
+    context = TaskContext.get()
+    number = (context.partitionId() if context else 0) << _SHIFT
+    now, parts, rows = None, [], 0
+
+    def pack() -> pa.RecordBatch:
+        unit, ids, papers, tf = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((ids, unit))
+        unit, ids, papers, tf = (x[order] for x in (unit, ids, papers, tf))
+        begin = np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]) | (ids[1:] != ids[:-1])))
+        # several tokens of a unit in one chunk count as one
+        return _as_bytes(number, unit[begin], ids[begin], papers[begin], np.add.reduceat(tf, begin), np.zeros(len(begin), np.int64), np.zeros(0, np.int64))
+
+    for batch in batches:
+        packs = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(packs)) + 1).tolist(), len(packs)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if packs[a] != now and rows >= PACK_ROWS:
+                yield pack()
+                number, parts, rows = number + 1, [], 0
+            now = packs[a]
+            part = batch.slice(a, b - a)
+            lists = [part.column(c).flatten().to_numpy(zero_copy_only=False) for c in (2, 3, 4)]
+            # copies, for a part of a batch would keep all of it
+            parts.append([np.repeat(part.column(1).to_numpy(), part.column(2).value_lengths().to_numpy(zero_copy_only=False)), *(x.copy() for x in lists)])
+            rows += len(lists[0])
+    if parts:
+        yield pack()
+
+
 class _Pack:
     """Postings of some chunks, by unit."""
 
@@ -238,8 +281,8 @@ def best(index: Index, asked: DataFrame, keep: int, score: Callable = by_sum, sc
 
     asked: question_id, part, no, atom, place, term and unit, where rows of one unit
     are tokens that count as one. scope: question_id, paper_id; a question without a
-    row there finds nothing. Equal scores go by id. placed: whether atoms of several
-    words are asked for, which need the words' places.
+    row there finds nothing. Equal scores go by id. placed: whether the words' places
+    are needed, as they are by atoms of several words.
     """
     spark = asked.sparkSession
     # read again and again below, and made of texts as a rule
@@ -248,13 +291,23 @@ def best(index: Index, asked: DataFrame, keep: int, score: Callable = by_sum, sc
     units = written(asked.select("unit").distinct().repartition(1).select("unit", F.monotonically_increasing_id().alias("number")), "units")
     named = asked.join(hinted(units, TERMS_AT_ONCE), "unit")
     tokens = named.select("term", "number").distinct()
-    rows = lookup(index, tokens).where("id is not null")
-    packs = max(1, -(-rows.select("number").count() // PACK_ROWS))
-    places = F.col("places") if placed else F.lit(None).cast("array<int>")
-    rows = rows.select("number", F.col("id").cast("long").alias("id"), F.coalesce(F.col("paper_id").cast("long"), F.lit(-1).cast("long")).alias("paper_id"), "tf", places.alias("places"))
-    tasks = min(packs, TASKS_A_CORE * max(1, spark.sparkContext.defaultParallelism))
-    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(packs)).cast("int").alias("pack"), "number", "id", "paper_id", "tf", "places").repartition(tasks, "pack").sortWithinPartitions("pack", "number", "id")
-    packed = dealt.mapInArrow(_packed, "pack int, unit binary, chunk binary, tf binary, sizes binary, places binary, ids binary, papers binary")
+    tasks = TASKS_A_CORE * max(1, spark.sparkContext.defaultParallelism)
+    schema = ", ".join([f"{_PACKED[0]} bigint", *(f"{c} binary" for c in _PACKED[1:])])
+    if placed:
+        rows = lookup(index, tokens).where("id is not null")
+        packs = max(1, -(-rows.select("number").count() // PACK_ROWS))
+        rows = rows.select("number", F.col("id").cast("long").alias("id"), F.coalesce(F.col("paper_id").cast("long"), F.lit(-1).cast("long")).alias("paper_id"), "tf", "places")
+        tasks = min(packs, tasks)
+        dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(packs)).cast("int").alias("pack"), "number", "id", "paper_id", "tf", "places").repartition(tasks, "pack").sortWithinPartitions("pack", "number", "id")
+        packed = dealt.mapInArrow(_packed, schema)
+    else:
+        rows = index.packs.coalesce(tasks).select("pack", F.inline("postings"))
+        if small(tokens, TERMS_AT_ONCE):
+            # a stored pack is one row, so its tokens are met by one task, one behind the other
+            rows = rows.join(F.broadcast(tokens), "term")
+        else:
+            rows = rows.join(tokens, "term").repartition(tasks, "pack").sortWithinPartitions("pack")
+        packed = rows.select("pack", "number", "ids", "papers", "tf").mapInArrow(_taken, schema)
     words = F.collect_list(F.struct(F.col("part").cast("int").alias("part"), "no", "atom", F.col("place").cast("long").alias("place"), F.col("number").alias("unit")))
     by_question = named.select("question_id", "part", "no", "atom", "place", "number").distinct().groupBy("question_id").agg(words.alias("words"))
     if scope is None:
@@ -269,6 +322,6 @@ def best(index: Index, asked: DataFrame, keep: int, score: Callable = by_sum, sc
         both = packed.crossJoin(F.broadcast(asked))
     else:
         copies = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))
-        both = packed.withColumn("part", F.pmod("pack", F.lit(tasks))).join(asked.withColumn("part", copies), "part").drop("part")
+        both = packed.withColumn("part", F.pmod("pack", F.lit(tasks)).cast("int")).join(asked.withColumn("part", copies), "part").drop("part")
     found = both.select("pack", "unit", "chunk", "tf", "sizes", "places", "ids", "papers", "block", "asked").mapInArrow(_search(score, keep), "question_id bigint, id bigint, paper_id bigint, score double")
     return found.withColumn("paper_id", F.when(F.col("paper_id") >= 0, F.col("paper_id")))

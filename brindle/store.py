@@ -28,14 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, folders: list[str] | None = None, rows_a_file: int = 0) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage and survives a lost executor. The files go when the session's JVM ends.
 
     folders: columns that stand last, by whose values the files are kept apart.
+    rows_a_file: rows of a file at most, where rows are large.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=folders)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path, partitionBy=folders)
     place, files = _place(spark, path)
     files.deleteOnExit(place)
     found = spark.read.schema(df.schema).parquet(path)
