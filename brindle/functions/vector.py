@@ -69,6 +69,7 @@ class _Block:
         self.gates = np.array([np.inf if g is None else g for g in gates])
         self.nearest: dict[int, np.ndarray] = {}
         self.last: dict[int, tuple[int, np.ndarray]] = {}
+        self.finds: dict[int, list[np.ndarray]] = {}
 
     def steps(self) -> Iterator[slice]:
         """The block's questions, some at a time."""
@@ -120,6 +121,19 @@ class _Block:
         return good
 
 
+    def take(self, at: slice, found: list[np.ndarray], keep: int) -> None:
+        """Remember finds (question, id, group, distance), at most twice as many of each question as are kept."""
+        if at.start in self.finds:
+            found = [np.concatenate(x) for x in zip(self.finds[at.start], found, strict=True)]
+        self.finds[at.start] = _cut(found, keep, False) if len(found[0]) > 2 * keep * len(self.ids[at]) else found
+
+    def told(self, keep: int) -> Iterator[pa.RecordBatch]:
+        """The nearest of each question among all that this task has seen."""
+        for found in self.finds.values():
+            if len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _cut(found, keep, False)], _FOUND)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, group, vector) to packs of many rows: arrays as bytes. Null and zero vectors are left out."""
     for batch in batches:
@@ -135,8 +149,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), *packed], ["width", "ids", "groups", "units"])
 
 
-def _met(batches: Iterator[pa.RecordBatch], gate: float | None) -> Iterator[tuple[_Block, np.ndarray, np.ndarray, np.ndarray]]:
-    """Each pack with each block of questions that it has been dealt; a block that comes again soon keeps what it knows."""
+def _met(batches: Iterator[pa.RecordBatch], gate: float | None, gone: list[_Block] | None = None) -> Iterator[tuple[_Block, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each pack with each block of questions that it has been dealt; a block that comes again soon keeps what it knows. Blocks that are not kept, in the end all, are added to gone."""
+    gone = [] if gone is None else gone
     blocks: dict[tuple[int, int], _Block] = {}
     for batch in batches:
         for i in range(batch.num_rows):
@@ -144,9 +159,10 @@ def _met(batches: Iterator[pa.RecordBatch], gate: float | None) -> Iterator[tupl
             key = batch.column(4)[i].as_py(), batch.column(0)[i].as_py()
             if key not in blocks:
                 if len(blocks) >= BLOCKS_AT_ONCE:
-                    blocks.pop(next(iter(blocks)))
+                    gone.append(blocks.pop(next(iter(blocks))))
                 blocks[key] = _Block(batch.column(5)[i].values, gate)
             yield blocks[key], ids, groups, units.reshape(len(ids), -1)
+    gone.extend(blocks.values())
 
 
 _FOUND = ["question_id", "id", "paper_id", "distance"]
@@ -154,13 +170,20 @@ _FOUND = ["question_id", "id", "paper_id", "distance"]
 
 def _search(keep: int, by_group: bool, skip_self: bool, gate: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, groups, units in _met(batches, gate):
+        gone: list[_Block] = []
+        for block, ids, groups, units in _met(batches, gate, gone):
+            while gone:
+                yield from gone.pop().told(keep)
             for at in block.steps():
                 found = block.distances(at, ids, groups, units, skip_self)
                 q, r = np.nonzero(block.near_in_groups(at, found, groups, keep) if by_group else found <= block.bound(at, found, keep)[:, None])
                 best = _cut([block.ids[at][q], ids[r], groups[r], found[q, r]], keep, by_group)
-                if len(q):
+                if not by_group:
+                    block.take(at, best, keep)
+                elif len(q):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], _FOUND)
+        while gone:
+            yield from gone.pop().told(keep)
 
     return run
 
@@ -211,13 +234,16 @@ def nearest(corpus: DataFrame, questions: DataFrame, keep: int, gate: float | No
     """Exact nearest rows of corpus (id, paper_id, embedding) for every question (question_id, embedding[, gate]).
 
     Rows (question_id, id, paper_id, distance, d_rank): at most keep of each question, or of
-    each question and paper; nearer than the gate, ties by id. A task passes on only what is
-    among the nearest of all that it has seen, so what is shuffled depends on the number of
+    each question and paper; nearer than the gate, ties by id. A task passes on one list of
+    each question when it has seen all its packs, so what is shuffled depends on the number of
     tasks, not of rows; by group, the corpus is first ranged by paper, so that it depends on
     the number of papers and tasks. Null and zero vectors find nothing and are not found, and neither do
     vectors of different lengths. Question ids must be unique.
     """
     found = _dealt(corpus, questions, scope, by_group).mapInArrow(_search(keep, by_group, skip_self, gate), "question_id bigint, id bigint, paper_id bigint, distance double")
+    if not by_group:
+        # lists are cut where they are made: dealt first, they are not sorted as a whole in the task that searches
+        found = found.repartition("question_id")
     order = Window.partitionBy("question_id", *(["paper_id"] if by_group else [])).orderBy("distance", "id")
     return found.withColumn("d_rank", F.row_number().over(order).cast("long")).where(F.col("d_rank") <= keep)
 

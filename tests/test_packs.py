@@ -110,3 +110,37 @@ def test_nearest_of_a_group_keeps_to_its_bound(monkeypatch):
     # 14 parts of groups in the packs, 7 rows of each for 5 questions, if nothing were remembered
     whole = sum(min(7, n) for k in range(0, 1000, 100) for n in np.unique(groups[k : k + 100], return_counts=True)[1])
     assert len(rows_[0]) < 0.7 * 5 * whole
+
+
+def test_a_task_passes_on_one_list_of_each_question(spark, monkeypatch):
+    """However many packs it meets, and what it passes on is not sorted where it is found."""
+    import numpy as np
+    import pyarrow as pa
+
+    from brindle.functions import vector
+
+    monkeypatch.setattr(vector, "STEP", 2)
+    rng = np.random.default_rng(4)
+    asked = [[{"question_id": 10 * b + q, "embedding": list(rng.normal(size=4)), "gate": None, "scope": None} for q in range(5)] for b in range(3)]
+    units = rng.normal(size=(1000, 4))
+    units /= np.sqrt((units * units).sum(1, keepdims=True))
+    ids, groups = np.arange(1000), np.arange(1000) % 3
+    dealt = [(k, b) for k in range(0, 1000, 50) for b in range(3)]
+    pairs = [pa.RecordBatch.from_arrays([pa.array([4], pa.int32()), *(pa.array([x[k : k + 50].tobytes()], pa.binary()) for x in (ids, groups, units)), pa.array([b]), pa.array([asked[b]])], ["width", "ids", "groups", "units", "block", "asked"]) for k, b in dealt]
+    for at_once, lists in ((3, 1), (2, None)):
+        monkeypatch.setattr(vector, "BLOCKS_AT_ONCE", at_once)
+        out = list(vector._search(7, False, False, None)(iter(pairs)))
+        rows_ = [np.concatenate([x.column(c).to_numpy() for x in out]) for c in range(4)]
+        assert lists is None or len(rows_[0]) == 15 * 7 * lists
+        kept = vector._cut(rows_, 7, False)
+        for b in range(3):
+            block = vector._Block(pa.array(asked[b]), None)
+            found = np.concatenate([block.distances(at, ids, groups, units, False) for at in block.steps()])
+            q, r = np.nonzero(~np.isnan(found))
+            wanted = vector._cut([block.ids[q], ids[r], groups[r], found[q, r]], 7, False)
+            mine = np.isin(kept[0], block.ids)
+            assert all((x[mine] == y).all() for x, y in zip(kept, wanted, strict=True))
+    corpus = spark.createDataFrame([(i, i % 3, u.tolist()) for i, u in enumerate(units[:40])], "id long, paper_id int, embedding array<double>")
+    lines = vector.nearest(corpus, corpus.selectExpr("id as question_id", "embedding"), 3)._jdf.queryExecution().executedPlan().toString().splitlines()
+    search = next(i for i, x in enumerate(lines) if "MapInArrow" in x)
+    assert "Sort" in "".join(lines[:search]) and "Exchange hashpartitioning(question_id" in lines[search - 1]
